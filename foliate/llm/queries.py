@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.llm import classifier as C
 from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
 from foliate.llm import secrets as S
+from foliate.llm import simhash as H
 from foliate.llm.common import table
 
 
@@ -31,6 +33,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = C.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return C.score(docs, net).select("doc_id", C.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return found.select(
@@ -41,8 +49,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = H.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op5_pii": op5_pii,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_secrets": op7_secrets,
+    "op10_simhash": op10_simhash,
 }
