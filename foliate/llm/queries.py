@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import classifier as C
+from foliate.llm import packing as K
 from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
 from foliate.llm import secrets as S
@@ -49,6 +50,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The public word tokenizer's file, which every node has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = H.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secrets": op7_secrets,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
