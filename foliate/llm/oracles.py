@@ -113,4 +113,19 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (rid)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+#: Base32 of the digest: its 160 bits in groups of five.
+OP3 = """
+WITH p AS (
+  SELECT row_number() OVER (ORDER BY page_id NULLS LAST) AS rid, page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT rid, page_id, h, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INT), 1) FOR i IN range(0, 32)], '') AS payload_digest
+  FROM p),
+f AS (SELECT *, first_value(page_id) OVER w AS first_page, row_number() OVER w AS n FROM d WINDOW w AS (PARTITION BY h ORDER BY rid))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN first_page END AS refers_to
+FROM f
+"""
+
+ORACLES = {"op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

@@ -13,6 +13,7 @@ from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
 from foliate.llm import secrets as S
 from foliate.llm import simhash as H
+from foliate.llm import warc as A
 from foliate.llm.common import table
 
 
@@ -23,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     listed = {k: P.span_list(F.col(f"{k}_spans"), k) for k in P.KINDS}
@@ -68,6 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_warc": op3_warc,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secrets": op7_secrets,
