@@ -113,6 +113,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN a USING (rid)
 """
 
+OP2 = r"""
+WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+st AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM r GROUP BY source),
+tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, count(*) FILTER (tokens > 0) AS n FROM st),
+g AS (
+  SELECT k, sum(pow(tokens / total, k / 4096)) AS z, sum(pow(tokens / total, k / 4096) * ln(tokens / total)) AS s,
+         max(pow(tokens / total, k / 4096 - 1)) AS high, max(n) AS n
+  FROM st, tot, range(0, 4097) AS x(k) WHERE tokens > 0 GROUP BY k),
+a AS (SELECT coalesce(min(k) FILTER (ln(z) - k / 4096 * s / z <= 0.95 * ln(n) + 1e-9 AND high / z <= 2 + 1e-9), 4096) / 4096 AS a FROM g),
+raw AS (SELECT source, tokens, total, CASE WHEN tokens > 0 THEN pow(tokens / total, a) ELSE 0 END AS raw FROM st, tot, a),
+src AS (
+  SELECT source, tokens, CAST(CASE WHEN tokens > 0 THEN floor(raw / (SELECT sum(raw) FROM raw) * total + 1e-6) ELSE 0 END AS BIGINT) AS target FROM raw),
+p AS (
+  SELECT source, tokens AS all_tokens, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS epochs,
+         CASE WHEN tokens > 0 THEN target % tokens ELSE 0 END AS rest, greatest(1, CAST(ceil(tokens / 1048576) AS BIGINT)) AS n_blocks
+  FROM src),
+d AS (
+  SELECT r.doc_id, r.source, r.tokens, epochs, rest,
+         CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % n_blocks AS block
+  FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source),
+k AS (SELECT *, md5('17|block|' || epochs || '|' || block) AS block_key, md5('17|doc|' || epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS doc_key FROM d),
+f AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY block_key, doc_key RANGE UNBOUNDED PRECEDING) AS filled FROM k),
+c AS (SELECT *, epochs + CASE WHEN rest > 0 AND filled <= rest THEN 1 ELSE 0 END AS copies FROM f)
+SELECT doc_id, source, CAST(epoch AS INT) AS epoch, block,
+       substr(md5('17|block|' || epoch || '|' || block), 1, 12) || '-' || substr(md5('17|doc|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS order_key
+FROM (SELECT *, unnest(range(0, copies)) AS epoch FROM c)
+"""
+
 #: Base32 of the digest: its 160 bits in groups of five.
 OP3 = """
 WITH p AS (
@@ -128,4 +156,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' E
 FROM f
 """
 
-ORACLES = {"op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+ORACLES = {"op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import classifier as C
+from foliate.llm import mixing as M
 from foliate.llm import packing as K
 from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
@@ -24,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return M.mix_sources(docs).select("doc_id", "source", "epoch", "block", "order_key")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -73,6 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
