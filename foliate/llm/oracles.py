@@ -156,4 +156,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' E
 FROM f
 """
 
-ORACLES = {"op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+OP4 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (
+  SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND list_sum(list_transform(v, lambda x: x * x)) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok AS a JOIN ok AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS to_id FROM ok UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.to_id),
+c AS (SELECT node, min(to_id) AS component FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS component_id, vec_id = coalesce(c.component, vec_id) AS kept
+FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
+
+ORACLES = {"op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

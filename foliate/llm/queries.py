@@ -14,6 +14,7 @@ from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
 from foliate.llm import secrets as S
 from foliate.llm import simhash as H
+from foliate.llm import vectors as V
 from foliate.llm import warc as A
 from foliate.llm.common import table
 
@@ -34,6 +35,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = P.pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     listed = {k: P.span_list(F.col(f"{k}_spans"), k) for k in P.KINDS}
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op3_warc": op3_warc,
+    "op4_vectors": op4_vectors,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secrets": op7_secrets,
