@@ -172,4 +172,20 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS com
 FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
 """
 
-ORACLES = {"op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, p, md5(substr(x, 2 * p + 1, 800)) AS m FROM (SELECT rid, x, unnest(range(0, len(x) // 2 - 399)) AS p FROM d WHERE len(x) >= 800)),
+s AS (SELECT rid, p FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+r AS (SELECT rid, p, CASE WHEN p > lag(p) OVER v + 400 OR lag(p) OVER v IS NULL THEN 1 ELSE 0 END AS begins FROM s WINDOW v AS (PARTITION BY rid ORDER BY p)),
+g AS (SELECT rid, min(p) AS a, max(p) + 400 AS b FROM (SELECT rid, p, sum(begins) OVER (PARTITION BY rid ORDER BY p) AS k FROM r) GROUP BY rid, k),
+c AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS after FROM g),
+k AS (
+  SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(x, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM c JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN k.rid IS NULL THEN encode(t) ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+ORACLES = {"op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

@@ -12,6 +12,7 @@ from foliate.llm import mixing as M
 from foliate.llm import packing as K
 from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
+from foliate.llm import repeats as R
 from foliate.llm import secrets as S
 from foliate.llm import simhash as H
 from foliate.llm import vectors as V
@@ -66,6 +67,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     """The public word tokenizer's file, which every node has installed."""
     import public_tokenizers
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secrets": op7_secrets,
+    "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
