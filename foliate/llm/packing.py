@@ -6,8 +6,7 @@ are range-sorted by (key, hash of id, id), which splits any run of equal keys, a
 range is packed as one stream of tokens cut every `capacity` tokens.  What remains at a
 range's end is cut into power-of-two sequences, so no sequence needs padding.
 
-Whitespace-separated words are encoded once per batch of new words and remembered in a
-bounded cache, since the tokenizer never joins across white space.
+Pieces of texts are encoded when first met and remembered in a bounded cache.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed
 one by one; an empty table gives no rows; the id may be null.
@@ -28,9 +27,15 @@ from pyspark.sql import functions as F
 from foliate.llm.common import materialize
 
 DIMENSIONS, BITS, END = 4, 8, 1
-#: Words remembered by a Python worker.
-CACHE = 300_000
+#: Pieces or words remembered by a Python worker.
+CACHE = 400_000
 _SPLIT = re.compile("[ \t\n\r]+")
+#: Characters that lower-case and normalise one by one (no dotted capital I),
+#: the pre-tokenizer's pieces of them, and the names that byte-level models give to bytes.
+_COMMON = re.compile("[\t\n\r -~¡«»¿À-ÖØ-öø-įı-ž–—‘’“”…]*")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^ \t\n\ra-zß-öø-ž0-9]+")
+_UNPRINTED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_NAMES = {b: 256 + n for n, b in enumerate(_UNPRINTED)}
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,26 +70,64 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+class _Pieces(dict):
+    """Ids of pre-tokenised pieces, looked up in the tokenizer's model when they are first met."""
+
+    def __init__(self, model, dtype: np.dtype):
+        self.model, self.dtype = model, dtype
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        raw = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
+        ids = self[piece] = np.array([t.id for t in self.model.tokenize(raw)], self.dtype).tobytes()
+        return ids
+
+
 class Encoder:
-    """Token ids of texts, as bytes of unsigned 16- or 32-bit ids."""
+    """Token ids of texts, as bytes of unsigned 16- or 32-bit ids.
+
+    Texts of common Latin characters are lower-cased and cut as the tokenizer's own
+    normalizer and pre-tokenizer would, and their pieces remembered.  All others are cut
+    at white space, which no token crosses, and each new word goes through the tokenizer.
+    A tokenizer with other rules takes the second way alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_SPLIT.split(t or "") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({w for words in split for w in words}.difference(self.cache))
+        self.words: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer.model, self.dtype)
+        probe = "It's Über 12, «x» – don't!"
+        self.plain = self._plain(probe) == self._slow([probe])[0]
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        split = [_SPLIT.split(t) for t in texts]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        new = list({w for words in split for w in words}.difference(self.words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+                self.words[w] = np.array(e.ids, self.dtype).tobytes()
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        rest = []
+        for k, t in enumerate(texts):
+            if t and self.plain and _COMMON.fullmatch(t) and "<|" not in t:
+                out[k] = self._plain(t)
+            elif t:
+                rest.append(k)
+        for k, ids in zip(rest, self._slow([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

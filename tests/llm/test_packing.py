@@ -21,6 +21,15 @@ def test_words_are_encoded_as_whole_texts_are():
         assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == want
 
 
+def test_common_characters_one_by_one():
+    enc, plain = K.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert enc.plain
+    for code in [*range(1, 0x180), *range(0x2010, 0x2030), 0x130, 0x3A3, 0x301]:
+        for t in (chr(code), f"Ab{chr(code)}C1 's{chr(code)}", f"{chr(code)}{chr(code)} x"):
+            want = plain.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == want, (hex(code), t)
+
+
 @pytest.mark.parametrize("d,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_visits_every_cell_by_single_steps(d, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d), -1).reshape(-1, d)
