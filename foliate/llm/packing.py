@@ -6,7 +6,7 @@ are range-sorted by (key, hash of id, id), which splits any run of equal keys, a
 range is packed as one stream of tokens cut every `capacity` tokens.  What remains at a
 range's end is cut into power-of-two sequences, so no sequence needs padding.
 
-Pieces of texts are encoded when first met and remembered in a bounded cache.
+Words are encoded when first met and remembered in a bounded cache.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed
 one by one; an empty table gives no rows; the id may be null.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from foliate.llm.common import materialize
 
 DIMENSIONS, BITS, END = 4, 8, 1
-#: Pieces or words remembered by a Python worker.
+#: Words remembered by a Python worker.
 CACHE = 400_000
 _SPLIT = re.compile("[ \t\n\r]+")
 #: Characters that lower-case and normalise one by one (no dotted capital I),
@@ -70,17 +71,24 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-class _Pieces(dict):
-    """Ids of pre-tokenised pieces, looked up in the tokenizer's model when they are first met."""
+class _Words(dict):
+    """Ids of lower-cased words, worked out from the tokenizer's model when they are first met."""
 
-    def __init__(self, model, dtype: np.dtype):
-        self.model, self.dtype = model, dtype
+    def __init__(self, model, code: str):
+        self.model, self.code = model, code
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        raw = piece.encode().decode("latin-1").translate(_BYTE_NAMES)
-        ids = self[piece] = np.array([t.id for t in self.model.tokenize(raw)], self.dtype).tobytes()
+        pieces = _PIECE.findall(word)
+        if len(pieces) > 1:
+            ids = b"".join([self[p] for p in pieces])
+        elif pieces:
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+            ids = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+        else:
+            ids = b""
+        self[word] = ids
         return ids
 
 
@@ -88,7 +96,7 @@ class Encoder:
     """Token ids of texts, as bytes of unsigned 16- or 32-bit ids.
 
     Texts of common Latin characters are lower-cased and cut as the tokenizer's own
-    normalizer and pre-tokenizer would, and their pieces remembered.  All others are cut
+    normalizer and pre-tokenizer would, and their words remembered.  All others are cut
     at white space, which no token crosses, and each new word goes through the tokenizer.
     A tokenizer with other rules takes the second way alone.
     """
@@ -99,12 +107,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
-        self.pieces = _Pieces(self.tokenizer.model, self.dtype)
+        self.common = _Words(self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I")
         probe = "It's Über 12, «x» – don't!"
         self.plain = self._plain(probe) == self._slow([probe])[0]
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+        return b"".join(map(self.common.__getitem__, text.lower().split()))
 
     def _slow(self, texts: list[str]) -> list[bytes]:
         split = [_SPLIT.split(t) for t in texts]
