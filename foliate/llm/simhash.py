@@ -13,6 +13,12 @@ of three bytes, at most 2^24 of them.  Where such a list is still long, the 2,32
 neighbours within three bits of each member are looked up instead of comparing pairs.
 Tasks return one link per member to the group it meets, never all pairs.
 
+`near_groups` takes five-word shingles and a similarity of 0.8 or more, for which 64 bits
+are too few.  Its fingerprints have 32 bytes; texts with that similarity differ in about
+15 percent of the bits, and are verified by at most 44 of 256.  Posting lists are of 48
+pairs of byte positions; two such texts share at least one pair's bytes with a chance of
+about 97 percent, unrelated texts differ in half the bits and never pass.
+
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 repeated rows share a component; an empty table gives no rows; a row with a null id is
 fingerprinted and takes the smallest other id of its component, if there is one.
@@ -226,3 +232,140 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+WIDE_WORDS, WIDE_BITS = 5, 44
+PAIRS = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 7) % 32) for i in range(16)]
+_STEPS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
+    """32-byte SimHash; each shingle's hash is mixed into four words of 64 bits."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return bytes(32)
+    joined = b" ".join(w)
+    n = max(1, len(w) - words + 1)
+    digest = xxhash.xxh64_intdigest
+    if n == 1:
+        hashes = [digest(joined, 42)]
+    else:
+        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        hashes = [digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    h = np.array(hashes, np.uint64)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, n, 16384):
+        x = h[at : at + 16384, None] + _STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8).reshape(-1, 32), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > n).tobytes()
+
+
+def _grow(fps: np.ndarray) -> np.ndarray:
+    """Index of the group of each fingerprint (n x 4 words): the smallest member that close pairs reach.
+
+    A group grows from one member.  Members are compared with what is in no group yet,
+    which shrinks as the group absorbs it, so a large dense group costs about one pass.
+    """
+    n = len(fps)
+    label = np.arange(n)
+    rest = np.arange(n)
+    while len(rest) > 1:
+        seed, rest = rest[0], rest[1:]
+        frontier = np.array([seed])
+        while len(frontier) and len(rest):
+            some, frontier = frontier[:32], frontier[32:]
+            far = np.bitwise_count(fps[some][:, None, :] ^ fps[rest][None, :, :]).sum(axis=2, dtype=np.int32)
+            near = (far <= WIDE_BITS).any(axis=0)
+            label[rest[near]] = seed
+            frontier = np.concatenate([frontier, rest[near]])
+            rest = rest[~near]
+    return label
+
+
+def _scan_wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links within posting lists, rows sorted by key; a list may run over several batches."""
+
+    def told(key: np.ndarray, ids: np.ndarray, raw: list[bytes]) -> Iterator[pd.DataFrame]:
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+        sizes = np.diff(starts)
+        fps = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4)
+        short = np.repeat((sizes > 1) & (sizes <= 24), sizes)
+        k, f, i = key[short], fps[short], ids[short]
+        for d in range(1, 24):
+            at = np.flatnonzero(k[:-d] == k[d:])
+            if not len(at):
+                break
+            for a in range(0, len(at), 1 << 18):
+                part = at[a : a + (1 << 18)]
+                ok = part[np.bitwise_count(f[part] ^ f[part + d]).sum(axis=1, dtype=np.int32) <= WIDE_BITS]
+                if len(ok):
+                    yield pd.DataFrame({"src": i[ok], "dst": i[ok + d]})
+        for g in np.flatnonzero(sizes > 24):
+            a, z = starts[g], starts[g + 1]
+            label = _grow(fps[a:z])
+            moved = np.flatnonzero(label != np.arange(z - a))
+            if len(moved):
+                yield pd.DataFrame({"src": ids[a:z][moved], "dst": ids[a:z][label[moved]]})
+
+    waiting: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+    for b in batches:
+        key, ids, raw = b["key"].to_numpy(), b["id"].to_numpy(), b["fp"].tolist()
+        if not len(key):
+            continue
+        if waiting and key[0] == key[-1] == waiting[0][0][0]:
+            waiting.append((key, ids, raw))
+            continue
+        all_key = np.concatenate([*(w[0] for w in waiting), key])
+        all_ids = np.concatenate([*(w[1] for w in waiting), ids])
+        all_raw = [x for w in waiting for x in w[2]] + raw
+        cut = int(np.searchsorted(all_key, all_key[-1]))
+        if cut:
+            yield from told(all_key[:cut], all_ids[:cut], all_raw[:cut])
+        waiting = [(all_key[cut:], all_ids[cut:], all_raw[cut:])]
+    if waiting:
+        yield from told(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), [x for w in waiting for x in w[2]])
+
+
+def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Columns (id_col, component_id) for rows with an id, by five-word shingles and similarity 0.8."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "fp": [wide_fingerprint(t) for t in b["text"]]})
+
+    kind = dict(docs.dtypes)[id_col]
+    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    prints = materialize(picked.mapInPandas(run, "id long, fp binary"), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.min("id").alias("id"))
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b[at : at + 2000]
+                x = np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(-1, 32).astype(np.int64)
+                keys = np.stack([(n << 16) | (x[:, i] << 8) | x[:, j] for n, (i, j) in enumerate(PAIRS)], axis=1)
+                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), len(PAIRS)), "fp": np.repeat(part["fp"].to_numpy(), len(PAIRS))})
+
+    lists = classes.mapInPandas(listed, "key long, id long, fp binary").repartition("key").sortWithinPartitions("key", "id")
+    found = connected_components(lists.mapInPandas(_scan_wide, "src long, dst long"))
+    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(named, "fp").select(F.col("id").cast(kind).alias(id_col), F.col("component_id").cast(kind).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows without the near copies: of each group the row with the smallest id stays.
+
+    Repeated rows of one id count as copies; rows without an id stay.
+    """
+    groups = near_groups(docs, text, id_col)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
