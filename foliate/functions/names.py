@@ -99,41 +99,51 @@ def _before_number(name: Column) -> Column:
     return out.otherwise(name)
 
 
-def series(name: Column, parent: Column) -> Column:
-    def drop(c: Column, *patterns: str) -> Column:
-        return reduce(lambda x, p: F.regexp_replace(x, p, ""), patterns, c)
-
-    clean = drop(_before_number(name), YEAR, VOLUME, r"#\s*" + NUMBER, r"(?i)\bissue\s*#?\s*" + NUMBER)
-    clean = F.trim(F.regexp_replace(clean, _TRAIL, " "))
-    low = F.lower(name)
-    annual, special = low.contains("annual"), low.contains("special")
-    clean = (
-        F.when(annual & ~F.lower(clean).endswith("annual"), F.trim(F.concat(clean, F.lit(" Annual"))))
-        .when(~(annual & ~F.lower(clean).endswith("annual")) & special & ~F.lower(clean).endswith("special"), F.trim(F.concat(clean, F.lit(" Special"))))
+def _drop(c: Column, *patterns: str) -> Column:
+    return reduce(lambda x, p: F.regexp_replace(x, p, ""), patterns, c)
+
+
+def _spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _TRAIL, " "))
+
+
+def _marked(clean: Column, low: Column) -> Column:
+    """The title with Annual or Special at its end where the name says so and the title does not."""
+
+    def lacks(word: str) -> Column:
+        return low.contains(word) & ~F.lower(clean).endswith(word)
+
+    return (
+        F.when(lacks("annual"), F.trim(F.concat(clean, F.lit(" Annual"))))
+        .when(lacks("special"), F.trim(F.concat(clean, F.lit(" Special"))))
         .otherwise(clean)
     )
-    folder = F.trim(F.regexp_replace(drop(parent, YEAR), _TRAIL, " "))
-    usable = (parent != "") & ~F.lower(parent).isin(PLAIN_FOLDERS) & (folder != "")
-    clean = F.when(usable & ((clean == "") | (F.lower(clean) == F.lower(folder))), folder).otherwise(clean)
-    return F.when(clean != "", clean).when(parent != "", parent).otherwise(name)
 
 
 def parse_filename(files: DataFrame, path: str = "path") -> DataFrame:
-    """Add series_name, volume, issue_number, year, publisher, is_tpb, is_annual, is_special."""
+    """Add series_name, volume, issue_number, year, publisher, is_tpb, is_annual, is_special.
+
+    Each step is a column of its own, so that later steps refer to it instead of repeating it.
+    An input column named like an output is not allowed.
+    """
     p = text(F.col(path))
-    name, parent = stem(base_name(p)), parent_name(p)
-    low = F.lower(name)
-    staged = files.withColumns({"_name": name, "_parent": parent})
-    name, parent, low = F.col("_name"), F.col("_parent"), F.lower("_name")
-    return staged.withColumns(
-        {
-            "series_name": series(name, parent),
-            "volume": volume(name),
-            "issue_number": number(name),
-            "year": year(name, parent),
-            "publisher": F.lit(""),
-            "is_tpb": is_collected(name),
-            "is_annual": low.contains("annual"),
-            "is_special": reduce(lambda a, k: a | low.contains(k), SPECIAL, F.lit(False)),
-        }
-    ).drop("_name", "_parent")
+    name, parent, low = F.col("_name"), F.col("_parent"), F.col("_low")
+    title, folder = F.col("_title"), F.col("_folder")
+    step = files.withColumns({"_name": stem(base_name(p)), "_parent": parent_name(p)})
+    step = step.withColumns({"_low": F.lower(name), "_cut": _before_number(name), "_folder": _spaced(_drop(parent, YEAR))})
+    step = step.withColumn("_title", _spaced(_drop(F.col("_cut"), YEAR, VOLUME, r"#\s*" + NUMBER, r"(?i)\bissue\s*#?\s*" + NUMBER)))
+    step = step.withColumn("_title", _marked(title, low))
+    usable = (parent != "") & ~F.lower(parent).isin(PLAIN_FOLDERS) & (folder != "")
+    step = step.withColumn("_title", F.when(usable & ((title == "") | (F.lower(title) == F.lower(folder))), folder).otherwise(title))
+    signals = F.struct(
+        F.when(title != "", title).when(parent != "", parent).otherwise(name).alias("series_name"),
+        volume(name).alias("volume"),
+        number(name).alias("issue_number"),
+        year(name, parent).alias("year"),
+        F.lit("").alias("publisher"),
+        is_collected(name).alias("is_tpb"),
+        low.contains("annual").alias("is_annual"),
+        reduce(lambda a, k: a | low.contains(k), SPECIAL, F.lit(False)).alias("is_special"),
+    )
+    # inline keeps filters on the signals above it; pushed down, they would repeat all of the steps
+    return step.select(*files.columns, F.inline(F.array(signals)))

@@ -33,8 +33,8 @@ def squeeze(c: Column) -> Column:
 def title_form(c: Column) -> Column:
     """Lower case, leading "the", "a", "an" dropped one after the other, punctuation to spaces."""
     t = F.trim(F.lower(text(c)))
-    for article in ("the ", "a ", "an "):
-        t = F.when(t.startswith(article), F.substring(t, len(article) + 1, 1 << 30)).otherwise(t)
+    for article in ("^the ", "^a ", "^an "):
+        t = F.regexp_replace(t, article, "")
     return squeeze(F.regexp_replace(t, r"(?U)[^\w\s]", " "))
 
 

@@ -87,6 +87,36 @@ SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN concat('"Dark Age", ', c_
   WHEN 3 THEN concat(' ', c_mktsegment, ' ,, X') ELSE 'Night: One, night one, Two' END AS arcs,
   CASE c_custkey % 3 WHEN 0 THEN '4, 5' WHEN 1 THEN '' ELSE '7,, 8 , 9, 10' END AS nums, c_custkey % 40 + 1 AS pos
 FROM {customer}""",
+    "urls": """
+SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('https://comicvine.gamespot.com/', replace(p_name, ' ', '-'), '/4050-', CAST(p_size AS STRING), '/')
+  WHEN 1 THEN concat('https://comicvine.gamespot.com/x/4000-', CAST(p_partkey AS STRING), '/') WHEN 2 THEN concat('https://www.comics.org/issue/', CAST(p_partkey AS STRING), '/')
+  WHEN 3 THEN concat('https://www.comics.org/series/', CAST(p_size AS STRING)) WHEN 4 THEN concat('http://kap.local/api?api_key=', p_brand, '&q=', CAST(p_size AS STRING))
+  WHEN 5 THEN 'Script: A Person' WHEN 6 THEN concat('https://comicvine.gamespot.com/volume/4050-', CAST(p_size AS STRING)) ELSE concat('ftp://x/', p_name) END AS url,
+  CASE p_partkey % 7 WHEN 0 THEN concat(CAST(1950 + p_size AS STRING), '-03-', CAST(p_size % 28 + 1 AS STRING)) WHEN 1 THEN concat('March ', CAST(p_size % 28 + 1 AS STRING), ', ', CAST(1950 + p_size AS STRING))
+  WHEN 2 THEN concat('Sep ', CAST(1950 + p_size AS STRING)) WHEN 3 THEN CAST(1950 + p_size AS STRING) WHEN 4 THEN concat('Smarch ', CAST(p_size % 28 + 1 AS STRING), ', 1999') WHEN 5 THEN '' ELSE 'soon' END AS day_text,
+  CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, ' (as ', p_type, ')') WHEN 1 THEN concat(p_brand, ' ?') WHEN 2 THEN concat(p_brand, ' (unclosed') ELSE p_brand END AS creator
+FROM {part}""",
+    "manifest": """
+SELECT l_orderkey AS archive, concat('Page', CAST(l_linenumber AS STRING), '.JPG') AS entry, CAST(l_partkey AS BIGINT) AS crc, CAST(l_quantity AS BIGINT) AS size, CAST(l_suppkey AS STRING) AS sha256
+FROM {lineitem} WHERE l_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'ComicInfo.xml', 1, 1, 'x' FROM {orders} WHERE o_orderkey % 8 = 0""",
+    "manifest_new": """
+SELECT l_orderkey AS archive, concat('page', CAST(l_linenumber AS STRING), '.jpg') AS entry, CAST(l_partkey + CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS crc, CAST(l_quantity AS BIGINT) AS size,
+  CASE WHEN l_partkey % 70 = 1 THEN 'changed' ELSE CAST(l_suppkey AS STRING) END AS sha256
+FROM {lineitem} WHERE l_orderkey % 4 = 0 AND l_partkey % 60 <> 2
+UNION ALL SELECT o_orderkey, 'extra.txt', 1, 1, 'y' FROM {orders} WHERE o_orderkey % 12 = 0""",
+    "known_files": """
+SELECT concat('/lib/', CAST(o_custkey AS STRING)) AS path, CAST(o_orderkey % 97 AS BIGINT) AS size, CAST(o_orderkey % 89 AS BIGINT) AS mtime, concat('h', CAST(o_orderkey % 83 AS STRING)) AS sha256, o_orderstatus AS status, CAST(o_orderkey AS BIGINT) AS updated_at
+FROM {orders}""",
+    "seen_files": """
+SELECT concat('/lib/', CAST(o_custkey AS STRING)) AS path, CAST(o_orderkey % 97 AS BIGINT) AS size, CAST(o_orderkey % 89 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS mtime,
+  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('h', CAST(o_orderkey % 83 AS STRING)) END AS sha256, CAST(o_orderkey AS BIGINT) AS seen_id
+FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "leases": """
+SELECT o_orderkey AS job_id, concat('/lib/', CAST(o_custkey AS STRING)) AS path, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE concat('h', CAST(o_orderkey % 83 AS STRING)) END AS sha256,
+  CASE o_orderkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'RETRYING' WHEN 3 THEN 'COMPLETED' WHEN 4 THEN 'FAILED' ELSE 'REVIEW' END AS status,
+  CAST(o_orderkey % 4 AS INT) AS attempts, 3 AS max_attempts, CAST(o_orderkey % 1000 AS BIGINT) AS lease_until, CAST(o_orderkey % 777 AS BIGINT) AS created_at
+FROM {orders}""",
     "calls": """
 SELECT l_orderkey * 10 + l_linenumber AS call_id, CASE l_suppkey % 3 WHEN 0 THEN 'kap' WHEN 1 THEN 'Comic_Vine' ELSE 'gcd' END AS provider,
   CASE l_linenumber WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 WHEN 5 THEN 401 WHEN 6 THEN 422 ELSE 418 END AS http_status,

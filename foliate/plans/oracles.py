@@ -134,3 +134,215 @@ ORACLES = {
     "A2_tier": f"{DECIDED} SELECT file_id, pool_pos, level, {_ACTION} AS action, critical FROM ev",
     "A4_pool_decision": f"""{DECIDED} SELECT file_id, provider, issue_id, series_name, issue_number, publication_year, score, second_best, score - second_best AS margin, ambiguous, level, {_ACTION} AS action, critical, n_candidates FROM dec""",
 }
+
+
+def _of(dataset: str, *columns: str) -> str:
+    return f"WITH {duck(dataset)} SELECT {', '.join(columns)} FROM {dataset}"
+
+
+_ARC = lambda x: squeeze(rep(f"lower(coalesce({x}, ''))", "[\"''():]", " "))
+_SHOWN = lambda x: f"""regexp_replace(regexp_replace(trim(coalesce({x}, '')), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g')"""
+_BASE_NAME = "string_split(path, '/')[-1]"
+_NUMBER_RE = "^([0-9]+(?:[.][0-9]+)?)([a-zA-Z]*)$"
+_SPECIALS = "special|giant|one-shot|oneshot|preview|fcbd"
+_NAMED = "CASE WHEN starts_with(l, 'annual') THEN 10000 WHEN starts_with(l, 'special') THEN 10001 WHEN starts_with(l, 'tpb') THEN 10002 WHEN starts_with(l, 'hc') THEN 10003 WHEN starts_with(l, 'omnibus') THEN 10004 END"
+
+
+def order_of(raw: str, source: str, keep: str) -> str:
+    """A select with numeric, suffix and is_named of a raw number."""
+    return f"""SELECT {keep}, CAST(CASE WHEN raw0 = '' THEN 99999 WHEN nm IS NOT NULL THEN nm WHEN regexp_extract(t, '^([0-9]+(?:[.][0-9]+)?)', 1) <> '' THEN CAST(regexp_extract(t, '^([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) ELSE 99998 END AS DOUBLE) AS numeric,
+  CASE WHEN nm IS NULL THEN upper(regexp_extract(t, '{_NUMBER_RE}', 2)) ELSE '' END AS suffix, nm IS NOT NULL AS is_named
+  FROM (SELECT *, {_NAMED} AS nm FROM (SELECT *, {raw} AS raw0, trim({raw}) AS t, lower(trim({raw})) AS l FROM {source}))"""
+
+
+def issue_of(raw: str, source: str) -> str:
+    return f"""SELECT *, CASE WHEN is_annual THEN 'Annual #' || CAST(first AS BIGINT) WHEN is_special THEN 'Special' WHEN half THEN '0.5' WHEN dg <> '' THEN CASE WHEN ltrim(dg, '0') = '' THEN '0' ELSE ltrim(dg, '0') END || lt ELSE t END AS clean,
+  CAST(CASE WHEN is_annual THEN first WHEN is_special THEN 0 WHEN half THEN 0.5 WHEN dg <> '' THEN CAST(dg AS DOUBLE) ELSE 0 END AS DOUBLE) AS number,
+  CASE WHEN NOT is_annual AND NOT is_special AND dg <> '' THEN lt ELSE '' END AS suffix
+  FROM (SELECT *, contains(lower(t), 'annual') AS is_annual, NOT contains(lower(t), 'annual') AND regexp_matches(lower(t), '{_SPECIALS}') AS is_special, t IN ('½', '1/2') AS half,
+    coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)', 1) AS DOUBLE), 1) AS first, regexp_extract(t, '{_NUMBER_RE}', 1) AS dg, regexp_extract(t, '{_NUMBER_RE}', 2) AS lt
+    FROM (SELECT *, trim({raw}) AS t FROM {source}))"""
+
+
+_MONTHS = "['january','february','march','april','may','june','july','august','september','october','november','december']"
+
+
+def _month(x: str) -> str:
+    return f"coalesce(list_position({_MONTHS}, lower({x})), list_position([m[1:3] FOR m IN {_MONTHS}], lower({x})), 0)"
+
+
+_D1, _D2, _D3 = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", r"^([A-Za-z]+)\s+([0-9]{1,2}),?\s+([0-9]{4})", r"^([A-Za-z]+),?\s+([0-9]{4})"
+_X = lambda p, i: f"regexp_extract(day_text, '{p}', {i})"
+_INT = lambda x: f"CAST({x} AS INT)"
+_BATCH_NUM = "0*([0-9]+[a-zA-Z]?)"
+_READ = f"{rep(rep(_BASE_NAME, chr(92) + '(.*?' + chr(92) + ')'), '(?i)vol(?:ume)?' + chr(92) + 's*[0-9]+')}"
+_BARE = lambda x: f"CASE WHEN ltrim({x}, '0') = '' THEN '0' ELSE ltrim({x}, '0') END"
+
+
+def reading_number(t: str) -> str:
+    i, e, s = rf"regexp_extract({t}, '(?i)(?:issue|#)\s*([0-9]+[a-zA-Z]?)', 1)", rf"regexp_extract({t}, '(?i)[-_\s]([0-9]+)\.(?:cbz|cbr)$', 1)", f"regexp_extract({t}, '([0-9]+)', 1)"
+    return rf"""CASE WHEN regexp_matches({t}, '½|1/2|0\.5') THEN '0.5' WHEN regexp_matches({t}, '(?i)(?:#|\b)(?:000|00|0)(?:\b|\.cbz|\.cbr)') THEN '0'
+  WHEN regexp_matches({t}, '(?i)\b(?:tpb|os|one[\s-]*shot|gn|graphic novel|special)\b') THEN '1' WHEN {i} <> '' THEN {_BARE(i)} WHEN {e} <> '' THEN {_BARE(e)} WHEN {s} <> '' THEN {_BARE(s)} ELSE '' END"""
+
+
+_KEYED = lambda src, number, year, keep: f"""SELECT {keep}, {key('series_name')} AS series_norm, numeric AS issue_numeric, suffix AS issue_suffix, is_named, trim(lower(volume)) AS volume_norm, {year} AS key_year, {key('publisher')} AS publisher_norm
+  FROM ({order_of(number, src, '*')})"""
+
+_RANGE = r"(?i)(.+?)\s*(?: issues?|,)?\s*#?([0-9]+)\s*[-–—]\s*([0-9]+)"
+_SINGLE = r"(?i)(.+?)\s*(?: issue|,)?\s*#?([0-9]+[a-zA-Z]?|[0-9]+\.[0-9]+|½|1/2|0\.5)"
+EXPANDED = f"""{duck("reading")},
+ex0 AS (SELECT line_id, trim(line) AS t FROM reading WHERE trim(line) <> ''),
+ex1 AS (SELECT *, regexp_matches(t, '{_RANGE}') AND CAST('0' || regexp_extract(t, '{_RANGE}', 2) AS INT) <= CAST('0' || regexp_extract(t, '{_RANGE}', 3) AS INT) AS is_range, regexp_matches(t, '{_SINGLE}') AS one FROM ex0),
+ex2 AS (SELECT line_id, trim(CASE WHEN is_range THEN regexp_extract(t, '{_RANGE}', 1) WHEN one THEN regexp_extract(t, '{_SINGLE}', 1) ELSE t END) AS series, NOT is_range AND NOT one AS plain,
+  CASE WHEN is_range THEN [CAST(n AS VARCHAR) FOR n IN range(CAST('0' || regexp_extract(t, '{_RANGE}', 2) AS INT), CAST('0' || regexp_extract(t, '{_RANGE}', 3) AS INT) + 1)]
+       WHEN one THEN [regexp_extract(t, '{_SINGLE}', 2)] ELSE ['1'] END AS ns FROM ex1),
+expanded AS (SELECT line_id, CAST(at - 1 AS INT) AS at, series, ns[at] AS number, CASE WHEN plain THEN series ELSE series || ' #' || ns[at] END AS title FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS at FROM ex2))"""
+
+_PATH = lambda x: squeeze(rep(rep(f"lower({x})", "[-:/.]", " "), chr(92) + "b(?:vs|versus)" + chr(92) + "b", " "))
+_STOP = "('', 'the', 'a', 'an', 'of', 'and')"
+FILES_OF = rf"""{EXPANDED}, {duck("lib_files")},
+en AS (SELECT series, number, {_PATH("series")} AS ef FROM (SELECT DISTINCT series, number FROM expanded)),
+en2 AS (SELECT *, regexp_extract(ef, '([0-9]+)$', 1) AS dg, trim(regexp_replace(ef, '[0-9]+$', '')) AS base, CASE WHEN regexp_extract(number, '([0-9]+)', 1) = '' THEN '' ELSE {_BARE("regexp_extract(number, '([0-9]+)', 1)")} END AS tn FROM en),
+fi AS (SELECT DISTINCT path, {_BASE_NAME} AS nm, {_PATH("path")} AS pf, {reading_number(_READ)} AS rn FROM lib_files),
+sm AS (SELECT * FROM (SELECT DISTINCT ef, dg, base FROM en2) JOIN (SELECT DISTINCT pf FROM fi) ON len([w FOR w IN string_split(ef, ' ') IF w NOT IN {_STOP}]) > 0 AND CASE WHEN dg <> '' THEN
+   len([w FOR w IN string_split(base, ' ') IF w NOT IN {_STOP} AND NOT contains(pf, w)]) = 0 AND (contains(pf, ' ' || dg || ' ') OR contains(pf, ' 0' || dg || ' ') OR contains(pf, 'volume 0' || dg) OR contains(pf, 'volume ' || dg)
+     OR contains(pf, 'v0' || dg) OR contains(pf, 'v' || dg) OR contains(pf, base || ' ' || dg) OR contains(pf, base || ' 0' || dg))
+   ELSE len([w FOR w IN string_split(ef, ' ') IF w NOT IN {_STOP} AND NOT contains(pf, w)]) = 0 END),
+hits AS (SELECT series, number, min(path) AS path FROM en2 JOIN sm USING (ef) JOIN fi USING (pf) WHERE (rn <> '' AND number <> '' AND ltrim(rn, '0') = ltrim(number, '0')) OR (tn <> '' AND (
+   regexp_matches(nm, '(?i)issue\s*0*' || tn || '\b') OR regexp_matches(nm, '#\s*0*' || tn || '\b') OR regexp_matches(nm, '(?i)\b0*' || tn || '\.(?:cbz|cbr)$')
+   OR regexp_matches(nm, '(?i)vol(?:ume)?\s*[0-9]+\s+issue\s+0*' || tn || '\b') OR regexp_matches(nm, '(?i)v[0-9]+\s+0*' || tn || '\b'))) GROUP BY 1, 2)"""
+
+_LIST = lambda x: f"[trim(p) FOR p IN string_split(coalesce({x}, ''), ',') IF trim(p) <> '']"
+
+
+def tags(blank: str) -> str:
+    """Rows (id, pos, i, arc, num) of the arcs table's cleaned lists."""
+    return f"""{duck("arcs")},
+tz AS (SELECT id, pos, i, a[i] AS arc, coalesce(n[i], '') AS num FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM (SELECT id, pos, {_LIST("arcs")} AS a, {_LIST("nums")} AS n FROM arcs))),
+tg AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY i) AS i, {_SHOWN("arc")} AS arc, CASE WHEN num = '' THEN {blank} ELSE num END AS num
+  FROM (SELECT *, {_ARC("arc")} AS f FROM tz) WHERE f <> '' QUALIFY row_number() OVER (PARTITION BY id, f ORDER BY i) = 1)"""
+
+
+def arc_match(expected: str, actual: str) -> str:
+    e, a = _ARC(expected), _ARC(actual)
+    return f"({actual} <> '' AND {e} <> '' AND {a} <> '' AND (contains({a}, {e}) OR contains({e}, {a}) OR len([w FOR w IN string_split({e}, ' ') IF length(w) > 3 AND contains({a}, w)]) > 0))"
+
+
+_TOLD = "SELECT arcs.id, coalesce(string_agg(arc || '=' || num, '|' ORDER BY i), '') AS tags FROM arcs LEFT JOIN {} USING (id) GROUP BY 1"
+_MEM = duck("members")
+_ORD = f"mo AS ({order_of('issue_number', 'members', '*')})"
+_CR = duck("cache_rows")
+_LATEST_CACHE = "lc AS (SELECT * FROM cache_rows QUALIFY row_number() OVER (PARTITION BY provider, kind, cache_key ORDER BY updated_at DESC) = 1)"
+_OUT = "count(*) FILTER ({0} IN ('SUCCESS', 'COMPLETED')) AS resolved, count(*) FILTER ({0} = 'SKIPPED') AS skipped, count(*) FILTER ({0} = 'UNRESOLVED') AS unresolved, count(*) FILTER ({0} = 'FAILED') AS failed, count(*) FILTER ({0} = 'REVIEW') AS review"
+
+ORACLES |= {
+    "F10_title_form": _of("candidates", "file_id", "pool_pos", f"{title('series_name')} AS form"),
+    "F11_key_form": _of("candidates", "file_id", "pool_pos", f"{key('series_name')} AS form"),
+    "F12_collection_form": _of("members", "collection_id", "pos", f"trim({rep('lower(series_name)', '[^a-z0-9 ]')}) AS series", "trim(lower(publisher)) AS publisher_norm"),
+    "F13_issue_number": f"WITH {duck('numbers')} SELECT id, clean, number, suffix, is_annual, is_special FROM ({issue_of('raw', 'numbers')})",
+    "F14_same_issue": f"""WITH {duck('numbers')}, k AS ({issue_of('raw', 'numbers')})
+SELECT a.id, CASE WHEN a.t = '' OR b.t = '' THEN FALSE WHEN a.is_annual AND b.is_annual THEN a.number = b.number WHEN a.is_special AND b.is_special THEN TRUE
+  ELSE lower(a.clean) = lower(b.clean) OR (a.number = b.number AND lower(a.suffix) = lower(b.suffix)) END AS same FROM k a JOIN k b ON b.id = a.id + 1""",
+    "F15_issue_order": f"WITH {duck('numbers')} {order_of('raw', 'numbers', 'id')}",
+    "F16_canonical_key": f"WITH {duck('candidates')} {_KEYED('candidates', 'issue_number', 'publication_year', 'file_id, pool_pos')}",
+    "F17_batch_number": rf"""WITH {duck('lib_files')}, a AS (SELECT file_id, regexp_replace({_BASE_NAME}, '(?i)\.(cbz|cbr|zip|rar)$', '') AS t FROM lib_files),
+b AS (SELECT *, {rep(rep('t', chr(40) + '?i)' + chr(92) + 'bv[0-9]+' + chr(92) + 'b'), chr(92) + 'b(?:19|20)[0-9]{2}' + chr(92) + 'b')} AS rest, regexp_extract(t, '(?i)\bissue\s*#?\s*{_BATCH_NUM}', 1) AS i, regexp_extract(t, '#\s*{_BATCH_NUM}', 1) AS h FROM a)
+SELECT file_id, CASE WHEN regexp_matches(t, '(?i)(?:issue\s*#?|#|\b)0*(?:½|1/2|0\.5)\b') OR regexp_matches(t, '½|1/2') THEN '0.5' WHEN regexp_matches(t, '(?i)\bissue\s*#?\s*0+(?:[^0-9]|$)') OR regexp_matches(t, '#\s*0+(?:[^0-9]|$)') THEN '0'
+  WHEN i <> '' THEN i WHEN h <> '' THEN h WHEN regexp_matches(rest, '\b0+(?:[^0-9]|$)') THEN '0' ELSE regexp_extract(rest, '0*([0-9]+)\b', 1) END AS number FROM b""",
+    "F18_reading_number": _of("lib_files", "file_id", f"{reading_number(_READ)} AS number"),
+    "F19_date_parts": f"""WITH {duck('urls')} SELECT id,
+  CASE WHEN regexp_matches(day_text, '{_D1}') THEN {_INT(_X(_D1, 1))} WHEN regexp_matches(day_text, '{_D2}') THEN {_INT(_X(_D2, 3))} WHEN regexp_matches(day_text, '{_D3}') THEN {_INT(_X(_D3, 2))} ELSE coalesce(TRY_CAST(regexp_extract(day_text, '((?:19|20)[0-9]{{2}})', 1) AS INT), 0) END AS year,
+  CAST(CASE WHEN regexp_matches(day_text, '{_D1}') THEN {_INT(_X(_D1, 2))} WHEN regexp_matches(day_text, '{_D2}') THEN {_month(_X(_D2, 1))} WHEN regexp_matches(day_text, '{_D3}') THEN {_month(_X(_D3, 1))} ELSE 0 END AS INT) AS month,
+  CASE WHEN regexp_matches(day_text, '{_D1}') THEN {_INT(_X(_D1, 3))} WHEN regexp_matches(day_text, '{_D2}') THEN {_INT(_X(_D2, 2))} ELSE 0 END AS day FROM urls""",
+    "F20_route": _of("urls", "id", "CASE WHEN starts_with(url, 'http://kap.local') THEN 'Kapowarr' WHEN contains(lower(url), 'comics.org') OR regexp_matches(url, 'Grand Comics Database|Indexer notes|Pencils:|Script:') THEN 'GCP' ELSE 'ComicVine' END AS source"),
+    "F21_provider_id": _of("urls", "id", "CASE WHEN regexp_extract(url, '(40(?:00|50|45)-[0-9]+)', 1) <> '' THEN regexp_extract(url, '(40(?:00|50|45)-[0-9]+)', 1) ELSE regexp_extract(url, '/(?:issue|series)/([0-9]+)', 1) END AS provider_id"),
+    "F22_creator_form": _of("urls", "id", rf"trim({rep(rep(rep('creator', chr(92) + '([^)]*' + chr(92) + ')'), chr(92) + '(.*$'), chr(92) + '?')}) AS form"),
+    "F23_volume_slug": _of("urls", "id", "CASE WHEN regexp_extract(url, '/([^/]+)/4050-[0-9]+', 1) = 'volume' THEN '' ELSE regexp_extract(url, '/([^/]+)/4050-[0-9]+', 1) END AS slug"),
+    "F24_arc_form": _of("arcs", "id", f"{_ARC('arcs')} AS form", f"{_SHOWN('arcs')} AS shown"),
+    "F25_provider_alias": _of("calls", "call_id", "CASE lower(provider) WHEN 'kap' THEN 'kapowarr' WHEN 'comic_vine' THEN 'comicvine' ELSE lower(provider) END AS name"),
+    "F26_mask_secret": _of("urls", "id", *[f"CASE WHEN {x} = '' THEN '<not set>' WHEN length({x}) <= 8 THEN '********' ELSE left({x}, 4) || '...' || right({x}, 4) END AS {n}" for x, n in (("day_text", "masked"), ("creator", "creator_masked"))]),
+    "F27_redact": _of("urls", "id", rf"regexp_replace(url, '(?i)\b(api_key|apikey|key|token|password|secret|auth)=[^&\s]+', '\1=REDACTED', 'g') AS shown"),
+    "F29_url_list": _of("urls", "id", "array_to_string([x FOR x IN string_split_regex(trim(concat_ws(' ', url, day_text, url)), '[\\s,]+') IF starts_with(x, 'http')], '|') AS urls"),
+    "F30_http_state": _of("calls", "call_id", "CASE WHEN http_status = 429 THEN 'RATE_LIMITED' WHEN http_status IN (500, 502, 503, 504) THEN 'SERVER_ERROR' WHEN http_status = 404 THEN 'NOT_FOUND' WHEN http_status IN (401, 403) THEN 'AUTH_ERROR' WHEN http_status IN (400, 422) THEN 'BAD_REQUEST' WHEN http_status BETWEEN 200 AND 299 THEN 'OK' ELSE 'UNKNOWN_ERROR' END AS state", "http_status IN (429, 500, 502, 503, 504) AS retryable"),
+    "F33_target_path": _of("lib_files", "file_id", r"regexp_replace(path, '(?i)\.cbr$', '.cbz') AS target", "suffix(lower(path), '.cbr') AS is_cbr"),
+    "F34_identity_type": f"WITH {PARSED} SELECT file_id, CASE WHEN is_tpb THEN 'TPB' WHEN is_annual THEN 'Annual' ELSE 'Issue' END AS identity_type FROM parsed",
+    "L5_split_list": _of("arcs", "id", "array_to_string([trim(x) FOR x IN string_split_regex(arcs, '[,;]') IF trim(x) <> ''], '|') AS items"),
+    "P1_archive_extension": _of("lib_files", "file_id", "lower(path) LIKE '%.cbz' OR lower(path) LIKE '%.cbr' AS is_archive"),
+    "P4_range_listing": _of("reading", "line_id", r"regexp_matches(line, '#[0-9]+\s*[-–][0-9]+|\([0-9]+-[0-9]+\)') AS is_range"),
+    "P5_live_cache": f"WITH {_CR} SELECT provider, kind, cache_key, updated_at FROM cache_rows WHERE schema_version = '2' AND expires_at > 1250",
+    "P7_arc_match": f"WITH {duck('arcs')} SELECT id, {arc_match(chr(39) + 'The ' + chr(34) + 'Dark' + chr(34) + ' Age' + chr(39), 'arcs')} AS matches FROM arcs",
+    "P10_input_quarantine": f"WITH {duck('urls')} SELECT id, reason, reason = '' AS good FROM (SELECT id, CASE WHEN length(trim(url)) = 0 THEN 'empty' WHEN length(trim(url)) > 250 THEN 'too long' WHEN NOT regexp_matches(trim(url), '^https?://[^/]+') THEN 'scheme' ELSE '' END AS reason FROM urls)",
+    "P11_active_jobs": f"WITH {duck('leases')} SELECT job_id, status FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING')",
+    "J1_title_pairs": f"WITH {PARSED}, {duck('candidates')}, a AS (SELECT DISTINCT {title('series_name')} AS l FROM parsed), b AS (SELECT DISTINCT {title('series_name')} AS r FROM candidates) SELECT l, r FROM a, b WHERE l <> '' AND r <> '' AND (starts_with(l, r) OR starts_with(r, l))",
+    "J2_canonical_match": f"""WITH {PARSED}, {duck('candidates')}, gcd AS (SELECT * FROM candidates WHERE provider = 'GCD'), a AS ({_KEYED('parsed', 'issue_number', 'year', 'file_id')}), b AS ({_KEYED('gcd', 'issue_number', 'publication_year', 'file_id')})
+SELECT a.file_id AS left_id, b.file_id AS right_id FROM a JOIN b ON a.issue_numeric = b.issue_numeric AND a.issue_suffix = b.issue_suffix AND a.is_named = b.is_named AND (a.series_norm = '' OR b.series_norm = '' OR a.series_norm = b.series_norm)
+  AND (a.volume_norm = '' OR b.volume_norm = '' OR a.volume_norm = b.volume_norm) AND (a.key_year <= 0 OR b.key_year <= 0 OR abs(a.key_year - b.key_year) <= 1)""",
+    "J3_agreement": f"{DECIDED} SELECT file_id, pool_pos, CAST(n_agree AS INT) AS n_agree FROM s1",
+    "J4_disagreement": f"{DECIDED} SELECT file_id, CAST(k AS BIGINT) AS n FROM dis WHERE k > 0",
+    "J5_existing_vs_file": f"{DECIDED} SELECT file_id, n_xf AS n FROM s1 WHERE pool_pos = 3",
+    "J6_existing_vs_candidate": f"{DECIDED} SELECT file_id, pool_pos, n_xp AS n FROM s1",
+    "J7_issue_files": f"""WITH {PARSED}, {duck('candidates')}, f AS (SELECT {title('series_name')} AS s, ltrim(issue_number, '0') AS n, min(path) AS path FROM parsed GROUP BY 1, 2)
+SELECT series_name, issue_number, coalesce(path, '') AS path FROM (SELECT DISTINCT {title('series_name')} AS s, ltrim(issue_number, '0') AS n, series_name, issue_number FROM candidates WHERE provider = 'GCD') LEFT JOIN f USING (s, n)""",
+    "J10_changed_files": f"WITH {duck('seen_files')}, {duck('known_files')}, k AS (SELECT * FROM known_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY updated_at DESC) = 1) SELECT seen_id, path FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.path = s.path AND k.size = s.size AND k.mtime = s.mtime AND k.sha256 = s.sha256)",
+    "J11_job_dedup": f"WITH {duck('seen_files')}, {duck('leases')}, act AS (SELECT path, sha256 FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING')) SELECT seen_id, path, sha256 FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.path = s.path AND (s.sha256 = '' OR act.sha256 = s.sha256)) QUALIFY row_number() OVER (PARTITION BY path, sha256 ORDER BY seen_id) = 1",
+    "J12_manifest_diff": f"""WITH {duck('manifest')}, {duck('manifest_new')}, a AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest WHERE lower(entry) <> 'comicinfo.xml'), b AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest_new)
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.entry, b.entry) AS entry, CASE WHEN b.crc IS NULL THEN 'missing' WHEN a.crc IS NULL THEN 'extra' WHEN a.crc <> b.crc OR a.size <> b.size THEN 'changed_size' WHEN a.sha256 <> b.sha256 THEN 'changed_hash' ELSE 'same' END AS status
+FROM a FULL JOIN b ON a.archive = b.archive AND a.entry = b.entry""",
+    "J13_uncovered_folders": f"WITH {duck('lib_files')}, {duck('existing')} SELECT DISTINCT string_split(path, '/')[-2] AS folder FROM lib_files EXCEPT SELECT series || ' (' || year || ')' FROM existing",
+    "J15_cache_lookup": f"WITH {_CR}, {_LATEST_CACHE}, best AS (SELECT kind, cache_key, provider AS hit_provider, data_json FROM lc WHERE schema_version = '2' AND expires_at > 1250 QUALIFY row_number() OVER (PARTITION BY kind, cache_key ORDER BY provider = 'Kapowarr' DESC) = 1) SELECT kind, cache_key, hit_provider, data_json FROM (SELECT DISTINCT kind, cache_key FROM cache_rows) LEFT JOIN best USING (kind, cache_key)",
+    "J9_reading_files": f"WITH {FILES_OF} SELECT * FROM hits",
+    "A10_reading_coverage": f"WITH {FILES_OF} SELECT count(*) AS total, count(path) AS found, count(*) FILTER (lower(path) LIKE '%.cbz') AS tagged, count(*) FILTER (path IS NULL) AS missing FROM expanded LEFT JOIN hits USING (series, number)",
+    "A5_list_union": f"""WITH {_MEM}, i AS (SELECT collection_id, pos, at, w[at] AS item FROM (SELECT collection_id, pos, w, unnest(range(1, len(w) + 1)) AS at FROM (SELECT collection_id, pos, string_split(writers, ';') AS w FROM members))),
+f AS (SELECT * FROM i WHERE trim(item) <> '' QUALIFY row_number() OVER (PARTITION BY collection_id, trim(lower(item)) ORDER BY pos, at) = 1) SELECT collection_id, string_agg(item, '|' ORDER BY pos, at) AS items FROM f GROUP BY 1""",
+    "A6_merge_simple": rf"""WITH {_MEM}, g AS (SELECT collection_id, arg_min(series_name, pos) AS series, arg_min(publisher, pos) AS publisher, CAST(count(*) AS INT) AS count, list(issue_number ORDER BY pos) FILTER (issue_number <> '') AS ns,
+  list(title ORDER BY pos) FILTER (title <> '') AS ts, min([year, greatest(month, 1), greatest(day, 1), pos, month, day]) FILTER (year > 0) AS d, coalesce(string_agg(web, ', ' ORDER BY pos) FILTER (web <> ''), '') AS web,
+  coalesce(string_agg('--- Issue #' || issue_number || ' ---' || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) FILTER (summary <> ''), '') AS summary FROM members GROUP BY 1),
+h AS (SELECT *, CASE WHEN len([n FOR n IN ns IF NOT regexp_full_match(n, '[0-9]+')]) > 0 THEN array_to_string(ns, ', ') WHEN len(ns) > 1 THEN list_min([CAST(n AS BIGINT) FOR n IN ns IF regexp_full_match(n, '[0-9]+')]) || '-' || list_max([CAST(n AS BIGINT) FOR n IN ns IF regexp_full_match(n, '[0-9]+')]) ELSE CAST(CAST(ns[1] AS BIGINT) AS VARCHAR) END AS number FROM g)
+SELECT collection_id, series, publisher, count, number, CASE WHEN ts IS NULL THEN '' ELSE series || ' #' || number END AS title, coalesce(d[1], 0) AS year, coalesce(d[5], 0) AS month, coalesce(d[6], 0) AS day, web, summary FROM h""",
+    "A7_merge_policy": rf"""WITH {_MEM}, {_ORD},
+ov AS (SELECT o_orderkey AS collection_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE '' END AS ot, CASE WHEN o_orderkey % 9 = 0 THEN 1999 ELSE 0 END AS oy, CASE WHEN o_orderkey % 5 = 0 THEN 'oid' ELSE '' END AS oi, o_orderkey % 12 = 0 AS k FROM orders WHERE o_orderkey % 6 = 0),
+g AS (SELECT collection_id, arg_min(series_name, pos) AS series, arg_min(publisher, pos) AS fp, CAST(count(*) AS INT) AS count, list(issue_number ORDER BY numeric, suffix, pos) FILTER (issue_number <> '') AS ns,
+  min([year, greatest(month, 1), greatest(day, 1), pos, month, day]) FILTER (year > 0) AS d, coalesce(string_agg(web, ', ' ORDER BY pos) FILTER (web <> ''), '') AS web,
+  coalesce(string_agg('--- Issue #' || issue_number || ' ---' || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) FILTER (summary <> ''), '') AS summary,
+  string_agg(notes, chr(10) ORDER BY pos) FILTER (notes <> '') AS notes, arg_min(provider_id, pos) FILTER (provider_id <> '') AS pid FROM mo GROUP BY 1),
+h AS (SELECT g.*, coalesce(ot, '') AS ot, coalesce(oy, 0) AS oy, coalesce(oi, '') AS oi, coalesce(k, FALSE) AS k, ov.collection_id IS NOT NULL AS o, CASE WHEN len(ns) > 1 THEN ns[1] || '-' || ns[-1] ELSE ns[1] END AS span FROM g LEFT JOIN ov USING (collection_id))
+SELECT collection_id, series, count, CASE WHEN ot <> '' THEN ot ELSE series || ' #' || span END AS title, CASE WHEN ot <> '' THEN '' ELSE span END AS number, CASE WHEN k THEN 'Kap' ELSE fp END AS publisher,
+  CASE WHEN oy > 0 THEN 1999 ELSE coalesce(d[1], 0) END AS year, CASE WHEN oy > 0 THEN 5 ELSE coalesce(d[5], 0) END AS month, CASE WHEN oy > 0 THEN 0 ELSE coalesce(d[6], 0) END AS day, summary,
+  coalesce(concat_ws(chr(10), CASE WHEN o THEN 'own' END, notes), '') AS notes, web, CASE WHEN oi <> '' THEN oi ELSE coalesce(pid, '') END AS provider_id,
+  concat_ws(',', 'series=first_issue', CASE WHEN ot <> '' THEN 'title=collection_override' ELSE 'title=generated_range' END, CASE WHEN k THEN 'publisher=Kapowarr' WHEN fp <> '' THEN 'publisher=first_issue_provider' END,
+    CASE WHEN oy > 0 THEN 'year=collection_override' WHEN d IS NOT NULL THEN 'year=earliest_issue' END, 'summary=issue_union', 'web=issue_urls_joined', CASE WHEN oi <> '' THEN 'provider_id=collection_override' WHEN pid IS NOT NULL THEN 'provider_id=first_issue' END) AS provenance FROM h""",
+    "A8_collection_validation": f"""WITH {_MEM}, {_ORD},
+b AS (SELECT collection_id, count(*) FILTER (n > 1 AND s = 1) AS repeated, count(*) FILTER (s > 1) AS variants FROM (SELECT collection_id, numeric, count(*) AS n, count(DISTINCT issue_number) AS s FROM mo GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT collection_id, count(DISTINCT trim({rep('lower(series_name)', '[^a-z0-9 ]')})) AS series, count(DISTINCT trim(lower(publisher))) FILTER (publisher <> '') AS pubs, count(DISTINCT volume_id) FILTER (volume_id <> '') AS vols, string_agg(issue_number, ',' ORDER BY numeric, suffix, pos) AS sorted_numbers FROM mo GROUP BY 1),
+r AS (SELECT *, CAST((series > 1)::INT + (vols > 1)::INT + repeated AS INT) AS n_problems, CAST((pubs > 1)::INT + variants AS INT) AS n_warnings FROM w JOIN b USING (collection_id))
+SELECT collection_id, CASE WHEN n_problems > 0 THEN 'REJECT' WHEN n_warnings > 0 THEN 'WARN' ELSE 'ACCEPT' END AS result, n_problems, n_warnings, sorted_numbers FROM r""",
+    "A9_library_status": f"""WITH {duck('lib_files')}, {duck('existing')}, p AS (SELECT string_split(path, '/')[-2] AS folder, count(*) AS t, count(*) FILTER (lower(path) LIKE '%.cbz' AND file_id % 3 <> 0) AS g FROM lib_files GROUP BY 1),
+v AS (SELECT series || ' (' || year || ')' AS folder, count(*) AS n FROM existing GROUP BY 1), j AS (SELECT folder, coalesce(t, 0) AS total, coalesce(g, 0) AS tagged, CASE WHEN t IS NULL THEN coalesce(n, 0) ELSE t - coalesce(g, 0) END AS missing, n IS NOT NULL AS in_catalog FROM p FULL JOIN v USING (folder))
+SELECT folder, total, tagged, missing, missing > 0 AS has_missing, total > 0 AND missing = 0 AS is_complete, in_catalog, tagged || '/' || total || ' Tagged (' || missing || ' Missing)' AS label FROM j""",
+    "A11_job_metrics": f"WITH {duck('jobs')} SELECT job_id, count(*) AS total, {_OUT.format('status')}, round(coalesce(avg(value), 0), 1) AS avg_duration FROM jobs GROUP BY 1",
+    "A12_provider_metrics": f"WITH {duck('calls')} SELECT provider, count(*) AS calls, count(*) FILTER (http_status >= 400) AS failures, round(avg(ms), 1) AS avg_ms, round(CASE WHEN count(*) FILTER (cache_lookup) > 0 THEN 100.0 * count(*) FILTER (cache_lookup AND cache_hit) / count(*) FILTER (cache_lookup) ELSE 0.0 END, 1) AS hit_rate FROM calls GROUP BY 1",
+    "A13_cache_stats": f"WITH {_CR} SELECT kind, count(*) AS rows, count(*) FILTER (expires_at > 0 AND expires_at < 1250) AS expired FROM cache_rows GROUP BY 1",
+    "A14_resolution_rates": f"{DECIDED} SELECT count(*) AS items, round(100.0 * count(*) FILTER (level = 'AUTO_ACCEPT') / count(*), 2) AS auto_accept, round(100.0 * count(*) FILTER (level = 'MANUAL_REVIEW') / count(*), 2) AS review, round(100.0 * count(*) FILTER (level = 'UNRESOLVED') / count(*), 2) AS unresolved, round(100.0 * count(*) FILTER (level IN ('AUTO_ACCEPT', 'ACCEPT_WITH_WARNING') AND issue_number = '99') / count(*), 2) AS false_positive FROM dec",
+    "W1_ranked_pool": f"{DECIDED} SELECT file_id, pool_pos, CAST(rk AS INT) AS rank FROM ev",
+    "W4_first_per_provider": f"WITH {duck('calls')} SELECT provider, min(call_id) AS call_id FROM calls GROUP BY 1",
+    "W5_reading_position": f"WITH {EXPANDED} SELECT * FROM (SELECT series, line_id, at, number, CAST(row_number() OVER (PARTITION BY series ORDER BY line_id, at) AS INT) AS arc_number FROM expanded) WHERE at % 2 = 0",
+    "W6_latest_row": f"WITH {duck('known_files')} SELECT path, max(updated_at) AS updated_at, arg_max(status, updated_at) AS status FROM known_files GROUP BY 1",
+    "W7_oldest_job": f"WITH {duck('leases')} SELECT path, job_id FROM leases WHERE status IN ('PENDING', 'RETRYING') QUALIFY row_number() OVER (PARTITION BY path ORDER BY created_at, job_id) = 1",
+    "O1_natural_order": f"WITH {duck('numbers')}, o AS ({order_of('raw', 'numbers', 'id, raw')}) SELECT id % 50 AS shelf, string_agg(raw, ',' ORDER BY numeric, suffix, id) AS numbers FROM o GROUP BY 1",
+    "O2_digits_order": _of("numbers", "id", f"coalesce(TRY_CAST({rep('raw', '[^0-9]')} AS BIGINT), 0) AS place"),
+    "O3_newest_jobs": f"WITH {duck('leases')} SELECT job_id, created_at FROM leases WHERE status = 'FAILED' ORDER BY created_at DESC, job_id LIMIT 100",
+    "U1_candidate_pool": f"WITH {PARSED}, {duck('candidates')} SELECT file_id, 0 AS pool_pos, 'Filename' AS provider, series_name, issue_number FROM parsed UNION ALL SELECT file_id, pool_pos, provider, series_name, issue_number FROM candidates",
+    "U3_entry_difference": f"WITH {duck('manifest')}, {duck('manifest_new')} SELECT archive, lower(entry) AS entry FROM manifest EXCEPT ALL SELECT archive, lower(entry) FROM manifest_new",
+    "L1_range_expansion": f"WITH {EXPANDED} SELECT line_id, at, series, number, title FROM expanded",
+    "L2_tag_list": f"WITH {tags(chr(39) + '1' + chr(39))} {_TOLD.format('tg')}",
+    "L3_arc_upsert": f"""WITH {tags('CAST(pos AS VARCHAR)')}, m AS (SELECT id, min(i) AS mi FROM tg WHERE {arc_match("'Night One'", 'arc')} GROUP BY 1),
+z AS (SELECT id, i, CASE WHEN i = mi THEN 'Night One' ELSE arc END AS arc, CASE WHEN i = mi THEN CAST(pos AS VARCHAR) ELSE num END AS num FROM tg LEFT JOIN m USING (id) UNION ALL SELECT id, 999, 'Night One', CAST(pos AS VARCHAR) FROM arcs WHERE id NOT IN (SELECT id FROM m)) {_TOLD.format('z')}""",
+    "L4_arc_rename": f"""WITH {tags(chr(39) + '1' + chr(39))}, m AS (SELECT id, min(i) AS mi FROM tg WHERE {arc_match("'night one'", 'arc')} GROUP BY 1), z AS (SELECT id, i, CASE WHEN i = mi THEN 'Dawn' ELSE arc END AS arc, num FROM tg LEFT JOIN m USING (id)) {_TOLD.format('z')}""",
+    "M1_cache_upsert": f"""WITH {_CR}, n AS (SELECT DISTINCT provider, kind, cache_key FROM cache_rows WHERE updated_at % 5 = 0), {_LATEST_CACHE}
+SELECT provider, kind, cache_key, 'new' AS data_json, CAST(1250 AS BIGINT) AS updated_at, CAST(1250 + CASE kind WHEN 'issue' THEN 604800 WHEN 'series' THEN 604800 WHEN 'search' THEN 86400 ELSE 43200 END AS BIGINT) AS expires_at, '3' AS schema_version FROM n
+UNION ALL SELECT provider, kind, cache_key, data_json, updated_at, CAST(expires_at AS BIGINT), schema_version FROM lc ANTI JOIN n USING (provider, kind, cache_key)""",
+    "M2_cache_invalidate": f"WITH {_CR}, k AS (SELECT DISTINCT provider, kind, cache_key FROM cache_rows WHERE updated_at % 7 = 0) SELECT provider, kind, cache_key, updated_at, CAST(CASE WHEN (provider, kind, cache_key) IN (SELECT (provider, kind, cache_key) FROM k) THEN 0 ELSE expires_at END AS BIGINT) AS expires_at FROM cache_rows",
+    "M3_cache_purge": f"WITH {_CR} SELECT provider, kind, cache_key, updated_at FROM cache_rows WHERE NOT (expires_at > 0 AND expires_at < 1250)",
+    "M4_stale_versions": f"WITH {_CR} SELECT provider, kind, cache_key, updated_at FROM cache_rows WHERE schema_version = '2'",
+    "M7_expired_leases": f"WITH {duck('leases')} SELECT job_id, CASE WHEN status = 'RUNNING' AND lease_until < 500 THEN CASE WHEN attempts >= max_attempts THEN 'FAILED' ELSE 'RETRYING' END ELSE status END AS status, CASE WHEN status = 'RUNNING' AND lease_until < 500 AND attempts >= max_attempts THEN 'MAX_ATTEMPTS_EXCEEDED' ELSE '' END AS error_code FROM leases",
+}

@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import names
+from foliate.functions import numbers as N
+from foliate.functions import text as T
+from foliate.operators import arcs as R
+from foliate.operators import curate as K
 from foliate.operators import decide as D
+from foliate.operators import metrics as X
 from foliate.operators import score as S
 from foliate.plans.datasets import derive
 
+#: The time that cache and lease queries take for now, so that their rows do not depend on the clock.
+NOW = 1250
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -59,3 +67,352 @@ def _(spark, sf):
     return D.decide(evaluated(spark, sf)).select(
         "file_id", "provider", "issue_id", "series_name", "issue_number", "publication_year", "score", "second_best", "margin", "ambiguous", "level", "action", "critical", "n_candidates"
     )
+
+
+# Scalar functions
+
+
+def scalar(name: str, dataset: str, key: list[str], /, **columns):
+    """A query that adds column expressions to a derived table."""
+
+    @query(name)
+    def _(spark, sf):
+        return derive(spark, sf, dataset).select(*key, *[f().alias(k) for k, f in columns.items()])
+
+
+c = F.col
+scalar("F10_title_form", "candidates", ["file_id", "pool_pos"], form=lambda: T.title_form(c("series_name")))
+scalar("F11_key_form", "candidates", ["file_id", "pool_pos"], form=lambda: T.key_form(c("series_name")))
+scalar("F12_collection_form", "members", ["collection_id", "pos"], series=lambda: T.collection_form(c("series_name")), publisher_norm=lambda: T.publisher_form(c("publisher")))
+scalar("F13_issue_number", "numbers", ["id"], **{k: (lambda k=k: N.issue_number(c("raw"))[k]) for k in ("clean", "number", "suffix", "is_annual", "is_special")})
+scalar("F15_issue_order", "numbers", ["id"], **{k: (lambda k=k: N.issue_order(c("raw"))[k]) for k in ("numeric", "suffix", "is_named")})
+scalar("F17_batch_number", "lib_files", ["file_id"], number=lambda: N.batch_number(F.element_at(F.split("path", "/"), -1)))
+scalar("F18_reading_number", "lib_files", ["file_id"], number=lambda: N.reading_number(F.element_at(F.split("path", "/"), -1)))
+scalar("F19_date_parts", "urls", ["id"], **{k: (lambda k=k: T.date_parts(c("day_text"))[k]) for k in ("year", "month", "day")})
+scalar("F20_route", "urls", ["id"], source=lambda: T.route(c("url"), "http://kap.local"))
+scalar("F21_provider_id", "urls", ["id"], provider_id=lambda: T.provider_id(c("url")))
+scalar("F22_creator_form", "urls", ["id"], form=lambda: T.creator_form(c("creator")))
+scalar("F23_volume_slug", "urls", ["id"], slug=lambda: T.volume_slug(c("url")))
+scalar("F24_arc_form", "arcs", ["id"], form=lambda: T.arc_form(c("arcs")), shown=lambda: T.arc_display(c("arcs")))
+scalar("F25_provider_alias", "calls", ["call_id"], name=lambda: T.provider_name(c("provider")))
+scalar("F26_mask_secret", "urls", ["id"], masked=lambda: T.mask(c("day_text")), creator_masked=lambda: T.mask(c("creator")))
+scalar("F27_redact", "urls", ["id"], shown=lambda: T.redact(c("url")))
+scalar("F29_url_list", "urls", ["id"], urls=lambda: F.array_join(T.url_list(F.concat_ws(" ", c("url"), c("day_text"), c("url"))), "|"))
+scalar("F30_http_state", "calls", ["call_id"], state=lambda: T.http_state(c("http_status"))["state"], retryable=lambda: T.http_state(c("http_status"))["retryable"])
+scalar("F33_target_path", "lib_files", ["file_id"], target=lambda: F.regexp_replace("path", r"(?i)\.cbr$", ".cbz"), is_cbr=lambda: F.lower("path").endswith(".cbr"))
+scalar("L5_split_list", "arcs", ["id"], items=lambda: F.array_join(T.split_list(c("arcs")), "|"))
+scalar("P1_archive_extension", "lib_files", ["file_id"], is_archive=lambda: F.lower("path").rlike(r"\.cb[zr]$"))
+scalar("P4_range_listing", "reading", ["line_id"], is_range=lambda: c("line").rlike(r"#[0-9]+\s*[-–][0-9]+|\([0-9]+-[0-9]+\)"))
+
+
+@query("F14_same_issue")
+def _(spark, sf):
+    n = derive(spark, sf, "numbers").select("id", N.issue_number(c("raw")).alias("n"))
+    other = n.select((c("id") - 1).alias("id"), c("n").alias("m"))
+    return n.join(other, "id").select("id", N.same_issue(c("n"), c("m")).alias("same"))
+
+
+@query("F16_canonical_key")
+def _(spark, sf):
+    return K.canonical_key(derive(spark, sf, "candidates")).select(
+        "file_id", "pool_pos", "series_norm", "issue_numeric", "issue_suffix", "is_named", "volume_norm", "key_year", "publisher_norm"
+    )
+
+
+@query("F34_identity_type")
+def _(spark, sf):
+    kind = F.when(c("is_tpb"), "TPB").when(c("is_annual"), "Annual").otherwise("Issue")
+    return parsed(spark, sf).select("file_id", kind.alias("identity_type"))
+
+
+@query("P7_arc_match")
+def _(spark, sf):
+    return derive(spark, sf, "arcs").select("id", R.arcs_match(F.lit('The "Dark" Age'), c("arcs")).alias("matches"))
+
+
+@query("P10_input_quarantine")
+def _(spark, sf):
+    u = F.trim(T.text(c("url")))
+    reason = F.when(F.length(u) == 0, "empty").when(F.length(u) > 250, "too long").when(~u.rlike("^https?://[^/]+"), "scheme").otherwise("")
+    return derive(spark, sf, "urls").select("id", reason.alias("reason"), (reason == "").alias("good"))
+
+
+@query("P5_live_cache")
+def _(spark, sf):
+    return derive(spark, sf, "cache_rows").where((c("schema_version") == "2") & (c("expires_at") > NOW)).select("provider", "kind", "cache_key", "updated_at")
+
+
+@query("P11_active_jobs")
+def _(spark, sf):
+    return derive(spark, sf, "leases").where(c("status").isin(K.ACTIVE)).select("job_id", "status")
+
+
+# Joins
+
+
+@query("J2_canonical_match")
+def _(spark, sf):
+    pool = K.canonical_key(derive(spark, sf, "candidates"))
+    files = K.canonical_key(parsed(spark, sf), year="year").select("file_id", *KEYS)
+    return K.match_keys(files, pool.where("provider = 'GCD'").withColumnRenamed("file_id", "candidate_id"), "file_id", "candidate_id")
+
+
+KEYS = ["series_norm", "issue_numeric", "issue_suffix", "is_named", "volume_norm", "key_year"]
+
+
+@query("J1_title_pairs")
+def _(spark, sf):
+    return D.title_pairs(parsed(spark, sf), derive(spark, sf, "candidates"))
+
+
+@query("J3_agreement")
+def _(spark, sf):
+    pairs = D.pool_pairs(parsed(spark, sf), derive(spark, sf, "candidates"))
+    return D.agreement(pairs).select("file_id", "pool_pos", "n_agree")
+
+
+@query("J4_disagreement")
+def _(spark, sf):
+    pairs = D.pool_pairs(parsed(spark, sf), derive(spark, sf, "candidates"))
+    return D.disagreements(pairs).select("file_id", F.size("disagreements").cast("bigint").alias("n"))
+
+
+@query("J5_existing_vs_file")
+def _(spark, sf):
+    pairs = D.pool_pairs(parsed(spark, sf), derive(spark, sf, "candidates"), derive(spark, sf, "existing")).where("pool_pos = 3")
+    return pairs.select("file_id", F.size(S.existing_conflicts()).alias("n"))
+
+
+@query("J6_existing_vs_candidate")
+def _(spark, sf):
+    pairs = D.pool_pairs(parsed(spark, sf), derive(spark, sf, "candidates"), derive(spark, sf, "existing"))
+    return pairs.select("file_id", "pool_pos", F.size(S.existing_candidate_conflicts()).alias("n"))
+
+
+@query("J7_issue_files")
+def _(spark, sf):
+    """Each catalog issue with its first file by path."""
+    issues = derive(spark, sf, "candidates").where("provider = 'GCD'").select(T.title_form(c("series_name")).alias("s"), N.unpadded(c("issue_number")).alias("n"), "series_name", "issue_number").distinct()
+    files = parsed(spark, sf).select(T.title_form(c("series_name")).alias("s"), N.unpadded(c("issue_number")).alias("n"), "path").groupBy("s", "n").agg(F.min("path").alias("path"))
+    return issues.join(files, ["s", "n"], "left").select("series_name", "issue_number", F.coalesce("path", F.lit("")).alias("path"))
+
+
+@query("J8_batch_match")
+def _(spark, sf):
+    issues = spark.sql("SELECT DISTINCT p_name AS folder, CAST(p_size AS STRING) AS number, concat('u/', p_name, '/', p_size) AS url FROM {part}", part=spark.read.parquet(f"{sf}/part.parquet"))
+    files = derive(spark, sf, "lib_files").select("file_id", F.element_at(F.split("path", "/"), -1).alias("name"))
+    files = files.join(spark.read.parquet(f"{sf}/part.parquet").select(c("p_partkey").alias("file_id"), c("p_name").alias("folder")), "file_id")
+    return K.match_batch(issues, files)
+
+
+@query("J9_reading_files")
+def _(spark, sf):
+    return R.reading_files(R.expand_ranges(derive(spark, sf, "reading")), derive(spark, sf, "lib_files"))
+
+
+@query("J10_changed_files")
+def _(spark, sf):
+    return K.new_or_changed(derive(spark, sf, "seen_files"), derive(spark, sf, "known_files")).select("seen_id", "path")
+
+
+@query("J11_job_dedup")
+def _(spark, sf):
+    return K.without_active_jobs(derive(spark, sf, "seen_files"), derive(spark, sf, "leases")).select("seen_id", "path", "sha256")
+
+
+@query("J12_manifest_diff")
+def _(spark, sf):
+    return K.manifest_diff(derive(spark, sf, "manifest"), derive(spark, sf, "manifest_new"))
+
+
+@query("J13_uncovered_folders")
+def _(spark, sf):
+    local = derive(spark, sf, "lib_files").select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    covered = derive(spark, sf, "existing").select(F.concat("series", F.lit(" ("), "year", F.lit(")")).alias("folder")).distinct()
+    return local.join(covered, "folder", "left_anti")
+
+
+@query("J15_cache_lookup")
+def _(spark, sf):
+    cache = derive(spark, sf, "cache_rows")
+    return K.cache_lookup(cache.select("kind", "cache_key").distinct(), cache, NOW, "2").select("kind", "cache_key", "hit_provider", "data_json")
+
+
+# Aggregates and windows
+
+
+@query("A5_list_union")
+def _(spark, sf):
+    rows = derive(spark, sf, "members").select("collection_id", "pos", F.split("writers", ";").alias("w"))
+    return K.union_lists(rows, "collection_id", "pos", "w").select("collection_id", F.array_join("items", "|").alias("items"))
+
+
+@query("A6_merge_simple")
+def _(spark, sf):
+    return K.merge_issues(derive(spark, sf, "members"))
+
+
+@query("A7_merge_policy")
+def _(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 6 = 0")
+    over = orders.select(
+        c("o_orderkey").alias("collection_id"), F.when(c("o_orderkey") % 4 == 0, c("o_orderpriority")).otherwise("").alias("title"), F.lit("").alias("publisher"),
+        F.when(c("o_orderkey") % 9 == 0, 1999).otherwise(0).alias("year"), F.lit(5).alias("month"), F.lit(0).alias("day"), F.lit("").alias("summary"), F.lit("own").alias("notes"),
+        F.lit("").alias("web"), F.when(c("o_orderkey") % 5 == 0, "oid").otherwise("").alias("provider_id"),
+    )
+    known = orders.where("o_orderkey % 12 = 0").select(c("o_orderkey").alias("collection_id"), F.lit("Kap").alias("publisher"))
+    return K.merge_issues(derive(spark, sf, "members"), policy=True, override=over, identity=known)
+
+
+@query("A8_collection_validation")
+def _(spark, sf):
+    return K.validate_collections(derive(spark, sf, "members"))
+
+
+@query("A9_library_status")
+def _(spark, sf):
+    folder = F.element_at(F.split("path", "/"), -2).alias("folder")
+    files = derive(spark, sf, "lib_files").select("path", folder, (c("file_id") % 3 != 0).alias("has_metadata"))
+    volumes = derive(spark, sf, "existing").groupBy(F.concat("series", F.lit(" ("), "year", F.lit(")")).alias("folder")).agg(F.count("*").alias("issue_count"))
+    return X.library_status(files, volumes)
+
+
+@query("A10_reading_coverage")
+def _(spark, sf):
+    entries = R.expand_ranges(derive(spark, sf, "reading"))
+    hits = R.reading_files(entries, derive(spark, sf, "lib_files"))
+    found = entries.join(hits, ["series", "number"], "left")
+    return X.coverage(found.select(c("path").isNotNull().alias("is_found"), F.coalesce(F.lower("path").endswith(".cbz"), F.lit(False)).alias("is_tagged")))
+
+
+@query("A11_job_metrics")
+def _(spark, sf):
+    return X.job_outcomes(derive(spark, sf, "jobs"), ["job_id"])
+
+
+@query("A12_provider_metrics")
+def _(spark, sf):
+    return X.provider_health(derive(spark, sf, "calls"))
+
+
+@query("A13_cache_stats")
+def _(spark, sf):
+    return X.cache_stats(derive(spark, sf, "cache_rows"), NOW)
+
+
+@query("A14_resolution_rates")
+def _(spark, sf):
+    return X.resolution_rates(D.decide(evaluated(spark, sf)).withColumn("is_right", c("issue_number") != "99"))
+
+
+@query("W1_ranked_pool")
+def _(spark, sf):
+    return D.rank(evaluated(spark, sf)).select("file_id", "pool_pos", "rank")
+
+
+@query("W4_first_per_provider")
+def _(spark, sf):
+    return K.first_by(derive(spark, sf, "calls"), ["provider"], ["call_id"]).select("provider", "call_id")
+
+
+@query("W5_reading_position")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("series").orderBy("line_id", "at"))
+    return R.expand_ranges(derive(spark, sf, "reading")).select("series", "line_id", "at", "number", place.alias("arc_number")).where("at % 2 = 0")
+
+
+@query("W6_latest_row")
+def _(spark, sf):
+    return K.latest(derive(spark, sf, "known_files"), ["path"], "updated_at").select("path", "updated_at", "status")
+
+
+@query("W7_oldest_job")
+def _(spark, sf):
+    return K.first_by(derive(spark, sf, "leases").where("status in ('PENDING', 'RETRYING')"), ["path"], ["created_at", "job_id"]).select("path", "job_id")
+
+
+@query("O1_natural_order")
+def _(spark, sf):
+    o = N.issue_order(c("raw"))
+    ordered = F.sort_array(F.collect_list(F.struct(o["numeric"].alias("a"), o["suffix"].alias("b"), "id", "raw")))
+    return derive(spark, sf, "numbers").groupBy((c("id") % 50).alias("shelf")).agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), ",").alias("numbers"))
+
+
+@query("O2_digits_order")
+def _(spark, sf):
+    return derive(spark, sf, "numbers").select("id", N.digits_order(c("raw")).alias("place"))
+
+
+@query("O3_newest_jobs")
+def _(spark, sf):
+    return derive(spark, sf, "leases").where("status = 'FAILED'").orderBy(F.desc("created_at"), "job_id").limit(100).select("job_id", "created_at")
+
+
+@query("U1_candidate_pool")
+def _(spark, sf):
+    local = parsed(spark, sf).select("file_id", F.lit(0).alias("pool_pos"), F.lit("Filename").alias("provider"), "series_name", "issue_number")
+    return local.unionByName(derive(spark, sf, "candidates").select("file_id", "pool_pos", "provider", "series_name", "issue_number"))
+
+
+@query("U3_entry_difference")
+def _(spark, sf):
+    a, b = derive(spark, sf, "manifest"), derive(spark, sf, "manifest_new")
+    return a.select("archive", F.lower("entry").alias("entry")).exceptAll(b.select("archive", F.lower("entry").alias("entry")))
+
+
+# Arc tags, maintenance
+
+
+@query("L1_range_expansion")
+def _(spark, sf):
+    return R.expand_ranges(derive(spark, sf, "reading")).select("line_id", "at", "series", "number", "title")
+
+
+def told(tags):
+    return F.array_join(F.transform(tags, lambda t: F.concat(t["arc"], F.lit("="), t["num"])), "|")
+
+
+@query("L2_tag_list")
+def _(spark, sf):
+    return derive(spark, sf, "arcs").select("id", told(R.tag_list(c("arcs"), c("nums"))).alias("tags"))
+
+
+@query("L3_arc_upsert")
+def _(spark, sf):
+    tags = R.tag_list(c("arcs"), c("nums"), c("pos").cast("string"))
+    return derive(spark, sf, "arcs").select("id", told(R.upsert_arc(tags, F.lit("Night One"), c("pos"))).alias("tags"))
+
+
+@query("L4_arc_rename")
+def _(spark, sf):
+    return derive(spark, sf, "arcs").select("id", told(R.rename_arc(R.tag_list(c("arcs"), c("nums")), F.lit("night one"), F.lit("Dawn"))).alias("tags"))
+
+
+@query("M1_cache_upsert")
+def _(spark, sf):
+    cache = derive(spark, sf, "cache_rows")
+    fresh = cache.where("updated_at % 5 = 0").select("provider", "kind", "cache_key").distinct().withColumn("data_json", F.lit("new"))
+    return K.cache_upsert(cache, fresh, NOW, "3")
+
+
+@query("M2_cache_invalidate")
+def _(spark, sf):
+    cache = derive(spark, sf, "cache_rows")
+    return K.cache_invalidate(cache, cache.where("updated_at % 7 = 0")).select("provider", "kind", "cache_key", "updated_at", c("expires_at").cast("bigint").alias("expires_at"))
+
+
+@query("M3_cache_purge")
+def _(spark, sf):
+    return K.cache_purge(derive(spark, sf, "cache_rows"), NOW).select("provider", "kind", "cache_key", "updated_at")
+
+
+@query("M4_stale_versions")
+def _(spark, sf):
+    return derive(spark, sf, "cache_rows").where("schema_version = '2'").select("provider", "kind", "cache_key", "updated_at")
+
+
+@query("M7_expired_leases")
+def _(spark, sf):
+    return K.expire_leases(derive(spark, sf, "leases"), 500).select("job_id", "status", "error_code")
