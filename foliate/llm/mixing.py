@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from foliate.llm.common import materialize, whole_text, words
 
 STEPS = 4096
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,8 @@ def plan(docs: DataFrame, mix: Mix, text: str = "text", id_col: str = "doc_id",
         .select("source", "tokens", (F.col("raw") / F.col("z")).alias("weight"), "target", "epochs", "rest", "n_blocks")
     )
     sources = materialize(sources, "plan")
-    s = sources.select(F.col("source").alias("of"), "epochs", "rest", "n_blocks")
-    placed = rows.join(s, F.col("source").eqNullSafe(F.col("of"))).where("rest > 0")
+    s = sources.where("rest > 0").select(F.col("source").alias("of"), "epochs", "rest", "n_blocks")
+    placed = _by_source(rows, s, "source", "id", "of")
     placed = placed.withColumns(_places(mix, "id"))
     blocks = placed.groupBy("of", "block_key").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
     order = Window.partitionBy("of").orderBy("block_key")
@@ -143,7 +144,20 @@ def plan(docs: DataFrame, mix: Mix, text: str = "text", id_col: str = "doc_id",
         .groupBy("end_of", "end_block")
         .agg(F.max(F.when(F.col("filled") <= F.col("room"), F.col("doc_key"))).alias("last_doc"))
     )
-    return sources.join(last, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of")
+    ended = sources.join(last, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of")
+    return materialize(ended, "ended")
+
+
+def _by_source(rows: DataFrame, per_source: DataFrame, source: str, id_col: str, of: str) -> DataFrame:
+    """Rows beside their source's numbers.
+
+    Where the plan is small enough to broadcast, Spark does so by its measured size;
+    else both sides are dealt by source and one of 64 salts, so a source that holds a
+    third of all rows is spread over 64 tasks.
+    """
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = rows.withColumn("_mine", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    return mine.join(salted, F.col(source).eqNullSafe(F.col(of)) & (F.col("_mine") == F.col("_salt"))).drop("_mine", "_salt")
 
 
 def _places(mix: Mix, id_col: str) -> dict[str, Column]:
@@ -163,7 +177,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), text: str = "text", id_col: s
         F.col("source").alias("_of"), F.col("epochs").alias("_epochs"), F.col("n_blocks").alias("_n_blocks"), F.col("end_block").alias("_end"), F.col("last_doc").alias("_last")
     )
     seed = str(mix.seed)
-    joined = docs.join(p, F.col(source).eqNullSafe(F.col("_of")))
+    joined = _by_source(docs, p, source, id_col, "_of")
     block = F.pmod(_number(_hash(seed, F.col(id_col))), F.col("_n_blocks"))
     block_key = _hash(seed, "block", F.col("_epochs"), block)
     doc_key = _hash(seed, "doc", F.col("_epochs"), F.col(id_col))
