@@ -57,7 +57,7 @@ SELECT p_partkey AS id, CASE p_partkey % 16 WHEN 0 THEN CAST(p_size AS STRING) W
   WHEN 12 THEN concat(CAST(p_size AS STRING), 'B') WHEN 13 THEN 'annual' WHEN 14 THEN concat(' ', CAST(p_size AS STRING), ' ') ELSE '0' END AS raw
 FROM {part}""",
     "members": """
-SELECT l_orderkey AS collection_id, l_linenumber AS pos, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 'Second' ELSE 'Series!' END AS series_name,
+SELECT l_orderkey AS collection_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 'Second' ELSE 'Series!' END AS series_name,
   CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Acme' ELSE CASE WHEN l_orderkey % 4 = 0 THEN ' acme' ELSE 'ACME' END END AS publisher,
   CASE WHEN l_orderkey % 7 = 0 THEN concat('v', CAST(l_suppkey % 2 AS STRING)) ELSE '' END AS volume_id,
   CASE WHEN l_partkey % 10 = 0 THEN concat(CAST(l_partkey % 6 AS STRING), 'A') WHEN l_partkey % 23 = 0 THEN 'Annual' ELSE CAST(l_partkey % 6 AS STRING) END AS issue_number,

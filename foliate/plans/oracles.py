@@ -196,7 +196,7 @@ ex1 AS (SELECT *, regexp_matches(t, '{_RANGE}') AND CAST('0' || regexp_extract(t
 ex2 AS (SELECT line_id, trim(CASE WHEN is_range THEN regexp_extract(t, '{_RANGE}', 1) WHEN one THEN regexp_extract(t, '{_SINGLE}', 1) ELSE t END) AS series, NOT is_range AND NOT one AS plain,
   CASE WHEN is_range THEN [CAST(n AS VARCHAR) FOR n IN range(CAST('0' || regexp_extract(t, '{_RANGE}', 2) AS INT), CAST('0' || regexp_extract(t, '{_RANGE}', 3) AS INT) + 1)]
        WHEN one THEN [regexp_extract(t, '{_SINGLE}', 2)] ELSE ['1'] END AS ns FROM ex1),
-expanded AS (SELECT line_id, CAST(at - 1 AS INT) AS at, series, ns[at] AS number, CASE WHEN plain THEN series ELSE series || ' #' || ns[at] END AS title FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS at FROM ex2))"""
+expanded AS (SELECT line_id, CAST(k - 1 AS INT) AS "at", series, ns[k] AS number, CASE WHEN plain THEN series ELSE series || ' #' || ns[k] END AS title FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS k FROM ex2))"""
 
 _PATH = lambda x: squeeze(rep(rep(f"lower({x})", "[-:/.]", " "), chr(92) + "b(?:vs|versus)" + chr(92) + "b", " "))
 _STOP = "('', 'the', 'a', 'an', 'of', 'and')"
@@ -292,8 +292,8 @@ FROM a FULL JOIN b ON a.archive = b.archive AND a.entry = b.entry""",
     "J15_cache_lookup": f"WITH {_CR}, {_LATEST_CACHE}, best AS (SELECT kind, cache_key, provider AS hit_provider, data_json FROM lc WHERE schema_version = '2' AND expires_at > 1250 QUALIFY row_number() OVER (PARTITION BY kind, cache_key ORDER BY provider = 'Kapowarr' DESC) = 1) SELECT kind, cache_key, hit_provider, data_json FROM (SELECT DISTINCT kind, cache_key FROM cache_rows) LEFT JOIN best USING (kind, cache_key)",
     "J9_reading_files": f"WITH {FILES_OF} SELECT * FROM hits",
     "A10_reading_coverage": f"WITH {FILES_OF} SELECT count(*) AS total, count(path) AS found, count(*) FILTER (lower(path) LIKE '%.cbz') AS tagged, count(*) FILTER (path IS NULL) AS missing FROM expanded LEFT JOIN hits USING (series, number)",
-    "A5_list_union": f"""WITH {_MEM}, i AS (SELECT collection_id, pos, at, w[at] AS item FROM (SELECT collection_id, pos, w, unnest(range(1, len(w) + 1)) AS at FROM (SELECT collection_id, pos, string_split(writers, ';') AS w FROM members))),
-f AS (SELECT * FROM i WHERE trim(item) <> '' QUALIFY row_number() OVER (PARTITION BY collection_id, trim(lower(item)) ORDER BY pos, at) = 1) SELECT collection_id, string_agg(item, '|' ORDER BY pos, at) AS items FROM f GROUP BY 1""",
+    "A5_list_union": f"""WITH {_MEM}, i AS (SELECT collection_id, pos, k, w[k] AS item FROM (SELECT collection_id, pos, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT collection_id, pos, string_split(writers, ';') AS w FROM members))),
+f AS (SELECT * FROM i WHERE trim(item) <> '' QUALIFY row_number() OVER (PARTITION BY collection_id, trim(lower(item)) ORDER BY pos, k) = 1) SELECT collection_id, string_agg(item, '|' ORDER BY pos, k) AS items FROM f GROUP BY 1""",
     "A6_merge_simple": rf"""WITH {_MEM}, g AS (SELECT collection_id, arg_min(series_name, pos) AS series, arg_min(publisher, pos) AS publisher, CAST(count(*) AS INT) AS count, list(issue_number ORDER BY pos) FILTER (issue_number <> '') AS ns,
   list(title ORDER BY pos) FILTER (title <> '') AS ts, min([year, greatest(month, 1), greatest(day, 1), pos, month, day]) FILTER (year > 0) AS d, coalesce(string_agg(web, ', ' ORDER BY pos) FILTER (web <> ''), '') AS web,
   coalesce(string_agg('--- Issue #' || issue_number || ' ---' || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) FILTER (summary <> ''), '') AS summary FROM members GROUP BY 1),
@@ -325,7 +325,7 @@ SELECT folder, total, tagged, missing, missing > 0 AS has_missing, total > 0 AND
     "A14_resolution_rates": f"{DECIDED} SELECT count(*) AS items, round(100.0 * count(*) FILTER (level = 'AUTO_ACCEPT') / count(*), 2) AS auto_accept, round(100.0 * count(*) FILTER (level = 'MANUAL_REVIEW') / count(*), 2) AS review, round(100.0 * count(*) FILTER (level = 'UNRESOLVED') / count(*), 2) AS unresolved, round(100.0 * count(*) FILTER (level IN ('AUTO_ACCEPT', 'ACCEPT_WITH_WARNING') AND issue_number = '99') / count(*), 2) AS false_positive FROM dec",
     "W1_ranked_pool": f"{DECIDED} SELECT file_id, pool_pos, CAST(rk AS INT) AS rank FROM ev",
     "W4_first_per_provider": f"WITH {duck('calls')} SELECT provider, min(call_id) AS call_id FROM calls GROUP BY 1",
-    "W5_reading_position": f"WITH {EXPANDED} SELECT * FROM (SELECT series, line_id, at, number, CAST(row_number() OVER (PARTITION BY series ORDER BY line_id, at) AS INT) AS arc_number FROM expanded) WHERE at % 2 = 0",
+    "W5_reading_position": f"WITH {EXPANDED} SELECT * FROM (SELECT series, line_id, \"at\", number, CAST(row_number() OVER (PARTITION BY series ORDER BY line_id, \"at\") AS INT) AS arc_number FROM expanded) WHERE \"at\" % 2 = 0",
     "W6_latest_row": f"WITH {duck('known_files')} SELECT path, max(updated_at) AS updated_at, arg_max(status, updated_at) AS status FROM known_files GROUP BY 1",
     "W7_oldest_job": f"WITH {duck('leases')} SELECT path, job_id FROM leases WHERE status IN ('PENDING', 'RETRYING') QUALIFY row_number() OVER (PARTITION BY path ORDER BY created_at, job_id) = 1",
     "O1_natural_order": f"WITH {duck('numbers')}, o AS ({order_of('raw', 'numbers', 'id, raw')}) SELECT id % 50 AS shelf, string_agg(raw, ',' ORDER BY numeric, suffix, id) AS numbers FROM o GROUP BY 1",
@@ -333,7 +333,7 @@ SELECT folder, total, tagged, missing, missing > 0 AS has_missing, total > 0 AND
     "O3_newest_jobs": f"WITH {duck('leases')} SELECT job_id, created_at FROM leases WHERE status = 'FAILED' ORDER BY created_at DESC, job_id LIMIT 100",
     "U1_candidate_pool": f"WITH {PARSED}, {duck('candidates')} SELECT file_id, 0 AS pool_pos, 'Filename' AS provider, series_name, issue_number FROM parsed UNION ALL SELECT file_id, pool_pos, provider, series_name, issue_number FROM candidates",
     "U3_entry_difference": f"WITH {duck('manifest')}, {duck('manifest_new')} SELECT archive, lower(entry) AS entry FROM manifest EXCEPT ALL SELECT archive, lower(entry) FROM manifest_new",
-    "L1_range_expansion": f"WITH {EXPANDED} SELECT line_id, at, series, number, title FROM expanded",
+    "L1_range_expansion": f"WITH {EXPANDED} SELECT line_id, \"at\", series, number, title FROM expanded",
     "L2_tag_list": f"WITH {tags(chr(39) + '1' + chr(39))} {_TOLD.format('tg')}",
     "L3_arc_upsert": f"""WITH {tags('CAST(pos AS VARCHAR)')}, m AS (SELECT id, min(i) AS mi FROM tg WHERE {arc_match("'Night One'", 'arc')} GROUP BY 1),
 z AS (SELECT id, i, CASE WHEN i = mi THEN 'Night One' ELSE arc END AS arc, CASE WHEN i = mi THEN CAST(pos AS VARCHAR) ELSE num END AS num FROM tg LEFT JOIN m USING (id) UNION ALL SELECT id, 999, 'Night One', CAST(pos AS VARCHAR) FROM arcs WHERE id NOT IN (SELECT id FROM m)) {_TOLD.format('z')}""",
