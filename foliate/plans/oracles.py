@@ -346,3 +346,59 @@ UNION ALL SELECT provider, kind, cache_key, data_json, updated_at, CAST(expires_
     "M4_stale_versions": f"WITH {_CR} SELECT provider, kind, cache_key, updated_at FROM cache_rows WHERE schema_version = '2'",
     "M7_expired_leases": f"WITH {duck('leases')} SELECT job_id, CASE WHEN status = 'RUNNING' AND lease_until < 500 THEN CASE WHEN attempts >= max_attempts THEN 'FAILED' ELSE 'RETRYING' END ELSE status END AS status, CASE WHEN status = 'RUNNING' AND lease_until < 500 AND attempts >= max_attempts THEN 'MAX_ATTEMPTS_EXCEEDED' ELSE '' END AS error_code FROM leases",
 }
+
+
+def _existing_ev() -> str:
+    """Embedded records scored against their files: xs1."""
+    return rf"""
+xe AS (SELECT f.file_id, CASE WHEN x.series <> '' THEN x.series ELSE x.title END AS s, x.number AS n, x.year AS y, regexp_extract(x.web, 'comicvine\.gamespot\.com/.*?/4000-([0-9]+)', 1) AS web_id,
+  f.series_name AS fs, f.issue_number AS fn, f.year AS fy, f.is_tpb AS ft, {title("CASE WHEN x.series <> '' THEN x.series ELSE x.title END")} AS t, {title("f.series_name")} AS tt FROM existing x JOIN parsed f USING (file_id)),
+xs0 AS (SELECT *, greatest(0, least(100, 100 + CASE WHEN n = '' OR fn = '' THEN 0 WHEN ltrim(n, '0') = ltrim(fn, '0') THEN 30 ELSE -60 END
+   + CASE WHEN ft AND NOT regexp_matches(lower(s), 'tpb|trade paperback|omnibus|compendium|masterworks|collection|deluxe edition|graphic novel') AND n <> '' THEN -50 WHEN NOT ft AND regexp_matches(lower(s), 'tpb|trade paperback|omnibus|compendium|masterworks|collection|deluxe edition|graphic novel') THEN -50 ELSE 0 END
+   + CASE WHEN t = '' OR tt = '' THEN 0 WHEN t = tt THEN 25 WHEN starts_with(t, tt) OR starts_with(tt, t) THEN 15 ELSE -50 END
+   + CASE WHEN y <= 0 OR fy <= 0 THEN 0 WHEN y = fy THEN 15 WHEN abs(y - fy) = 1 THEN 5 ELSE -50 END)) AS score,
+  (t <> '' AND tt <> '' AND t <> tt) OR (y > 0 AND fy > 0 AND abs(y - fy) >= 2) OR (n <> '' AND fn <> '' AND ltrim(n, '0') <> ltrim(fn, '0')) AS critical FROM xe),
+xs1 AS (SELECT *, CASE WHEN critical THEN 'CONFLICTING' WHEN s = '' OR n = '' THEN 'PARTIAL' ELSE 'VALID' END AS state FROM xs0)"""
+
+
+def _stage(name: str, where: str) -> str:
+    """The decision of one pool, as `name`(file_id, ...)."""
+    renamed = _pool(where)
+    for t in ("cd", "ag", "fb", "pf", "dis", "s1", "s2", "s3", "ev", "best", "sec", "cnt", "dec0", "dec"):
+        renamed = renamed.replace(f"\n{t} AS (", f"\n{t}_{name} AS (")
+    import re as _re  # noqa: PLC0415
+
+    for t in ("cd", "ag", "fb", "pf", "dis", "s1", "s2", "s3", "ev", "best", "sec", "cnt", "dec0", "dec"):
+        renamed = _re.sub(rf"(?<=FROM ){t}\b(?!_)|(?<=JOIN ){t}\b(?!_)", f"{t}_{name} AS {t}", renamed)
+    return renamed.replace("AS pf a JOIN", "AS a JOIN").replace("AS pf b ON", "AS b ON").replace("AS best b USING", "AS b USING")
+
+
+_INHERIT = """inh AS (SELECT c.* REPLACE (CASE WHEN c.provider <> 'Filename' AND c.issue_number = '' THEN f.issue_number ELSE c.issue_number END AS issue_number) FROM candidates c JOIN parsed f USING (file_id))"""
+_RESOLVE_BASE = f"{PARSED}, {duck('candidates').replace('candidates AS', 'candidates0 AS', 1)}, {_INHERIT.replace('FROM candidates c', 'FROM candidates0 c').replace('inh AS', 'candidates AS')}, {duck('existing')}, {_existing_ev()}"
+_ROW = "file_id, provider, series_name, issue_number, issue_id, score, level"
+RESOLVED = f"""WITH {_RESOLVE_BASE},
+u AS (SELECT file_id, 'ExistingXML' AS provider, s AS series_name, n AS issue_number, '4000-' || web_id AS issue_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 90 THEN 'AUTO_ACCEPT' ELSE 'ACCEPT_WITH_WARNING' END AS level FROM xs1 WHERE state = 'VALID' AND web_id <> '' AND score >= 80),
+{_stage("k", "c.provider IN ('Filename', 'Kapowarr') AND file_id NOT IN (SELECT file_id FROM u)").lstrip()},
+wk AS (SELECT {_ROW} FROM dec_k WHERE score >= 70 AND NOT critical),
+{_stage("c", "c.provider IN ('Filename', 'Kapowarr', 'ComicVine') AND file_id NOT IN (SELECT file_id FROM u UNION ALL SELECT file_id FROM wk)").lstrip()},
+wc AS (SELECT {_ROW} FROM dec_c WHERE score >= 70 AND NOT critical),
+{_stage("g", "file_id NOT IN (SELECT file_id FROM u UNION ALL SELECT file_id FROM wk UNION ALL SELECT file_id FROM wc)").lstrip()},
+al AS (SELECT *, 'existing_comicinfo' AS source FROM u UNION ALL SELECT *, 'kapowarr' FROM wk UNION ALL SELECT *, 'comicvine_fallback' FROM wc UNION ALL SELECT {_ROW}, 'gcd_fallback' FROM dec_g),
+re AS (SELECT p.file_id, al.provider, al.series_name, al.issue_number, al.issue_id, al.score, CASE WHEN k THEN level ELSE 'UNRESOLVED' END AS level, CASE WHEN k THEN source ELSE '' END AS source, k AND coalesce(suffix(source, '_fallback'), FALSE) AS fallback_used
+  FROM parsed p LEFT JOIN al USING (file_id) LEFT JOIN (SELECT DISTINCT file_id AS asked FROM (SELECT file_id FROM candidates WHERE provider <> 'Filename' UNION ALL SELECT file_id FROM existing)) q ON q.asked = p.file_id,
+  LATERAL (SELECT al.provider IS NOT NULL AND q.asked IS NOT NULL AS k))"""
+_RECORDS = """rec AS (SELECT provider, issue_id, arg_min({'s': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name END, 't': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name || ' #' || issue_number END, 'n': issue_number, 'p': publisher, 'y': publication_year}, file_id) AS r FROM candidates0 WHERE issue_id <> '' AND file_id % 9 <> 0 GROUP BY 1, 2),
+ret AS (SELECT re.*, r, CASE WHEN r IS NULL THEN 'NOT_FOUND' WHEN r.s <> '' OR r.t <> '' THEN 'FOUND' ELSE 'INVALID' END AS state FROM re LEFT JOIN rec ON rec.provider = re.provider AND rec.issue_id = re.issue_id)"""
+
+ORACLES |= {
+    "Q2_existing_state": f"WITH {PARSED}, {duck('existing')}, {_existing_ev()} SELECT p.file_id, coalesce(state, 'MISSING') AS state, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM parsed p LEFT JOIN xs1 USING (file_id)",
+    "Q3_resolve": f"{RESOLVED} SELECT file_id, provider, series_name, issue_number, score, level, {_ACTION} AS action, source, fallback_used FROM re",
+    "J14_retrieval": f"{RESOLVED}, {_RECORDS} SELECT file_id, state, coalesce(r.t, '') AS title FROM ret",
+    "Q5_plan": rf"""{RESOLVED}, {_RECORDS}, pl AS (SELECT ret.*, {_ACTION} AS act, state = 'FOUND' AS ok, file_id IN (SELECT file_id FROM existing) AS has FROM ret)
+SELECT file_id, CASE WHEN act = 'SKIP' THEN 'SKIP' WHEN act = 'REVIEW' THEN 'REVIEW' WHEN NOT ok THEN 'SKIP' WHEN has THEN 'UPDATE' ELSE 'EMBED' END AS action,
+  CASE WHEN act <> 'SKIP' AND ok THEN concat_ws(',', CASE WHEN r.t <> '' THEN 'Title' END, CASE WHEN r.s <> '' THEN 'Series' END, CASE WHEN r.n NOT IN ('', '0') THEN 'Number' END, CASE WHEN r.p <> '' THEN 'Publisher' END, CASE WHEN r.y <> 0 THEN 'Year' END) ELSE '' END AS fields,
+  coalesce(provider, '') AS provider, coalesce(score, 0) AS confidence, state AS metadata_state, CASE WHEN act = 'SKIP' THEN 'below threshold' WHEN NOT ok THEN 'metadata ' || lower(state) WHEN act = 'REVIEW' THEN 'needs review' WHEN has THEN 'existing record' ELSE 'resolved' END AS reason,
+  regexp_replace(path, '(?i)\.cbr$', '.cbz') AS target_path FROM pl JOIN lib_files USING (file_id)""",
+    "Q12_incremental_ingest": f"""WITH {duck('seen_files')}, {duck('known_files')}, {duck('leases')}, k AS (SELECT * FROM known_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY updated_at DESC) = 1), act AS (SELECT path, sha256 FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING'))
+SELECT seen_id, path, sha256 FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.path = s.path AND k.size = s.size AND k.mtime = s.mtime AND k.sha256 = s.sha256) AND NOT EXISTS (SELECT 1 FROM act WHERE act.path = s.path AND (s.sha256 = '' OR act.sha256 = s.sha256)) QUALIFY row_number() OVER (PARTITION BY path, sha256 ORDER BY seen_id) = 1""",
+}

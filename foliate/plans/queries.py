@@ -15,6 +15,7 @@ from foliate.operators import curate as K
 from foliate.operators import decide as D
 from foliate.operators import metrics as X
 from foliate.operators import score as S
+from foliate.plans import resolve as V
 from foliate.plans.datasets import derive
 
 #: The time that cache and lease queries take for now, so that their rows do not depend on the clock.
@@ -416,3 +417,64 @@ def _(spark, sf):
 @query("M7_expired_leases")
 def _(spark, sf):
     return K.expire_leases(derive(spark, sf, "leases"), 500).select("job_id", "status", "error_code")
+
+
+# Compositions
+
+
+def resolved(spark, sf):
+    return V.resolve(parsed(spark, sf), derive(spark, sf, "candidates"), derive(spark, sf, "existing"))
+
+
+@query("Q2_existing_state")
+def _(spark, sf):
+    return V.classify_existing(parsed(spark, sf), derive(spark, sf, "existing")).select("file_id", "state", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query("Q3_resolve")
+def _(spark, sf):
+    return resolved(spark, sf).select("file_id", "provider", "series_name", "issue_number", "score", "level", "action", "source", "fallback_used")
+
+
+def records(spark, sf):
+    """Catalog records by provider and issue id; some lack their titles."""
+    pool = derive(spark, sf, "candidates").where("issue_id <> ''")
+    blank = F.pmod(F.col("file_id"), F.lit(14)) == 0
+    row = F.struct(
+        F.when(blank, "").otherwise(F.col("series_name")).alias("record_series"), F.when(blank, "").otherwise(F.concat("series_name", F.lit(" #"), "issue_number")).alias("record_title"),
+        F.col("issue_number").alias("record_number"), F.col("publisher").alias("record_publisher"), F.col("publication_year").alias("record_year"),
+    )
+    return pool.where("file_id % 9 <> 0").groupBy("provider", "issue_id").agg(F.min_by(row, "file_id").alias("r")).select("provider", "issue_id", "r.*")
+
+
+@query("J14_retrieval")
+def _(spark, sf):
+    return V.retrieve(resolved(spark, sf), records(spark, sf)).select("file_id", "state", F.coalesce("record_title", F.lit("")).alias("title"))
+
+
+@query("Q5_plan")
+def _(spark, sf):
+    files = derive(spark, sf, "lib_files")
+    return V.plan_files(V.retrieve(resolved(spark, sf), records(spark, sf)), files, derive(spark, sf, "existing"))
+
+
+@query("Q7_review")
+def _(spark, sf):
+    """Files to review with their best-scored candidate."""
+    best = evaluated(spark, sf).groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "pool_pos", "provider", "series_name")).alias("r"))
+    review = resolved(spark, sf).where("action = 'REVIEW'").select("file_id", "score")
+    return review.join(best, "file_id").select("file_id", "score", F.col("r.provider").alias("recommended"), F.col("r.series_name").alias("series_name"), (-F.col("r.s")).alias("best_score"))
+
+
+@query("Q12_incremental_ingest")
+def _(spark, sf):
+    fresh = K.new_or_changed(derive(spark, sf, "seen_files"), derive(spark, sf, "known_files"))
+    return K.without_active_jobs(fresh, derive(spark, sf, "leases")).select("seen_id", "path", "sha256")
+
+
+@query("Q10_collection_build")
+def _(spark, sf):
+    """Accepted collections, merged."""
+    members = derive(spark, sf, "members")
+    good = K.validate_collections(members).where("result <> 'REJECT'").select("collection_id")
+    return K.merge_issues(members.join(good, "collection_id", "left_semi"))
