@@ -402,3 +402,19 @@ SELECT file_id, CASE WHEN act = 'SKIP' THEN 'SKIP' WHEN act = 'REVIEW' THEN 'REV
     "Q12_incremental_ingest": f"""WITH {duck('seen_files')}, {duck('known_files')}, {duck('leases')}, k AS (SELECT * FROM known_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY updated_at DESC) = 1), act AS (SELECT path, sha256 FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING'))
 SELECT seen_id, path, sha256 FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.path = s.path AND k.size = s.size AND k.mtime = s.mtime AND k.sha256 = s.sha256) AND NOT EXISTS (SELECT 1 FROM act WHERE act.path = s.path AND (s.sha256 = '' OR act.sha256 = s.sha256)) QUALIFY row_number() OVER (PARTITION BY path, sha256 ORDER BY seen_id) = 1""",
 }
+
+_EV = """ev AS (SELECT event_id, ts, '/lib/' || user_id || '.cbz' AS path, '/new/' || user_id || '.cbz' AS dest, CASE WHEN event_id % 11 = 0 THEN 'moved' WHEN event_id % 7 = 0 THEN 'deleted' WHEN event_id % 2 = 0 THEN 'created' ELSE 'modified' END AS event_type, CAST(floor(value) AS BIGINT) AS size FROM events)"""
+
+ORACLES |= {
+    "T1_debounce": f"""WITH {_EV}, t AS (SELECT path, date_trunc('second', ts) AS ts FROM ev), b AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY path ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY path ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM t),
+s AS (SELECT path, k, count(*) AS n, min(ts) AS a FROM (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM b) GROUP BY 1, 2) SELECT path, count(*) AS bursts, max(n) AS largest, strftime(min(a), '%Y-%m-%d %H:%M:%S') AS first FROM s GROUP BY 1""",
+    "T2_moves": f"WITH {_EV} SELECT event_id, path, CASE WHEN event_type = 'moved' THEN 'deleted' ELSE event_type END AS event_type FROM ev UNION ALL SELECT event_id, dest, 'created' FROM ev WHERE event_type = 'moved'",
+    "T5_archive_events": f"WITH {_EV} SELECT event_id, path FROM ev",
+    "T6_new_jobs": f"WITH {_EV} SELECT DISTINCT path, CAST(size % 5 AS VARCHAR) AS sha256 FROM ev",
+    "T7_job_lifecycle": f"WITH {duck('jobs')}, g AS (SELECT job_id, arg_max(status, {{'t': ts, 'e': event_id}}) AS status, count(*) AS n_events, count(*) FILTER (status = 'FAILED') AS failures FROM jobs GROUP BY 1) SELECT *, failures >= 3 OR status IN ('SUCCESS', 'COMPLETED') AS terminal FROM g",
+    "T8_windowed_metrics": f"WITH {duck('jobs')} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS total, {_OUT.format('status')}, round(avg(value), 1) AS avg_duration FROM jobs GROUP BY 1",
+    "S17_labelled_text": rf"""WITH l AS (SELECT doc_id, coalesce(text, '') AS t, [trim(x) FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(x) <> ''] AS ls FROM documents), h AS (SELECT *, list_filter(ls, lambda x: starts_with(x, 'Script:'))[1] AS s FROM l)
+SELECT doc_id, coalesce(ls[1], '') AS title, coalesce(TRY_CAST(regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\b', 1) AS INT), 0) AS year, coalesce(substr(s, 8), '') AS writers FROM h""",
+    "S18_record_json": f"WITH {duck('existing')} SELECT file_id, series, title, number, year, volume, CAST(1 AS INT) AS count FROM existing",
+    "S20_job_event_lines": f"WITH {duck('jobs')} SELECT event_id, concat_ws(' ', 'job_id=' || job_id, 'status=' || status, CASE WHEN status = 'FAILED' THEN 'error=1' END) AS line FROM jobs",
+}

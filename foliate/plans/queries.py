@@ -17,6 +17,8 @@ from foliate.operators import metrics as X
 from foliate.operators import score as S
 from foliate.plans import resolve as V
 from foliate.plans.datasets import derive
+from foliate.sources import pages as G
+from foliate.streaming import events as E
 
 #: The time that cache and lease queries take for now, so that their rows do not depend on the clock.
 NOW = 1250
@@ -478,3 +480,83 @@ def _(spark, sf):
     members = derive(spark, sf, "members")
     good = K.validate_collections(members).where("result <> 'REJECT'").select("collection_id")
     return K.merge_issues(members.join(good, "collection_id", "left_semi"))
+
+
+# Streams' batch twins, pages and sinks
+
+
+def file_events(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    kind = F.when(c("event_id") % 11 == 0, "moved").when(c("event_id") % 7 == 0, "deleted").when(c("event_id") % 2 == 0, "created").otherwise("modified")
+    return e.select(
+        "event_id", c("ts").cast("timestamp").alias("ts"), F.concat(F.lit("/lib/"), "user_id", F.lit(".cbz")).alias("path"), F.concat(F.lit("/new/"), "user_id", F.lit(".cbz")).alias("dest_path"),
+        kind.alias("event_type"), F.floor("value").alias("size"),
+    )
+
+
+def stamp(name):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+@query("T1_debounce")
+def _(spark, sf):
+    e = file_events(spark, sf).withColumn("ts", F.date_trunc("second", "ts"))
+    return E.debounce(e, "30 minutes").groupBy("path").agg(F.count("*").alias("bursts"), F.max("n_events").alias("largest"), F.min(F.date_format("started", "yyyy-MM-dd HH:mm:ss")).alias("first"))
+
+
+@query("T2_moves")
+def _(spark, sf):
+    return E.split_moves(file_events(spark, sf)).select("event_id", "path", "event_type")
+
+
+@query("T5_archive_events")
+def _(spark, sf):
+    return E.only_archives(file_events(spark, sf)).select("event_id", "path")
+
+
+@query("T6_new_jobs")
+def _(spark, sf):
+    e = file_events(spark, sf).withColumn("sha256", (c("size") % 5).cast("string"))
+    return E.new_jobs(e).select("path", "sha256")
+
+
+@query("T7_job_lifecycle")
+def _(spark, sf):
+    jobs = derive(spark, sf, "jobs").withColumn("ts", c("ts").cast("timestamp"))
+    return E.lifecycle(jobs)
+
+
+@query("T8_windowed_metrics")
+def _(spark, sf):
+    jobs = derive(spark, sf, "jobs").withColumn("ts", c("ts").cast("timestamp"))
+    return E.windowed_outcomes(jobs).withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("S11_page_titles")
+def _(spark, sf):
+    return G.page_titles(G.page_parts(spark.read.parquet(f"{sf}/pages.parquet")))
+
+
+@query("S13_page_links")
+def _(spark, sf):
+    return G.links(G.page_parts(spark.read.parquet(f"{sf}/pages.parquet"))).select("page_id", "pos", "href", "name")
+
+
+@query("S17_labelled_text")
+def _(spark, sf):
+    return G.labelled_text(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", "title", "year", "writers")
+
+
+@query("S18_record_json")
+def _(spark, sf):
+    """Records to JSON and back, with the defaults of missing fields."""
+    x = derive(spark, sf, "existing")
+    text = F.to_json(F.struct("series", "title", "number", "year", F.nullif("volume", F.lit("")).alias("volume")))
+    back = F.from_json(text, "series string, title string, number string, year int, volume string, count int")
+    return x.select("file_id", back.alias("r")).select("file_id", "r.series", "r.title", "r.number", "r.year", F.coalesce("r.volume", F.lit("")).alias("volume"), F.coalesce("r.count", F.lit(1)).alias("count"))
+
+
+@query("S20_job_event_lines")
+def _(spark, sf):
+    line = F.concat_ws(" ", F.concat(F.lit("job_id="), "job_id"), F.concat(F.lit("status="), "status"), F.when(c("status") == "FAILED", F.lit("error=1")))
+    return derive(spark, sf, "jobs").select("event_id", line.alias("line"))
