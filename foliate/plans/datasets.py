@@ -95,6 +95,10 @@ SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('https://comicvine
   CASE p_partkey % 7 WHEN 0 THEN concat(CAST(1950 + p_size AS STRING), '-03-', CAST(p_size % 28 + 1 AS STRING)) WHEN 1 THEN concat('March ', CAST(p_size % 28 + 1 AS STRING), ', ', CAST(1950 + p_size AS STRING))
   WHEN 2 THEN concat('Sep ', CAST(1950 + p_size AS STRING)) WHEN 3 THEN CAST(1950 + p_size AS STRING) WHEN 4 THEN concat('Smarch ', CAST(p_size % 28 + 1 AS STRING), ', 1999') WHEN 5 THEN '' ELSE 'soon' END AS day_text,
   CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, ' (as ', p_type, ')') WHEN 1 THEN concat(p_brand, ' ?') WHEN 2 THEN concat(p_brand, ' (unclosed') ELSE p_brand END AS creator
+FROM {part}""",
+    "catalog_json": """
+SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey % 50 AS STRING), ',"title":"', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END, '","name":"', p_brand, '","year":"', CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE CAST(1950 + p_size AS STRING) END,
+  '","issues":[', chr(123), '"id":', CAST(p_partkey * 2 AS STRING), ',"issue_number":"#', CAST(p_size AS STRING), '","date":"', CASE WHEN p_partkey % 5 = 0 THEN '2001-05-01' ELSE '' END, '"', chr(125), ',', chr(123), '"id":', CAST(p_partkey % 500 + 10000000 AS STRING), ',"number":"', CAST(p_size + 1 AS STRING), '","title":"T"', chr(125), ']', chr(125)) AS data
 FROM {part}""",
     "manifest": """
 SELECT l_orderkey AS archive, concat('Page', CAST(l_linenumber AS STRING), '.JPG') AS entry, CAST(l_partkey AS BIGINT) AS crc, CAST(l_quantity AS BIGINT) AS size, CAST(l_suppkey AS STRING) AS sha256

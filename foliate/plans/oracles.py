@@ -418,3 +418,28 @@ SELECT doc_id, coalesce(ls[1], '') AS title, coalesce(TRY_CAST(regexp_extract(t,
     "S18_record_json": f"WITH {duck('existing')} SELECT file_id, series, title, number, year, volume, CAST(1 AS INT) AS count FROM existing",
     "S20_job_event_lines": f"WITH {duck('jobs')} SELECT event_id, concat_ws(' ', 'job_id=' || job_id, 'status=' || status, CASE WHEN status = 'FAILED' THEN 'error=1' END) AS line FROM jobs",
 }
+
+_VOL_ROWS = f"""{duck('catalog_json')}, vi AS (SELECT row_id, CAST(data->>'$.id' AS BIGINT) AS volume_id, CASE WHEN data->>'$.title' <> '' THEN data->>'$.title' ELSE data->>'$.name' END AS series, coalesce(TRY_CAST(data->>'$.year' AS INT), 0) AS year,
+  CAST(i->>'$.id' AS BIGINT) AS issue_id, replace(coalesce(i->>'$.issue_number', i->>'$.number'), '#', '') AS number, coalesce(i->>'$.title', '') AS title, coalesce(i->>'$.date', '') AS date FROM (SELECT row_id, data, unnest(CAST(data->'$.issues' AS JSON[])) AS i FROM catalog_json)),
+ix AS (SELECT * FROM vi QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY row_id DESC) = 1)"""
+
+ORACLES |= {
+    "S7_catalog_volumes": f"WITH {_VOL_ROWS} SELECT row_id, volume_id, series, year, issue_id, number FROM vi",
+    "S8_issue_index": f"WITH {_VOL_ROWS} SELECT issue_id, row_id, number FROM ix",
+    "S9_issue_record": f"WITH {_VOL_ROWS} SELECT issue_id, series, number, CASE WHEN title <> '' THEN title ELSE series || ' #' || number END AS title, coalesce(TRY_CAST(regexp_extract(date, '((?:19|20)[0-9]{{2}})', 1) AS INT), year) AS year, 'ComicVine ID: ' || issue_id AS notes FROM ix",
+    "S19_review_reports": DECIDED + rf""" SELECT file_id, 'review_' || regexp_replace({_BASE_NAME}, '\.[^.]*$', '') || '.md' AS name, '# Review of ' || {_BASE_NAME} || chr(10) || '- Best: ' || dec.series_name || ' #' || dec.issue_number || chr(10) || printf('- Score: %.1f (%s)', score, level) AS report
+FROM dec JOIN lib_files USING (file_id) WHERE level = 'MANUAL_REVIEW'""",
+}
+
+_BATCH_OF = ORACLES["F17_batch_number"]
+ORACLES |= {
+    "Q10_collection_build": f"SELECT * FROM ({ORACLES['A6_merge_simple']}) WHERE collection_id IN (SELECT collection_id FROM ({ORACLES['A8_collection_validation']}) WHERE result <> 'REJECT')",
+    "Q7_review": f"""SELECT r.file_id, r.score, b.provider AS recommended, b.series_name, b.score AS best_score FROM ({ORACLES['Q3_resolve']}) r
+JOIN (SELECT * FROM ({DECIDED} SELECT file_id, provider, series_name, score, pool_pos FROM ev) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, pool_pos) = 1) b ON b.file_id = r.file_id WHERE r.action = 'REVIEW'""",
+    "J8_batch_match": f"""WITH f AS (SELECT b.file_id, p_name AS folder, b.number, count(*) OVER (PARTITION BY p_name) AS n FROM ({_BATCH_OF}) b JOIN part ON p_partkey = b.file_id),
+i AS (SELECT DISTINCT p_name AS folder, CAST(p_size AS VARCHAR) AS number, 'u/' || p_name || '/' || p_size AS url FROM part),
+k AS (SELECT folder, url, 0 AS rule, number AS key FROM i UNION ALL SELECT folder, url, 1, CASE WHEN ltrim(number, '0') = '' THEN '0' ELSE ltrim(number, '0') END FROM i UNION ALL SELECT folder, url, 2, '0.5' FROM i WHERE number IN ('0.5', '½', '1/2')),
+a AS (SELECT file_id, folder, 0 AS plus, number AS key FROM f UNION ALL SELECT file_id, folder, 5, '1' FROM f WHERE n = 1),
+m AS (SELECT file_id, min(ROW(plus + rule, url)) AS m FROM a JOIN k USING (folder, key) GROUP BY 1)
+SELECT f.file_id, f.folder, f.number, coalesce(m[2], '') AS url, CASE WHEN m IS NULL THEN 'unmatched' ELSE 'ready' END AS status FROM f LEFT JOIN m USING (file_id)""",
+}

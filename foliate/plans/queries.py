@@ -17,6 +17,7 @@ from foliate.operators import metrics as X
 from foliate.operators import score as S
 from foliate.plans import resolve as V
 from foliate.plans.datasets import derive
+from foliate.sources import catalogs as B
 from foliate.sources import pages as G
 from foliate.streaming import events as E
 
@@ -560,3 +561,24 @@ def _(spark, sf):
 def _(spark, sf):
     line = F.concat_ws(" ", F.concat(F.lit("job_id="), "job_id"), F.concat(F.lit("status="), "status"), F.when(c("status") == "FAILED", F.lit("error=1")))
     return derive(spark, sf, "jobs").select("event_id", line.alias("line"))
+
+
+@query("S7_catalog_volumes")
+def _(spark, sf):
+    return B.volumes(derive(spark, sf, "catalog_json")).select("row_id", "volume_id", "series", "year", "issue_id", "number")
+
+
+@query("S8_issue_index")
+def _(spark, sf):
+    return B.issue_index(B.volumes(derive(spark, sf, "catalog_json")), "row_id").select("issue_id", "row_id", "number")
+
+
+@query("S9_issue_record")
+def _(spark, sf):
+    return B.issue_record(B.issue_index(B.volumes(derive(spark, sf, "catalog_json")), "row_id"))
+
+
+@query("S19_review_reports")
+def _(spark, sf):
+    decided = D.decide(evaluated(spark, sf)).where("action = 'REVIEW'")
+    return B.review_reports(decided.join(derive(spark, sf, "lib_files"), "file_id"))
