@@ -5,20 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the folder in spark.checkpoint.dir, which all nodes share, and read them back.
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir.
 
-    Later stages then do not repeat earlier ones, and a lost executor costs no more than
-    its own tasks.  Only where the session names no folder (local runs) one is made.
+    Where the session names none, a cluster's warehouse serves; on one machine, as in
+    tests, a temporary folder, which the session then keeps.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.conf.get("spark.master", "local").startswith("local"):
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/foliate-{uuid.uuid4().hex}/{name}"
+    return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/foliate-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back.
+
+    Later stages then do not repeat earlier ones, and a lost executor costs no more than
+    its own tasks.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
