@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.sources.tables import shared_dir
+
 #: White space that separates words: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -96,18 +96,6 @@ def find_spans(text: Column, pattern: str, hint: Column | None = None) -> Column
     return out if hint is None else F.when(hint, out).otherwise(empty)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (a local session, as in tests) one is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/foliate-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
     """Write the rows as Parquet to the shared folder and read them back.
 
