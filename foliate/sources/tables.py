@@ -15,7 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     tests, a temporary folder, which the session then keeps.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if not root and master.startswith("local") and not master.startswith("local-cluster"):
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root or spark.conf.get('spark.sql.warehouse.dir')}/foliate-{uuid.uuid4().hex}"
