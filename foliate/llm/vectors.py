@@ -13,8 +13,9 @@ verified by cosine in double precision; a pair that meets in several shards coun
 An audit compares a bounded set of classes, by brute force in blocks, with all classes;
 below `target_recall` the search is repeated with more overlap and a wider beam.
 
-Shards above `most_rows` are cut into parts: each part builds its own graph and all the
-shard's classes search it, so memory stays bounded when one cluster holds a third of all.
+Shards above `most_rows` are cut into parts: each part builds its own graph, and each
+part's classes search every part's graph in a task of their own.  So no task holds more
+than two parts, even when one cluster holds a third of all.
 Tasks return counts and one link per member of a group, never all pairs.
 
 Defined results: a vector that is null, zero, of another length than most, or holds null
@@ -59,11 +60,31 @@ def unit(raw: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def build(x: np.ndarray, g: Graph, seed: int = 1) -> np.ndarray:
-    """Neighbours of each node (n x width, -1 where there is none): robust-pruned candidates, both ways."""
+@dataclass(frozen=True)
+class Lists:
+    """Adjacency lists, one behind the other, and where each begins; a hub takes no more than its own links."""
+
+    begins: np.ndarray
+    nodes: np.ndarray
+
+    @staticmethod
+    def of(src: np.ndarray, dst: np.ndarray, n: int) -> Lists:
+        """src is sorted."""
+        return Lists(np.concatenate(([0], np.cumsum(np.bincount(src, minlength=n)))), dst)
+
+    def near(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into `nodes`, neighbour) of all their neighbours."""
+        count = self.begins[nodes + 1] - self.begins[nodes]
+        owner = np.repeat(np.arange(len(nodes)), count)
+        shift = self.begins[nodes] - (np.cumsum(count) - count)
+        return owner, self.nodes[np.arange(len(owner)) + shift[owner]]
+
+
+def build(x: np.ndarray, g: Graph, seed: int = 1) -> Lists:
+    """Neighbours of each node: robust-pruned candidates, both ways."""
     n = len(x)
     if n == 1:
-        return np.full((1, 1), -1, np.int32)
+        return Lists(np.zeros(2, np.int64), np.empty(0, np.int64))
     x = x.astype(np.float32)
     k = min(g.candidates, n - 1)
     far = np.random.default_rng(seed).integers(0, n, (n, 4))  # a few long links
@@ -95,71 +116,73 @@ def build(x: np.ndarray, g: Graph, seed: int = 1) -> np.ndarray:
     dst = picked.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
     pairs = np.unique(np.concatenate([src * n + dst, dst * n + src]))
-    return padded(pairs // n, pairs % n, n)
+    return Lists.of(pairs // n, pairs % n, n)
 
 
-def padded(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
-    """Adjacency lists as a matrix; src sorted."""
-    count = np.bincount(src, minlength=n)
-    out = np.full((n, max(1, count.max(initial=0))), -1, np.int32)
-    out[src, np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count)] = dst
-    return out
+#: Components of vectors multiplied at once.
+AT_ONCE = 1 << 22
+
+
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Scalar products of the rows a[i] and b[j]."""
+    step = max(1, AT_ONCE // a.shape[1])
+    parts = [np.einsum("nd,nd->n", a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.empty(0, a.dtype)
 
 
-def search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, own: np.ndarray, g: Graph) -> np.ndarray:
+def search(x: np.ndarray, links: Lists, queries: np.ndarray, own: np.ndarray, g: Graph) -> np.ndarray:
     """Boolean matrix (queries x nodes) of nodes found in range.  own: a query's node, or -1."""
     n, m = len(x), len(queries)
     medoid = int((x @ x.mean(axis=0)).argmax())
     xf, qf = x.astype(np.float32), queries.astype(np.float32)
-    seen = np.zeros((m, n + 1), bool)  # the last column stands for no node
-    seen[:, n] = True
-    i = np.arange(m)
-    ids = np.full((m, g.beam), n)
+    seen = np.zeros((m, n), bool)
+    ids = np.zeros((m, g.beam), np.int64)
     sims = np.full((m, g.beam), -9.0, np.float32)
     done = np.ones((m, g.beam), bool)
-    for col, start in ((0, np.full(m, medoid)), (1, np.where(own >= 0, own, n))):
-        fresh = ~seen[i, start]
-        ids[fresh, col] = start[fresh]
-        sims[fresh, col] = np.einsum("nd,nd->n", qf[fresh], xf[start[fresh]])
-        done[fresh, col] = False
-        seen[i, start] = True
+    for col, start in ((0, np.full(m, medoid)), (1, own)):
+        q = np.flatnonzero(start >= 0)
+        q = q[~seen[q, start[q]]]
+        ids[q, col], sims[q, col], done[q, col] = start[q], _dots(qf, q, xf, start[q]), False
+        seen[q, start[q]] = True
     for _ in range(4 * g.beam):
         waiting = np.where(done, -9.0, sims)
         best = waiting.argmax(axis=1)
-        active = np.flatnonzero(waiting[i, best] > -9)
+        active = np.flatnonzero(waiting[np.arange(m), best] > -9)
         if not len(active):
             break
-        node = ids[active, best[active]]
         done[active, best[active]] = True
-        near = links[node]
-        near = np.where(near < 0, n, near)
-        near = np.where(seen[active[:, None], near], n, near)
-        seen[active[:, None], near] = True
-        s = np.einsum("nkd,nd->nk", xf[np.minimum(near, n - 1)], qf[active])
-        s[near == n] = -9
-        all_ids = np.concatenate([ids[active], near], axis=1)
-        all_sims = np.concatenate([sims[active], s], axis=1)
-        all_done = np.concatenate([done[active], near == n], axis=1)
-        top = np.argpartition(-all_sims, g.beam - 1, axis=1)[:, : g.beam]
-        ids[active], sims[active] = np.take_along_axis(all_ids, top, axis=1), np.take_along_axis(all_sims, top, axis=1)
-        done[active] = np.take_along_axis(all_done, top, axis=1)
-    found = np.zeros((m, n), bool)
-    met = np.zeros((m, n + 1), bool)
-    met[:, n] = True
-    q, node = np.nonzero(sims >= g.cosine - 1e-3)
-    node = ids[q, node]
-    while len(q):
-        q, node = np.divmod(np.unique(q * (n + 1) + node), n + 1)
-        new = ~met[q, node]
-        q, node = q[new], node[new]
-        met[q, node] = True
-        inside = np.concatenate([np.einsum("nd,nd->n", queries[q[a : a + 65536]], x[node[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.empty(0)]) >= g.cosine
+        k, near = links.near(ids[active, best[active]])
+        fresh = ~seen[active[k], near]
+        k, near = k[fresh], near[fresh]
+        seen[active[k], near] = True
+        s = _dots(qf, active[k], xf, near)
+        order = np.lexsort((-s, k))
+        k, near, s = k[order], near[order], s[order]
+        rank = np.arange(len(k)) - np.searchsorted(k, k)
+        top = rank < g.beam  # no more can enter a beam
+        new_ids, new_sims = np.zeros((len(active), g.beam), np.int64), np.full((len(active), g.beam), -9.0, np.float32)
+        new_ids[k[top], rank[top]], new_sims[k[top], rank[top]] = near[top], s[top]
+        all_ids, all_sims = np.concatenate([ids[active], new_ids], axis=1), np.concatenate([sims[active], new_sims], axis=1)
+        all_done = np.concatenate([done[active], new_sims == -9], axis=1)
+        best = np.argpartition(-all_sims, g.beam - 1, axis=1)[:, : g.beam]
+        ids[active], sims[active] = np.take_along_axis(all_ids, best, axis=1), np.take_along_axis(all_sims, best, axis=1)
+        done[active] = np.take_along_axis(all_done, best, axis=1)
+    found, met = np.zeros((m, n), bool), np.zeros((m, n), bool)
+    q, at = np.nonzero(sims >= g.cosine - 1e-3)
+    waiting = [q * n + ids[q, at]]
+    met.ravel()[waiting[0]] = True
+    while waiting:  # a stack of bounded pieces: what is in range leads on to its neighbours
+        q, node = np.divmod(waiting.pop(), n)
+        inside = _dots(queries, q, x, node) >= g.cosine
         q, node = q[inside], node[inside]
         found[q, node] = True
-        wide = links[node]
-        q, node = np.repeat(q, wide.shape[1]), wide.ravel()
-        real = node >= 0
-        q, node = q[real], node[real]
+        for a in range(0, len(q), 1 << 14):
+            k, near = links.near(node[a : a + (1 << 14)])
+            key = q[a : a + (1 << 14)][k] * n + near
+            key = np.unique(key[~met.ravel()[key]])
+            met.ravel()[key] = True
+            if len(key):
+                waiting.append(key)
     has = own >= 0
     found[np.flatnonzero(has), own[has]] = False
     return found
@@ -247,35 +270,25 @@ def _parts(dealt: DataFrame, g: Graph) -> DataFrame:
     return dealt.join(sizes, ["kind", "number"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_parts")).cast("int"))
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest number that rows of two matrices (padded by -1) share, or a large one."""
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)
-    return np.where(same.any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
-
-
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index that links reach, for each of n."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _met_before(a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
+    """For rows of shard numbers (padded by -1): which pairs share a shard smaller than `number`."""
+    out = np.zeros((len(a), len(b)), bool)
+    for i in range(a.shape[1]):
+        for j in range(b.shape[1]):
+            out |= np.where((a[:, i] >= 0) & (a[:, i] < number), a[:, i], -2)[:, None] == b[:, j][None, :]
+    return out
 
 
 def _adjacency(g: Graph):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rep = rows["rep"].to_numpy()
-        return pd.DataFrame({"rep": rep, "near": [rep[a[a >= 0]] for a in build(unit(rows["v"]), g)]})
+        rep, links = rows["rep"].to_numpy(), build(unit(rows["v"]), g)
+        return pd.DataFrame({"rep": rep, "near": np.split(rep[links.nodes], links.begins[1:-1])})
 
     return run
 
 
 def _meet(g: Graph):
-    """Search of one shard's rows in the graph of one of its parts."""
+    """Search of one part's rows in the graph of a part, the same or another."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", ignore_index=True)
@@ -283,6 +296,9 @@ def _meet(g: Graph):
         at = np.flatnonzero((rows["part"] == rows["graph"]).to_numpy())  # the graph's nodes among the rows
         node_of = np.full(len(rows), -1)
         node_of[at] = np.arange(len(at))
+        ask = np.flatnonzero((rows["part"] == rows["asker"]).to_numpy())
+        if not len(at) or not len(ask):
+            return pd.DataFrame({"rep": [], "n": [], "to": []}).astype("int64")
         x = unit(rows["v"])
         width = max(map(len, rows["shards"]))
         shards = np.array([np.pad(s, (0, width - len(s)), constant_values=-1) for s in rows["shards"]])
@@ -291,20 +307,27 @@ def _meet(g: Graph):
         other = np.concatenate([*near.to_numpy(), np.empty(0, np.int64)]).astype(np.int64)
         place = np.minimum(np.searchsorted(rep, other), len(rep) - 1)
         real = (rep[place] == other) & (node_of[place] >= 0)
-        links = padded(owner[real], node_of[place[real]], len(at))
-        a, b = [], []
-        for start in range(0, len(rows), 1024):
-            stop = min(start + 1024, len(rows))
-            q, node = np.nonzero(search(x[at], links, x[start:stop], node_of[start:stop], g))
-            a.append(q + start)
-            b.append(at[node])
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = node_of[a] >= 0  # what is found one way between two nodes holds both ways
-        key = np.unique(np.concatenate([a * len(rows) + b, b[both] * len(rows) + a[both]]))
-        a, b = key // len(rows), key % len(rows)
-        mine = np.concatenate([_shared(shards[a[i : i + 65536]], shards[b[i : i + 65536]]) == number for i in range(0, len(a), 65536)] or [np.empty(0, bool)])
-        n = np.bincount(a[mine], weights=copies[b[mine]], minlength=len(rows)).astype(np.int64)
-        root = rep[_roots(a, b, len(rows))]
+        links = Lists.of(owner[real], node_of[place[real]], len(at))
+        step = 256
+        bits = []  # what each block of askers found, a bit for each pair
+        label = np.arange(len(rows))
+        for start in range(0, len(ask), step):
+            some = ask[start : start + step]
+            found = search(x[at], links, x[some], node_of[some], g)
+            bits.append(np.packbits(found, axis=1))
+            for row in np.flatnonzero(found.any(axis=1)):
+                joined = np.unique(np.append(label[at[found[row]]], label[some[row]]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+        n = np.zeros(len(rows), np.int64)
+        weight = copies[at].astype(np.float64)
+        for start, mine in zip(range(0, len(ask), step), bits, strict=True):
+            some = ask[start : start + step]
+            found = np.unpackbits(mine, axis=1, count=len(at)).astype(bool)
+            if len(ask) == len(at) == len(rows):  # askers are the nodes: what is found one way holds both ways
+                found |= np.concatenate([np.unpackbits(b[:, start // 8 : (start + step) // 8], axis=1)[:, : len(some)] for b in bits]).T.astype(bool)
+            n[some] = (found & ~_met_before(shards[some], shards[at], number)) @ weight
+        root = rep[label]
         told = (n > 0) | (root != rep)
         return pd.DataFrame({"rep": rep[told], "n": n[told], "to": root[told]})
 
@@ -316,8 +339,12 @@ def find_links(classes: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     dealt = materialize(_parts(_shards(classes, _centroids(classes, g), g), g), "shards")
     lists = dealt.groupBy("kind", "number", "part").applyInPandas(_adjacency(g), "rep long, near array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    asks = dealt.join(united, "rep").withColumn("graph", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    met = materialize(asks.groupBy("kind", "number", "graph").applyInPandas(_meet(g), "rep long, n long, to long"), "met")
+    # a row is a node of its own part's graph for every asking part, and asks every other part's graph
+    every = F.sequence(F.lit(0), F.col("n_parts") - 1)
+    as_node = F.transform(every, lambda p: F.struct(F.col("part").alias("graph"), p.alias("asker")))
+    as_asker = F.transform(F.filter(every, lambda p: p != F.col("part")), lambda p: F.struct(p.alias("graph"), F.col("part").alias("asker")))
+    asks = dealt.join(united, "rep").withColumn("meeting", F.explode(F.concat(as_node, as_asker))).select("*", "meeting.*").drop("meeting")
+    met = materialize(asks.groupBy("kind", "number", "graph", "asker").applyInPandas(_meet(g), "rep long, n long, to long"), "met")
     return met.groupBy("rep").agg(F.sum("n").alias("n_links")), met.select(F.col("rep").alias("src"), F.col("to").alias("dst"))
 
 

@@ -64,4 +64,21 @@ def test_pruning_keeps_the_nearest():
     links = V.build(x, V.Graph())
     s = x @ x.T
     np.fill_diagonal(s, -2)
-    assert all(s[k].argmax() in links[k] for k in range(200))
+    assert all(s[k].argmax() in links.near(np.array([k]))[1] for k in range(200))
+
+
+def test_one_large_group_in_bounded_blocks():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=16) + rng.normal(size=(3000, 16)) * 0.02
+    rep = np.arange(3000) * 2
+    g = V.Graph()
+    links = V.build(x / np.linalg.norm(x, axis=1)[:, None], g)
+    rows = pd.DataFrame({"kind": "a", "number": 3, "graph": 0, "asker": 0, "part": 0, "rep": rep, "copies": 1, "v": [r.tobytes() for r in x]})
+    rows["shards"], rows["near"] = [[3]] * 3000, np.split(rep[links.nodes], links.begins[1:-1])
+    got = V._meet(g)(rows)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= g.cosine).sum(axis=1) - 1
+    assert got["n"].sum() >= 0.99 * want.sum() and (got.set_index("rep")["n"].reindex(rep).fillna(0).to_numpy() <= want).all()
+    assert set(got["to"]) == {0}
