@@ -287,12 +287,18 @@ def match_batch(issues: DataFrame, files: DataFrame, folder: str = "folder") ->
     )
 
 
-def slug_belongs(slug: Column, series: Column) -> Column:
-    """Whether a page slug is of the series itself: prefix, then end, number or an allowed word, and no collected edition."""
-    bare = F.regexp_replace(F.lower(slug), "^(?:the|a|an)-", "")
-    want = F.regexp_replace(F.regexp_replace(F.lower(series), "^(?:the|a|an)-", ""), " ", "-")
-    rest = F.substring(bare, F.length(want) + 1, F.lit(1 << 20))
-    collected = F.lower(slug).rlike(r"(?:^|-)(?:tpb|hc|omnibus|compendium|collection|deluxe|hardcover)(?:-|$)")
-    return ~collected & bare.startswith(want) & ((rest == "") | rest.rlike("^-[0-9]") | rest.rlike("^-(?:annual|special|issue)"))
+#: Parts of slugs that mark collected editions; words that may follow a series in an issue's slug.
+COLLECTED = [
+    "-tpb", "-hc", "-gn", "-graphic-novel", "-trade-paperback", "-hardcover", "-softcover", "-collection", "-collected", "-omnibus", "-compendium", "-deluxe", "-edition", "-masterworks",
+    "-box-set", "-slipcase", "-treasury", "-digest", "-epic-collection", "-ultimate-collection", "-must-haves", "-volume-", "-vol-", "coleccionable",
+]
+SPECIAL = ["annual", "special", "super", "giant", "fcbd", "free", "ashcan", "preview", "oneshot", "one", "zero", "issue"]
 
 
+def slug_belongs(slug: Column, series: Column) -> Column:
+    """Whether a page slug is of the series itself: prefix, then end, number or a special word, and no collected edition."""
+    bare = F.regexp_replace(F.lower(slug), "^(?:the-)?(?:a-)?(?:an-)?", "")
+    want = F.regexp_replace(F.regexp_replace(F.lower(series), " ", "-"), "^(?:the-)?(?:a-)?(?:an-)?", "")
+    rest = F.substring(bare, F.length(want) + 1, F.lit(1 << 20))
+    follows = (rest == "") | rest.rlike("^-(?:$|[0-9])") | rest.rlike(f"^-(?:{'|'.join(SPECIAL)})(?:-|$)")
+    return ~F.lower(slug).rlike("|".join(COLLECTED)) & bare.startswith(want) & follows

@@ -109,6 +109,23 @@ SELECT l_orderkey AS archive, concat('page', CAST(l_linenumber AS STRING), '.jpg
   CASE WHEN l_partkey % 70 = 1 THEN 'changed' ELSE CAST(l_suppkey AS STRING) END AS sha256
 FROM {lineitem} WHERE l_orderkey % 4 = 0 AND l_partkey % 60 <> 2
 UNION ALL SELECT o_orderkey, 'extra.txt', 1, 1, 'y' FROM {orders} WHERE o_orderkey % 12 = 0""",
+    "related_issues": """
+SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey AS STRING), ',"number":"#', CAST(p_size AS STRING), '","title":"', CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END, '","publication_date":"', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('May ', CAST(1940 + p_partkey % 80 AS STRING)) END,
+  '","series_id":', CAST(p_partkey % 97 AS STRING), ',"story_set":[', chr(123), '"writer":"', p_brand, '; ', p_type, ' (plot)","characters":"', p_name, '"', chr(125), ',', chr(123), '"writer":"', p_type, ', Ann?","inker":"', p_brand, '"', chr(125), ']', chr(125)) AS data
+FROM {part}""",
+    "related_series": """
+SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","publisher_id":', CAST(p_partkey % 30 AS STRING), chr(125)) AS data FROM {part} WHERE p_partkey < 90""",
+    "related_publishers": """
+SELECT s_suppkey AS row_id, concat(chr(123), '"id":', CAST(s_suppkey AS STRING), ',"name":"', s_name, '"', chr(125)) AS data FROM {supplier} WHERE s_suppkey < 25""",
+    "volume_pages": """
+SELECT p_partkey % 40 AS volume_id, CAST(floor(p_partkey / 40) + 1 AS INT) AS page_no, 'red-sky' AS slug,
+  concat('<h1>Red Sky</h1><ul><li>#', CAST(p_size AS STRING), CASE WHEN p_partkey % 6 = 0 THEN 'A' ELSE '' END, ' <a href="/', CASE p_partkey % 5 WHEN 0 THEN 'blue-sky-1' WHEN 1 THEN 'the-red-sky-7' ELSE 'red-sky-annual' END, '/4000-', CAST(p_partkey AS STRING), '/">', p_name,
+  '</a></li><li>#1-5 <a href="/red-sky-2/4000-', CAST(p_partkey + 10000000 AS STRING), '/">all</a></li><li><a href="/red-sky/4000-', CAST(p_partkey + 20000000 AS STRING), '/">Issue ', CAST(p_size + 100 AS STRING), '</a></li></ul>') AS html
+FROM {part}""",
+    "order_pages": """
+SELECT p_partkey AS page_id, concat('<p><a href="/x/4000-', CAST(p_partkey AS STRING), '/">', p_name, ' #', CAST(p_size AS STRING), CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END, '</a> <a href="/x/4000-1/">Edit page</a> <a href="/x/4005-1/">Who #3</a> <a href="/x/4000-', CAST(p_partkey + 1 AS STRING), '/">', p_type, '</a>',
+  '<a href="/x/4000-', CAST(p_partkey AS STRING), '/">again #9</a></p>') AS html
+FROM {part}""",
     "known_files": """
 SELECT concat('/lib/', CAST(o_custkey AS STRING)) AS path, CAST(o_orderkey % 97 AS BIGINT) AS size, CAST(o_orderkey % 89 AS BIGINT) AS mtime, concat('h', CAST(o_orderkey % 83 AS STRING)) AS sha256, o_orderstatus AS status, CAST(o_orderkey AS BIGINT) AS updated_at
 FROM {orders}""",
@@ -131,13 +148,13 @@ FROM {lineitem}""",
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TEXTS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "events", "orders", "customer") if "{" + t + "}" in text}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "events", "orders", "customer", "supplier") if "{" + t + "}" in text}
     return spark.sql(text, **tables)
 
 
 def duck(name: str) -> str:
     """The same text for DuckDB, as a common table expression."""
     text = TEXTS[name]
-    for t in ("part", "lineitem", "events", "orders", "customer"):
+    for t in ("part", "lineitem", "events", "orders", "customer", "supplier"):
         text = text.replace("{" + t + "}", t)
     return f"{name} AS ({text})"

@@ -443,3 +443,14 @@ a AS (SELECT file_id, folder, 0 AS plus, number AS key FROM f UNION ALL SELECT f
 m AS (SELECT file_id, min(ROW(plus + rule, url)) AS m FROM a JOIN k USING (folder, key) GROUP BY 1)
 SELECT f.file_id, f.folder, f.number, coalesce(m[2], '') AS url, CASE WHEN m IS NULL THEN 'unmatched' ELSE 'ready' END AS status FROM f LEFT JOIN m USING (file_id)""",
 }
+
+_LISTED = """l AS (SELECT p_partkey % 40 AS volume_id, floor(p_partkey / 40) + 1 AS page_no, 0 AS pos, p_size || CASE WHEN p_partkey % 6 = 0 THEN 'A' ELSE '' END AS number, '/' || CASE WHEN p_partkey % 5 = 1 THEN 'the-red-sky-7' ELSE 'red-sky-annual' END || '/4000-' || p_partkey || '/' AS url, p_name AS label FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT p_partkey % 40, floor(p_partkey / 40) + 1, 2, CAST(p_size + 100 AS VARCHAR), '/red-sky/4000-' || (p_partkey + 20000000) || '/', 'Issue ' || (p_size + 100) FROM part)"""
+ORACLES |= {
+    "S10_related_records": """WITH s AS (SELECT p_partkey AS sid, p_name AS series, s_name AS publisher FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 30 AND s_suppkey < 25 WHERE p_partkey < 90)
+SELECT p_partkey AS issue_id, coalesce(series, '') AS series, CAST(p_size AS VARCHAR) AS number, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE coalesce(series, '') || ' #' || p_size END AS title, coalesce(publisher, '') AS publisher, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1940 + p_partkey % 80 END AS year, '' AS summary,
+p_brand || '; ' || p_type || '; Ann' AS writers, '' AS pencillers, p_brand AS inkers, '' AS colorists, p_name AS characters FROM part LEFT JOIN s ON sid = p_partkey % 97""",
+    "S15_volume_issues": f"WITH {_LISTED} SELECT volume_id, number, url, label FROM l WHERE page_no <= 50 QUALIFY row_number() OVER (PARTITION BY volume_id, number ORDER BY page_no, pos) = 1",
+    "S16_reading_entries": """SELECT p_partkey AS page_id, 1 AS place, p_name AS series, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END AS number, p_name || ' #' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END AS title, '/x/4000-' || p_partkey || '/' AS url FROM part
+UNION ALL SELECT p_partkey, 2, p_type, '', p_type, '/x/4000-' || (p_partkey + 1) || '/' FROM part""",
+}

@@ -582,3 +582,18 @@ def _(spark, sf):
 def _(spark, sf):
     decided = D.decide(evaluated(spark, sf)).where("action = 'REVIEW'")
     return B.review_reports(decided.join(derive(spark, sf, "lib_files"), "file_id"))
+
+
+@query("S10_related_records")
+def _(spark, sf):
+    return B.related_records(*[derive(spark, sf, f"related_{x}") for x in ("issues", "series", "publishers")])
+
+
+@query("S15_volume_issues")
+def _(spark, sf):
+    return G.volume_issues(derive(spark, sf, "volume_pages"))
+
+
+@query("S16_reading_entries")
+def _(spark, sf):
+    return G.reading_entries(G.page_parts(derive(spark, sf, "order_pages")))

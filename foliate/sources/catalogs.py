@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.functions.text import text
+from foliate.functions.text import creator_form, text
 
 VOLUME = "id long, title string, name string, year string, publisher string, issues array<struct<id:long,issue_number:string,number:string,title:string,date:string>>"
 
@@ -58,3 +58,50 @@ def review_reports(decisions: DataFrame) -> DataFrame:
     ]
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return decisions.select("file_id", F.concat(F.lit("review_"), stem, F.lit(".md")).alias("name"), F.concat_ws("\n", *lines).alias("report"))
+
+
+RELATED = {
+    "issue": "id long, number string, title string, publication_date string, notes string, series_id long, story_set array<struct<writer:string,penciler:string,inker:string,colorist:string,characters:string>>",
+    "series": "id long, name string, publisher_id long",
+    "publisher": "id long, name string",
+}
+
+
+def related_records(issues: DataFrame, series: DataFrame, publishers: DataFrame, data: str = "data") -> DataFrame:
+    """A record per issue of a relational catalog: issue, its series, the series' publisher, its stories' people.
+
+    Each table holds JSON in `data`.  People are split on commas and semicolons, characters
+    on semicolons; each list keeps its order and drops repeats.  Payloads without an id give
+    no row; missing series and publishers leave blanks; of a repeated id one row counts.
+    """
+
+    def read(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select(F.from_json(F.col(data), RELATED[kind]).alias("r")).where("r.id is not null").select("r.*")
+
+    s = read(series, "series").groupBy(F.col("id").alias("series_id")).agg(F.min(F.struct("name", "publisher_id")).alias("s"))
+    p = read(publishers, "publisher").groupBy(F.col("id").alias("publisher_id")).agg(F.min("name").alias("publisher"))
+    known = s.select("series_id", F.col("s.name").alias("series"), F.col("s.publisher_id").alias("publisher_id")).join(p, "publisher_id", "left")
+    i = read(issues, "issue").join(known, "series_id", "left")
+    number = F.regexp_replace(F.trim(text(F.col("number"))), "^#+", "")
+    series_name = text(F.col("series"))
+    named = F.when(number != "", F.concat(series_name, F.lit(" #"), number)).otherwise(series_name)
+
+    def people(field: str, cut: str) -> Column:
+        told = F.transform(F.coalesce(F.col("story_set"), F.array()), lambda x: F.coalesce(x[field], F.lit("")))
+        names = F.transform(F.flatten(F.transform(told, lambda x: F.split(x, cut))), lambda x: creator_form(x))
+        return F.array_join(F.array_distinct(F.filter(names, lambda x: x != "")), "; ")
+
+    return i.select(
+        F.col("id").alias("issue_id"),
+        series_name.alias("series"),
+        number.alias("number"),
+        F.when(text(F.col("title")) != "", F.col("title")).otherwise(named).alias("title"),
+        text(F.col("publisher")).alias("publisher"),
+        F.coalesce(F.regexp_extract(text(F.col("publication_date")), r"\b(19[0-9]{2}|20[0-9]{2})\b", 1).try_cast("int"), F.lit(0)).alias("year"),
+        text(F.col("notes")).alias("summary"),
+        people("writer", "[,;]+").alias("writers"),
+        people("penciler", "[,;]+").alias("pencillers"),
+        people("inker", "[,;]+").alias("inkers"),
+        people("colorist", "[,;]+").alias("colorists"),
+        people("characters", ";+").alias("characters"),
+    )

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions.text import creator_form
-from foliate.operators.curate import first_by
+from foliate.operators.curate import first_by, slug_belongs
 
 #: Keywords of a creator's role, tested in this order.
 ROLES = [("writers", "writer"), ("pencillers", "penciller|artist"), ("inkers", "inker"), ("colorists", "colorist"), ("letterers", "letterer"), ("cover_artists", "cover")]
@@ -101,3 +101,41 @@ def labelled_text(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     out = rows.withColumn("_lines", lines)
     year = F.coalesce(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int"), F.lit(0))
     return out.select(key, F.coalesce(F.get("_lines", F.lit(0)), F.lit("")).alias("title"), year.alias("year"), *[labelled(v).alias(k) for k, v in LABELS.items()])
+
+
+#: Spellings of an issue number, and the text of a range of issues.
+NUMBER = r"[0-9]+½|[0-9]+/[0-9]+|[0-9]+\.[0-9]+|[0-9]+[a-zA-Z]?|½|0\.5"
+RANGE = r"\(#?[0-9]+\s*[-–]\s*[0-9]+\)|#[0-9]+\s*[-–]\s*[0-9]+"
+MOST_PAGES = 50
+
+
+def volume_issues(pages: DataFrame, most_pages: int = MOST_PAGES) -> DataFrame:
+    """volume_id, number, url, label: the issues that a volume's pages (volume_id, page_no, slug, html) list.
+
+    The number stands in the text around a link, else in its label; entries that name a
+    range and issues of other series (by slug; a blank slug accepts all) are left out.  Of
+    a number the first link counts, by page and place.  Pages after `most_pages` are not read.
+    """
+    wanted = pages.where(F.col("page_no").between(1, most_pages)).withColumn("page_id", F.xxhash64("volume_id", "page_no"))
+    keys = wanted.select("page_id", "volume_id", "page_no", "slug").distinct()
+    rows = page_parts(wanted).where((F.col("tag") == "a") & F.col("href").rlike("/4000-[0-9]+")).join(keys, "page_id")
+    around = F.when(F.col("around") != "", F.col("around")).otherwise(F.col("text"))
+    found = [F.regexp_extract(around, f"(?i)#(?:Issue\\s*)?({NUMBER})", 1), F.regexp_extract(around, f"(?i)Issue\\s*#?\\s*({NUMBER})", 1), F.regexp_extract("text", f"#({NUMBER})", 1)]
+    number = F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+    slug = F.regexp_extract("href", r"/([^/]+)/4000-", 1)
+    own = (F.col("slug") == "") | (slug == "") | slug_belongs(slug, F.col("slug"))
+    kept = rows.where(~around.rlike(RANGE) & own).withColumn("number", number).where("number is not null")
+    return first_by(kept, ["volume_id", "number"], ["page_no", "pos"]).select("volume_id", "number", F.col("href").alias("url"), F.col("text").alias("label"))
+
+
+def reading_entries(parts: DataFrame) -> DataFrame:
+    """page_id, place (from 1), series, number, title, url: the issues of reading-order pages, in order.
+
+    Links that edit, cover, view or add something are left out; a url counts once.
+    """
+    named = parts.where("tag = 'a' and text <> ''").withColumnRenamed("text", "name")
+    kept = named.where(F.col("href").contains("/4000-") & ~F.lower("name").rlike("^(?:edit|cover|view|add)"))
+    kept = first_by(kept, ["page_id", "href"], ["pos"])
+    series = F.coalesce(F.nullif(F.trim(F.regexp_extract("name", r"^(.+?)\s+#", 1)), F.lit("")), F.col("name"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return kept.select("page_id", place.alias("place"), series.alias("series"), F.regexp_extract("name", r"#([0-9]+[a-zA-Z]?)", 1).alias("number"), F.col("name").alias("title"), F.col("href").alias("url"))
