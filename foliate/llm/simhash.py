@@ -13,12 +13,16 @@ of three bytes, at most 2^24 of them.  Where such a list is still long, the 2,32
 neighbours within three bits of each member are looked up instead of comparing pairs.
 Tasks return one link per member to the group it meets, never all pairs.
 
-`near_groups` takes five-word shingles and a similarity of 0.8 or more, for which 64 bits
-are too few.  Its fingerprints have 32 bytes; texts with that similarity differ in about
-15 percent of the bits, and are verified by at most 44 of 256, which about 84 percent of
-pairs of exactly 0.8 pass and nearly all of 0.9.  Posting lists are of 48 pairs of byte
-positions; pairs of 0.8 share at least one pair's bytes with a chance of about 97 percent.
-Unrelated texts differ in half the bits and never pass.
+`near_groups` takes five-word shingles, each counted once, and a similarity of 0.8 or
+more, for which 64 bits are too few.  Its fingerprints have 32 bytes; sets with that
+similarity differ in about 15 percent of the bits.  Candidates differ in at most 56 of 256
+bits and share at least four bytes: of four positions two lie in the same third, so lists
+of the 155 byte pairs within thirds hold every such pair.  Fingerprints of few shingles
+stray further, so sets of up to 80 shingles are listed by their smallest hashes as well, of
+which similar sets always share one, and differ in at most 72 bits.  Each candidate is
+verified by the exact Jaccard similarity of its shingle sets before it links.  A list that
+holds very many candidates gives a spanning forest of them first; then only pairs that the
+verified links leave in different components follow.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 repeated rows share a component; an empty table gives no rows; a row with a null id is
@@ -235,26 +239,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-WIDE_WORDS, WIDE_BITS = 5, 44
-PAIRS = [(i, (i + 1) % 32) for i in range(32)] + [(i, (i + 7) % 32) for i in range(16)]
+WIDE_WORDS, WIDE_BITS, WIDE_SHARED = 5, 56, 4
+#: Similarity in percent that links two sets of shingles.
+ALIKE = 80
+THIRDS = (range(11), range(11, 22), range(22, 32))
+PAIRS = [p for third in THIRDS for p in combinations(third, 2)]
+#: Sets up to this size are listed by their smallest hashes too, and may differ in more bits.
+SHORT, SHORT_BITS = 80, 72
+#: Candidates for each member of a list, from which on it gives a spanning forest first.
+DENSE = 8
 _STEPS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
-def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
-    """32-byte SimHash; each shingle's hash is mixed into four words of 64 bits."""
+def shingle_set(text: str | None, words: int = WIDE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle."""
     w = (text or "").encode().lower().split()
     if not w:
-        return bytes(32)
+        return np.empty(0, np.uint64)
     joined = b" ".join(w)
     n = max(1, len(w) - words + 1)
     digest = xxhash.xxh64_intdigest
     if n == 1:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """32-byte SimHash of a shingle set; each hash is mixed into four words of 64 bits."""
+    n = len(h)
     counts = np.zeros(256, np.int64)
     for at in range(0, n, 16384):
         x = h[at : at + 16384, None] + _STEPS
@@ -265,70 +279,180 @@ def wide_fingerprint(text: str | None, words: int = WIDE_WORDS) -> bytes:
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def _grow(fps: np.ndarray) -> np.ndarray:
-    """Index of the group of each fingerprint (n x 4 words): the smallest member that close pairs reach.
+def _set_key(h: np.ndarray) -> int:
+    """A shingle set's digest as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
+
+
+def _head(h: np.ndarray) -> np.ndarray:
+    """The smallest hashes of a short set; sets of similarity 0.8 share one of theirs."""
+    n = len(h)
+    return h[: n - (n * ALIKE + 99) // 100 + 1] if 0 < n <= SHORT else h[:0]
+
+
+def _forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint (n x 4 words) its group, the smallest member that close pairs reach, and a close member that led to it.
 
     A group grows from one member.  Members are compared with what is in no group yet,
     which shrinks as the group absorbs it, so a large dense group costs about one pass.
     """
     n = len(fps)
-    label = np.arange(n)
+    label, parent = np.arange(n), np.arange(n)
     rest = np.arange(n)
     while len(rest) > 1:
         seed, rest = rest[0], rest[1:]
         frontier = np.array([seed])
         while len(frontier) and len(rest):
             some, frontier = frontier[:32], frontier[32:]
-            far = np.bitwise_count(fps[some][:, None, :] ^ fps[rest][None, :, :]).sum(axis=2, dtype=np.int32)
-            near = (far <= WIDE_BITS).any(axis=0)
+            far = np.stack([np.bitwise_count(fps[x] ^ fps[rest]).sum(axis=1, dtype=np.int32) for x in some])
+            at = far.argmin(axis=0)
+            near = far[at, np.arange(len(rest))] <= most
             label[rest[near]] = seed
+            parent[rest[near]] = some[at[near]]
             frontier = np.concatenate([frontier, rest[near]])
             rest = rest[~near]
-    return label
+    return label, parent
 
 
-def _scan_wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links within posting lists, rows sorted by key; a list may run over several batches."""
-
-    def told(key: np.ndarray, ids: np.ndarray, raw: list[bytes]) -> Iterator[pd.DataFrame]:
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-        sizes = np.diff(starts)
-        fps = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4)
-        short = np.repeat((sizes > 1) & (sizes <= 24), sizes)
-        k, f, i = key[short], fps[short], ids[short]
+def _grow(fps: np.ndarray) -> np.ndarray:
+    """Index of the group of each fingerprint (n x 4 words): the smallest member that close pairs reach."""
+    return _forest(fps, WIDE_BITS)[0]
+
+
+def _candidates(fps: np.ndarray, i: np.ndarray, j: np.ndarray, short: bool) -> np.ndarray:
+    """Which of the pairs (i, j) pass the limit of bits and, outside lists of short sets, the minimum of shared bytes."""
+    ok = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32) <= (SHORT_BITS if short else WIDE_BITS)
+    if not short:
+        b = fps.view(np.uint8).reshape(-1, 32)
+        at = np.flatnonzero(ok)
+        ok[at] = (b[i[at]] == b[j[at]]).sum(axis=1) >= WIDE_SHARED
+    return ok
+
+
+def _list_pairs(fps: np.ndarray, some: np.ndarray, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of the members `some` with all later members, or with all others outside `some`, in bounded pieces."""
+    n = len(fps)
+    place = np.full(n, -1)
+    place[some] = some
+    every = np.arange(n)
+    step = max(1, (1 << 18) // n)
+    for a in range(0, len(some), step):
+        rows = some[a : a + step]
+        i, j = np.repeat(rows, n), np.tile(every, len(rows))
+        keep = (place[j] < 0) | (j > i)
+        i, j = i[keep], j[keep]
+        ok = _candidates(fps, i, j, short)
+        yield i[ok], j[ok]
+
+
+def _told(key: np.ndarray, nodes: np.ndarray, raw: list[bytes], groups: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """Candidates (kind 0) of whole lists, rows sorted by key, and the keys of dense lists (kind 1).
+
+    With `groups`, the members' components so far, only pairs of different ones are told.
+    """
+
+    def frame(src, dst, kind: int) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.full(len(src), kind, np.int32), "src": src, "dst": dst})
+
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
+    sizes = np.diff(starts)
+    fps = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4)
+    few = np.repeat((sizes > 1) & (sizes <= (24 if groups is None else 0)), sizes)
+    for short in (False, True):
+        mine = few & ((key < 0) == short)
+        k, f, c = key[mine], fps[mine], nodes[mine]
         for d in range(1, 24):
             at = np.flatnonzero(k[:-d] == k[d:])
             if not len(at):
                 break
             for a in range(0, len(at), 1 << 18):
                 part = at[a : a + (1 << 18)]
-                ok = part[np.bitwise_count(f[part] ^ f[part + d]).sum(axis=1, dtype=np.int32) <= WIDE_BITS]
-                if len(ok):
-                    yield pd.DataFrame({"src": i[ok], "dst": i[ok + d]})
-        for g in np.flatnonzero(sizes > 24):
-            a, z = starts[g], starts[g + 1]
-            label = _grow(fps[a:z])
-            moved = np.flatnonzero(label != np.arange(z - a))
-            if len(moved):
-                yield pd.DataFrame({"src": ids[a:z][moved], "dst": ids[a:z][label[moved]]})
-
-    waiting: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+                part = part[_candidates(f, part, part + d, short)]
+                if len(part):
+                    yield frame(c[part], c[part + d], 0)
+    for g in np.flatnonzero(sizes > (24 if groups is None else 1)):
+        a, z = starts[g], starts[g + 1]
+        f, c, short = fps[a:z], nodes[a:z], bool(key[a] < 0)
+        if groups is not None:
+            own, first, size = np.unique(groups[a:z], return_index=True, return_counts=True)
+            if len(own) == 1:
+                continue
+            group = groups[a:z]
+            for i, j in _list_pairs(f, np.flatnonzero(group != own[size.argmax()]), short):
+                apart = group[i] != group[j]
+                if apart.any():
+                    yield frame(c[i[apart]], c[j[apart]], 0)
+            continue
+        found, total = [], 0
+        for i, j in _list_pairs(f, np.arange(z - a), short):
+            found.append((i, j))
+            total += len(i)
+            if total > DENSE * (z - a):
+                break
+        if total > DENSE * (z - a):
+            parent = _forest(f, SHORT_BITS if short else WIDE_BITS)[1]
+            moved = np.flatnonzero(parent != np.arange(z - a))
+            yield frame(c[moved], c[parent[moved]], 0)
+            yield frame(key[a : a + 1], key[a : a + 1], 1)
+        elif total:
+            yield frame(c[np.concatenate([i for i, _ in found])], c[np.concatenate([j for _, j in found])], 0)
+
+
+def _scan_wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates within posting lists, rows sorted by key; a list may run over several batches."""
+    waiting: list[tuple] = []
     for b in batches:
-        key, ids, raw = b["key"].to_numpy(), b["id"].to_numpy(), b["fp"].tolist()
+        key, nodes, raw = b["key"].to_numpy(), b["node"].to_numpy(), b["fp"].tolist()
+        groups = b["component"].to_numpy() if "component" in b else None
         if not len(key):
             continue
         if waiting and key[0] == key[-1] == waiting[0][0][0]:
-            waiting.append((key, ids, raw))
+            waiting.append((key, nodes, raw, groups))
             continue
-        all_key = np.concatenate([*(w[0] for w in waiting), key])
-        all_ids = np.concatenate([*(w[1] for w in waiting), ids])
-        all_raw = [x for w in waiting for x in w[2]] + raw
-        cut = int(np.searchsorted(all_key, all_key[-1]))
+        waiting.append((key, nodes, raw, groups))
+        key, nodes = (np.concatenate([w[x] for w in waiting]) for x in (0, 1))
+        raw = [x for w in waiting for x in w[2]]
+        groups = None if groups is None else np.concatenate([w[3] for w in waiting])
+        cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield from told(all_key[:cut], all_ids[:cut], all_raw[:cut])
-        waiting = [(all_key[cut:], all_ids[cut:], all_raw[cut:])]
+            yield from _told(key[:cut], nodes[:cut], raw[:cut], None if groups is None else groups[:cut])
+        waiting = [(key[cut:], nodes[cut:], raw[cut:], None if groups is None else groups[cut:])]
     if waiting:
-        yield from told(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), [x for w in waiting for x in w[2]])
+        groups = None if waiting[0][3] is None else np.concatenate([w[3] for w in waiting])
+        yield from _told(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), [x for w in waiting for x in w[2]], groups)
+
+
+def _list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each list of a class: its byte pairs (keys from 0 up) and its smallest hashes (negative keys)."""
+    left, right = np.array(PAIRS).T
+    for b in batches:
+        for at in range(0, len(b), 1000):
+            part = b[at : at + 1000].reset_index(drop=True)
+            x = np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(-1, 32).astype(np.int64)
+            keys = (np.arange(len(PAIRS)) << 16) | (x[:, left] << 8) | x[:, right]
+            heads = np.fromiter((x for h in part["head"] for x in memoryview(h).cast("q")), np.int64) | np.int64(-(2**63))
+            of = np.concatenate([np.repeat(np.arange(len(part)), len(PAIRS)), np.repeat(np.arange(len(part)), [len(h) // 8 for h in part["head"]])])
+            out = part.drop(columns="head").take(of).reset_index(drop=True)
+            out["key"] = np.concatenate([keys.ravel(), heads])
+            yield out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets (node, hashes) have a similarity of 0.8 or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = np.zeros(len(b), bool)
+            for k, (x, y) in enumerate(zip(b["a"], b["b"], strict=True)):
+                x, y = (np.frombuffer(v, np.uint64) if v else np.empty(0, np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = 100 * both >= ALIKE * (len(x) + len(y) - both)
+            yield b.loc[ok, ["src", "dst"]]
+
+    # by src first, so that only one set travels with a pair
+    one = pairs.join(sets.select(F.col("node").alias("src"), F.col("hashes").alias("a")), "src")
+    two = one.join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst")
+    return two.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -336,25 +460,43 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fp": [wide_fingerprint(t) for t in b["text"]]})
+            sets = [shingle_set(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "node": [_set_key(h) for h in sets], "fp": [wide_fingerprint(h) for h in sets], "head": [_head(h).tobytes() for h in sets]})
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b["text"]]
+            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "hashes": [h.tobytes() for h in sets]})
 
     kind = dict(docs.dtypes)[id_col]
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    prints = materialize(picked.mapInPandas(run, "id long, fp binary"), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("id"))
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                part = b[at : at + 2000]
-                x = np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(-1, 32).astype(np.int64)
-                keys = np.stack([(n << 16) | (x[:, i] << 8) | x[:, j] for n, (i, j) in enumerate(PAIRS)], axis=1)
-                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), len(PAIRS)), "fp": np.repeat(part["fp"].to_numpy(), len(PAIRS))})
-
-    lists = classes.mapInPandas(listed, "key long, id long, fp binary").repartition("key").sortWithinPartitions("key", "id")
-    found = connected_components(lists.mapInPandas(_scan_wide, "src long, dst long"))
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").cast(kind).alias(id_col), F.col("component_id").cast(kind).alias("component_id"))
+    prints = materialize(picked.mapInPandas(run, "id long, node long, fp binary, head binary"), "fingerprints")
+    # rows of one node have equal sets of shingles
+    classes = prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("head").alias("head"))
+
+    def verified(scanned: DataFrame) -> DataFrame:
+        pairs = scanned.where("kind = 0 and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        pairs = materialize(pairs, "candidates")
+        ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+        rows = classes.join(ends, "node", "left_semi").select("id").distinct()
+        sets = picked.join(rows, "id", "left_semi").mapInPandas(hashes, "node long, hashes binary").dropDuplicates(["node"])
+        return materialize(_verified(pairs, materialize(sets, "sets")), "verified")
+
+    scan = "kind int, src long, dst long"
+    lists = classes.select("node", "fp", "head").mapInPandas(_list_rows, "key long, node long, fp binary")
+    scanned = materialize(lists.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_scan_wide, scan), "scanned")
+    links = verified(scanned)
+    found = connected_components(links)
+    dense = scanned.where("kind = 1").select(F.col("src").alias("key")).distinct()
+    if not dense.isEmpty():
+        grouped = classes.join(found, "node", "left").select("node", "fp", "head", F.coalesce("component", "node").alias("component"))
+        lists = grouped.mapInPandas(_list_rows, "key long, node long, fp binary, component long").join(dense, "key", "left_semi")
+        again = materialize(lists.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_scan_wide, scan), "scanned")
+        found = connected_components(links.union(verified(again)))
+    rooted = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = rooted.join(least, "component").select("node", "component_id")
+    return prints.join(named, "node").select(F.col("id").cast(kind).alias(id_col), F.col("component_id").cast(kind).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -67,6 +67,51 @@ def test_large_list_grows_as_brute_force():
     assert (H._grow(fps) == want).all()
 
 
+def blends(sizes, rng):
+    """Pairs of texts whose similarity lies between about 0.6 and 0.9: the second text has another ending."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 9)))
+    for n in sizes:
+        w = [word() for _ in range(n)]
+        keep = round(n * rng.uniform(0.8, 0.95))
+        yield " ".join(w), " ".join(w[:keep] + [word() for _ in range(n - keep)])
+
+
+def test_pairs_link_from_a_similarity_of_08_on(spark):
+    rng = random.Random(11)
+    pairs = list(blends([rng.choice([12, 30, 60, 90, 200, 400]) for _ in range(1200)], rng))
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r["doc_id"]: r["component_id"] for r in H.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [i for i, p in enumerate(pairs) if alike(*p) >= 0.8]
+    edge = [i for i in close if alike(*pairs[i]) < 0.83]
+    assert len(edge) > 80 and len(pairs) - len(close) > 300
+    linked = {i for i in range(len(pairs)) if got[2 * i] == got[2 * i + 1]}
+    print(f"recall {len(linked & set(close))} of {len(close)}, below 0.83 {len(linked & set(edge))} of {len(edge)}")
+    assert not linked - set(close)
+    assert len(linked & set(close)) >= 0.98 * len(close) and len(linked & set(edge)) >= 0.96 * len(edge)
+
+
+def test_a_repeated_shingle_does_not_link(spark):
+    rng = random.Random(12)
+    texts = ["la la la la la " * 200 + " ".join(str(rng.random()) for _ in range(60)) for _ in range(3)]
+    got = H.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({r["component_id"] for r in got}) == 3
+
+
+@pytest.mark.parametrize("part", [0.93, 0.86])
+def test_template_family_links_as_brute_force(spark, part):
+    rng = random.Random(13)
+    base = [str(rng.random()) for _ in range(300)]
+    texts = [" ".join(base[: round(300 * part)] + [str(rng.random()) for _ in range(round(300 * (1 - part)))]) for _ in range(60)]
+    texts += [" ".join(t.split()[:-20] + ["x"] * k) for k, t in enumerate(texts[:30], 1)]
+    want = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8]
+    for _ in range(20):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["component_id"] for r in H.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 @pytest.fixture(scope="module")
 def small(tmp_path_factory, spark):
     d = tmp_path_factory.mktemp("sf")
