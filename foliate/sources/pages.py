@@ -24,7 +24,7 @@ class _Links(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[tuple[str, str, str, str]] = []  # tag, href, text, block text
+        self.parts: list[tuple[str, str, str, list[str]]] = []  # tag, href, text, pieces of the block's text, to which later ones are added
         self.open: list[tuple[str, str, list[str]]] = []
 
     def handle_starttag(self, tag, attrs):
@@ -41,20 +41,31 @@ class _Links(HTMLParser):
                 _, href, text = self.open.pop(k)
                 if tag in ("a", "h1", "title"):
                     block = next((x for x in reversed(self.open[:k]) if x[0] in self.BLOCKS), None)
-                    around = "".join(block[2]) if block else ""
-                    self.parts.append((tag, href, " ".join("".join(text).split()), " ".join(around.split())[:160]))
+                    self.parts.append((tag, href, " ".join("".join(text).split()), block[2] if block else []))
                 return
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
-    """page_id, pos, tag (a, h1 or title), href, text, around (the block's text up to there, 160 characters at most)."""
+    """page_id, pos, tag (a, h1 or title), href, text, around (the whole text of the block)."""
+
+    def frames(page: int, parts: list) -> Iterator[pd.DataFrame]:
+        """The parts in pieces of about a million characters: many links may stand in one long block."""
+        rows, size, block, around = [], 0, None, ""
+        for i, (tag, href, text, pieces) in enumerate(parts):
+            if pieces is not block:
+                block, around = pieces, " ".join("".join(pieces).split())
+            rows.append((page, i, tag, href, text, around))
+            size += len(around)
+            if size > 1 << 20 or i + 1 == len(parts):
+                yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "href", "text", "around"])
+                rows, size = [], 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for page, html in zip(b["page_id"], b["html"], strict=True):
                 p = _Links()
                 p.feed(html or "")
-                yield pd.DataFrame([(page, i, *x) for i, x in enumerate(p.parts)], columns=["page_id", "pos", "tag", "href", "text", "around"])
+                yield from frames(page, p.parts)
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, href string, text string, around string")
 
@@ -86,7 +97,7 @@ def search_results(page_links: DataFrame) -> DataFrame:
     kind = F.when(F.col("href").contains("/4050-"), "Volume").when(F.col("href").contains("/4000-"), "Issue")
     year = F.coalesce(F.regexp_extract("around", r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int"), F.lit(0))
     count = F.coalesce(F.regexp_extract("around", r"\(([0-9]+) issues?\)", 1).try_cast("int"), F.lit(0))
-    return page_links.select("page_id", "href", "name", kind.alias("kind"), year.alias("year"), count.alias("n_issues"), F.col("around").alias("description")).where("kind is not null")
+    return page_links.select("page_id", "href", "name", kind.alias("kind"), year.alias("year"), count.alias("n_issues"), F.substring("around", 1, 160).alias("description")).where("kind is not null")
 
 
 def labelled_text(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -21,6 +21,18 @@ def test_volume_issues(spark):
     assert sorted((r["volume_id"], r["number"], r["url"]) for r in got) == [(1, "0.5", "/red-sky/4000-7/"), (1, "1", "/red-sky-1/4000-1/"), (1, "4A", "/the-red-sky-4/4000-6/"), (2, "7", "/any/4000-10/")]
 
 
+def test_the_whole_text_around_a_link_counts(spark):
+    long = "word " * 60
+    html = f"<li>{long}#12 <a href='/x/4000-1/'>a</a></li><li><a href='/x/4000-2/'>b</a> #13</li><li><a href='/x/4000-3/'>c #2</a> #2-5</li><li>#14 <a href='/x/4000-4/'>d</a>"
+    got = G.volume_issues(spark.createDataFrame([(1, 1, "", html)], "volume_id long, page_no int, slug string, html string")).collect()
+    assert sorted((r["number"], r["url"]) for r in got) == [("12", "/x/4000-1/"), ("13", "/x/4000-2/"), ("14", "/x/4000-4/")]
+    html = f"<li><a href='/p/1/'>Ann Lee</a>, writer</li><li><a href='/x/4050-1/'>Kap</a> {long}1999 (7 issues)</li>"
+    found = G.links(G.page_parts(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    assert [(r["role"], r["name"]) for r in G.creators(found).collect()] == [("writers", "Ann Lee")]
+    r = G.search_results(found).first()
+    assert (r["year"], r["n_issues"], len(r["description"])) == (1999, 7, 160)
+
+
 def test_reading_entries(spark):
     html = "<a href='/x/4000-1/'>Edit</a><a href='/x/4000-1/'>Kap #1</a><a href='/x/4000-2/'>Kap</a><a href='/y'>No #3</a><a href='/x/4000-1/'>Kap #9</a>"
     got = G.reading_entries(G.page_parts(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))).collect()
