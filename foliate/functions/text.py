@@ -75,8 +75,7 @@ def provider_name(c: Column) -> Column:
 def route(c: Column, base: str = "") -> Column:
     """Which source a url or pasted text belongs to."""
     t = text(c)
-    markers = ["Grand Comics Database", "Indexer notes", "Pencils:", "Script:"]
-    pasted = reduce(lambda a, m: a | t.contains(m), markers, F.lit(False))
+    pasted = reduce(lambda a, m: a | t.contains(m), PASTED, F.lit(False))
     out = F.when(F.lower(t).contains("comics.org") | pasted, "GCP").otherwise("ComicVine")
     return F.when(t.startswith(base), "Kapowarr").otherwise(out) if base else out
 
@@ -160,3 +159,30 @@ def http_state(status: Column) -> Column:
         .otherwise("UNKNOWN_ERROR")
     )
     return F.struct(state.alias("state"), status.isin(429, 500, 502, 503, 504).alias("retryable"))
+
+
+def content_hash(columns: dict[str, Column]) -> Column:
+    """First 16 hex digits of the SHA-256 of the columns as JSON, keys in order; equal content gives an equal hash."""
+    parts = []
+    for k in sorted(columns):
+        one = F.to_json(F.array(columns[k]))
+        parts.append(F.concat(F.lit(f'"{k}": '), F.substring(one, F.lit(2), F.length(one) - 2)))
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16)
+
+
+def folder_title(rel_path: Column) -> Column:
+    """Series title of a folder below the library's root: "a", "a - b" where b is a volume, else "a (b)"."""
+    parts = F.split(text(rel_path), "/")
+    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    return F.when(b.isNull(), a).when(F.lower(b).contains("volume"), F.concat(a, F.lit(" - "), b)).otherwise(F.concat(a, F.lit(" ("), b, F.lit(")")))
+
+
+#: Markers of pasted catalog text.
+PASTED = ["Grand Comics Database", "Indexer notes", "Pencils:", "Script:"]
+
+
+def is_pasted(c: Column) -> Column:
+    """Whether a value is pasted page text rather than a url: a marker, or a catalog url with more than two lines."""
+    t = text(c)
+    marked = reduce(lambda a, m: a | t.contains(m), PASTED, F.lit(False))
+    return marked | (t.contains("comics.org") & (F.size(F.split(t, "\n")) > 2))

@@ -13,6 +13,8 @@ from foliate.functions.text import arc_display, arc_form, squeeze, text
 RANGE = r"(?i)(.+?)\s*(?: issues?|,)?\s*#?([0-9]+)\s*[-–—]\s*([0-9]+)"
 SINGLE = r"(?i)(.+?)\s*(?: issue|,)?\s*#?([0-9]+[a-zA-Z]?|[0-9]+\.[0-9]+|½|1/2|0\.5)"
 STOP_WORDS = ["the", "a", "an", "of", "and"]
+#: Numbers of a range that one row holds at a time.
+BLOCK = 10_000
 
 
 def expand_ranges(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -27,10 +29,16 @@ def expand_ranges(lines: DataFrame, line: str = "line") -> DataFrame:
     single = t.rlike(SINGLE)
     series = F.when(is_range, F.regexp_extract(t, RANGE, 1)).when(single, F.regexp_extract(t, SINGLE, 1)).otherwise(t)
     one = F.array(F.when(single, F.regexp_extract(t, SINGLE, 2)).otherwise("1"))
-    many = F.transform(F.sequence(F.least(low, high), F.greatest(low, high)), lambda n: n.cast("string"))
-    rows = lines.where(t != "").withColumns({"series": F.trim(series), "_numbers": F.when(is_range, many).otherwise(one), "_plain": ~is_range & ~single})
-    out = rows.select("*", F.posexplode("_numbers").alias("at", "number"))
-    return out.withColumn("title", F.when(F.col("_plain"), F.col("series")).otherwise(F.concat("series", F.lit(" #"), "number"))).drop("_numbers", "_plain")
+    rows = lines.where(t != "").withColumns({"series": F.trim(series), "_one": one, "_low": F.when(is_range, low), "_high": F.when(is_range, high), "_plain": ~is_range & ~single})
+    # wide ranges go block by block, so that no row ever holds all their numbers
+    blocks = F.when(F.col("_low").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_high") - F.col("_low"), F.lit(BLOCK)))
+    rows = rows.withColumn("_from", F.explode(blocks))
+    start = F.col("_low") + F.col("_from")
+    stop = start + F.least(F.lit(BLOCK - 1), F.col("_high") - start)
+    many = F.transform(F.sequence(start, stop), lambda n: n.cast("string"))
+    out = rows.withColumn("_numbers", F.when(F.col("_low").isNull(), F.col("_one")).otherwise(many)).select("*", F.posexplode("_numbers").alias("_at", "number"))
+    title = F.when(F.col("_plain"), F.col("series")).otherwise(F.concat("series", F.lit(" #"), "number"))
+    return out.withColumns({"at": F.col("_from") + F.col("_at"), "title": title}).drop("_numbers", "_plain", "_one", "_low", "_high", "_from", "_at")
 
 
 def tag_list(arcs: Column, nums: Column, blank: Column | str = "1") -> Column:
@@ -101,38 +109,53 @@ def series_in_path(series: Column, path: Column) -> Column:
     )
 
 
-def number_in_name(number: Column, name: Column) -> Column:
-    """Whether a file name carries an issue number, by its extracted number or one of five spellings."""
+def number_keys(number: Column) -> Column:
+    """array<string>: an issue number as it is compared with the number read from a name ("="), and its digits ("n")."""
     n = F.regexp_replace(F.regexp_extract(number, "([0-9]+)", 1), "^0+(?=[0-9])", "")
+    whole = F.when(text(number) != "", F.concat(F.lit("="), numbers.unpadded(number)))
+    return F.filter(F.array(whole, F.when(n != "", F.concat(F.lit("n"), n))), lambda x: x.isNotNull())
+
+
+#: Five spellings of an issue number in a file name, the digits last.
+SPELLINGS = [r"(?i)issue\s*([0-9]+)\b", r"#\s*([0-9]+)\b", r"(?i)\b([0-9]+)\.(?:cbz|cbr)$", r"(?i)vol(?:ume)?\s*[0-9]+\s+issue\s+([0-9]+)\b", r"(?i)v[0-9]+\s+([0-9]+)\b"]
+
+
+def name_keys(name: Column) -> Column:
+    """array<string>: the keys of all issue numbers that a file name carries; it holds a number if they share a key."""
     found = numbers.reading_number(name)
-    shapes = [
-        F.concat(F.lit(r"(?i)issue\s*0*"), n, F.lit(r"\b")),
-        F.concat(F.lit(r"#\s*0*"), n, F.lit(r"\b")),
-        F.concat(F.lit(r"(?i)\b0*"), n, F.lit(r"\.(?:cbz|cbr)$")),
-        F.concat(F.lit(r"(?i)vol(?:ume)?\s*[0-9]+\s+issue\s+0*"), n, F.lit(r"\b")),
-        F.concat(F.lit(r"(?i)v[0-9]+\s+0*"), n, F.lit(r"\b")),
-    ]
-    same = (found != "") & (number != "") & (numbers.unpadded(found) == numbers.unpadded(number))
-    return same | F.when(n == "", False).otherwise(reduce(lambda a, p: a | F.rlike(name, p), shapes, F.lit(False)))
+    whole = F.when(found != "", F.concat(F.lit("="), numbers.unpadded(found)))
+    spelled = F.flatten(F.array(*[F.regexp_extract_all(name, F.lit(p), F.lit(1)) for p in SPELLINGS]))
+    digits = F.transform(spelled, lambda d: F.concat(F.lit("n"), F.regexp_replace(d, "^0+(?=[0-9])", "")))
+    return F.array_distinct(F.filter(F.concat(F.array(whole), digits), lambda x: x.isNotNull()))
+
+
+def _pieces(words: Column, size: int) -> Column:
+    """All pieces of `size` letters of the words, and the words that are shorter."""
+    return F.array_distinct(
+        F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size))))))
+    )
 
 
 def reading_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """For distinct (series, number) the first file by path that holds it: series, number, path.
 
-    Paths meet series by the leading letters of the series' longest word, which every
-    path that passes must contain, so all-pairs never arise and no hit is lost.
+    A path that passes contains every word of the series, so it contains each four-letter
+    piece of them.  Series meet paths by their piece that the fewest paths contain, then
+    entries meet the names by the keys of their numbers: two equi-joins, no hit lost.
     """
-    e = entries.select("series", "number").distinct()
-    ef = path_form(F.col("series"))
-    longest = F.element_at(F.array_sort(F.transform(_content_words(F.regexp_replace(ef, "[0-9]+$", "")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    whole = F.element_at(F.array_sort(F.transform(_content_words(ef), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    e = e.withColumns({"_ef": ef, "_gram": F.substring(F.coalesce(longest, whole), 1, 4)}).where(F.col("_gram").isNotNull())
+    e = entries.select("series", "number").distinct().withColumn("_ef", path_form(F.col("series")))
+    base = _content_words(F.regexp_replace(F.col("_ef"), "[0-9]+$", ""))
+    wanted = F.when(F.size(base) > 0, base).otherwise(_content_words(F.col("_ef")))
+    names = e.select("_ef").distinct().withColumn("_piece", F.explode(_pieces(wanted, 4)))
     form = path_form(F.col("path"))
     f = files.select("path", form.alias("_pf"), F.element_at(F.split("path", "/"), -1).alias("_name")).distinct()
-    grams = F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_pf"), F.lit(1))), lambda i: F.array(*[F.substring(F.col("_pf"), i, F.lit(k)) for k in (1, 2, 3, 4)])))
-    )
-    lengths = e.select(F.length("_gram").alias("_k")).distinct()
-    f = f.withColumn("_gram", F.explode(grams)).join(F.broadcast(lengths), F.length("_gram") == F.col("_k"), "left_semi")  # four lengths at most
-    hits = e.join(f, "_gram").where(series_in_path(F.col("_ef"), F.col("_pf")) & number_in_name(F.col("number"), F.col("_name")))
+    at = F.sequence(F.lit(1), F.greatest(F.length("_pf"), F.lit(1)))
+    cut = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("_pf"), i, F.lit(k)) for k in (1, 2, 3, 4)]))))
+    known = names.select("_piece").distinct()
+    held = f.select("path", "_pf", F.explode(cut).alias("_piece")).join(known, "_piece", "left_semi")
+    often = held.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = names.join(often, "_piece", "left").groupBy("_ef").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("m")).select("_ef", F.col("m._piece").alias("_piece"))
+    pairs = rarest.join(held, "_piece").where(series_in_path(F.col("_ef"), F.col("_pf"))).select("_ef", "path")
+    keyed = pairs.withColumn("_key", F.explode(name_keys(F.element_at(F.split("path", "/"), -1))))
+    hits = e.withColumn("_key", F.explode(number_keys(F.col("number")))).join(keyed, ["_ef", "_key"])
     return hits.groupBy("series", "number").agg(F.min("path").alias("path"))

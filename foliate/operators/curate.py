@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import numbers
-from foliate.functions.text import collection_form, key_form, publisher_form, text
+from foliate.functions.text import collection_form, content_hash, key_form, provider_name, publisher_form, text
 
 ACTIVE = ["PENDING", "RUNNING", "RETRYING"]
+#: Folders of the system.
+SYSTEM_FOLDERS = ["/etc", "/root", "/proc", "/sys", "/dev", "/boot", "/var/run", "/bin", "/sbin", "/usr/bin", "/usr/sbin"]
 #: Seconds that a cache row lives, by kind.
 TTL = {"issue": 7 * 86400, "series": 7 * 86400, "search": 86400, "url": 12 * 3600}
 
@@ -54,7 +58,8 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
-    return first_by(df, keys, [F.desc(stamp)])
+    """The newest row of each key; of equally new ones always the same."""
+    return first_by(df, keys, [F.desc(stamp), F.xxhash64(*df.columns)])
 
 
 def ordered_unique(items: Column, loose: bool = True) -> Column:
@@ -109,6 +114,28 @@ def validate_collections(members: DataFrame, group: str = "collection_id") -> Da
     )
 
 
+#: List columns of a record, in its order; each holds items between semicolons.
+LISTS = ["writers", "pencillers", "inkers", "colorists", "letterers", "cover_artists", "characters", "teams", "story_arcs", "story_arc_numbers"]
+
+
+def _merged_lists(members: DataFrame, group: str, loose: bool) -> DataFrame:
+    """A row per group with the ordered unique union of each list column, again between semicolons."""
+
+    def items(c: str) -> Column:
+        parts = F.split(text(F.col(c)), ";")
+        return F.transform(parts, lambda x, i: F.struct(F.lit(c).alias("kind"), i.alias("at"), x.alias("item")))
+
+    key = F.trim(F.lower("item")) if loose else F.col("item")
+    item = members.select(group, "pos", F.inline(F.flatten(F.array(*[items(c) for c in LISTS])))).withColumn("_k", key).where("_k <> ''")
+    first = item.groupBy(group, "kind", "_k").agg(F.min(F.struct("pos", "at", "item")).alias("m"))
+
+    def listed(c: str) -> Column:
+        own = F.sort_array(F.collect_list(F.when(F.col("kind") == c, F.col("m"))))
+        return F.array_join(F.transform(own, lambda m: m["item"]), ";").alias(f"l_{c}")
+
+    return first.groupBy(group).agg(*[listed(c) for c in LISTS])
+
+
 def _in_order(value: Column, keep: Column) -> Column:
     """Values of a group in the order of pos, where keep holds."""
     return F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("pos", value.alias("v"))))), lambda x: x["v"])
@@ -117,9 +144,11 @@ def _in_order(value: Column, keep: Column) -> Column:
 def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool = False, override: DataFrame | None = None, identity: DataFrame | None = None) -> DataFrame:
     """One record per collection from its issues in the order of pos.
 
-    policy=False joins numbers as a range or list; policy=True orders them by issue
-    order and lets override (highest) and catalog identity win per field, with the
-    source of each in provenance.  A group's issues are one publication's, so they fit a row.
+    policy=False joins numbers as a range or list and returns the record of a single
+    issue as it is; policy=True orders numbers by issue order and lets override (highest)
+    and catalog identity win per field, with the source of each in provenance.  Lists are
+    united in first-seen order: by exact spelling, or with policy by trimmed lower case.
+    A group's issues are one publication's, so they fit a row.
     """
     date = F.struct(
         "year", F.when(F.col("month") == 0, 1).otherwise(F.col("month")).alias("_m"), F.when(F.col("day") == 0, 1).otherwise(F.col("day")).alias("_d"), "pos", "month", "day"
@@ -141,7 +170,9 @@ def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool
         F.array_join(_in_order(F.concat(F.lit("--- "), label, F.lit(" ---\n"), F.col("summary")), F.col("summary") != ""), "\n\n").alias("_summary"),
         F.array_join(_in_order(F.col("notes"), F.col("notes") != ""), "\n").alias("_notes"),
         F.min(F.when(F.col("provider_id") != "", F.struct("pos", "provider_id"))).alias("_id"),
+        F.min_by(F.struct("issue_number", "title", "year", "month", "day", "web", "summary", "genre", "language", *LISTS), "pos").alias("_one"),
     )
+    g = g.join(_merged_lists(members, group, loose=policy), group, "left")
     whole = F.forall("_numbers", lambda n: n.rlike("^[0-9]+$"))
     ints = F.transform("_numbers", lambda n: n.cast("bigint"))
     if not policy:
@@ -153,8 +184,25 @@ def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool
         )
         g = g.withColumn("number", number)
         title = F.when(F.size("_titles") == 0, "").when(F.col("series") != "", F.concat("series", F.lit(" #"), "number")).otherwise(F.array_join("_titles", " / "))
+        alone = F.col("count") == 1
+
+        def either(own: str, merged: Column, name: str) -> Column:
+            return F.when(alone, F.col(f"_one.{own}")).otherwise(merged).alias(name)
+
         return g.select(
-            group, "series", F.col("first_publisher").alias("publisher"), "count", "number", title.alias("title"), *_dates("_date"), F.col("_web").alias("web"), F.col("_summary").alias("summary")
+            group,
+            "series",
+            F.col("first_publisher").alias("publisher"),
+            "count",
+            either("issue_number", F.col("number"), "number"),
+            either("title", title, "title"),
+            *[either(x, F.coalesce(F.col(f"_date.{x}"), F.lit(0)), x) for x in ("year", "month", "day")],
+            either("web", F.col("_web"), "web"),
+            either("summary", F.col("_summary"), "summary"),
+            F.col("_one.genre").alias("genre"),
+            F.col("_one.language").alias("language"),
+            F.when(alone, "").otherwise("Trade Paperback").alias("format"),
+            *[either(c, text(F.col(f"l_{c}")), c) for c in LISTS],
         )
     over = ["title", "publisher", "year", "month", "day", "summary", "notes", "web", "provider_id"]
     if override is None:
@@ -176,6 +224,7 @@ def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool
         F.when(own_year, "year=collection_override").when(F.col("_date").isNotNull(), "year=earliest_issue"),
         F.when(own("summary"), "summary=collection_override").otherwise("summary=issue_union"),
         F.when(own("web"), "web=collection_override").otherwise("web=issue_urls_joined"),
+        *[F.lit(f"{c}=issue_union_dedup") for c in LISTS if c not in ("teams", "story_arc_numbers")],
         F.when(own("provider_id"), "provider_id=collection_override").when(F.col("_id").isNotNull(), "provider_id=first_issue"),
     )
     return g.select(
@@ -190,14 +239,14 @@ def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool
         F.concat_ws("\n", F.when(own("notes"), F.col("o_notes")), F.when(F.col("_notes") != "", F.col("_notes"))).alias("notes"),
         F.when(own("web"), F.col("o_web")).otherwise(F.col("_web")).alias("web"),
         F.when(own("provider_id"), F.col("o_provider_id")).otherwise(F.coalesce("_id.provider_id", F.lit(""))).alias("provider_id"),
+        F.col("_one.genre").alias("genre"),
+        F.when(F.col("_one.language") == "", "en").otherwise(F.col("_one.language")).alias("language"),
+        F.lit("Trade Paperback").alias("format"),
+        *[text(F.col(f"l_{c}")).alias(c) for c in LISTS if c != "story_arc_numbers"],
         F.array_join(F.filter(told, lambda x: x.isNotNull()), ",").alias("provenance"),
     )
 
 
-def _dates(c: str) -> list[Column]:
-    return [F.coalesce(F.col(f"{c}.{x}"), F.lit(0)).alias(x) for x in ("year", "month", "day")]
-
-
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Status of each entry: same, missing, changed_size, changed_hash or extra; the metadata entry is left out."""
 
@@ -230,11 +279,18 @@ def without_active_jobs(files: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: int, version: str) -> DataFrame:
-    """Requests (kind, cache_key) with the live row of the first catalog that has one."""
-    live = latest(cache, ["provider", "kind", "cache_key"], "updated_at").where((F.col("schema_version") == version) & (F.col("expires_at") > now))
+    """Requests (kind, cache_key) with the live row of the first catalog that has one.
+
+    Keys are compared trimmed and in lower case; only payloads that name a series count.
+    """
+    form = F.trim(F.lower("cache_key"))
+    named = F.from_json("data_json", "array<struct<series_name:string>>")
+    usable = F.coalesce(F.exists(named, lambda x: F.coalesce(x["series_name"], F.lit("")) != ""), F.lit(False))
+    newest = latest(cache.withColumn("_key", form), ["provider", "kind", "_key"], "updated_at")
+    live = newest.where((F.col("schema_version") == version) & (F.col("expires_at") > now) & usable)
     ranked = live.withColumn("_rank", F.when(F.col("provider") == "Kapowarr", 0).otherwise(1))
-    best = first_by(ranked, ["kind", "cache_key"], ["_rank"]).select("kind", "cache_key", F.col("provider").alias("hit_provider"), "data_json")
-    return requests.join(best, ["kind", "cache_key"], "left")
+    best = first_by(ranked, ["kind", "_key"], ["_rank", "provider"]).select("kind", "_key", F.col("provider").alias("hit_provider"), "data_json")
+    return requests.withColumn("_key", form).join(best, ["kind", "_key"], "left").drop("_key")
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, now: int, version: str) -> DataFrame:
@@ -255,6 +311,60 @@ def cache_purge(cache: DataFrame, now: int) -> DataFrame:
     return cache.where(~((F.col("expires_at") > 0) & (F.col("expires_at") < now)))
 
 
+def hash_upsert(known: DataFrame, processed: DataFrame, now: int) -> DataFrame:
+    """The file-hash table (path, size, mtime, sha256, status, updated_at) with processed files in place of their old rows."""
+    columns = ["path", "size", "mtime", "sha256", "status"]
+    fresh = processed.select(*columns, F.lit(now).cast("bigint").alias("updated_at")).withColumn("_new", F.lit(1))
+    both = known.select(*columns, "updated_at").withColumn("_new", F.lit(0)).unionByName(fresh)
+    return first_by(both, ["path"], [F.desc("_new"), F.desc("updated_at"), F.xxhash64(*columns)]).drop("_new")
+
+
+def changed_sources(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, old_hash, new_hash of rows of `new` whose content differs from the row of their key in `old`."""
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, content_hash({c: F.col(c) for c in columns}).alias(name))
+
+    return hashed(new, "new_hash").join(hashed(old, "old_hash"), keys).where("old_hash <> new_hash")
+
+
+def batch_summary(matches: DataFrame, present: DataFrame, folder: str = "folder") -> DataFrame:
+    """Per folder: files, matched, processed, skipped (no match) and errors (matched files that are not there any more)."""
+    rows = matches.join(present.select("file_id").distinct().withColumn("_there", F.lit(True)), "file_id", "left")
+    ready, there = F.col("status") == "ready", F.coalesce("_there", F.lit(False))
+    count = lambda c: F.count_if(c)
+    return rows.groupBy(folder).agg(
+        F.count("*").alias("files"), count(ready).alias("matched"), count(ready & there).alias("processed"), count(~ready).alias("skipped"), count(ready & ~there).alias("errors")
+    )
+
+
+def provider_order(providers: DataFrame, priority: list[str], name: str = "provider") -> DataFrame:
+    """Distinct providers with their place: those of the priority list first, in its order, then the others by first registration.
+
+    providers: name and a column `registered` to order by; aliases name one provider.
+    """
+    known = providers.select(provider_name(F.col(name)).alias("provider"), "registered").groupBy("provider").agg(F.min("registered").alias("registered"))
+    listed = F.array_distinct(F.array(*[provider_name(F.lit(p)) for p in priority]))
+    at = F.array_position(listed, F.col("provider"))
+    order = Window.orderBy(F.when(at > 0, at).otherwise(1 << 30), "registered", "provider")  # a row per provider
+    return known.select("provider", F.row_number().over(order).alias("place"))
+
+
+def quarantine_paths(files: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
+    """Add reason: why a path may not be used ("" if it may): a system folder, outside the roots, or no archive."""
+    p = text(F.col(path))
+    under = lambda folders: reduce(lambda a, r: a | (p == r) | p.startswith(r.rstrip("/") + "/"), folders, F.lit(False))
+    climbs = p.rlike(r"(?:^|/)\.\.(?:/|$)")
+    reason = (
+        F.when(p == "", "empty")
+        .when(under(SYSTEM_FOLDERS), "system folder")
+        .when(climbs | ~under(roots), "outside roots")
+        .when(~F.lower(p).rlike(r"\.cb[zr]$"), "extension")
+        .otherwise("")
+    )
+    return files.withColumn("reason", reason)
+
+
 def expire_leases(jobs: DataFrame, now: int) -> DataFrame:
     """Running jobs whose lease ended: failed when out of attempts, else retried."""
     ended = (F.col("status") == "RUNNING") & (F.col("lease_until") < now)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliate.functions.numbers import unpadded
 from foliate.functions.text import text, title_form
 from foliate.operators import score as S
+from foliate.operators.curate import first_by
 
 EXTERNAL = ["Kapowarr", "ComicVine", "GCD", "GCP"]
 FILE_COLUMNS = ["series_name", "issue_number", "year", "volume", "publisher", "is_tpb"]
@@ -44,13 +45,8 @@ def agreement(pairs: DataFrame) -> DataFrame:
     return staged.withColumn("n_agree", n).drop("_vol", "_year", "_ext", "_own", "_first", "_group")
 
 
-def disagreements(pairs: DataFrame) -> DataFrame:
-    """A row per file: array of conflicts between the first candidates of its providers (five at most)."""
-    known = pairs.where(F.col("provider").isin([*EXTERNAL, "ExistingXML"]) & ((text(F.col("series_name")) != "") | (text(F.col("issue_number")) != "")))
-    order = Window.partitionBy("file_id", "provider").orderBy("pool_pos")
-    first = known.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    item = F.struct("pool_pos", "provider", "_t", "_n", "issue_number", "series_name", "publication_year")
-    listed = first.groupBy("file_id").agg(F.sort_array(F.collect_list(item)).alias("c"))
+def _pool_conflicts(c: Column) -> Column:
+    """Conflicts between the candidates of an array, each with all after it."""
 
     def pair(a: Column, b: Column) -> Column:
         def of(when: Column, field: str) -> Column:
@@ -61,20 +57,33 @@ def disagreements(pairs: DataFrame) -> DataFrame:
         titles = (a["_t"] != "") & (b["_t"] != "") & (a["_t"] != b["_t"])
         return S.present(of(numbers, "issue_number"), of(titles, "series_name"), of(gap, "publication_year"))
 
-    c = F.col("c")
-    pairs_of = F.flatten(
-        F.transform(c, lambda a, i: F.flatten(F.transform(F.slice(c, i + 2, F.size(c)), lambda b: pair(a, b))))
-    )
-    return listed.select("file_id", pairs_of.alias("disagreements")).where(F.size("disagreements") > 0)
+    return F.flatten(F.transform(c, lambda a, i: F.flatten(F.transform(F.slice(c, i + 2, F.size(c)), lambda b: pair(a, b)))))
+
+
+def with_disagreements(pairs: DataFrame) -> DataFrame:
+    """Add disagreements: conflicts between the first candidates of the pool's providers (five at most).
+
+    Windows over file_id alone, so they need no shuffle beyond the one that brought the pool together.
+    """
+    counts = F.col("provider").isin([*EXTERNAL, "ExistingXML"]) & ((text(F.col("series_name")) != "") | (text(F.col("issue_number")) != ""))
+    first = F.row_number().over(Window.partitionBy("file_id", "provider").orderBy(F.when(counts, 0).otherwise(1), "pool_pos")) == 1
+    item = F.when(counts & F.col("_first"), F.struct("pool_pos", "provider", "_t", "_n", "issue_number", "series_name", "publication_year"))
+    listed = pairs.withColumn("_first", first).withColumn("_listed", F.sort_array(F.collect_list(item).over(Window.partitionBy("file_id"))))
+    return listed.withColumn("disagreements", _pool_conflicts(F.col("_listed"))).drop("_first", "_listed")
+
+
+def disagreements(pairs: DataFrame) -> DataFrame:
+    """A row per file whose providers disagree: file_id and the array of conflicts."""
+    return first_by(with_disagreements(pairs), ["file_id"], ["pool_pos"]).select("file_id", "disagreements").where(F.size("disagreements") > 0)
 
 
 def evaluate(pairs: DataFrame, weights: S.Weights = S.Weights()) -> DataFrame:
     """Add n_agree, score, conflicts, critical, level and action to every candidate of every pool."""
-    agreed = agreement(pairs).join(disagreements(pairs), "file_id", "left")
+    agreed = with_disagreements(agreement(pairs))
     parts = S.terms(weights, F.col("n_agree"))
     scored = agreed.withColumns({"score": S.score(parts), "_positive": S.positive(parts), "_own": S.conflicts()})
     outside = F.concat(
-        F.coalesce("disagreements", F.array().cast("array<struct<type:string,severity:string,source_a:string,source_b:string>>")),
+        F.col("disagreements"),
         S.existing_conflicts(),
         S.existing_candidate_conflicts(),
     )

@@ -47,17 +47,25 @@ def library_status(files: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def coverage(entries: DataFrame) -> DataFrame:
-    return entries.agg(
-        F.count("*").alias("total"), count_where(F.col("is_found")).alias("found"), count_where(F.col("is_tagged")).alias("tagged"), count_where(~F.col("is_found")).alias("missing")
-    )
+    """total, found, tagged, arc_tagged and missing of reading-order entries."""
+    counts = {k: count_where(F.col(f"is_{k}")).alias(k) for k in ("found", "tagged", "arc_tagged")}
+    return entries.agg(F.count("*").alias("total"), *counts.values(), count_where(~F.col("is_found")).alias("missing"))
+
+
+def arc_rewrites(rows: DataFrame, before: str = "before", after: str = "after", error: str = "error") -> DataFrame:
+    """Per action: files updated (their tags changed), skipped (no tag to change) and errors."""
+    failed = F.col(error).isNotNull()
+    changed = ~failed & ~F.col(before).eqNullSafe(F.col(after))
+    return rows.groupBy("action").agg(count_where(changed).alias("updated"), count_where(~failed & ~changed).alias("skipped"), count_where(failed).alias("errors"))
 
 
-def resolution_rates(decisions: DataFrame) -> DataFrame:
-    """Shares of tiers, and of wrong ones among the accepted, against is_right."""
+def resolution_rates(decisions: DataFrame, seconds: float = 0.0) -> DataFrame:
+    """Shares of tiers, of wrong ones among the accepted, against is_right, and items per second (0 if no time is given)."""
     accepted = F.col("level").isin("AUTO_ACCEPT", "ACCEPT_WITH_WARNING")
     n = F.count("*")
     share = lambda c: F.round(100.0 * count_where(c) / n, 2)
     return decisions.agg(
         n.alias("items"), share(F.col("level") == "AUTO_ACCEPT").alias("auto_accept"), share(F.col("level") == "MANUAL_REVIEW").alias("review"),
         share(F.col("level") == "UNRESOLVED").alias("unresolved"), share(accepted & ~F.col("is_right")).alias("false_positive"),
+        F.round(n / F.lit(seconds), 1).alias("items_per_second") if seconds > 0 else F.lit(0.0).alias("items_per_second"),
     )

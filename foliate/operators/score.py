@@ -189,3 +189,18 @@ def level(points: Column, gained: Column, found: Column) -> Column:
 
 def action(tier: Column) -> Column:
     return F.when(tier.isin("AUTO_ACCEPT", "ACCEPT_WITH_WARNING"), "UPDATE").when(tier == "MANUAL_REVIEW", "REVIEW").otherwise("SKIP")
+
+
+def explanations(parts: dict[str, Column]) -> Column:
+    """array<string>: a line for each kind of evidence that says something, with its signed score."""
+    shown = {
+        "source": F.concat_ws(" ", "provider", F.nullif(text(F.col("issue_id")), F.lit(""))),
+        "agreement": F.lit("providers agree"),
+        "issue_number": F.concat(F.lit("#"), "issue_number", F.lit(" against #"), "f_issue_number"),
+        "format": F.lit("collected edition against single issue"),
+        "series_name": F.concat("series_name", F.lit(" against "), "f_series_name"),
+        "year": F.concat(F.col("publication_year").cast("string"), F.lit(" against "), F.col("f_year").cast("string")),
+        "publisher": F.concat("publisher", F.lit(" against "), "f_publisher"),
+    }
+    lines = [F.when(p != 0, F.format_string("%s: %s (%+.0f)", F.lit(k), shown[k], p.cast("double"))) for k, p in parts.items()]
+    return present(*lines)

@@ -67,15 +67,18 @@ SELECT l_orderkey AS collection_id, CAST(row_number() OVER (PARTITION BY l_order
   CASE WHEN l_discount > 0.03 THEN concat('http://u/', CAST(l_partkey AS STRING)) ELSE '' END AS web,
   CASE WHEN l_discount > 0.05 THEN concat('sum ', l_returnflag) ELSE '' END AS summary, CASE WHEN l_discount > 0.08 THEN l_returnflag ELSE '' END AS notes,
   CASE WHEN l_tax > 0.05 THEN concat('id', CAST(l_partkey AS STRING)) ELSE '' END AS provider_id,
-  concat('Writer ', CAST(l_suppkey % 4 AS STRING), ';', CASE WHEN l_suppkey % 2 = 0 THEN ' writer 1' ELSE 'Writer 0' END, ';') AS writers
-FROM {lineitem} WHERE l_orderkey % 3 = 0""",
+  concat('Writer ', CAST(l_suppkey % 4 AS STRING), ';', CASE WHEN l_suppkey % 2 = 0 THEN ' writer 1' ELSE 'Writer 0' END, ';') AS writers,
+  concat('Pen ', CAST(l_suppkey % 3 AS STRING), ';pen 1') AS pencillers, CASE WHEN l_linenumber = 1 THEN 'Ink' ELSE '' END AS inkers, '' AS colorists, concat('L', CAST(l_linenumber % 2 AS STRING)) AS letterers, '' AS cover_artists,
+  concat('Hero ', CAST(l_partkey % 5 AS STRING), '; hero 2 ;;Hero 2') AS characters, concat('Team ', CAST(l_linenumber % 2 AS STRING)) AS teams, CASE WHEN l_partkey % 4 = 0 THEN 'Arc A;arc a' ELSE '' END AS story_arcs,
+  CAST(l_linenumber AS STRING) AS story_arc_numbers, CASE WHEN l_suppkey % 2 = 0 THEN 'Action' ELSE '' END AS genre, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'fr' END AS language
+FROM {lineitem}""",
     "jobs": """
 SELECT event_id, user_id AS job_id, ts, event_type, value,
   CASE event_type WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' WHEN 'login' THEN 'SKIPPED' WHEN 'logout' THEN 'COMPLETED' WHEN 'click' THEN 'REVIEW' ELSE 'UNRESOLVED' END AS status
 FROM {events}""",
     "cache_rows": """
 SELECT CASE o_orderkey % 2 WHEN 0 THEN 'Kapowarr' ELSE 'ComicVine' END AS provider, CASE o_orderkey % 4 WHEN 0 THEN 'issue' WHEN 1 THEN 'series' WHEN 2 THEN 'search' ELSE 'url' END AS kind,
-  CAST(o_custkey AS STRING) AS cache_key, o_orderpriority AS data_json, CAST(o_orderkey AS BIGINT) AS updated_at,
+  concat('c', CAST(o_custkey AS STRING)) AS cache_key, concat('[', chr(123), CASE WHEN o_orderkey % 5 = 0 THEN '"title":"' ELSE '"series_name":"' END, o_orderpriority, '"', chr(125), ']') AS data_json, CAST(o_orderkey AS BIGINT) AS updated_at,
   CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE 1000 + o_orderkey % 500 END AS expires_at, CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '2' END AS schema_version
 FROM {orders}""",
     "reading": """
@@ -102,21 +105,21 @@ SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey % 50 AS STR
 FROM {part}""",
     "manifest": """
 SELECT l_orderkey AS archive, concat('Page', CAST(l_linenumber AS STRING), '.JPG') AS entry, CAST(l_partkey AS BIGINT) AS crc, CAST(l_quantity AS BIGINT) AS size, CAST(l_suppkey AS STRING) AS sha256
-FROM {lineitem} WHERE l_orderkey % 4 = 0
-UNION ALL SELECT o_orderkey, 'ComicInfo.xml', 1, 1, 'x' FROM {orders} WHERE o_orderkey % 8 = 0""",
+FROM {lineitem}
+UNION ALL SELECT o_orderkey, 'ComicInfo.xml', 1, 1, 'x' FROM {orders}""",
     "manifest_new": """
-SELECT l_orderkey AS archive, concat('page', CAST(l_linenumber AS STRING), '.jpg') AS entry, CAST(l_partkey + CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS crc, CAST(l_quantity AS BIGINT) AS size,
+SELECT l_orderkey AS archive, concat(CASE WHEN l_partkey % 60 = 2 THEN 'moved' ELSE 'page' END, CAST(l_linenumber AS STRING), '.jpg') AS entry, CAST(l_partkey + CASE WHEN l_partkey % 50 = 0 THEN 1 ELSE 0 END AS BIGINT) AS crc, CAST(l_quantity AS BIGINT) AS size,
   CASE WHEN l_partkey % 70 = 1 THEN 'changed' ELSE CAST(l_suppkey AS STRING) END AS sha256
-FROM {lineitem} WHERE l_orderkey % 4 = 0 AND l_partkey % 60 <> 2
-UNION ALL SELECT o_orderkey, 'extra.txt', 1, 1, 'y' FROM {orders} WHERE o_orderkey % 12 = 0""",
+FROM {lineitem}
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 12 = 0 THEN 'extra.txt' ELSE 'comicinfo.XML' END, 1, 1, 'y' FROM {orders}""",
     "related_issues": """
 SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey AS STRING), ',"number":"#', CAST(p_size AS STRING), '","title":"', CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END, '","publication_date":"', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('May ', CAST(1940 + p_partkey % 80 AS STRING)) END,
-  '","series_id":', CAST(p_partkey % 97 AS STRING), ',"story_set":[', chr(123), '"writer":"', p_brand, '; ', p_type, ' (plot)","characters":"', p_name, '"', chr(125), ',', chr(123), '"writer":"', p_type, ', Ann?","inker":"', p_brand, '"', chr(125), ']', chr(125)) AS data
+  '","series_id":', CAST(CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_partkey - p_partkey % 7 END AS STRING), ',"story_set":[', chr(123), '"writer":"', p_brand, '; ', p_type, ' (plot)","characters":"', p_name, '"', chr(125), ',', chr(123), '"writer":"', p_type, ', Ann?","inker":"', p_brand, '"', chr(125), ']', chr(125)) AS data
 FROM {part}""",
     "related_series": """
-SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","publisher_id":', CAST(p_partkey % 30 AS STRING), chr(125)) AS data FROM {part} WHERE p_partkey < 90""",
+SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","publisher_id":', CAST(p_partkey % 150 AS STRING), chr(125)) AS data FROM {part}""",
     "related_publishers": """
-SELECT s_suppkey AS row_id, concat(chr(123), '"id":', CAST(s_suppkey AS STRING), ',"name":"', s_name, '"', chr(125)) AS data FROM {supplier} WHERE s_suppkey < 25""",
+SELECT s_suppkey AS row_id, concat(chr(123), '"id":', CAST(s_suppkey AS STRING), ',"name":"', s_name, '"', chr(125)) AS data FROM {supplier}""",
     "volume_pages": """
 SELECT p_partkey % 40 AS volume_id, CAST(floor(p_partkey / 40) + 1 AS INT) AS page_no, 'red-sky' AS slug,
   concat('<h1>Red Sky</h1><ul><li>#', CAST(p_size AS STRING), CASE WHEN p_partkey % 6 = 0 THEN 'A' ELSE '' END, ' <a href="/', CASE p_partkey % 5 WHEN 0 THEN 'blue-sky-1' WHEN 1 THEN 'the-red-sky-7' ELSE 'red-sky-annual' END, '/4000-', CAST(p_partkey AS STRING), '/">', p_name,
@@ -132,7 +135,7 @@ FROM {orders}""",
     "seen_files": """
 SELECT concat('/lib/', CAST(o_custkey AS STRING)) AS path, CAST(o_orderkey % 97 AS BIGINT) AS size, CAST(o_orderkey % 89 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS mtime,
   CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('h', CAST(o_orderkey % 83 AS STRING)) END AS sha256, CAST(o_orderkey AS BIGINT) AS seen_id
-FROM {orders} WHERE o_orderkey % 3 = 0""",
+FROM {orders}""",
     "leases": """
 SELECT o_orderkey AS job_id, concat('/lib/', CAST(o_custkey AS STRING)) AS path, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE concat('h', CAST(o_orderkey % 83 AS STRING)) END AS sha256,
   CASE o_orderkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'RETRYING' WHEN 3 THEN 'COMPLETED' WHEN 4 THEN 'FAILED' ELSE 'REVIEW' END AS status,
@@ -143,6 +146,48 @@ SELECT l_orderkey * 10 + l_linenumber AS call_id, CASE l_suppkey % 3 WHEN 0 THEN
   CASE l_linenumber WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 WHEN 5 THEN 401 WHEN 6 THEN 422 ELSE 418 END AS http_status,
   l_quantity AS ms, CASE WHEN l_returnflag = 'R' THEN TRUE ELSE FALSE END AS cache_hit, CASE WHEN l_returnflag = 'A' THEN FALSE ELSE TRUE END AS cache_lookup
 FROM {lineitem}""",
+    "issue_pages": """
+SELECT p_partkey AS page_id, concat('<html><head><title>T</title>',
+  CASE WHEN p_partkey % 4 = 1 THEN concat('<meta property="og:title" content="', p_name, ' #', CAST(p_size AS STRING), ' - Tale of ', p_type, ' (Issue)">') ELSE '' END,
+  CASE WHEN p_partkey % 3 = 1 THEN '<meta name="adtags" content="a=1&amp;publisher=red-star&amp;b=2">' ELSE '' END,
+  '<meta name="description" content="About ', p_name, '"></head><body><h1>',
+  CASE WHEN p_partkey % 3 = 0 THEN concat('<a class="wiki-title" href="/v/4050-1/">', p_name, '</a> <a class="wiki-issue-number">#', CAST(p_size AS STRING), '</a>')
+    ELSE concat(p_name, ' #', CAST(p_size AS STRING), CASE WHEN p_partkey % 4 = 2 THEN concat(' - Part ', p_type) ELSE '' END) END,
+  '</h1><p class="wiki-descriptor">An issue', CASE WHEN p_partkey % 3 = 0 THEN ' released by Blue Moon on March 5, 1999' ELSE '' END,
+  '</p><div>Issue details <b>Name</b> ', CASE WHEN p_partkey % 4 = 0 THEN concat('Deep ', p_type) ELSE 'None' END, ' Name <br><i>Name of this issue</i></div>',
+  CASE p_partkey % 5 WHEN 0 THEN concat('<div>In Store Date May ', CAST(p_size % 28 + 1 AS STRING), ', ', CAST(1950 + p_size AS STRING), '</div>') WHEN 1 THEN concat('<div>Cover Date June ', CAST(1950 + p_size AS STRING), '</div>') ELSE '' END,
+  CASE WHEN p_partkey % 2 = 0 THEN concat('<div class="js-toc-content">Part 1 last edited by bob on 01/02/20 10:00 View full history The <b>story</b> of ', p_type, '<span class="wiki-item-edit">edit <a href="/e/">Edit</a></span></div>') ELSE '' END,
+  '<div class="wiki-details-object"><h3>Creators</h3><ul><li><a href="/p/1/">Ann ', CAST(p_size AS STRING), '</a> <span>Writer, artist</span></li><li><span>artist, cover</span> <a href="/p/2/">Bob</a></li><li><a href="/p/1/">Ann ', CAST(p_size AS STRING), '</a> writer, penciler</li></ul></div>',
+  '<div class="wiki-details-object"><h3>Characters</h3><a>None</a><a href="/c/1/">Moss ', CAST(p_size AS STRING), '</a><a href="/c/2/">Fern</a><a href="/c/1/">Moss ', CAST(p_size AS STRING), '</a><a>x</a></div>',
+  CASE WHEN p_partkey % 7 = 0 THEN '<div class="wiki-details-object"><h3>Teams</h3><a href="/t/1/">The Six</a><a>Add</a></div><div class="wiki-details-object"><h3>Story Arcs</h3><a href="/a/1/">"Dark Age"</a></div>' ELSE '' END, '</body></html>') AS html
+FROM {part}""",
+    "search_pages": """
+SELECT p_partkey AS page_id, concat('<ul><li><a href="/x/4050-', CAST(p_partkey AS STRING), '/">', p_name, '</a> (', CAST(1950 + p_size AS STRING), ') (', CAST(p_size AS STRING), ' issues) ', repeat(concat(p_type, ' '), 12), '</li><li>of 2001 <a href="/y/4000-', CAST(p_partkey AS STRING),
+  '/">', p_type, '</a></li><li><a href="/x/4050-', CAST(p_partkey AS STRING), '/">again</a></li><li><a href="/z/">other</a></li></ul>') AS html
+FROM {part}""",
+    "xml_records": """
+SELECT p_partkey AS file_id, concat('<ComicInfo><Title>', p_type, '</Title><Series>', p_name, '</Series><Number>', CAST(p_size AS STRING), '</Number><Summary></Summary><Year>', CASE WHEN p_partkey % 6 = 0 THEN 'soon' ELSE CAST(1940 + p_partkey % 80 AS STRING) END,
+  '</Year><Month>', CAST(p_partkey % 12 + 1 AS STRING), '</Month><Day>', CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE '3' END, '</Day>', CASE p_partkey % 5 WHEN 0 THEN '<Count>many</Count>' WHEN 1 THEN '' ELSE '<Count>12</Count>' END,
+  '<Writer>Ann; Bob ', CAST(p_size AS STRING), ';</Writer><Characters>A, B; C</Characters><StoryArc>Dark Age, ', p_name, '</StoryArc><StoryArc>Night</StoryArc><StoryArcNumber>1,, 2</StoryArcNumber>',
+  CASE WHEN p_partkey % 4 = 0 THEN concat('<BlackAndWhite>Yes</BlackAndWhite><Score note="1">', CAST(p_size AS STRING), ' &lt; 60</Score><Empty></Empty>') ELSE '' END, CASE WHEN p_partkey % 11 = 0 THEN '<Bad' ELSE '' END, '</ComicInfo>') AS record
+FROM {part}""",
+    "vendor_rows": """
+SELECT p_partkey AS item, p_name AS label, CAST(p_size AS STRING) AS issue_no, CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE CAST(1940 + p_partkey % 80 AS STRING) END AS yr, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat('v', CAST(p_partkey AS STRING)) END AS code
+FROM {part}""",
+    "folders": """
+SELECT p_partkey AS folder_id, concat(p_name, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('/Volume ', CAST(p_size AS STRING)) ELSE concat('/', CAST(1940 + p_size AS STRING), '/extra') END) AS rel_path
+FROM {part}""",
+    "overrides": """
+SELECT p_partkey AS file_id, concat('https://comicvine.gamespot.com/x/4000-', CAST(p_partkey AS STRING), '/') AS url, concat('4000-', CAST(p_partkey AS STRING)) AS issue_id, p_name AS series_name, CAST(p_size AS STRING) AS issue_number, CAST(1940 + p_partkey % 80 AS INT) AS year
+FROM {part} WHERE p_partkey % 41 = 0""",
+    "cached": """
+SELECT p_partkey AS file_id, 1 AS pool_pos, CASE WHEN p_partkey % 2 = 0 THEN 'Kapowarr' ELSE 'ComicVine' END AS provider, concat('4000-', CAST(p_partkey AS STRING)) AS issue_id, '' AS series_id, p_name AS series_name,
+  CASE WHEN p_partkey % 46 = 0 THEN CAST(p_size + 5 AS STRING) ELSE CAST(p_size AS STRING) END AS issue_number, CAST(1940 + p_partkey % 80 AS INT) AS publication_year, '' AS publisher, '' AS volume
+FROM {part} WHERE p_partkey % 23 = 0""",
+    "url_requests": """
+SELECT o_orderkey AS request_id, concat(CASE o_orderkey % 4 WHEN 0 THEN '[' ELSE '' END, CASE WHEN o_orderkey % 4 = 0 THEN '"' ELSE '' END, 'https://comicvine.gamespot.com/x/4000-', CAST(o_custkey * 2 AS STRING), '/', CASE WHEN o_orderkey % 4 = 0 THEN '", "' ELSE ', ' END,
+  'https://comicvine.gamespot.com/y/4000-', CAST(o_custkey * 2 + 4 AS STRING), '/', CASE o_orderkey % 4 WHEN 0 THEN '"]' WHEN 1 THEN ' http://www.comics.org/issue/5/' ELSE '' END) AS urls
+FROM {orders}""",
 }
 
 

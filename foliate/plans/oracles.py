@@ -230,6 +230,29 @@ def arc_match(expected: str, actual: str) -> str:
 
 _TOLD = "SELECT arcs.id, coalesce(string_agg(arc || '=' || num, '|' ORDER BY i), '') AS tags FROM arcs LEFT JOIN {} USING (id) GROUP BY 1"
 _MEM = duck("members")
+_LISTS = ["writers", "pencillers", "inkers", "colorists", "letterers", "cover_artists", "characters", "teams", "story_arcs", "story_arc_numbers"]
+
+
+def united(name: str, form: str) -> str:
+    """`name`(collection_id, l_<list>...): ordered unions of the members' lists, items equal by `form`."""
+    rows = " UNION ALL ".join(f"SELECT collection_id, pos, '{k}' AS kind, string_split({k}, ';') AS w FROM members" for k in _LISTS)
+    picked = ", ".join(f"string_agg(item, ';' ORDER BY pos, i) FILTER (kind = '{k}') AS l_{k}" for k in _LISTS)
+    return f"""{name}_i AS (SELECT collection_id, pos, kind, i, w[i] AS item FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ({rows}))),
+{name} AS (SELECT collection_id, {picked} FROM (SELECT *, {form} AS f FROM {name}_i WHERE {form} <> '' QUALIFY row_number() OVER (PARTITION BY collection_id, kind, f ORDER BY pos, i) = 1) GROUP BY 1)"""
+
+
+def merged_simple(members: str) -> str:
+    return rf"""WITH {members}, {united("lists", "item")},
+g AS (SELECT collection_id, arg_min(series_name, pos) AS series, arg_min(publisher, pos) AS publisher, CAST(count(*) AS INT) AS count, list(issue_number ORDER BY pos) FILTER (issue_number <> '') AS ns,
+  list(title ORDER BY pos) FILTER (title <> '') AS ts, min([year, greatest(month, 1), greatest(day, 1), pos, month, day]) FILTER (year > 0) AS d, coalesce(string_agg(web, ', ' ORDER BY pos) FILTER (web <> ''), '') AS web,
+  coalesce(string_agg('--- ' || CASE WHEN issue_number <> '' THEN 'Issue #' || issue_number ELSE title END || ' ---' || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) FILTER (summary <> ''), '') AS summary,
+  arg_min({{'n': issue_number, 't': title, 'y': year, 'm': month, 'd': day, 's': summary, 'g': genre, 'l': language, {", ".join(f"'{k}': {k}" for k in _LISTS)}}}, pos) AS one FROM members GROUP BY 1),
+h AS (SELECT *, CASE WHEN ns IS NULL THEN '' WHEN len([n FOR n IN ns IF NOT regexp_full_match(n, '[0-9]+')]) > 0 THEN array_to_string(ns, ', ') WHEN len(ns) > 1 THEN list_min([CAST(n AS BIGINT) FOR n IN ns IF regexp_full_match(n, '[0-9]+')]) || '-' || list_max([CAST(n AS BIGINT) FOR n IN ns IF regexp_full_match(n, '[0-9]+')]) ELSE CAST(CAST(ns[1] AS BIGINT) AS VARCHAR) END AS many FROM g)
+SELECT collection_id, series, publisher, count, CASE WHEN count = 1 THEN one.n ELSE many END AS number, CASE WHEN count = 1 THEN one.t WHEN ts IS NULL THEN '' WHEN series <> '' THEN series || ' #' || many ELSE array_to_string(ts, ' / ') END AS title,
+  CASE WHEN count = 1 THEN one.y ELSE coalesce(d[1], 0) END AS year, CASE WHEN count = 1 THEN one.m ELSE coalesce(d[5], 0) END AS month, CASE WHEN count = 1 THEN one.d ELSE coalesce(d[6], 0) END AS day, web, CASE WHEN count = 1 THEN one.s ELSE summary END AS summary,
+  one.g AS genre, one.l AS language, CASE WHEN count = 1 THEN '' ELSE 'Trade Paperback' END AS format, {", ".join(f"CASE WHEN count = 1 THEN one.{k} ELSE coalesce(l_{k}, '') END AS {k}" for k in _LISTS)} FROM h LEFT JOIN lists USING (collection_id)"""
+
+
 _ORD = f"mo AS ({order_of('issue_number', 'members', '*')})"
 _CR = duck("cache_rows")
 _LATEST_CACHE = "lc AS (SELECT * FROM cache_rows QUALIFY row_number() OVER (PARTITION BY provider, kind, cache_key ORDER BY updated_at DESC) = 1)"
@@ -274,7 +297,7 @@ SELECT file_id, CASE WHEN regexp_matches(t, '(?i)(?:issue\s*#?|#|\b)0*(?:½|1/2|
     "P10_input_quarantine": f"WITH {duck('urls')} SELECT id, reason, reason = '' AS good FROM (SELECT id, CASE WHEN length(trim(url)) = 0 THEN 'empty' WHEN length(trim(url)) > 250 THEN 'too long' WHEN NOT regexp_matches(trim(url), '^https?://[^/]+') THEN 'scheme' ELSE '' END AS reason FROM urls)",
     "P11_active_jobs": f"WITH {duck('leases')} SELECT job_id, status FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING')",
     "J1_title_pairs": f"WITH {PARSED}, {duck('candidates')}, a AS (SELECT DISTINCT {title('series_name')} AS l FROM parsed), b AS (SELECT DISTINCT {title('series_name')} AS r FROM candidates) SELECT l, r FROM a, b WHERE l <> '' AND r <> '' AND (starts_with(l, r) OR starts_with(r, l))",
-    "J2_canonical_match": f"""WITH {PARSED}, {duck('candidates')}, gcd AS (SELECT * FROM candidates WHERE provider = 'GCD'), a AS ({_KEYED('parsed', 'issue_number', 'year', 'file_id')}), b AS ({_KEYED('gcd', 'issue_number', 'publication_year', 'file_id')})
+    "J2_canonical_match": f"""WITH {PARSED}, {duck('candidates')}, a AS ({_KEYED('parsed', 'issue_number', 'year', 'file_id')}), b AS ({_KEYED('candidates', 'issue_number', 'publication_year', 'file_id * 10 + pool_pos AS file_id')})
 SELECT a.file_id AS left_id, b.file_id AS right_id FROM a JOIN b ON a.issue_numeric = b.issue_numeric AND a.issue_suffix = b.issue_suffix AND a.is_named = b.is_named AND (a.series_norm = '' OR b.series_norm = '' OR a.series_norm = b.series_norm)
   AND (a.volume_norm = '' OR b.volume_norm = '' OR a.volume_norm = b.volume_norm) AND (a.key_year <= 0 OR b.key_year <= 0 OR abs(a.key_year - b.key_year) <= 1)""",
     "J3_agreement": f"{DECIDED} SELECT file_id, pool_pos, CAST(n_agree AS INT) AS n_agree FROM s1",
@@ -282,35 +305,34 @@ SELECT a.file_id AS left_id, b.file_id AS right_id FROM a JOIN b ON a.issue_nume
     "J5_existing_vs_file": f"{DECIDED} SELECT file_id, n_xf AS n FROM s1 WHERE pool_pos = 3",
     "J6_existing_vs_candidate": f"{DECIDED} SELECT file_id, pool_pos, n_xp AS n FROM s1",
     "J7_issue_files": f"""WITH {PARSED}, {duck('candidates')}, f AS (SELECT {title('series_name')} AS s, ltrim(issue_number, '0') AS n, min(path) AS path FROM parsed GROUP BY 1, 2)
-SELECT series_name, issue_number, coalesce(path, '') AS path FROM (SELECT DISTINCT {title('series_name')} AS s, ltrim(issue_number, '0') AS n, series_name, issue_number FROM candidates WHERE provider = 'GCD') LEFT JOIN f USING (s, n)""",
+SELECT series_name, issue_number, coalesce(path, '') AS path FROM (SELECT DISTINCT {title('series_name')} AS s, ltrim(issue_number, '0') AS n, series_name, issue_number FROM candidates) LEFT JOIN f USING (s, n)""",
     "J10_changed_files": f"WITH {duck('seen_files')}, {duck('known_files')}, k AS (SELECT * FROM known_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY updated_at DESC) = 1) SELECT seen_id, path FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.path = s.path AND k.size = s.size AND k.mtime = s.mtime AND k.sha256 = s.sha256)",
     "J11_job_dedup": f"WITH {duck('seen_files')}, {duck('leases')}, act AS (SELECT path, sha256 FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING')) SELECT seen_id, path, sha256 FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.path = s.path AND (s.sha256 = '' OR act.sha256 = s.sha256)) QUALIFY row_number() OVER (PARTITION BY path, sha256 ORDER BY seen_id) = 1",
     "J12_manifest_diff": f"""WITH {duck('manifest')}, {duck('manifest_new')}, a AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest WHERE lower(entry) <> 'comicinfo.xml'), b AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest_new)
 SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.entry, b.entry) AS entry, CASE WHEN b.crc IS NULL THEN 'missing' WHEN a.crc IS NULL THEN 'extra' WHEN a.crc <> b.crc OR a.size <> b.size THEN 'changed_size' WHEN a.sha256 <> b.sha256 THEN 'changed_hash' ELSE 'same' END AS status
 FROM a FULL JOIN b ON a.archive = b.archive AND a.entry = b.entry""",
     "J13_uncovered_folders": f"WITH {duck('lib_files')}, {duck('existing')} SELECT DISTINCT string_split(path, '/')[-2] AS folder FROM lib_files EXCEPT SELECT series || ' (' || year || ')' FROM existing",
-    "J15_cache_lookup": f"WITH {_CR}, {_LATEST_CACHE}, best AS (SELECT kind, cache_key, provider AS hit_provider, data_json FROM lc WHERE schema_version = '2' AND expires_at > 1250 QUALIFY row_number() OVER (PARTITION BY kind, cache_key ORDER BY provider = 'Kapowarr' DESC) = 1) SELECT kind, cache_key, hit_provider, data_json FROM (SELECT DISTINCT kind, cache_key FROM cache_rows) LEFT JOIN best USING (kind, cache_key)",
+    "J15_cache_lookup": f"""WITH {_CR}, {_LATEST_CACHE}, best AS (SELECT kind, cache_key, provider AS hit_provider, data_json FROM lc WHERE schema_version = '2' AND expires_at > 1250 AND data_json LIKE '%"series_name":"_%' QUALIFY row_number() OVER (PARTITION BY kind, cache_key ORDER BY provider = 'Kapowarr' DESC) = 1)
+SELECT kind, ' ' || upper(cache_key) AS cache_key, hit_provider, data_json FROM (SELECT DISTINCT kind, cache_key FROM cache_rows) LEFT JOIN best USING (kind, cache_key)""",
     "J9_reading_files": f"WITH {FILES_OF} SELECT * FROM hits",
-    "A10_reading_coverage": f"WITH {FILES_OF} SELECT count(*) AS total, count(path) AS found, count(*) FILTER (lower(path) LIKE '%.cbz') AS tagged, count(*) FILTER (path IS NULL) AS missing FROM expanded LEFT JOIN hits USING (series, number)",
+    "A10_reading_coverage": f"WITH {FILES_OF} SELECT count(*) AS total, count(path) AS found, count(*) FILTER (lower(path) LIKE '%.cbz') AS tagged, count(*) FILTER (path IN (SELECT path FROM lib_files WHERE file_id % 4 = 0)) AS arc_tagged, count(*) FILTER (path IS NULL) AS missing FROM expanded LEFT JOIN hits USING (series, number)",
     "A5_list_union": f"""WITH {_MEM}, i AS (SELECT collection_id, pos, k, w[k] AS item FROM (SELECT collection_id, pos, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT collection_id, pos, string_split(writers, ';') AS w FROM members))),
 f AS (SELECT * FROM i WHERE trim(item) <> '' QUALIFY row_number() OVER (PARTITION BY collection_id, trim(lower(item)) ORDER BY pos, k) = 1) SELECT collection_id, string_agg(item, '|' ORDER BY pos, k) AS items FROM f GROUP BY 1""",
-    "A6_merge_simple": rf"""WITH {_MEM}, g AS (SELECT collection_id, arg_min(series_name, pos) AS series, arg_min(publisher, pos) AS publisher, CAST(count(*) AS INT) AS count, list(issue_number ORDER BY pos) FILTER (issue_number <> '') AS ns,
-  list(title ORDER BY pos) FILTER (title <> '') AS ts, min([year, greatest(month, 1), greatest(day, 1), pos, month, day]) FILTER (year > 0) AS d, coalesce(string_agg(web, ', ' ORDER BY pos) FILTER (web <> ''), '') AS web,
-  coalesce(string_agg('--- Issue #' || issue_number || ' ---' || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) FILTER (summary <> ''), '') AS summary FROM members GROUP BY 1),
-h AS (SELECT *, CASE WHEN len([n FOR n IN ns IF NOT regexp_full_match(n, '[0-9]+')]) > 0 THEN array_to_string(ns, ', ') WHEN len(ns) > 1 THEN list_min([CAST(n AS BIGINT) FOR n IN ns IF regexp_full_match(n, '[0-9]+')]) || '-' || list_max([CAST(n AS BIGINT) FOR n IN ns IF regexp_full_match(n, '[0-9]+')]) ELSE CAST(CAST(ns[1] AS BIGINT) AS VARCHAR) END AS number FROM g)
-SELECT collection_id, series, publisher, count, number, CASE WHEN ts IS NULL THEN '' ELSE series || ' #' || number END AS title, coalesce(d[1], 0) AS year, coalesce(d[5], 0) AS month, coalesce(d[6], 0) AS day, web, summary FROM h""",
+    "A6_merge_simple": merged_simple(_MEM),
     "A7_merge_policy": rf"""WITH {_MEM}, {_ORD},
-ov AS (SELECT o_orderkey AS collection_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE '' END AS ot, CASE WHEN o_orderkey % 9 = 0 THEN 1999 ELSE 0 END AS oy, CASE WHEN o_orderkey % 5 = 0 THEN 'oid' ELSE '' END AS oi, o_orderkey % 12 = 0 AS k FROM orders WHERE o_orderkey % 6 = 0),
+ov AS (SELECT o_orderkey AS collection_id, CASE WHEN o_orderkey % 12 = 0 THEN o_orderpriority ELSE '' END AS ot, CASE WHEN o_orderkey % 18 = 0 THEN 1999 ELSE 0 END AS oy, CASE WHEN o_orderkey % 30 = 0 THEN 'oid' ELSE '' END AS oi, o_orderkey % 12 = 0 AS k, o_orderkey % 6 = 0 AS o FROM orders),
+{united("lists", "trim(lower(item))")},
 g AS (SELECT collection_id, arg_min(series_name, pos) AS series, arg_min(publisher, pos) AS fp, CAST(count(*) AS INT) AS count, list(issue_number ORDER BY numeric, suffix, pos) FILTER (issue_number <> '') AS ns,
   min([year, greatest(month, 1), greatest(day, 1), pos, month, day]) FILTER (year > 0) AS d, coalesce(string_agg(web, ', ' ORDER BY pos) FILTER (web <> ''), '') AS web,
   coalesce(string_agg('--- Issue #' || issue_number || ' ---' || chr(10) || summary, chr(10) || chr(10) ORDER BY pos) FILTER (summary <> ''), '') AS summary,
-  string_agg(notes, chr(10) ORDER BY pos) FILTER (notes <> '') AS notes, arg_min(provider_id, pos) FILTER (provider_id <> '') AS pid FROM mo GROUP BY 1),
-h AS (SELECT g.*, coalesce(ot, '') AS ot, coalesce(oy, 0) AS oy, coalesce(oi, '') AS oi, coalesce(k, FALSE) AS k, ov.collection_id IS NOT NULL AS o, CASE WHEN len(ns) > 1 THEN ns[1] || '-' || ns[-1] ELSE ns[1] END AS span FROM g LEFT JOIN ov USING (collection_id))
+  string_agg(notes, chr(10) ORDER BY pos) FILTER (notes <> '') AS notes, arg_min(provider_id, pos) FILTER (provider_id <> '') AS pid, arg_min(genre, pos) AS genre, arg_min(language, pos) AS language FROM mo GROUP BY 1),
+h AS (SELECT g.*, coalesce(ot, '') AS ot, coalesce(oy, 0) AS oy, coalesce(oi, '') AS oi, coalesce(k, FALSE) AS k, coalesce(o, FALSE) AS o, CASE WHEN len(ns) > 1 THEN ns[1] || '-' || ns[-1] ELSE ns[1] END AS span FROM g LEFT JOIN ov USING (collection_id))
 SELECT collection_id, series, count, CASE WHEN ot <> '' THEN ot ELSE series || ' #' || span END AS title, CASE WHEN ot <> '' THEN '' ELSE span END AS number, CASE WHEN k THEN 'Kap' ELSE fp END AS publisher,
   CASE WHEN oy > 0 THEN 1999 ELSE coalesce(d[1], 0) END AS year, CASE WHEN oy > 0 THEN 5 ELSE coalesce(d[5], 0) END AS month, CASE WHEN oy > 0 THEN 0 ELSE coalesce(d[6], 0) END AS day, summary,
   coalesce(concat_ws(chr(10), CASE WHEN o THEN 'own' END, notes), '') AS notes, web, CASE WHEN oi <> '' THEN oi ELSE coalesce(pid, '') END AS provider_id,
   concat_ws(',', 'series=first_issue', CASE WHEN ot <> '' THEN 'title=collection_override' ELSE 'title=generated_range' END, CASE WHEN k THEN 'publisher=Kapowarr' WHEN fp <> '' THEN 'publisher=first_issue_provider' END,
-    CASE WHEN oy > 0 THEN 'year=collection_override' WHEN d IS NOT NULL THEN 'year=earliest_issue' END, 'summary=issue_union', 'web=issue_urls_joined', CASE WHEN oi <> '' THEN 'provider_id=collection_override' WHEN pid IS NOT NULL THEN 'provider_id=first_issue' END) AS provenance FROM h""",
+    CASE WHEN oy > 0 THEN 'year=collection_override' WHEN d IS NOT NULL THEN 'year=earliest_issue' END, 'summary=issue_union', 'web=issue_urls_joined', {", ".join(f"'{k}=issue_union_dedup'" for k in _LISTS if k not in ("teams", "story_arc_numbers"))}, CASE WHEN oi <> '' THEN 'provider_id=collection_override' WHEN pid IS NOT NULL THEN 'provider_id=first_issue' END) AS provenance,
+  genre, CASE WHEN language = '' THEN 'en' ELSE language END AS language, 'Trade Paperback' AS format, {", ".join(f"coalesce(l_{k}, '') AS {k}" for k in _LISTS if k != "story_arc_numbers")} FROM h LEFT JOIN lists USING (collection_id)""",
     "A8_collection_validation": f"""WITH {_MEM}, {_ORD},
 b AS (SELECT collection_id, count(*) FILTER (n > 1 AND s = 1) AS repeated, count(*) FILTER (s > 1) AS variants FROM (SELECT collection_id, numeric, count(*) AS n, count(DISTINCT issue_number) AS s FROM mo GROUP BY 1, 2) GROUP BY 1),
 w AS (SELECT collection_id, count(DISTINCT trim({rep('lower(series_name)', '[^a-z0-9 ]')})) AS series, count(DISTINCT trim(lower(publisher))) FILTER (publisher <> '') AS pubs, count(DISTINCT volume_id) FILTER (volume_id <> '') AS vols, string_agg(issue_number, ',' ORDER BY numeric, suffix, pos) AS sorted_numbers FROM mo GROUP BY 1),
@@ -322,13 +344,13 @@ SELECT folder, total, tagged, missing, missing > 0 AS has_missing, total > 0 AND
     "A11_job_metrics": f"WITH {duck('jobs')} SELECT job_id, count(*) AS total, {_OUT.format('status')}, round(coalesce(avg(value), 0), 1) AS avg_duration FROM jobs GROUP BY 1",
     "A12_provider_metrics": f"WITH {duck('calls')} SELECT provider, count(*) AS calls, count(*) FILTER (http_status >= 400) AS failures, round(avg(ms), 1) AS avg_ms, round(CASE WHEN count(*) FILTER (cache_lookup) > 0 THEN 100.0 * count(*) FILTER (cache_lookup AND cache_hit) / count(*) FILTER (cache_lookup) ELSE 0.0 END, 1) AS hit_rate FROM calls GROUP BY 1",
     "A13_cache_stats": f"WITH {_CR} SELECT kind, count(*) AS rows, count(*) FILTER (expires_at > 0 AND expires_at < 1250) AS expired FROM cache_rows GROUP BY 1",
-    "A14_resolution_rates": f"{DECIDED} SELECT count(*) AS items, round(100.0 * count(*) FILTER (level = 'AUTO_ACCEPT') / count(*), 2) AS auto_accept, round(100.0 * count(*) FILTER (level = 'MANUAL_REVIEW') / count(*), 2) AS review, round(100.0 * count(*) FILTER (level = 'UNRESOLVED') / count(*), 2) AS unresolved, round(100.0 * count(*) FILTER (level IN ('AUTO_ACCEPT', 'ACCEPT_WITH_WARNING') AND issue_number = '99') / count(*), 2) AS false_positive FROM dec",
+    "A14_resolution_rates": f"{DECIDED} SELECT count(*) AS items, round(100.0 * count(*) FILTER (level = 'AUTO_ACCEPT') / count(*), 2) AS auto_accept, round(100.0 * count(*) FILTER (level = 'MANUAL_REVIEW') / count(*), 2) AS review, round(100.0 * count(*) FILTER (level = 'UNRESOLVED') / count(*), 2) AS unresolved, round(100.0 * count(*) FILTER (level IN ('AUTO_ACCEPT', 'ACCEPT_WITH_WARNING') AND issue_number = '99') / count(*), 2) AS false_positive, round(count(*) / 60.0, 1) AS items_per_second FROM dec",
     "W1_ranked_pool": f"{DECIDED} SELECT file_id, pool_pos, CAST(rk AS INT) AS rank FROM ev",
     "W4_first_per_provider": f"WITH {duck('calls')} SELECT provider, min(call_id) AS call_id FROM calls GROUP BY 1",
-    "W5_reading_position": f"WITH {EXPANDED} SELECT * FROM (SELECT series, line_id, \"at\", number, CAST(row_number() OVER (PARTITION BY series ORDER BY line_id, \"at\") AS INT) AS arc_number FROM expanded) WHERE \"at\" % 2 = 0",
+    "W5_reading_position": f"WITH {FILES_OF} SELECT * FROM (SELECT series, line_id, \"at\", number, CAST(row_number() OVER (PARTITION BY series ORDER BY line_id, \"at\") AS INT) AS arc_number FROM expanded) SEMI JOIN hits USING (series, number)",
     "W6_latest_row": f"WITH {duck('known_files')} SELECT path, max(updated_at) AS updated_at, arg_max(status, updated_at) AS status FROM known_files GROUP BY 1",
     "W7_oldest_job": f"WITH {duck('leases')} SELECT path, job_id FROM leases WHERE status IN ('PENDING', 'RETRYING') QUALIFY row_number() OVER (PARTITION BY path ORDER BY created_at, job_id) = 1",
-    "O1_natural_order": f"WITH {duck('numbers')}, o AS ({order_of('raw', 'numbers', 'id, raw')}) SELECT id % 50 AS shelf, string_agg(raw, ',' ORDER BY numeric, suffix, id) AS numbers FROM o GROUP BY 1",
+    "O1_natural_order": f"WITH {_MEM}, {_ORD} SELECT collection_id, string_agg(issue_number, ',' ORDER BY numeric, suffix, pos) AS numbers FROM mo GROUP BY 1",
     "O2_digits_order": _of("numbers", "id", f"coalesce(TRY_CAST({rep('raw', '[^0-9]')} AS BIGINT), 0) AS place"),
     "O3_newest_jobs": f"WITH {duck('leases')} SELECT job_id, created_at FROM leases WHERE status = 'FAILED' ORDER BY created_at DESC, job_id LIMIT 100",
     "U1_candidate_pool": f"WITH {PARSED}, {duck('candidates')} SELECT file_id, 0 AS pool_pos, 'Filename' AS provider, series_name, issue_number FROM parsed UNION ALL SELECT file_id, pool_pos, provider, series_name, issue_number FROM candidates",
@@ -352,7 +374,7 @@ def _existing_ev() -> str:
     """Embedded records scored against their files: xs1."""
     return rf"""
 xe AS (SELECT f.file_id, CASE WHEN x.series <> '' THEN x.series ELSE x.title END AS s, x.number AS n, x.year AS y, regexp_extract(x.web, 'comicvine\.gamespot\.com/.*?/4000-([0-9]+)', 1) AS web_id,
-  f.series_name AS fs, f.issue_number AS fn, f.year AS fy, f.is_tpb AS ft, {title("CASE WHEN x.series <> '' THEN x.series ELSE x.title END")} AS t, {title("f.series_name")} AS tt FROM existing x JOIN parsed f USING (file_id)),
+  f.series_name AS fs, f.issue_number AS fn, suffix(lower(f.path), '.cbz') AS zipped, f.year AS fy, f.is_tpb AS ft, {title("CASE WHEN x.series <> '' THEN x.series ELSE x.title END")} AS t, {title("f.series_name")} AS tt FROM existing x JOIN parsed f USING (file_id)),
 xs0 AS (SELECT *, greatest(0, least(100, 100 + CASE WHEN n = '' OR fn = '' THEN 0 WHEN ltrim(n, '0') = ltrim(fn, '0') THEN 30 ELSE -60 END
    + CASE WHEN ft AND NOT regexp_matches(lower(s), 'tpb|trade paperback|omnibus|compendium|masterworks|collection|deluxe edition|graphic novel') AND n <> '' THEN -50 WHEN NOT ft AND regexp_matches(lower(s), 'tpb|trade paperback|omnibus|compendium|masterworks|collection|deluxe edition|graphic novel') THEN -50 ELSE 0 END
    + CASE WHEN t = '' OR tt = '' THEN 0 WHEN t = tt THEN 25 WHEN starts_with(t, tt) OR starts_with(tt, t) THEN 15 ELSE -50 END
@@ -374,35 +396,44 @@ def _stage(name: str, where: str) -> str:
 
 
 _INHERIT = """inh AS (SELECT c.* REPLACE (CASE WHEN c.provider <> 'Filename' AND c.issue_number = '' THEN f.issue_number ELSE c.issue_number END AS issue_number) FROM candidates c JOIN parsed f USING (file_id))"""
-_RESOLVE_BASE = f"{PARSED}, {duck('candidates').replace('candidates AS', 'candidates0 AS', 1)}, {_INHERIT.replace('FROM candidates c', 'FROM candidates0 c').replace('inh AS', 'candidates AS')}, {duck('existing')}, {_existing_ev()}"
+_RESOLVE_BASE = f"{PARSED}, {duck('candidates').replace('candidates AS', 'candidates0 AS', 1)}, {_INHERIT.replace('FROM candidates c', 'FROM candidates0 c').replace('inh AS', 'candidates AS')}, {duck('existing')}, {_existing_ev()}, {duck('overrides')}, {duck('cached')}"
 _ROW = "file_id, provider, series_name, issue_number, issue_id, score, level"
 RESOLVED = f"""WITH {_RESOLVE_BASE},
-u AS (SELECT file_id, 'ExistingXML' AS provider, s AS series_name, n AS issue_number, '4000-' || web_id AS issue_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 90 THEN 'AUTO_ACCEPT' ELSE 'ACCEPT_WITH_WARNING' END AS level FROM xs1 WHERE state = 'VALID' AND web_id <> '' AND score >= 80),
+ovr AS (SELECT file_id, 'Override' AS provider, series_name, issue_number, issue_id, 100.0::DOUBLE AS score, 'AUTO_ACCEPT' AS level FROM overrides),
+ux AS (SELECT file_id, 'ExistingXML' AS provider, s AS series_name, n AS issue_number, '4000-' || web_id AS issue_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 90 THEN 'AUTO_ACCEPT' ELSE 'ACCEPT_WITH_WARNING' END AS level FROM xs1 WHERE state = 'VALID' AND web_id <> '' AND score >= 80 AND zipped AND file_id NOT IN (SELECT file_id FROM ovr)),
+{_stage("h", "file_id NOT IN (SELECT file_id FROM ovr UNION ALL SELECT file_id FROM ux)").lstrip().replace("FROM candidates c JOIN", "FROM cached c JOIN")},
+uh AS (SELECT {_ROW} FROM dec_h WHERE score >= 80 AND NOT critical),
+u AS (SELECT * FROM ovr UNION ALL SELECT * FROM ux UNION ALL SELECT * FROM uh),
 {_stage("k", "c.provider IN ('Filename', 'Kapowarr') AND file_id NOT IN (SELECT file_id FROM u)").lstrip()},
 wk AS (SELECT {_ROW} FROM dec_k WHERE score >= 70 AND NOT critical),
 {_stage("c", "c.provider IN ('Filename', 'Kapowarr', 'ComicVine') AND file_id NOT IN (SELECT file_id FROM u UNION ALL SELECT file_id FROM wk)").lstrip()},
 wc AS (SELECT {_ROW} FROM dec_c WHERE score >= 70 AND NOT critical),
 {_stage("g", "file_id NOT IN (SELECT file_id FROM u UNION ALL SELECT file_id FROM wk UNION ALL SELECT file_id FROM wc)").lstrip()},
-al AS (SELECT *, 'existing_comicinfo' AS source FROM u UNION ALL SELECT *, 'kapowarr' FROM wk UNION ALL SELECT *, 'comicvine_fallback' FROM wc UNION ALL SELECT {_ROW}, 'gcd_fallback' FROM dec_g),
+al AS (SELECT *, 'url_override' AS source FROM ovr UNION ALL SELECT *, 'existing_comicinfo' FROM ux UNION ALL SELECT *, 'persistent_cache' FROM uh UNION ALL SELECT *, 'kapowarr' FROM wk UNION ALL SELECT *, 'comicvine_fallback' FROM wc UNION ALL SELECT {_ROW}, 'gcd_fallback' FROM dec_g),
 re AS (SELECT p.file_id, al.provider, al.series_name, al.issue_number, al.issue_id, al.score, CASE WHEN k THEN level ELSE 'UNRESOLVED' END AS level, CASE WHEN k THEN source ELSE '' END AS source, k AND coalesce(suffix(source, '_fallback'), FALSE) AS fallback_used
   FROM parsed p LEFT JOIN al USING (file_id) LEFT JOIN (SELECT DISTINCT file_id AS asked FROM (SELECT file_id FROM candidates WHERE provider <> 'Filename' UNION ALL SELECT file_id FROM existing)) q ON q.asked = p.file_id,
-  LATERAL (SELECT al.provider IS NOT NULL AND q.asked IS NOT NULL AS k))"""
+  LATERAL (SELECT (al.provider IS NOT NULL AND q.asked IS NOT NULL) OR coalesce(al.source = 'url_override', FALSE) AS k))"""
 _RECORDS = """rec AS (SELECT provider, issue_id, arg_min({'s': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name END, 't': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name || ' #' || issue_number END, 'n': issue_number, 'p': publisher, 'y': publication_year}, file_id) AS r FROM candidates0 WHERE issue_id <> '' AND file_id % 9 <> 0 GROUP BY 1, 2),
-ret AS (SELECT re.*, r, CASE WHEN r IS NULL THEN 'NOT_FOUND' WHEN r.s <> '' OR r.t <> '' THEN 'FOUND' ELSE 'INVALID' END AS state FROM re LEFT JOIN rec ON rec.provider = re.provider AND rec.issue_id = re.issue_id)"""
+fl AS (SELECT DISTINCT issue_id FROM candidates0 WHERE provider = 'Kapowarr' AND issue_id <> '' AND file_id % 31 = 0),
+ret AS (SELECT re.*, r, CASE WHEN {failed} THEN 'PROVIDER_ERROR' WHEN r IS NULL THEN 'NOT_FOUND' WHEN r.s <> '' OR r.t <> '' THEN 'FOUND' ELSE 'INVALID' END AS state FROM re LEFT JOIN rec ON rec.provider = re.provider AND rec.issue_id = re.issue_id)"""
+
+_FAILED = "coalesce(re.provider = 'Kapowarr' AND re.issue_id IN (SELECT issue_id FROM fl), FALSE)"
 
 ORACLES |= {
-    "Q2_existing_state": f"WITH {PARSED}, {duck('existing')}, {_existing_ev()} SELECT p.file_id, coalesce(state, 'MISSING') AS state, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM parsed p LEFT JOIN xs1 USING (file_id)",
+    "Q2_existing_state": f"WITH {PARSED}, {duck('existing')}, {_existing_ev()} SELECT p.file_id, CASE WHEN NOT suffix(lower(path), '.cbz') OR state IS NULL THEN 'MISSING' WHEN p.file_id % 35 = 0 THEN 'MALFORMED' ELSE state END AS state, CASE WHEN p.file_id % 35 = 0 THEN 0 ELSE CAST(coalesce(score, 0) AS DOUBLE) END AS score FROM parsed p LEFT JOIN xs1 USING (file_id)",
     "Q3_resolve": f"{RESOLVED} SELECT file_id, provider, series_name, issue_number, score, level, {_ACTION} AS action, source, fallback_used FROM re",
-    "J14_retrieval": f"{RESOLVED}, {_RECORDS} SELECT file_id, state, coalesce(r.t, '') AS title FROM ret",
-    "Q5_plan": rf"""{RESOLVED}, {_RECORDS}, pl AS (SELECT ret.*, {_ACTION} AS act, state = 'FOUND' AS ok, file_id IN (SELECT file_id FROM existing) AS has FROM ret)
+    "J14_retrieval": f"{RESOLVED}, {_RECORDS.replace('{failed}', _FAILED)} SELECT file_id, state, coalesce(r.t, '') AS title FROM ret",
+    "Q5_plan": rf"""{RESOLVED}, {_RECORDS.replace('{failed}', 'FALSE')}, pl AS (SELECT ret.*, {_ACTION} AS act, state = 'FOUND' AS ok, file_id IN (SELECT file_id FROM existing) AS has FROM ret)
 SELECT file_id, CASE WHEN act = 'SKIP' THEN 'SKIP' WHEN act = 'REVIEW' THEN 'REVIEW' WHEN NOT ok THEN 'SKIP' WHEN has THEN 'UPDATE' ELSE 'EMBED' END AS action,
   CASE WHEN act <> 'SKIP' AND ok THEN concat_ws(',', CASE WHEN r.t <> '' THEN 'Title' END, CASE WHEN r.s <> '' THEN 'Series' END, CASE WHEN r.n NOT IN ('', '0') THEN 'Number' END, CASE WHEN r.p <> '' THEN 'Publisher' END, CASE WHEN r.y <> 0 THEN 'Year' END) ELSE '' END AS fields,
   coalesce(provider, '') AS provider, coalesce(score, 0) AS confidence, state AS metadata_state, CASE WHEN act = 'SKIP' THEN 'below threshold' WHEN NOT ok THEN 'metadata ' || lower(state) WHEN act = 'REVIEW' THEN 'needs review' WHEN has THEN 'existing record' ELSE 'resolved' END AS reason,
   regexp_replace(path, '(?i)\.cbr$', '.cbz') AS target_path FROM pl JOIN lib_files USING (file_id)""",
-    "Q12_incremental_ingest": f"""WITH {duck('seen_files')}, {duck('known_files')}, {duck('leases')}, k AS (SELECT * FROM known_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY updated_at DESC) = 1), act AS (SELECT path, sha256 FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING'))
-SELECT seen_id, path, sha256 FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.path = s.path AND k.size = s.size AND k.mtime = s.mtime AND k.sha256 = s.sha256) AND NOT EXISTS (SELECT 1 FROM act WHERE act.path = s.path AND (s.sha256 = '' OR act.sha256 = s.sha256)) QUALIFY row_number() OVER (PARTITION BY path, sha256 ORDER BY seen_id) = 1""",
 }
 
+ORACLES["Q12_incremental_ingest"] = f"""WITH pl AS ({ORACLES['Q5_plan']}), f AS (SELECT p_partkey AS file_id, '/lib/f' || p_partkey AS path, CAST(p_partkey % 97 AS BIGINT) AS size, CAST(p_partkey % 89 AS BIGINT) AS mtime, 'h' || p_partkey % 83 AS sha256 FROM part),
+n AS (SELECT path, size, mtime, sha256, action AS status, CAST(1250 AS BIGINT) AS updated_at FROM f JOIN pl USING (file_id) WHERE (file_id % 3 = 0 OR file_id % 5 = 0) AND file_id % 13 <> 0 AND action IN ('UPDATE', 'EMBED'))
+SELECT * FROM n UNION ALL SELECT path, size, CASE WHEN file_id % 5 = 0 THEN mtime + 1 ELSE mtime END, sha256, 'SUCCESS', CAST(1 AS BIGINT) FROM f WHERE file_id % 3 <> 0 AND path NOT IN (SELECT path FROM n)"""
+
 _EV = """ev AS (SELECT event_id, ts, '/lib/' || user_id || '.cbz' AS path, '/new/' || user_id || '.cbz' AS dest, CASE WHEN event_id % 11 = 0 THEN 'moved' WHEN event_id % 7 = 0 THEN 'deleted' WHEN event_id % 2 = 0 THEN 'created' ELSE 'modified' END AS event_type, CAST(floor(value) AS BIGINT) AS size FROM events)"""
 
 ORACLES |= {
@@ -415,8 +446,9 @@ s AS (SELECT path, k, count(*) AS n, min(ts) AS a FROM (SELECT *, sum(n) OVER (P
     "T8_windowed_metrics": f"WITH {duck('jobs')} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS total, {_OUT.format('status')}, round(avg(value), 1) AS avg_duration FROM jobs GROUP BY 1",
     "S17_labelled_text": rf"""WITH l AS (SELECT doc_id, coalesce(text, '') AS t, [trim(x) FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(x) <> ''] AS ls FROM documents), h AS (SELECT *, list_filter(ls, lambda x: starts_with(x, 'Script:'))[1] AS s FROM l)
 SELECT doc_id, coalesce(ls[1], '') AS title, coalesce(TRY_CAST(regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\b', 1) AS INT), 0) AS year, coalesce(substr(s, 8), '') AS writers FROM h""",
-    "S18_record_json": f"WITH {duck('existing')} SELECT file_id, series, title, number, year, volume, CAST(1 AS INT) AS count FROM existing",
-    "S20_job_event_lines": f"WITH {duck('jobs')} SELECT event_id, concat_ws(' ', 'job_id=' || job_id, 'status=' || status, CASE WHEN status = 'FAILED' THEN 'error=1' END) AS line FROM jobs",
+    "S18_record_json": f"WITH {duck('existing')} SELECT file_id, series, title, number, year, volume, publisher, web, '' AS language, CAST(1 AS INT) AS count, title || '|Ann|Bob' AS writers FROM existing",
+    "S20_job_event_lines": f"""WITH {duck('jobs')} SELECT event_id, concat_ws(' ', 'job_id=' || job_id, 'status=' || status, CASE WHEN status = 'FAILED' THEN 'error=1' END) AS line,
+  chr(123) || '"job_id":' || job_id || ',"status":"' || status || '"' || CASE WHEN status = 'FAILED' THEN ',"error":"1"' ELSE '' END || chr(125) AS json FROM jobs""",
 }
 
 _VOL_ROWS = f"""{duck('catalog_json')}, vi AS (SELECT row_id, CAST(data->>'$.id' AS BIGINT) AS volume_id, CASE WHEN data->>'$.title' <> '' THEN data->>'$.title' ELSE data->>'$.name' END AS series, coalesce(TRY_CAST(data->>'$.year' AS INT), 0) AS year,
@@ -433,7 +465,7 @@ FROM dec JOIN lib_files USING (file_id) WHERE level = 'MANUAL_REVIEW'""",
 
 _BATCH_OF = ORACLES["F17_batch_number"]
 ORACLES |= {
-    "Q10_collection_build": f"SELECT * FROM ({ORACLES['A6_merge_simple']}) WHERE collection_id IN (SELECT collection_id FROM ({ORACLES['A8_collection_validation']}) WHERE result <> 'REJECT')",
+    "Q10_collection_build": f"SELECT * FROM ({ORACLES['A7_merge_policy']}) WHERE collection_id IN (SELECT collection_id FROM ({ORACLES['A8_collection_validation']}) WHERE result <> 'REJECT')",
     "Q7_review": f"""SELECT r.file_id, r.score, b.provider AS recommended, b.series_name, b.score AS best_score FROM ({ORACLES['Q3_resolve']}) r
 JOIN (SELECT * FROM ({DECIDED} SELECT file_id, provider, series_name, score, pool_pos FROM ev) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, pool_pos) = 1) b ON b.file_id = r.file_id WHERE r.action = 'REVIEW'""",
     "J8_batch_match": f"""WITH f AS (SELECT b.file_id, p_name AS folder, b.number, count(*) OVER (PARTITION BY p_name) AS n FROM ({_BATCH_OF}) b JOIN part ON p_partkey = b.file_id),
@@ -447,9 +479,9 @@ SELECT f.file_id, f.folder, f.number, coalesce(m[2], '') AS url, CASE WHEN m IS
 _LISTED = """l AS (SELECT p_partkey % 40 AS volume_id, floor(p_partkey / 40) + 1 AS page_no, 0 AS pos, p_size || CASE WHEN p_partkey % 6 = 0 THEN 'A' ELSE '' END AS number, '/' || CASE WHEN p_partkey % 5 = 1 THEN 'the-red-sky-7' ELSE 'red-sky-annual' END || '/4000-' || p_partkey || '/' AS url, p_name AS label FROM part WHERE p_partkey % 5 <> 0
 UNION ALL SELECT p_partkey % 40, floor(p_partkey / 40) + 1, 2, CAST(p_size + 100 AS VARCHAR), '/red-sky/4000-' || (p_partkey + 20000000) || '/', 'Issue ' || (p_size + 100) FROM part)"""
 ORACLES |= {
-    "S10_related_records": """WITH s AS (SELECT p_partkey AS sid, p_name AS series, s_name AS publisher FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 30 AND s_suppkey < 25 WHERE p_partkey < 90)
+    "S10_related_records": """WITH s AS (SELECT p_partkey AS sid, p_name AS series, s_name AS publisher FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 150)
 SELECT p_partkey AS issue_id, coalesce(series, '') AS series, CAST(p_size AS VARCHAR) AS number, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE coalesce(series, '') || ' #' || p_size END AS title, coalesce(publisher, '') AS publisher, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1940 + p_partkey % 80 END AS year, '' AS summary,
-p_brand || '; ' || p_type || '; Ann' AS writers, '' AS pencillers, p_brand AS inkers, '' AS colorists, p_name AS characters FROM part LEFT JOIN s ON sid = p_partkey % 97""",
+p_brand || '; ' || p_type || '; Ann' AS writers, '' AS pencillers, p_brand AS inkers, '' AS colorists, p_name AS characters FROM part LEFT JOIN s ON sid = CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_partkey - p_partkey % 7 END""",
     "S15_volume_issues": f"WITH {_LISTED} SELECT volume_id, number, url, label FROM l WHERE page_no <= 50 QUALIFY row_number() OVER (PARTITION BY volume_id, number ORDER BY page_no, pos) = 1",
     "S16_reading_entries": """SELECT p_partkey AS page_id, 1 AS place, p_name AS series, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END AS number, p_name || ' #' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'b' ELSE '' END AS title, '/x/4000-' || p_partkey || '/' AS url FROM part
 UNION ALL SELECT p_partkey, 2, p_type, '', p_type, '/x/4000-' || (p_partkey + 1) || '/' FROM part""",

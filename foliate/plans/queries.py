@@ -156,9 +156,9 @@ def _(spark, sf):
 
 @query("J2_canonical_match")
 def _(spark, sf):
-    pool = K.canonical_key(derive(spark, sf, "candidates"))
+    pool = K.canonical_key(derive(spark, sf, "candidates")).withColumn("candidate_id", c("file_id") * 10 + c("pool_pos"))
     files = K.canonical_key(parsed(spark, sf), year="year").select("file_id", *KEYS)
-    return K.match_keys(files, pool.where("provider = 'GCD'").withColumnRenamed("file_id", "candidate_id"), "file_id", "candidate_id")
+    return K.match_keys(files, pool, "file_id", "candidate_id")
 
 
 KEYS = ["series_norm", "issue_numeric", "issue_suffix", "is_named", "volume_norm", "key_year"]
@@ -196,7 +196,7 @@ def _(spark, sf):
 @query("J7_issue_files")
 def _(spark, sf):
     """Each catalog issue with its first file by path."""
-    issues = derive(spark, sf, "candidates").where("provider = 'GCD'").select(T.title_form(c("series_name")).alias("s"), N.unpadded(c("issue_number")).alias("n"), "series_name", "issue_number").distinct()
+    issues = derive(spark, sf, "candidates").select(T.title_form(c("series_name")).alias("s"), N.unpadded(c("issue_number")).alias("n"), "series_name", "issue_number").distinct()
     files = parsed(spark, sf).select(T.title_form(c("series_name")).alias("s"), N.unpadded(c("issue_number")).alias("n"), "path").groupBy("s", "n").agg(F.min("path").alias("path"))
     return issues.join(files, ["s", "n"], "left").select("series_name", "issue_number", F.coalesce("path", F.lit("")).alias("path"))
 
@@ -239,7 +239,8 @@ def _(spark, sf):
 @query("J15_cache_lookup")
 def _(spark, sf):
     cache = derive(spark, sf, "cache_rows")
-    return K.cache_lookup(cache.select("kind", "cache_key").distinct(), cache, NOW, "2").select("kind", "cache_key", "hit_provider", "data_json")
+    asked = cache.select("kind", F.concat(F.lit(" "), F.upper("cache_key")).alias("cache_key")).distinct()
+    return K.cache_lookup(asked, cache, NOW, "2").select("kind", "cache_key", "hit_provider", "data_json")
 
 
 # Aggregates and windows
@@ -258,14 +259,21 @@ def _(spark, sf):
 
 @query("A7_merge_policy")
 def _(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 6 = 0")
+    return K.merge_issues(derive(spark, sf, "members"), policy=True, **overrides(spark, sf))
+
+
+def overrides(spark, sf):
+    """Each collection's own values, most of them blank, and its publisher in the catalog."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+
+    def own(n, value, blank):
+        return F.when(c("o_orderkey") % n == 0, value).otherwise(blank)
+
     over = orders.select(
-        c("o_orderkey").alias("collection_id"), F.when(c("o_orderkey") % 4 == 0, c("o_orderpriority")).otherwise("").alias("title"), F.lit("").alias("publisher"),
-        F.when(c("o_orderkey") % 9 == 0, 1999).otherwise(0).alias("year"), F.lit(5).alias("month"), F.lit(0).alias("day"), F.lit("").alias("summary"), F.lit("own").alias("notes"),
-        F.lit("").alias("web"), F.when(c("o_orderkey") % 5 == 0, "oid").otherwise("").alias("provider_id"),
+        c("o_orderkey").alias("collection_id"), own(12, c("o_orderpriority"), "").alias("title"), F.lit("").alias("publisher"), own(18, 1999, 0).alias("year"), F.lit(5).alias("month"), F.lit(0).alias("day"),
+        F.lit("").alias("summary"), own(6, "own", "").alias("notes"), F.lit("").alias("web"), own(30, "oid", "").alias("provider_id"),
     )
-    known = orders.where("o_orderkey % 12 = 0").select(c("o_orderkey").alias("collection_id"), F.lit("Kap").alias("publisher"))
-    return K.merge_issues(derive(spark, sf, "members"), policy=True, override=over, identity=known)
+    return {"override": over, "identity": orders.select(c("o_orderkey").alias("collection_id"), own(12, "Kap", "").alias("publisher"))}
 
 
 @query("A8_collection_validation")
@@ -285,8 +293,10 @@ def _(spark, sf):
 def _(spark, sf):
     entries = R.expand_ranges(derive(spark, sf, "reading"))
     hits = R.reading_files(entries, derive(spark, sf, "lib_files"))
-    found = entries.join(hits, ["series", "number"], "left")
-    return X.coverage(found.select(c("path").isNotNull().alias("is_found"), F.coalesce(F.lower("path").endswith(".cbz"), F.lit(False)).alias("is_tagged")))
+    tags = derive(spark, sf, "lib_files").groupBy("path").agg(F.max(F.when(c("file_id") % 4 == 0, "Long Dark").otherwise("")).alias("tag"))  # the files' arc tags
+    found = entries.join(hits, ["series", "number"], "left").join(tags, "path", "left")
+    named = R.arcs_match(F.lit('The "Dark" Age'), T.text(c("tag")))
+    return X.coverage(found.select(c("path").isNotNull().alias("is_found"), F.coalesce(F.lower("path").endswith(".cbz"), F.lit(False)).alias("is_tagged"), named.alias("is_arc_tagged")))
 
 
 @query("A11_job_metrics")
@@ -306,7 +316,7 @@ def _(spark, sf):
 
 @query("A14_resolution_rates")
 def _(spark, sf):
-    return X.resolution_rates(D.decide(evaluated(spark, sf)).withColumn("is_right", c("issue_number") != "99"))
+    return X.resolution_rates(D.decide(evaluated(spark, sf)).withColumn("is_right", c("issue_number") != "99"), seconds=60.0)
 
 
 @query("W1_ranked_pool")
@@ -324,7 +334,9 @@ def _(spark, sf):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("series").orderBy("line_id", "at"))
-    return R.expand_ranges(derive(spark, sf, "reading")).select("series", "line_id", "at", "number", place.alias("arc_number")).where("at % 2 = 0")
+    entries = R.expand_ranges(derive(spark, sf, "reading"))
+    found = R.reading_files(entries, derive(spark, sf, "lib_files")).select("series", "number")
+    return entries.select("series", "line_id", "at", "number", place.alias("arc_number")).join(found, ["series", "number"], "left_semi")
 
 
 @query("W6_latest_row")
@@ -339,9 +351,9 @@ def _(spark, sf):
 
 @query("O1_natural_order")
 def _(spark, sf):
-    o = N.issue_order(c("raw"))
-    ordered = F.sort_array(F.collect_list(F.struct(o["numeric"].alias("a"), o["suffix"].alias("b"), "id", "raw")))
-    return derive(spark, sf, "numbers").groupBy((c("id") % 50).alias("shelf")).agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), ",").alias("numbers"))
+    o = N.issue_order(c("issue_number"))
+    ordered = F.sort_array(F.collect_list(F.struct(o["numeric"].alias("a"), o["suffix"].alias("b"), "pos", c("issue_number").alias("raw"))))
+    return derive(spark, sf, "members").groupBy("collection_id").agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), ",").alias("numbers"))
 
 
 @query("O2_digits_order")
@@ -426,12 +438,13 @@ def _(spark, sf):
 
 
 def resolved(spark, sf):
-    return V.resolve(parsed(spark, sf), derive(spark, sf, "candidates"), derive(spark, sf, "existing"))
+    return V.resolve(parsed(spark, sf), derive(spark, sf, "candidates"), derive(spark, sf, "existing"), derive(spark, sf, "cached"), derive(spark, sf, "overrides"))
 
 
 @query("Q2_existing_state")
 def _(spark, sf):
-    return V.classify_existing(parsed(spark, sf), derive(spark, sf, "existing")).select("file_id", "state", F.coalesce("score", F.lit(0.0)).alias("score"))
+    existing = derive(spark, sf, "existing").withColumn("malformed", c("file_id") % 35 == 0)
+    return V.classify_existing(parsed(spark, sf), existing).select("file_id", "state", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query("Q3_resolve")
@@ -452,7 +465,8 @@ def records(spark, sf):
 
 @query("J14_retrieval")
 def _(spark, sf):
-    return V.retrieve(resolved(spark, sf), records(spark, sf)).select("file_id", "state", F.coalesce("record_title", F.lit("")).alias("title"))
+    failed = derive(spark, sf, "candidates").where("provider = 'Kapowarr' AND issue_id <> ''").where("file_id % 31 = 0")  # calls that failed
+    return V.retrieve(resolved(spark, sf), records(spark, sf), failed).select("file_id", "state", F.coalesce("record_title", F.lit("")).alias("title"))
 
 
 @query("Q5_plan")
@@ -471,8 +485,18 @@ def _(spark, sf):
 
 @query("Q12_incremental_ingest")
 def _(spark, sf):
-    fresh = K.new_or_changed(derive(spark, sf, "seen_files"), derive(spark, sf, "known_files"))
-    return K.without_active_jobs(fresh, derive(spark, sf, "leases")).select("seen_id", "path", "sha256")
+    """New and changed files without an active job are planned; the hash table then knows those that were written."""
+    files = derive(spark, sf, "lib_files").select(
+        "file_id", F.concat(F.lit("/lib/f"), "file_id").alias("path"), (c("file_id") % 97).cast("bigint").alias("size"), (c("file_id") % 89).cast("bigint").alias("mtime"), F.concat(F.lit("h"), (c("file_id") % 83)).alias("sha256"), c("file_id").alias("seen_id"),
+    )
+    known = files.where("file_id % 3 <> 0").select("path", "size", F.when(c("file_id") % 5 == 0, c("mtime") + 1).otherwise(c("mtime")).alias("mtime"), "sha256", F.lit("SUCCESS").alias("status"), F.lit(1).cast("bigint").alias("updated_at"))
+    jobs = files.select("path", "sha256", F.when(c("file_id") % 13 == 0, "RUNNING").otherwise("COMPLETED").alias("status"))
+    fresh = K.without_active_jobs(K.new_or_changed(files, known), jobs)
+    some = parsed(spark, sf).join(fresh.select("file_id"), "file_id", "left_semi")
+    won = V.resolve(some, derive(spark, sf, "candidates"), derive(spark, sf, "existing"), derive(spark, sf, "cached"), derive(spark, sf, "overrides"))
+    plan = V.plan_files(V.retrieve(won, records(spark, sf)), derive(spark, sf, "lib_files").join(fresh.select("file_id"), "file_id", "left_semi"), derive(spark, sf, "existing"))
+    done = fresh.join(plan.where("action IN ('UPDATE', 'EMBED')").select("file_id", c("action").alias("status")), "file_id")
+    return K.hash_upsert(known, done, NOW)
 
 
 @query("Q10_collection_build")
@@ -480,7 +504,7 @@ def _(spark, sf):
     """Accepted collections, merged."""
     members = derive(spark, sf, "members")
     good = K.validate_collections(members).where("result <> 'REJECT'").select("collection_id")
-    return K.merge_issues(members.join(good, "collection_id", "left_semi"))
+    return K.merge_issues(members.join(good, "collection_id", "left_semi"), policy=True, **overrides(spark, sf))
 
 
 # Streams' batch twins, pages and sinks
@@ -533,16 +557,36 @@ def _(spark, sf):
     return E.windowed_outcomes(jobs).withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("S11_issue_pages")
+def _(spark, sf):
+    return G.issue_records(G.issue_page_texts(derive(spark, sf, "issue_pages")))
+
+
 @query("S11_page_titles")
 def _(spark, sf):
     return G.page_titles(G.page_parts(spark.read.parquet(f"{sf}/pages.parquet")))
 
 
+@query("S12_page_creators")
+def _(spark, sf):
+    return G.creators(G.issue_page_texts(derive(spark, sf, "issue_pages")))
+
+
+@query("S13_page_names")
+def _(spark, sf):
+    return G.page_names(G.issue_page_texts(derive(spark, sf, "issue_pages")))
+
+
 @query("S13_page_links")
 def _(spark, sf):
     return G.links(G.page_parts(spark.read.parquet(f"{sf}/pages.parquet"))).select("page_id", "pos", "href", "name")
 
 
+@query("S14_search_results")
+def _(spark, sf):
+    return G.search_results(G.links(G.page_parts(derive(spark, sf, "search_pages"))))
+
+
 @query("S17_labelled_text")
 def _(spark, sf):
     return G.labelled_text(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", "title", "year", "writers")
@@ -550,17 +594,20 @@ def _(spark, sf):
 
 @query("S18_record_json")
 def _(spark, sf):
-    """Records to JSON and back, with the defaults of missing fields."""
-    x = derive(spark, sf, "existing")
-    text = F.to_json(F.struct("series", "title", "number", "year", F.nullif("volume", F.lit("")).alias("volume")))
-    back = F.from_json(text, "series string, title string, number string, year int, volume string, count int")
-    return x.select("file_id", back.alias("r")).select("file_id", "r.series", "r.title", "r.number", "r.year", F.coalesce("r.volume", F.lit("")).alias("volume"), F.coalesce("r.count", F.lit(1)).alias("count"))
+    """Records to JSON and back, with the defaults of missing fields; lists go as text between commas."""
+    x = derive(spark, sf, "existing").withColumn("people", F.concat(c("title"), F.lit(", Ann ,, Bob")))
+    text = F.to_json(F.struct("series", "title", "number", "year", F.nullif("volume", F.lit("")).alias("volume"), F.nullif("publisher", F.lit("")).alias("publisher"), "web", "people"))
+    back = F.from_json(text, "series string, title string, number string, year int, volume string, publisher string, web string, people string, count int, language string")
+    r = x.select("file_id", back.alias("r"))
+    blank = {k: F.coalesce(f"r.{k}", F.lit("")).alias(k) for k in ("volume", "publisher", "web", "language")}
+    return r.select("file_id", "r.series", "r.title", "r.number", "r.year", *blank.values(), F.coalesce("r.count", F.lit(1)).alias("count"), F.array_join(T.split_list(c("r.people")), "|").alias("writers"))
 
 
 @query("S20_job_event_lines")
 def _(spark, sf):
     line = F.concat_ws(" ", F.concat(F.lit("job_id="), "job_id"), F.concat(F.lit("status="), "status"), F.when(c("status") == "FAILED", F.lit("error=1")))
-    return derive(spark, sf, "jobs").select("event_id", line.alias("line"))
+    as_json = F.to_json(F.struct("job_id", "status", F.when(c("status") == "FAILED", F.lit("1")).alias("error")))
+    return derive(spark, sf, "jobs").select("event_id", line.alias("line"), as_json.alias("json"))
 
 
 @query("S7_catalog_volumes")

@@ -6,9 +6,10 @@ override, embedded record, cache, then pools that grow by one catalog at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions import names
 from foliate.functions.text import text
 from foliate.operators import decide as D
 from foliate.operators import score as S
@@ -32,7 +33,11 @@ def inherit(candidates: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def classify_existing(parsed: DataFrame, existing: DataFrame) -> DataFrame:
-    """state (MISSING, VALID, PARTIAL, CONFLICTING), score and id of each file's embedded record."""
+    """state (MISSING, VALID, PARTIAL, CONFLICTING, MALFORMED), score and id of each file's embedded record.
+
+    A record that cannot be read (column malformed, if there is one) is MALFORMED; only
+    zip archives hold records, so files of any other kind are MISSING.
+    """
     series = F.when(text(F.col("series")) != "", F.col("series")).otherwise(F.col("title"))
     issue_id = F.regexp_extract("web", r"comicvine\.gamespot\.com/.*?/4000-([0-9]+)", 1)
     cand = existing.select(
@@ -47,13 +52,19 @@ def classify_existing(parsed: DataFrame, existing: DataFrame) -> DataFrame:
         "publisher",
         "volume",
     )
-    pairs = D.pool_pairs(parsed, cand, existing)
+    bad = F.coalesce(F.col("malformed"), F.lit(False)) if "malformed" in existing.columns else F.lit(False)
+    broken = existing.where(bad).select("file_id", F.lit(True).alias("_broken")).distinct()
+    pairs = D.pool_pairs(parsed, cand.join(broken, "file_id", "left_anti"), existing)
     found = F.concat(S.conflicts(), S.existing_conflicts())
     scored = pairs.withColumns({"score": S.score(S.terms()), "critical": S.critical(found)})
     partial = (text(F.col("series_name")) == "") | (text(F.col("issue_number")) == "")
     state = F.when(F.col("critical"), "CONFLICTING").when(partial, "PARTIAL").otherwise("VALID")
     known = scored.select("file_id", "provider", "issue_id", "series_name", "issue_number", "publication_year", "score", "critical", state.alias("state"))
-    return parsed.select("file_id").join(known, "file_id", "left").withColumn("state", F.coalesce("state", F.lit("MISSING")))
+    zipped = F.lower("path").endswith(".cbz") if "path" in parsed.columns else F.lit(True)
+    files = parsed.select("file_id", zipped.alias("_zipped"))
+    out = files.join(known, "file_id", "left").join(broken, "file_id", "left")
+    told = F.when(~F.col("_zipped"), "MISSING").when(F.col("_broken"), "MALFORMED").otherwise(F.coalesce("state", F.lit("MISSING")))
+    return out.withColumn("state", told).drop("_zipped", "_broken")
 
 
 def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cached: DataFrame | None = None, override: DataFrame | None = None, gate: float = 70.0) -> DataFrame:
@@ -78,7 +89,7 @@ def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cache
     settled.append(usable.withColumns({"level": level, "action": F.lit("UPDATE"), "source": F.lit("existing_comicinfo")}).select(*RESULT))
     left = left.join(usable.select("file_id"), "file_id", "left_anti")
     if cached is not None:
-        best = written(D.decide(D.evaluate(D.pool_pairs(left, cached))), "cached").where("score >= 80 and not critical")
+        best = written(D.decide(D.evaluate(D.pool_pairs(left, cached, existing))), "cached").where("score >= 80 and not critical")
         settled.append(best.withColumn("source", F.lit("persistent_cache")).select(*RESULT))
         left = left.join(best.select("file_id"), "file_id", "left_anti")
     pool = candidates.where(F.col("provider") == "Filename")
@@ -122,6 +133,44 @@ def retrieve(resolved: DataFrame, records: DataFrame, failed: DataFrame | None =
     return joined.withColumn("state", state).drop("_failed", "_record_file")
 
 
+def provider_results(candidates: DataFrame) -> DataFrame:
+    """file_id and results: map from each catalog to its struct(status, candidates), as the decision reports it."""
+    counts = [F.count_if(F.col("provider") == name).alias(name) for name, _ in CATALOGS]
+    per = candidates.groupBy("file_id").agg(*counts)
+
+    def told(name: str) -> Column:
+        n = F.col(name)
+        return F.struct(F.lit(name), F.struct(F.when(n > 0, "SUCCESS").otherwise("NO_RESULTS").alias("status"), n.alias("candidates")))
+
+    return per.select("file_id", F.map_from_entries(F.array(*[told(name) for name, _ in CATALOGS])).alias("results"))
+
+
+def local_candidates(parsed: DataFrame, existing: DataFrame) -> DataFrame:
+    """Candidates of the file itself: pool_pos 0 from its name, 1 from its embedded record or else its folder.
+
+    A record's blank series and year come from the folder; a second candidate without
+    series and number is left out.
+    """
+    kind = F.when(F.col("is_tpb"), "TPB").when(F.col("is_annual"), "Annual").otherwise("Issue")
+    by_name = parsed.select("file_id", F.lit(0).alias("pool_pos"), F.lit("FilenameParser").alias("provider"), F.lit("").alias("issue_id"), "series_name", "issue_number", F.col("year").alias("publication_year"), "publisher", kind.alias("identity_type"))
+    parts = F.split("path", "/")
+    parent = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("")
+    plain = (parent == "") | F.lower(parent).isin(names.PLAIN_FOLDERS)
+    folder = F.when(plain, "").otherwise(F.trim(F.regexp_replace(F.regexp_replace(parent, names.YEAR, ""), r"[_\-.()\[\]]+", " ")))
+    folder_year = F.when(plain, 0).otherwise(F.coalesce(F.regexp_extract(parent, names.YEAR, 1).try_cast("int"), F.lit(0)))
+    zipped = parsed.select("file_id", "path", F.lower("path").endswith(".cbz").alias("_zip"), folder.alias("_folder"), folder_year.alias("_year"))
+    x = existing.select("file_id", F.lit(True).alias("_has"), "series", "number", F.col("year").alias("_own_year"), F.col("publisher").alias("_publisher"), F.regexp_extract("web", r"comicvine\.gamespot\.com/.*?/4000-([0-9]+)", 1).alias("_id"))
+    both = zipped.join(x, "file_id", "left")
+    has = F.coalesce(F.col("_has") & F.col("_zip"), F.lit(False))
+    own = lambda c: F.when(has, text(F.col(c))).otherwise("")
+    year = F.when(has & (F.coalesce("_own_year", F.lit(0)) > 0), F.col("_own_year")).otherwise(F.col("_year"))
+    second = both.select(
+        "file_id", F.lit(1).alias("pool_pos"), F.when(has, "ExistingXML").otherwise("DirectoryStructure").alias("provider"), F.when(own("_id") != "", F.concat(F.lit("4000-"), own("_id"))).otherwise("").alias("issue_id"),
+        F.when(own("series") != "", own("series")).otherwise(F.col("_folder")).alias("series_name"), own("number").alias("issue_number"), year.alias("publication_year"), own("_publisher").alias("publisher"), F.lit("Issue").alias("identity_type"),
+    )
+    return by_name.unionByName(second.where("series_name <> '' OR issue_number <> ''"))
+
+
 #: Names of the record's fields that a plan lists, beside their columns.
 PLAN_FIELDS = {"Title": "record_title", "Series": "record_series", "Number": "record_number", "Publisher": "record_publisher", "Year": "record_year"}
 

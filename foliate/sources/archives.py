@@ -55,6 +55,24 @@ def read_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, entry string, crc long, size long, sha256 string, record string, error string")
 
 
+#: A simple element: its tag and its text.
+EXTRA = r"<([A-Za-z_][A-Za-z0-9_.-]*)(?:\s[^<>]*)?>([^<>]*)</\1>"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
+KNOWN_TAGS = [*TEXTS.values(), "LanguageISOCode", "Count", "Year", "Month", "Day", *LISTS.values(), "StoryArc", "Storyarc", "StoryArcNumber"]
+
+
+def _unescaped(c: Column) -> Column:
+    for entity, plain in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(plain))
+    return F.trim(c)
+
+
+def _escaped(c: Column) -> Column:
+    for entity, plain in reversed(ENTITIES[:2] + ENTITIES[4:]):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
 def _list(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -62,7 +80,8 @@ def _list(c: Column) -> Column:
 def parse_record(rows: DataFrame, xml: str = "record") -> DataFrame:
     """Columns of the embedded record; malformed is true where the XML cannot be read.
 
-    Year, month and day are read in turn: the first bad one stops the rest.
+    Year, month and day are read in turn: the first bad one stops the rest.  extras maps
+    the tags of simple elements that no column stands for to their text.
     """
     x = F.from_xml(F.col(xml), RECORD_SCHEMA, {"rowTag": "ComicInfo", "columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
     out = rows.withColumn("_x", x)
@@ -77,7 +96,13 @@ def parse_record(rows: DataFrame, xml: str = "record") -> DataFrame:
         "count": F.when(F.col("_x.Count").isNull(), None).otherwise(F.coalesce(F.col("_x.Count").try_cast("int"), F.lit(1))),
     }
     arcs = lambda c: F.filter(F.flatten(F.transform(F.coalesce(F.col(f"_x.{c}"), F.array().cast("array<string>")), lambda t: F.transform(F.split(t, ","), lambda p: F.trim(p)))), lambda p: p != "")
-    made = {"story_arcs": arcs("StoryArc"), "story_arc_numbers": arcs("StoryArcNumber"), "malformed": F.col(xml).isNotNull() & F.col("_x._corrupt_record").isNotNull()}
+    simple = F.regexp_extract_all(F.col(xml), F.lit(EXTRA), F.lit(0))
+    pair = lambda e: F.struct(F.regexp_extract(e, EXTRA, 1).alias("k"), _unescaped(F.regexp_extract(e, EXTRA, 2)).alias("v"))
+    unknown = F.filter(F.transform(simple, pair), lambda e: ~e["k"].isin(KNOWN_TAGS) & (e["v"] != ""))
+    last = F.filter(unknown, lambda e, i: ~F.exists(F.slice(unknown, i + 2, F.size(unknown)), lambda o: o["k"] == e["k"]))
+    readable = F.col("_x._corrupt_record").isNull() & F.col(xml).isNotNull()
+    made = {"extras": F.map_from_entries(F.when(readable, last).otherwise(F.array().cast("array<struct<k:string,v:string>>")))}
+    made |= {"story_arcs": arcs("StoryArc"), "story_arc_numbers": arcs("StoryArcNumber"), "malformed": F.col(xml).isNotNull() & F.col("_x._corrupt_record").isNotNull()}
     return out.withColumns(texts | lists | dates | made).drop("_x")
 
 
@@ -92,4 +117,25 @@ def write_record(rows: DataFrame, to: str = "record") -> DataFrame:
     fields += [F.nullif(F.col(c), F.lit(0)).cast("string").alias(c.title()) for c in ("count", "year", "month", "day")]
     fields += [filled(k, ", " if k in ("characters", "teams") else "; ").alias(v) for k, v in LISTS.items()]
     fields += [filled("story_arcs", ", ").alias("StoryArc"), filled("story_arc_numbers", ", ").alias("StoryArcNumber")]
-    return rows.withColumn(to, F.to_xml(F.struct(*fields), {"rowTag": "ComicInfo"}))
+    xml = F.to_xml(F.struct(*fields), {"rowTag": "ComicInfo"})
+    if "extras" in rows.columns:  # simple elements that no column stands for
+        kept = F.filter(F.sort_array(F.map_entries("extras")), lambda e: (e["value"] != "") & ~e["key"].isin(KNOWN_TAGS))
+        lines = F.transform(kept, lambda e: F.concat(F.lit("    <"), e["key"], F.lit(">"), _escaped(e["value"]), F.lit("</"), e["key"], F.lit(">\n")))
+        xml = F.when(F.size(kept) == 0, xml).otherwise(F.concat(F.regexp_replace(xml, "</ComicInfo>\\s*$", ""), F.array_join(lines, ""), F.lit("</ComicInfo>")))
+    return rows.withColumn(to, xml)
+
+
+def pack_archives(entries: DataFrame) -> DataFrame:
+    """Archives (path, content) out of rows (path, entry, data): a zip of each path's entries, in the order of their names.
+
+    An archive's entries fit one task, as the archive itself does.
+    """
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        to = io.BytesIO()
+        with zipfile.ZipFile(to, "w") as z:
+            for r in rows.sort_values("entry").itertuples():
+                z.writestr(zipfile.ZipInfo(r.entry, (2000, 1, 1, 0, 0, 0)), r.data)
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [to.getvalue()]})
+
+    return entries.select("path", "entry", "data").groupBy("path").applyInPandas(pack, "path string, content binary")

@@ -105,3 +105,65 @@ def related_records(issues: DataFrame, series: DataFrame, publishers: DataFrame,
         people("colorist", "[,;]+").alias("colorists"),
         people("characters", ";+").alias("characters"),
     )
+
+
+#: Columns of any catalog that pools take candidates from.
+CANDIDATE = {"issue_id": "string", "series_id": "string", "series_name": "string", "issue_number": "string", "publication_year": "int", "publisher": "string", "volume": "string"}
+
+
+def as_catalog(rows: DataFrame, provider: str, columns: dict[str, str]) -> DataFrame:
+    """Any table as a catalog: the columns of CANDIDATE under the provider's name, and reason.
+
+    `columns` names the table's column for each of them; others are blank.  Values that do
+    not cast are missing.  reason tells why a row cannot be a candidate ("" if it can).
+    """
+
+    def value(c: str, kind: str) -> Column:
+        own = F.col(columns[c]).try_cast(kind) if c in columns else F.lit(None).cast(kind)
+        return F.coalesce(own, F.lit(0)) if kind == "int" else text(own)
+
+    out = rows.select(F.lit(provider).alias("provider"), *[value(c, k).alias(c) for c, k in CANDIDATE.items()])
+    reason = F.when((F.col("series_name") == "") & (F.col("issue_number") == ""), "no identity").when((F.col("issue_id") == "") & (F.col("series_id") == ""), "no id").otherwise("")
+    return out.withColumn("reason", reason)
+
+
+def lookup(catalog: DataFrame, asked: DataFrame, key: str = "issue_id") -> DataFrame:
+    """The catalog's rows of the ids that are asked for."""
+    return catalog.where(F.col(key) != "").join(asked.select(key).distinct(), key, "left_semi")
+
+
+def search(catalog: DataFrame, query: str) -> DataFrame:
+    """The catalog's rows whose series holds the query; a blank query finds nothing."""
+    q = query.strip().lower()
+    return catalog.where(F.lower("series_name").contains(q) if q else F.lit(False))
+
+
+def search_issues(issues: DataFrame, query: str) -> DataFrame:
+    """Issues whose title, "issue n" or "#n" holds the query; untitled ones are shown as "Issue #n"."""
+    q = query.strip().lower()
+    n = F.lower(text(F.col("number")))
+    hit = F.lower("title").contains(q) | F.concat(F.lit("issue "), n).contains(q) | F.concat(F.lit("#"), n).contains(q)
+    shown = F.when(F.col("title") != "", F.col("title")).otherwise(F.concat(F.lit("Issue #"), "number"))
+    return issues.where(hit if q else F.lit(False)).withColumn("shown", shown)
+
+
+#: The parts of a federated search (provider, type, label) and the search types that ask each.
+PARTS = {
+    "kapowarr_volume": ("Kapowarr", "kapowarr_volume", "Kapowarr Volume", ["all", "kapowarr", "kapowarr_volume"]),
+    "kapowarr_issue": ("Kapowarr", "kapowarr_issue", "Kapowarr Issue", ["all", "kapowarr", "kapowarr_issue"]),
+    "cv_volume": ("CV", "cv_volume", "CV Series", ["all", "scrapers", "cv_volume"]),
+    "cv_issue": ("CV", "cv_issue", "CV Issue", ["all", "scrapers", "cv_issue"]),
+    "gcp": ("GCP", "gcp_issue", "GCP Issue", ["all", "scrapers", "gcp_volume", "gcp_issue"]),
+}
+
+
+def federated_search(found: dict[str, DataFrame], kind: str = "all") -> DataFrame:
+    """Results (title, url) of the catalogs that a search of this kind asks, with provider, type, type_label and place of the catalog."""
+    out = None
+    for place, (part, (provider, name, label, kinds)) in enumerate(PARTS.items()):
+        if kind in kinds and part in found:
+            rows = found[part].select("title", "url", F.lit(provider).alias("provider"), F.lit(name).alias("type"), F.lit(label).alias("type_label"), F.lit(place).alias("place"))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError(f"no catalog answers a search of type {kind!r}")
+    return out

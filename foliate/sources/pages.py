@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.functions.text import creator_form
+from foliate.functions.text import creator_form, date_parts
 from foliate.operators.curate import first_by, slug_belongs
 
 #: Keywords of a creator's role, tested in this order.
-ROLES = [("writers", "writer"), ("pencillers", "penciller|artist"), ("inkers", "inker"), ("colorists", "colorist"), ("letterers", "letterer"), ("cover_artists", "cover")]
+ROLES = [("writers", "writer"), ("pencillers", "penciler|penciller|artist"), ("inkers", "inker"), ("colorists", "colorist"), ("letterers", "letterer"), ("cover_artists", "cover")]
 LABELS = {"writers": "Script", "pencillers": "Pencils", "inkers": "Inks", "colorists": "Colors", "letterers": "Letters", "genre": "Genre", "characters": "Characters"}
 
 
@@ -82,14 +82,157 @@ def links(parts: DataFrame, drop: str = "^(?:none|edit|cover|view|add|this issue
     return first_by(kept, ["page_id", "href"], ["pos"]).select("page_id", "pos", "href", F.col("text").alias("name"), "around")
 
 
-def creators(page_links: DataFrame) -> DataFrame:
-    """page_id, role, name: the first keyword in the text around a link decides its role; unique per role."""
-    low = F.lower("around")
-    role = F.when(F.lit(False), "")
-    for name, words in ROLES:
-        role = role.when(low.rlike(words), name)
-    named = page_links.withColumns({"role": role, "name": creator_form(F.col("name"))}).where("role is not null and name <> ''")
-    return first_by(named, ["page_id", "role", "name"], ["pos"]).select("page_id", "role", "pos", "name")
+class _IssuePage(HTMLParser):
+    """The texts of an issue page that its record is read from, and the links of its detail blocks."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "source", "track", "wbr"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.meta: dict[str, str] = {}
+        self.page: list[str] = []
+        self.found: dict[str, list[str]] = {}  # the first element of each kind that matters
+        self.links: list[tuple[list[str], list[str], list[list[str]]]] = []  # name, text of the parent, texts of the detail blocks around
+        self.open: list[tuple[str, set[str], list[str], bool]] = []
+
+    def handle_starttag(self, tag, attrs):
+        known = dict(attrs)
+        if tag == "meta":
+            name = known.get("property") or known.get("name") or ""
+            self.meta.setdefault(name, known.get("content") or "")
+        elif tag not in self.VOID:
+            classes = set((known.get("class") or "").split())
+            hidden = tag in ("script", "style") or "wiki-item-edit" in classes or bool(self.open and self.open[-1][3])
+            pieces: list[str] = []
+            if not hidden:
+                inside = {x[0] for x in self.open}
+                for kind in {tag} & {"h1", "title"} | classes & {"wiki-descriptor", "js-toc-content", "content-body"}:
+                    self.found.setdefault(kind, pieces)
+                if tag == "a" and "h1" in inside:
+                    for kind in classes & {"wiki-title", "wiki-issue-number"}:
+                        self.found.setdefault(kind, pieces)
+            self.open.append((tag, classes, pieces, hidden))
+
+    def handle_data(self, data):
+        text = data.strip()
+        if text and not (self.open and self.open[-1][3]):
+            self.page.append(text)
+            for x in self.open:
+                x[2].append(text)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                _, _, pieces, hidden = self.open[k]
+                del self.open[k:]
+                blocks = [x[2] for x in self.open if "wiki-details-object" in x[1]]
+                if tag == "a" and blocks and not hidden:
+                    self.links.append((pieces, self.open[-1][2], blocks))
+                return
+
+
+_PAGE_TEXTS = {"h1": "h1", "series_link": "wiki-title", "number_link": "wiki-issue-number", "descriptor": "wiki-descriptor", "toc": "js-toc-content", "body": "content-body"}
+_METAS = {"og_title": ("og:title", "twitter:title"), "adtags": ("adtags",), "description": ("description", "og:description")}
+ISSUE_PAGE = "page_id long, page_text string, " + ", ".join(f"{c} string" for c in [*_PAGE_TEXTS, *_METAS]) + ", links array<struct<pos:int,name:string,around:string,blocks:string>>"
+
+
+def issue_page_texts(pages: DataFrame) -> DataFrame:
+    """Columns of ISSUE_PAGE per page (page_id, html): its texts, metas, and the links of its detail blocks."""
+    names = [c.split()[0] for c in ISSUE_PAGE.split(", ") if " " in c]
+
+    def flat(pieces: list[str] | None, joint: str = " ") -> str:
+        return " ".join(joint.join(pieces or []).split())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for page, html in zip(b["page_id"], b["html"], strict=True):
+                p = _IssuePage()
+                p.feed(html or "")
+                links = [{"pos": i, "name": flat(n, ""), "around": flat(a).lower(), "blocks": " ".join(map(flat, k))} for i, (n, a, k) in enumerate(p.links)]
+                texts = [flat(p.found.get(v), "" if v in ("wiki-title", "wiki-issue-number") else " ") for v in _PAGE_TEXTS.values()]
+                metas = [next((p.meta[k].strip() for k in v if k in p.meta), "") for v in _METAS.values()]
+                rows.append((page, flat(p.page), *texts, *metas, links))
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInPandas(run, ISSUE_PAGE)
+
+
+#: The patterns that issue pages are read by.
+HEADING = r"^(.+?)\s+#?([0-9]+[a-zA-Z]?|[0-9]+\.[0-9]+|[0-9]+)"
+NAMED = r"Issue details\s+Name\s+(.+?)\s+Name\s+Name of this issue"
+AFTER_NUMBER = r"#[0-9]+[a-zA-Z]?\s*[:-]\s*(.+?)(?:\s*\(Issue\)|$)"
+AFTER_NUMBER_H1 = r"#[0-9]+[a-zA-Z]?\s*[:-]\s*(.+)"
+RELEASED_BY = r"(?i)released by\s+(.+?)(?:\s+on|\.|$)"
+DATES = [("page_text", r"(?i)In Store Date\s+([A-Za-z]+\s+[0-9]{1,2},?\s+[0-9]{4})"), ("page_text", r"(?i)Cover Date\s+([A-Za-z]+\s+(?:[0-9]{1,2},?\s+)?[0-9]{4})"), ("descriptor", r"(?i)released by\s+.*?\s+on\s+([A-Za-z]+\s+(?:[0-9]{1,2},?\s+)?[0-9]{4})")]
+LAST_EDIT = r"^Part [0-9]+ last edited by \S+ on \S+ \S+ View full history"
+
+
+def issue_records(texts: DataFrame) -> DataFrame:
+    """page_id, series, number, title, publisher, year, month, day, summary of issue pages (columns of ISSUE_PAGE).
+
+    Each field takes the first of its sources that says something; a page that says
+    nothing of a field leaves it "" or 0.
+    """
+
+    def first(*options: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.trim(o), F.lit("")) for o in options], F.lit(""))
+
+    t = texts.withColumns(
+        {
+            "series": first(F.col("series_link"), F.regexp_extract("h1", HEADING, 1)),
+            "number": first(F.ltrim(F.col("number_link"), F.lit("#")), F.regexp_extract("h1", HEADING, 2)),
+        }
+    )
+    named = F.trim(F.regexp_extract("page_text", NAMED, 1))
+    made = F.when(F.col("number") != "", F.concat("series", F.lit(" #"), "number")).otherwise(F.col("series"))
+    title = first(
+        F.when(F.lower(named).isin("none", "name"), "").otherwise(named), F.regexp_extract("og_title", AFTER_NUMBER, 1), F.regexp_extract("h1", AFTER_NUMBER_H1, 1), F.when(F.col("series") != "", made)
+    )
+    publisher = first(F.regexp_extract("descriptor", RELEASED_BY, 1), F.initcap(F.replace(F.regexp_extract("adtags", "publisher=([^&]+)", 1), F.lit("-"), F.lit(" "))))
+    date = date_parts(first(*[F.regexp_extract(c, p, 1) for c, p in DATES]))
+    content = first(F.col("toc"), F.col("body"))
+    summary = F.when(content != "", F.trim(F.regexp_replace(content, LAST_EDIT, ""))).otherwise(F.col("description"))
+    return t.select("page_id", "series", "number", title.alias("title"), publisher.alias("publisher"), *[date[k].alias(k) for k in ("year", "month", "day")], summary.alias("summary"))
+
+
+def _of_block(texts: DataFrame, pattern: str) -> DataFrame:
+    """page_id, pos, name, around of the links in detail blocks whose text matches."""
+    return texts.select("page_id", F.inline("links")).where(F.col("blocks").rlike(pattern) & (F.length("name") > 1)).drop("blocks")
+
+
+def creators(texts: DataFrame) -> DataFrame:
+    """page_id, role, pos, name of the people in a page's "Creators" blocks.
+
+    The first keyword in the whole text of a link's parent decides the role, in the order
+    of ROLES; a name that its role has already goes on to the next role that matches.
+    """
+    roles = F.filter(F.array(*[F.when(F.col("around").rlike(words), F.lit(role)) for role, words in ROLES]), lambda r: r.isNotNull())
+    links_of = _of_block(texts, "Creators").withColumn("roles", roles)
+    seen = links_of.groupBy("page_id", "name").agg(F.sort_array(F.collect_list(F.struct("pos", "roles"))).alias("seen"))  # one name's links on one page
+
+    def take(got: Column, x: Column) -> Column:
+        free = F.get(F.filter(x["roles"], lambda r: ~F.exists(got, lambda g: g["role"] == r)), F.lit(0))
+        return F.when(free.isNull(), got).otherwise(F.concat(got, F.array(F.struct(free.alias("role"), x["pos"].alias("pos")))))
+
+    got = F.aggregate("seen", F.array().cast("array<struct<role:string,pos:int>>"), take)
+    return seen.select("page_id", "name", F.inline(got)).select("page_id", "role", "pos", "name")
+
+
+#: Headings of the blocks of other names, and links that name nothing.
+BLOCKS = {"characters": "Characters", "teams": "Teams", "story_arcs": "Story Arcs?"}
+NO_NAME = ["none", "add", "this issue"]
+
+
+def page_names(texts: DataFrame) -> DataFrame:
+    """page_id, kind (characters, teams, story_arcs), pos, name: each name once per kind, at its first link."""
+    out = None
+    for kind, pattern in BLOCKS.items():
+        part = _of_block(texts, pattern).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.union(part)
+    bare = F.when(F.col("kind") == "story_arcs", F.regexp_replace("name", "^[\"']+|[\"']+$", "")).otherwise(F.col("name"))
+    kept = out.withColumn("name", bare).where(~F.lower("name").isin(NO_NAME) & (F.length("name") > 1))
+    return kept.groupBy("page_id", "kind", "name").agg(F.min("pos").alias("pos"))
 
 
 def search_results(page_links: DataFrame) -> DataFrame:

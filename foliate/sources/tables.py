@@ -31,3 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, wherever Spark stores them.
+
+    Call it only when all that came of them has been written in turn: later jobs, and
+    tasks of lost executors, would miss the files.
+    """
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rpartition("/")[0].rpartition("/")[0] for f in t.inputFiles()}:
+            if "/foliate-" in folder:  # folders of shared_dir hold one table each
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

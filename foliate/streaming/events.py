@@ -1,7 +1,8 @@
 """File and job events.  Every function takes a streaming or a batch frame alike.
 
 Watermarks bound the state of streams; on batch frames they do nothing, so a batch run
-over the same events is each stream's twin (but for sessions still open at its end).
+over the same events is each stream's twin, but for sessions still open at its end and for
+`new_jobs`, where a stream forgets a path and hash once the watermark has passed it.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ def split_moves(events: DataFrame) -> DataFrame:
     return events.select(*rest, F.inline(parts))
 
 
-def debounce(events: DataFrame, delay: str = "5 minutes", late: str = "10 minutes", stamp: str = "ts") -> DataFrame:
+def debounce(events: DataFrame, delay: str = "5 minutes", late: str = "10 minutes", stamp: str = "ts", max_wait: str = "10 minutes") -> DataFrame:
     """One row per burst of events on a path: its start, last event, number of events and last sizes.
 
     stable tells whether the last two observations have equal sizes; bursts that never
-    settle are emitted all the same, marked so.
+    settle are emitted all the same; gave_up marks those that went on for max_wait or longer.
     """
     seen = F.struct(F.col(stamp).alias("t"), "size")
     burst = events.withWatermark(stamp, late).groupBy("path", F.session_window(stamp, delay).alias("w")).agg(
@@ -40,7 +41,7 @@ def debounce(events: DataFrame, delay: str = "5 minutes", late: str = "10 minute
     last, before = F.get("_last", F.lit(0))["size"], F.get("_last", F.lit(1))["size"]
     return burst.select(
         "path", F.col("w.start").alias("started"), "last_ts", "n_events", "last_type", last.alias("size"), F.coalesce(last == before, F.lit(False)).alias("stable")
-    )
+    ).withColumn("gave_up", ~F.col("stable") & (F.col("last_ts") >= F.col("started") + F.expr(f"INTERVAL {max_wait}")))
 
 
 def still_there(bursts: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def without_known(events: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def new_jobs(events: DataFrame, late: str = "10 minutes", stamp: str = "ts") -> DataFrame:
-    """One event per path and hash within the watermark."""
+    """One event per path and hash; a stream remembers them within the watermark, a batch for its whole length."""
     kept = events.withWatermark(stamp, late)
     return kept.dropDuplicatesWithinWatermark(["path", "sha256"]) if events.isStreaming else kept.dropDuplicates(["path", "sha256"])
 
@@ -77,3 +78,15 @@ def windowed_outcomes(events: DataFrame, width: str = "1 hour", late: str = "10
     counts = [count_where(F.col("status").isin(v)).alias(k) for k, v in OUTCOMES.items()]
     g = events.withWatermark(stamp, late).groupBy(F.window(stamp, width).alias("w")).agg(F.count("*").alias("total"), *counts, F.round(F.avg("value"), 1).alias("avg_duration"))
     return g.select(F.col("w.start").alias("started"), "total", *OUTCOMES, "avg_duration")
+
+
+def windowed_health(calls: DataFrame, width: str = "1 hour", late: str = "10 minutes", stamp: str = "ts") -> DataFrame:
+    """Calls, failures and average milliseconds per provider and window of time."""
+    g = calls.withWatermark(stamp, late).groupBy("provider", F.window(stamp, width).alias("w"))
+    told = g.agg(F.count("*").alias("calls"), count_where(F.col("http_status") >= 400).alias("failures"), F.round(F.avg("ms"), 1).alias("avg_ms"))
+    return told.select("provider", F.col("w.start").alias("started"), "calls", "failures", "avg_ms")
+
+
+def not_yet_done(events: DataFrame, done: DataFrame) -> DataFrame:
+    """Events that no earlier run has handled (done: event_id), so that a restart without its checkpoint repeats nothing."""
+    return events.join(done.select("event_id").distinct(), "event_id", "left_anti")
