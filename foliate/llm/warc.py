@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import shared_dir
+from foliate.llm.common import materialize, shared_dir
 
 #: Bytes of records per archive.
 ARCHIVE_BYTES = 8 << 20
@@ -227,14 +227,18 @@ def write_warc(marked: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
 
 
 def _members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of an archive, decompressed one by one."""
+    """The gzip members of an archive, decompressed one by one, fed in pieces so that no member copies the rest."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
-        z = zlib.decompressobj(31)
-        yield z.decompress(content) + z.flush()
-        content = memoryview(z.unused_data)
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            piece = view[at : at + 4096]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -290,7 +294,7 @@ def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0)
     """Pages to ARC, converted to WARC, read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = path or f"{shared_dir(pages.sparkSession)}/warc"
     kind = dict(pages.dtypes)["page_id"]
-    back = read_warc(convert(pages_to_arc(pages), path, least_bytes))
+    back = materialize(read_warc(convert(pages_to_arc(pages), path, least_bytes)), "described")  # read three times below
     first = back.where("type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     first = first.join(back.select("refers_to_id").where("refers_to_id is not null").distinct(), "refers_to_id")
     return back.join(first, "refers_to_id", "left").select(
