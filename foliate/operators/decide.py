@@ -80,8 +80,10 @@ def disagreements(pairs: DataFrame) -> DataFrame:
 def evaluate(pairs: DataFrame, weights: S.Weights = S.Weights()) -> DataFrame:
     """Add n_agree, score, conflicts, critical, level and action to every candidate of every pool."""
     agreed = with_disagreements(agreement(pairs))
-    parts = S.terms(weights, F.col("n_agree"))
-    scored = agreed.withColumns({"score": S.score(parts), "_positive": S.positive(parts), "_own": S.conflicts()})
+    told = {k: p.cast("double") for k, p in S.terms(weights, F.col("n_agree")).items()}
+    parts = {k: F.col(f"_terms.{k}") for k in told}  # each term is computed once
+    scored = agreed.withColumns({"_terms": F.struct(*[p.alias(k) for k, p in told.items()]), "_own": S.conflicts()})
+    scored = scored.withColumns({"score": S.score(parts), "_positive": S.positive(parts)})
     outside = F.concat(
         F.col("disagreements"),
         S.existing_conflicts(),
@@ -93,7 +95,7 @@ def evaluate(pairs: DataFrame, weights: S.Weights = S.Weights()) -> DataFrame:
     out = scored.withColumns(
         {"conflicts": F.concat("_own", "_outside"), "critical": S.critical(F.col("_own")) | (F.size("_outside") > 0), "level": tier}
     )
-    return out.withColumn("action", S.action(F.col("level"))).drop("_own", "_outside", "_tier", "_positive", "disagreements")
+    return out.withColumn("action", S.action(F.col("level"))).drop("_own", "_outside", "_tier", "_positive", "_terms", "disagreements")
 
 
 def rank(evaluated: DataFrame) -> DataFrame:

@@ -40,9 +40,11 @@ class Weights:
 
 
 def pair_forms(pairs: DataFrame) -> DataFrame:
-    """Add the normal forms that scoring compares: _t, _ft, _n, _fn, _p, _fp."""
+    """Add the normal forms that scoring compares: _t, _ft, _n, _fn, _p, _fp, and _xt, _xn of the embedded record."""
     return pairs.withColumns(
         {
+            "_xt": title_form(_existing_series("x_")),
+            "_xn": unpadded(F.col("x_number")),
             "_t": title_form(F.col("series_name")),
             "_ft": title_form(F.col("f_series_name")),
             "_n": unpadded(F.col("issue_number")),
@@ -141,10 +143,10 @@ def conflicts() -> Column:
 
 def existing_conflicts(ex: str = "x_") -> Column:
     """Conflicts between an embedded record (columns prefixed by `ex`) and the file name."""
-    t = title_form(_existing_series(ex))
+    t = F.col("_xt")
     number, year = F.col(f"{ex}number"), F.coalesce(F.col(f"{ex}year"), F.lit(0))
     return present(
-        conflict("xml_filename_conflict", "ERROR", _both(f"{ex}number", "f_issue_number") & (unpadded(number) != F.col("_fn")), F.col("f_issue_number"), number),
+        conflict("xml_filename_conflict", "ERROR", _both(f"{ex}number", "f_issue_number") & (F.col("_xn") != F.col("_fn")), F.col("f_issue_number"), number),
         conflict("xml_filename_conflict", "ERROR", (t != "") & (F.col("_ft") != "") & (t != F.col("_ft")), F.col("f_series_name"), _existing_series(ex)),
         conflict("xml_filename_conflict", "ERROR", (year > 0) & (F.col("f_year") > 0) & (F.abs(year - F.col("f_year")) >= 2), F.col("f_year"), year),
     )
@@ -152,7 +154,7 @@ def existing_conflicts(ex: str = "x_") -> Column:
 
 def existing_candidate_conflicts(ex: str = "x_") -> Column:
     """Conflicts between an embedded record and a candidate of another provider."""
-    t = title_form(_existing_series(ex))
+    t = F.col("_xt")
     number, year, known = F.col(f"{ex}number"), F.coalesce(F.col(f"{ex}year"), F.lit(0)), F.trim(text(F.col(f"{ex}provider_id")))
     other = F.col("provider") != "ExistingXML"
     issue_id = F.trim(text(F.col("issue_id")))
@@ -160,7 +162,7 @@ def existing_candidate_conflicts(ex: str = "x_") -> Column:
     year_gap = (year > 0) & (F.col("publication_year") > 0) & (F.abs(year - F.col("publication_year")) >= 2)
     return present(
         conflict("xml_provider_id_conflict", "FATAL", other & ids, known, issue_id),
-        conflict("xml_provider_conflict", "ERROR", other & _both(f"{ex}number", "issue_number") & (unpadded(number) != F.col("_n")), number, F.col("issue_number")),
+        conflict("xml_provider_conflict", "ERROR", other & _both(f"{ex}number", "issue_number") & (F.col("_xn") != F.col("_n")), number, F.col("issue_number")),
         conflict("xml_provider_conflict", "ERROR", other & (t != "") & (F.col("_t") != "") & (t != F.col("_t")), _existing_series(ex), F.col("series_name")),
         conflict("xml_provider_conflict", "ERROR", other & year_gap, year, F.col("publication_year")),
     )

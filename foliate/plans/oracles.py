@@ -308,7 +308,7 @@ SELECT a.file_id AS left_id, b.file_id AS right_id FROM a JOIN b ON a.issue_nume
 SELECT series_name, issue_number, coalesce(path, '') AS path FROM (SELECT DISTINCT {title('series_name')} AS s, ltrim(issue_number, '0') AS n, series_name, issue_number FROM candidates) LEFT JOIN f USING (s, n)""",
     "J10_changed_files": f"WITH {duck('seen_files')}, {duck('known_files')}, k AS (SELECT * FROM known_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY updated_at DESC) = 1) SELECT seen_id, path FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.path = s.path AND k.size = s.size AND k.mtime = s.mtime AND k.sha256 = s.sha256)",
     "J11_job_dedup": f"WITH {duck('seen_files')}, {duck('leases')}, act AS (SELECT path, sha256 FROM leases WHERE status IN ('PENDING', 'RUNNING', 'RETRYING')) SELECT seen_id, path, sha256 FROM seen_files s WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.path = s.path AND (s.sha256 = '' OR act.sha256 = s.sha256)) QUALIFY row_number() OVER (PARTITION BY path, sha256 ORDER BY seen_id) = 1",
-    "J12_manifest_diff": f"""WITH {duck('manifest')}, {duck('manifest_new')}, a AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest WHERE lower(entry) <> 'comicinfo.xml'), b AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest_new)
+    "J12_manifest_diff": f"""WITH {duck('manifest')}, {duck('manifest_new')}, a AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest WHERE lower(entry) <> 'comicinfo.xml'), b AS (SELECT archive, lower(entry) AS entry, crc, size, sha256 FROM manifest_new WHERE lower(entry) <> 'comicinfo.xml')
 SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a.entry, b.entry) AS entry, CASE WHEN b.crc IS NULL THEN 'missing' WHEN a.crc IS NULL THEN 'extra' WHEN a.crc <> b.crc OR a.size <> b.size THEN 'changed_size' WHEN a.sha256 <> b.sha256 THEN 'changed_hash' ELSE 'same' END AS status
 FROM a FULL JOIN b ON a.archive = b.archive AND a.entry = b.entry""",
     "J13_uncovered_folders": f"WITH {duck('lib_files')}, {duck('existing')} SELECT DISTINCT string_split(path, '/')[-2] AS folder FROM lib_files EXCEPT SELECT series || ' (' || year || ')' FROM existing",
@@ -421,7 +421,7 @@ _FAILED = "coalesce(re.provider = 'Kapowarr' AND re.issue_id IN (SELECT issue_id
 
 ORACLES |= {
     "Q2_existing_state": f"WITH {PARSED}, {duck('existing')}, {_existing_ev()} SELECT p.file_id, CASE WHEN NOT suffix(lower(path), '.cbz') OR state IS NULL THEN 'MISSING' WHEN p.file_id % 35 = 0 THEN 'MALFORMED' ELSE state END AS state, CASE WHEN p.file_id % 35 = 0 THEN 0 ELSE CAST(coalesce(score, 0) AS DOUBLE) END AS score FROM parsed p LEFT JOIN xs1 USING (file_id)",
-    "Q3_resolve": f"{RESOLVED} SELECT file_id, provider, series_name, issue_number, score, level, {_ACTION} AS action, source, fallback_used FROM re",
+    "Q3_resolve": f"{RESOLVED} SELECT file_id, provider, series_name, issue_number, score, level, {_ACTION} AS action, source, fallback_used, CASE WHEN NOT fallback_used THEN '' WHEN (file_id, CASE source WHEN 'comicvine_fallback' THEN 'Kapowarr' ELSE 'ComicVine' END) IN (SELECT (file_id, provider) FROM candidates) THEN 'insufficient' ELSE 'no results' END AS fallback_reason FROM re",
     "J14_retrieval": f"{RESOLVED}, {_RECORDS.replace('{failed}', _FAILED)} SELECT file_id, state, coalesce(r.t, '') AS title FROM ret",
     "Q5_plan": rf"""{RESOLVED}, {_RECORDS.replace('{failed}', 'FALSE')}, pl AS (SELECT ret.*, {_ACTION} AS act, state = 'FOUND' AS ok, file_id IN (SELECT file_id FROM existing) AS has FROM ret)
 SELECT file_id, CASE WHEN act = 'SKIP' THEN 'SKIP' WHEN act = 'REVIEW' THEN 'REVIEW' WHEN NOT ok THEN 'SKIP' WHEN has THEN 'UPDATE' ELSE 'EMBED' END AS action,

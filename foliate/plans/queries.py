@@ -449,7 +449,7 @@ def _(spark, sf):
 
 @query("Q3_resolve")
 def _(spark, sf):
-    return resolved(spark, sf).select("file_id", "provider", "series_name", "issue_number", "score", "level", "action", "source", "fallback_used")
+    return resolved(spark, sf).select("file_id", "provider", "series_name", "issue_number", "score", "level", "action", "source", "fallback_used", "fallback_reason")
 
 
 def records(spark, sf):

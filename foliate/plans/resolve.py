@@ -68,16 +68,18 @@ def classify_existing(parsed: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cached: DataFrame | None = None, override: DataFrame | None = None, gate: float = 70.0) -> DataFrame:
-    """One row per file: the chosen identity, its tier and the stage that settled it.
+    """One row per file: the chosen identity, its tier, the stage that settled it, and why the catalog before did not.
 
     A stage of a catalog settles files whose best candidate scores `gate` or more
     without a critical conflict; the last pool decides the rest.
     """
     settled = []
     left = parsed = written(parsed, "parsed")
-    candidates = written(candidates, "candidates")
+    own = F.col("provider") == "Filename"
+    known = candidates.select("provider", *[c for c in candidates.columns if c != "provider"])
+    candidates = written(known.where(own).unionByName(inherit(known.where(~own), parsed)), "candidates")
     if override is not None:
-        won = left.join(override, "file_id").select(
+        won = left.select("file_id").join(override, "file_id").select(
             "file_id", F.lit("Override").alias("provider"), "issue_id", "series_name", "issue_number", F.col("year").alias("publication_year"),
             F.lit(100.0).alias("score"), F.lit("AUTO_ACCEPT").alias("level"), F.lit("UPDATE").alias("action"), F.lit(False).alias("critical"), F.lit("url_override").alias("source"),
         )
@@ -92,10 +94,8 @@ def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cache
         best = written(D.decide(D.evaluate(D.pool_pairs(left, cached, existing))), "cached").where("score >= 80 and not critical")
         settled.append(best.withColumn("source", F.lit("persistent_cache")).select(*RESULT))
         left = left.join(best.select("file_id"), "file_id", "left_anti")
-    pool = candidates.where(F.col("provider") == "Filename")
-    catalog = inherit(candidates.where(F.col("provider") != "Filename"), parsed)
-    for n, (name, source) in enumerate(CATALOGS):
-        pool = pool.unionByName(catalog.where(F.col("provider") == name), allowMissingColumns=True)
+    for n, (_, source) in enumerate(CATALOGS):
+        pool = candidates.where(F.col("provider").isin("Filename", *[name for name, _ in CATALOGS[: n + 1]]))
         best = written(D.decide(D.evaluate(D.pool_pairs(left, pool, existing))), source).withColumn("source", F.lit(source))
         last = n == len(CATALOGS) - 1
         won = best if last else best.where((F.col("score") >= gate) & ~F.col("critical"))
@@ -106,13 +106,19 @@ def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cache
     for part in settled[1:]:
         out = out.unionByName(part)
     files = parsed.select("file_id").join(out, "file_id", "left")
-    asked = catalog.select("file_id").union(existing.select("file_id")).distinct().withColumn("_asked", F.lit(True))
-    files = files.join(asked, "file_id", "left")
-    known = F.coalesce((F.col("_asked") & F.col("provider").isNotNull()) | (F.col("source") == "url_override"), F.lit(False))
+    has = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    provider = F.col("provider")
+    asked = candidates.groupBy("file_id").agg(has(provider != "Filename", "_asked"), *[has(provider == name, f"_{name}") for name, _ in CATALOGS])
+    files = files.join(asked, "file_id", "left").join(existing.select("file_id", F.lit(True).alias("_own")).distinct(), "file_id", "left")
+    asked = F.coalesce(F.col("_asked"), F.lit(False)) | F.coalesce(F.col("_own"), F.lit(False))
+    known = F.coalesce((asked & F.col("provider").isNotNull()) | (F.col("source") == "url_override"), F.lit(False))
     level = F.when(known, F.col("level")).otherwise("UNRESOLVED")
+    fallback = F.coalesce(F.col("source").endswith("_fallback") & known, F.lit(False))
+    before = F.when(F.col("source") == "comicvine_fallback", F.col("_Kapowarr")).otherwise(F.col("_ComicVine"))
+    reason = F.when(fallback, F.when(F.coalesce(before, F.lit(False)), "insufficient").otherwise("no results")).otherwise("")
     return files.withColumns(
-        {"level": level, "action": S.action(level), "source": F.when(known, F.col("source")).otherwise(""), "fallback_used": F.coalesce(F.col("source").endswith("_fallback") & known, F.lit(False))}
-    ).drop("_asked")
+        {"level": level, "action": S.action(level), "source": F.when(known, F.col("source")).otherwise(""), "fallback_used": fallback, "fallback_reason": reason}
+    ).drop("_asked", "_own", *[f"_{name}" for name, _ in CATALOGS])
 
 
 def retrieve(resolved: DataFrame, records: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from foliate.plans.oracles import _ACTION, _VOL_ROWS, DECIDED, ORACLES, PARSED,
 from foliate.plans.queries import NOW, QUERIES, evaluated, parsed, query, records
 from foliate.sources import archives as A
 from foliate.sources import catalogs as B
+from foliate.sources.tables import written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -348,6 +349,7 @@ def _(spark, sf):
     read = A.parse_record(A.read_entries(A.pack_archives(entries)).where("record IS NOT NULL AND lower(path) LIKE '%.cbz'"))
     web_id = F.regexp_extract("web", "(4000-[0-9]+)", 1)
     found = read.select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("file_id"), "series", "title", "number", "year", "publisher", "volume", web_id.alias("provider_id"), "web", "malformed")
+    found = written(found, "found")  # read by every stage
     won = V.resolve(parsed(spark, sf), derive(spark, sf, "candidates"), found)
     return V.plan_files(V.retrieve(won, records(spark, sf)), files, found)
 

@@ -26,9 +26,8 @@ def test_the_whole_text_around_a_link_counts(spark):
     html = f"<li>{long}#12 <a href='/x/4000-1/'>a</a></li><li><a href='/x/4000-2/'>b</a> #13</li><li><a href='/x/4000-3/'>c #2</a> #2-5</li><li>#14 <a href='/x/4000-4/'>d</a>"
     got = G.volume_issues(spark.createDataFrame([(1, 1, "", html)], "volume_id long, page_no int, slug string, html string")).collect()
     assert sorted((r["number"], r["url"]) for r in got) == [("12", "/x/4000-1/"), ("13", "/x/4000-2/"), ("14", "/x/4000-4/")]
-    html = f"<li><a href='/p/1/'>Ann Lee</a>, writer</li><li><a href='/x/4050-1/'>Kap</a> {long}1999 (7 issues)</li>"
+    html = f"<li><a href='/x/4050-1/'>Kap</a> {long}1999 (7 issues)</li>"
     found = G.links(G.page_parts(spark.createDataFrame([(1, html)], "page_id long, html string")))
-    assert [(r["role"], r["name"]) for r in G.creators(found).collect()] == [("writers", "Ann Lee")]
     r = G.search_results(found).first()
     assert (r["year"], r["n_issues"], len(r["description"])) == (1999, 7, 160)
 
@@ -55,3 +54,34 @@ def test_related_records(spark):
     assert set(got) == {1, 2}
     assert tuple(got[1][k] for k in ("series", "number", "title", "publisher", "year", "writers", "inkers", "characters")) == ("Kap", "3", "Kap #3", "Pub", 1999, "Ann; Bob", "Bob", "X, Y; Z")
     assert (got[2]["series"], got[2]["title"], got[2]["year"], got[2]["writers"]) == ("", "", 0, "")
+
+
+def texts(spark, *pages):
+    return G.issue_page_texts(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+
+
+def test_creators_take_the_parents_whole_text_in_their_block(spark):
+    block = "<div class='wiki-details-object'><h3>Creators</h3>{}</div>"
+    far = "<p>" + "x " * 200 + "<a>Bo Ek</a> inker</p>"
+    inside = "<div><a href='/p/1/'>Ann Lee</a> <span>Writer, Cover</span></div>" + far + "<p><a>Ann Lee</a> writer, penciler</p><p><a>N</a> writer</p><p><a>Cy Dor</a> lettered nothing</p>"
+    got = G.creators(texts(spark, block.format(inside), "<p><a>Out Side</a> writer</p>", None, "", "<div class='wiki-details-object'>Creators <a>Never Closed</a> colorist")).collect()
+    assert sorted((r["page_id"], r["role"], r["name"]) for r in got) == [(0, "inkers", "Bo Ek"), (0, "pencillers", "Ann Lee"), (0, "writers", "Ann Lee"), (4, "colorists", "Never Closed")]
+
+
+def test_issue_records_fall_back_step_by_step(spark):
+    pages = [
+        "<h1>Tin Fox <b>#7b</b> : Rust</h1><p class='wiki-descriptor'>released by Low Lamp.</p><meta name='description' content=' d '>",
+        "<meta name='twitter:title' content='Tin Fox #2 - Ash (Issue)'><h1><a class='wiki-title'>Tin Fox</a> <a class='wiki-issue-number'># 2</a></h1><div class='content-body'>Long <i>ago</i><span class='wiki-item-edit'>Edit</span></div>Cover Date Sep 1987",
+        "<h1>Tin Fox</h1><script>Cover Date May 1990</script>",
+        None,
+    ]
+    got = {r["page_id"]: tuple(r)[1:] for r in G.issue_records(texts(spark, *pages)).collect()}
+    assert got[0] == ("Tin Fox", "7b", "Rust", "Low Lamp", 0, 0, 0, "d")
+    assert got[1] == ("Tin Fox", "2", "Ash", "", 1987, 9, 0, "Long ago")
+    assert got[2] == ("", "", "", "", 0, 0, 0, "") and got[3] == got[2]
+
+
+def test_page_names(spark):
+    html = "<div class='wiki-details-object'>Teams <a>Add</a><a>The Six</a><a>The Six</a></div><div class='wiki-details-object'>Story Arc <a>'Dusk'</a></div><div>Characters <a>Nobody</a></div>"
+    got = G.page_names(texts(spark, html)).collect()
+    assert sorted((r["kind"], r["name"]) for r in got) == [("story_arcs", "Dusk"), ("teams", "The Six")]
