@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.sources.tables import shared_dir
+from foliate.sources.tables import discard, shared_dir
+
+__all__ = ["discard", "find_spans", "let", "materialize", "running_sums", "shared_dir", "table", "up_to", "whole_text", "words"]
 
 #: White space that separates words: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"

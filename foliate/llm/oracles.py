@@ -65,21 +65,27 @@ _REST = f"""list_reduce(list_prepend(0, [CAST(CASE WHEN regexp_matches(c, '[0-9]
     FOR c IN string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), '')]),
     lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END)"""
 
+_AGAINST = "example|sample|dummy|version|serial number|part number|order number"
+
 OP5 = f"""
 WITH {_D},
-s AS ({_spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}
+s0 AS ({_spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}
 UNION ALL {_spans("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", rf"regexp_matches(hit, '^0*{_PART}(\.0*{_PART}){{3}}$')")}
 UNION ALL {_spans("card", 2, r"[0-9](?:[\x20-]?[0-9])+", _LUHN)}
 UNION ALL {_spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")}
 UNION ALL {_spans("iban", 4, r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_REST} = 1")}
-UNION ALL {_spans("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0))), 'ssn|social security|tax id')")}),
+UNION ALL {_spans("ssn", 5, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "true")}),
+sc AS (SELECT * EXCLUDE (base), base + CASE WHEN regexp_matches(near, pos) THEN 30 ELSE 0 END - CASE WHEN regexp_matches(near, '{_AGAINST}') THEN 30 ELSE 0 END AS score FROM (
+  SELECT *, lower(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || chr(10) || substr(t, e + 1, 40)) AS near,
+    [90, 60, 80, 60, 60, 30][k + 1] AS base, ['mail|contact|write', '\bip\b|address|host|server', 'card|visa|credit|payment', 'phone|call|tel|mobile|fax', 'iban|account|bank', 'ssn|social security|tax id'][k + 1] AS pos FROM s0)),
+s AS (SELECT * FROM sc WHERE k < 4 OR score >= 60),
 a AS (
   SELECT rid, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip,
          count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base,
-         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans, string_agg(kind || ':' || s || ':' || score, ',' ORDER BY k, s) AS scores
   FROM s GROUP BY rid)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+SELECT doc_id, coalesce(scores, '') AS scores, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
        coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (rid)
 """
@@ -158,10 +164,11 @@ FROM f
 
 OP4 = """
 WITH RECURSIVE e AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings),
 ok AS (
-  SELECT * FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND list_sum(list_transform(v, lambda x: x * x)) > 0
-    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, label, list_transform(w, lambda x: x / list_max(list_transform(w, lambda y: abs(y)))) AS v FROM e
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(w, lambda x: x <> 0)) > 0
+    AND len(list_filter(w, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok AS a JOIN ok AS b ON a.label = b.label AND a.vec_id <> b.vec_id
     AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
@@ -172,20 +179,33 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS com
 FROM e LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
 """
 
-OP8 = """
+
+
+def _runs(name: str, size: int) -> str:
+    """Runs `name`(rid, a, b) that windows of `size` bytes cover which start elsewhere too."""
+    return f"""w{size} AS (SELECT rid, p, md5(substr(x, 2 * p + 1, {2 * size})) AS m FROM (SELECT rid, x, unnest(range(0, len(x) // 2 - {size - 1})) AS p FROM d WHERE len(x) >= {2 * size})),
+s{size} AS (SELECT rid, p FROM w{size} QUALIFY count(*) OVER (PARTITION BY m) > 1),
+r{size} AS (SELECT rid, p, CASE WHEN p > lag(p) OVER v + {size} OR lag(p) OVER v IS NULL THEN 1 ELSE 0 END AS begins FROM s{size} WINDOW v AS (PARTITION BY rid ORDER BY p)),
+{name} AS (SELECT rid, min(p) AS a, max(p) + {size} AS b FROM (SELECT rid, p, sum(begins) OVER (PARTITION BY rid ORDER BY p) AS k FROM r{size}) GROUP BY rid, k)"""
+
+
+OP8 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT rid, p, md5(substr(x, 2 * p + 1, 800)) AS m FROM (SELECT rid, x, unnest(range(0, len(x) // 2 - 399)) AS p FROM d WHERE len(x) >= 800)),
-s AS (SELECT rid, p FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
-r AS (SELECT rid, p, CASE WHEN p > lag(p) OVER v + 400 OR lag(p) OVER v IS NULL THEN 1 ELSE 0 END AS begins FROM s WINDOW v AS (PARTITION BY rid ORDER BY p)),
-g AS (SELECT rid, min(p) AS a, max(p) + 400 AS b FROM (SELECT rid, p, sum(begins) OVER (PARTITION BY rid ORDER BY p) AS k FROM r) GROUP BY rid, k),
+{_runs("g", 400)},
 c AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS after FROM g),
 k AS (
   SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
          string_agg(substr(x, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
-  FROM c JOIN d USING (rid) GROUP BY rid)
+  FROM c JOIN d USING (rid) GROUP BY rid),
+{_runs("q", 204)},
+u AS (SELECT rid, i, octet_length(encode(m[i])) AS l, octet_length(encode(y[i])) AS gap FROM (
+  SELECT rid, m, y, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS m, string_split_regex(t, '[^\\x20\\x09-\\x0D]+') AS y FROM d WHERE rid IN (SELECT rid FROM q)))),
+z AS (SELECT rid, sum(gap + l) OVER (PARTITION BY rid ORDER BY i) AS e, l FROM u),
+n AS (SELECT rid, count(*) AS n_passages FROM (SELECT q.rid FROM q JOIN z ON z.rid = q.rid AND z.e - z.l >= a AND z.e <= b GROUP BY q.rid, a HAVING count(*) > 50) GROUP BY rid)
 SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(CASE WHEN k.rid IS NULL THEN encode(t) ELSE unhex(kept) END) AS kept_sha256
-FROM d LEFT JOIN k USING (rid)
+       sha256(CASE WHEN k.rid IS NULL THEN encode(t) ELSE unhex(kept) END) AS kept_sha256, coalesce(n_passages, 0) AS n_passages
+FROM d LEFT JOIN k USING (rid) LEFT JOIN n USING (rid)
 """
 
 ORACLES = {"op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
