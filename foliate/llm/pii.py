@@ -1,15 +1,19 @@
 """Personal data: patterns propose, checksums confirm, nearby words adjust the score.
 
-In DataFrame functions only.  Kinds email, ip, card and phone are always reported
-where their pattern and check hold.  Kinds iban (mod-97) and ssn are added where their
-score, raised by context words in the 40 characters before, reaches the threshold.
+In DataFrame functions only.  A span's score is its kind's, in hundredths, raised by the
+kind's context words and lowered by words that speak against personal data, in the 40
+characters before or after it.  Kinds email, ip, card and phone are always reported where
+their pattern and check hold.  Kinds iban (mod-97) and ssn are added where their score
+reaches the threshold: an iban unless words speak against it, an ssn where words speak for
+it.
 
 Patterns are written with possessive repeats and begin only where a run of their
 characters begins or the last match ended, which finds the same leftmost matches
 in linear time however long a run is.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned one
-by one; an empty table gives no rows; other columns are carried through.
+by one; an empty table gives no rows; other columns are carried through, but those named
+like a kind's spans are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 90, "ip": 60, "card": 80, "phone": 60, "iban": 60, "ssn": 30}
 CONTEXT = {
     "email": r"mail|contact|write",
     "ip": r"\bip\b|address|host|server",
@@ -40,7 +44,8 @@ CONTEXT = {
     "iban": r"iban|account|bank",
     "ssn": r"ssn|social security|tax id",
 }
-CONTEXT_BONUS, CONTEXT_CHARS, THRESHOLD = 0.3, 40, 0.6
+AGAINST = r"example|sample|dummy|version|serial number|part number|order number"
+CONTEXT_BONUS, CONTEXT_CHARS, THRESHOLD = 30, 40, 60
 
 
 def _digits(x: Column) -> Column:
@@ -98,8 +103,9 @@ def kind_spans(text: Column, kind: str) -> Column:
 
     def scored(s: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0).cast("bigint"))
-        before = F.lower(F.substr(text, begin + 1, s["start"] - begin))
-        score = F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+        before, after = F.substr(text, begin + 1, s["start"] - begin), F.substr(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
+        near = F.lower(F.concat(before, F.lit("\n"), after))
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0) - F.when(near.rlike(AGAINST), CONTEXT_BONUS).otherwise(0)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
 
     out = F.transform(spans, scored)
@@ -118,6 +124,12 @@ def span_list(spans: Column, kind: str) -> Column:
     return F.when(F.size(spans) > 0, F.array_join(told, ","))
 
 
+def score_list(spans: Column, kind: str) -> Column:
+    """kind:start:score, comma-joined; null when there are none."""
+    told = F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"], F.lit(":"), s["score"]))
+    return F.when(F.size(spans) > 0, F.array_join(told, ","))
+
+
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span by its kind in brackets and drop the span columns.
 

@@ -48,6 +48,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(f"{k}_spans").cast("bigint").alias(f"n_{k}") for k in P.BASE_KINDS],
         F.sha2(F.concat_ws(",", *[listed[k] for k in P.BASE_KINDS]), 256).alias("base_sha256"),
         F.concat_ws(",", *[listed[k] for k in P.KINDS]).alias("spans"),
+        F.concat_ws(",", *[P.score_list(F.col(f"{k}_spans"), k) for k in P.KINDS]).alias("scores"),
     )
 
 

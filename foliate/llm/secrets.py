@@ -8,7 +8,8 @@ candidate whose highest window reaches the threshold of its character class is a
 secret, unless the allow-list knows it or a pattern's span covers part of it.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned one
-by one; an empty table gives no rows; other columns are carried through.
+by one; an empty table gives no rows; other columns are carried through, but those named
+like a kind's spans are replaced.
 """
 
 from __future__ import annotations

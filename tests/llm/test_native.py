@@ -94,6 +94,12 @@ def test_pii(spark):
     assert P.pii(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_context_decides(spark):
+    texts = ["123-45-6789 is my ssn", "ssn example 123-45-6789", "123-45-6789", "sample GB82WEST12345698765432 x", "pay GB82WEST12345698765432", "sample account GB82WEST12345698765432", "example a@b.cd"]
+    got = P.pii(frame(spark, texts)).collect()
+    assert [[(k, s["score"]) for k in P.KINDS for s in r[f"{k}_spans"]] for r in got] == [[("ssn", 60)], [], [], [], [("iban", 60)], [("iban", 60)], [("email", 60)]]
+
+
 def test_many_spans_in_one_text(spark):
     text = "x@y.z " * 3000
     r = P.pii(frame(spark, [text])).first()
