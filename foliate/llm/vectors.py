@@ -10,17 +10,23 @@ greedily from the shard's medoid and its own node with a beam, and the range exp
 from every node in range over the united lists until nothing new is in range.  Links are
 verified by cosine in double precision; a pair that meets in several shards counts in one.
 
-An audit compares a bounded set of classes, by brute force in blocks, with all classes;
-below `target_recall` the search is repeated with more overlap and a wider beam.
+An audit compares a bounded set of classes, by brute force in blocks, with all classes.
+It draws more of them until `audit_links` true links are met or `most_audit` classes are
+asked; each class counts alike, however many copies it or its neighbours have.  Below
+`target_recall`, or where so few links are met that nothing is proven, the search is
+repeated with more overlap and a wider beam.  What then stays below 0.9 is searched
+exactly: every part of a label's vectors meets every other in a block product.
 
 Shards above `most_rows` are cut into parts: each part builds its own graph, and each
 part's classes search every part's graph in a task of their own.  So no task holds more
 than two parts, even when one cluster holds a third of all.
 Tasks return counts and one link per member of a group, never all pairs.
 
-Defined results: a vector that is null, zero, of another length than most, or holds null
-or non-finite components links with nothing, nor does one with a null label; each is its
-own component.  Repeated rows link with each other.  A null id has
+Defined results: a vector that is null, zero, or holds null or non-finite components
+links with nothing, nor does one with a null label; each is its own component.  Vectors of
+different lengths do not link.  Components may be as large or small as doubles go: vectors
+are scaled by their largest one before anything is squared.  Other columns, whatever their
+names, are not read.  Repeated rows link with each other.  A null id has
 no links, no component, and is not kept.  An empty table gives no rows.
 """
 
@@ -51,12 +57,17 @@ class Graph:
     fit_rows: int = 20_000
     most_centroids: int = 4096
     audit_rows: int = 500
+    most_audit: int = 8000
+    audit_links: int = 100
     target_recall: float = 0.97
+    fit_bytes: int = 64 << 20
+    exact: bool = False
 
 
 def unit(raw: pd.Series) -> np.ndarray:
     """Rows of packed doubles, scaled to length one."""
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -191,12 +202,12 @@ def search(x: np.ndarray, links: Lists, queries: np.ndarray, own: np.ndarray, g:
 def _classes(rows: DataFrame, id_col: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Rows with the two hashes of their label and vector; valid classes with their smallest id, size and packed vector."""
     v = F.col(vector).cast("array<double>")
-    size = F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c)
-    fit = F.col(label).isNotNull() & F.col(id_col).isNotNull() & (size > 0) & (size < float("inf"))
+    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    fit = F.col(label).isNotNull() & F.col(id_col).isNotNull() & finite & F.exists(v, lambda c: c != 0)
     picked = rows.select(
         F.col(id_col).alias("id"),
         F.col(label).cast("string").alias("label"),
-        F.coalesce(fit & ~F.isnan(size), F.lit(False)).alias("fit"),
+        F.coalesce(fit, F.lit(False)).alias("fit"),
         v.alias("v"),
     ).withColumns({"k1": F.xxhash64("label", "v", F.lit(1)), "k2": F.xxhash64("label", "v", F.lit(2))})
     kept = materialize(picked, "vectors")
@@ -218,11 +229,14 @@ def _centroids(classes: DataFrame, g: Graph) -> dict[tuple[str, int], np.ndarray
     if not wanted:
         return {}
     total = sum(wanted.values())
+    rows = min(g.fit_rows, g.fit_bytes // max(size for _, size in wanted))  # what reaches the driver is bounded
+    kinds = classes.sparkSession.createDataFrame([(k, n) for k, n in wanted], "label string, bytes int")  # most_centroids / 2 at most
     sample = (
-        classes.join(F.broadcast(big.select("label", "bytes")), (classes["label"] == big["label"]) & (F.octet_length("v") == big["bytes"]), "left_semi")
-        .where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, g.fit_rows / total)))
+        classes.withColumn("bytes", F.octet_length("v"))
+        .join(F.broadcast(kinds), ["label", "bytes"], "left_semi")
+        .where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, rows / total)))
         .select("rep", "label", "v")
-        .limit(2 * g.fit_rows)
+        .limit(rows)
         .toPandas()
         .sort_values("rep")
     )
@@ -313,7 +327,11 @@ def _meet(g: Graph):
         label = np.arange(len(rows))
         for start in range(0, len(ask), step):
             some = ask[start : start + step]
-            found = search(x[at], links, x[some], node_of[some], g)
+            if g.exact:
+                found = x[some] @ x[at].T >= g.cosine
+                found[np.flatnonzero(node_of[some] >= 0), node_of[some][node_of[some] >= 0]] = False
+            else:
+                found = search(x[at], links, x[some], node_of[some], g)
             bits.append(np.packbits(found, axis=1))
             for row in np.flatnonzero(found.any(axis=1)):
                 joined = np.unique(np.append(label[at[found[row]]], label[some[row]]))
@@ -336,9 +354,12 @@ def _meet(g: Graph):
 
 def find_links(classes: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     """(counts: rep, n_links to other classes' rows; links: src, dst that connect as all links do)."""
-    dealt = materialize(_parts(_shards(classes, _centroids(classes, g), g), g), "shards")
-    lists = dealt.groupBy("kind", "number", "part").applyInPandas(_adjacency(g), "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    dealt = materialize(_parts(_shards(classes, {} if g.exact else _centroids(classes, g), g), g), "shards")
+    if g.exact:  # one shard a label and no graph
+        united = dealt.select("rep", F.array().cast("array<bigint>").alias("near"))
+    else:
+        lists = dealt.groupBy("kind", "number", "part").applyInPandas(_adjacency(g), "rep long, near array<long>")
+        united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     # a row is a node of its own part's graph for every asking part, and asks every other part's graph
     every = F.sequence(F.lit(0), F.col("n_parts") - 1)
     as_node = F.transform(every, lambda p: F.struct(F.col("part").alias("graph"), p.alias("asker")))
@@ -348,25 +369,37 @@ def find_links(classes: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     return met.groupBy("rep").agg(F.sum("n").alias("n_links")), met.select(F.col("rep").alias("src"), F.col("to").alias("dst"))
 
 
-def audit(classes: DataFrame, counts: DataFrame, g: Graph) -> float:
-    """Share of the true links of `audit_rows` classes, found by brute force in blocks, that `counts` holds."""
-    asked = classes.orderBy(F.xxhash64("rep", F.lit(8)), "rep").limit(g.audit_rows).select("rep", "label", "v").toPandas()
-    if asked.empty:
-        return 1.0
-    groups = {k: (p["rep"].to_numpy(), unit(p["v"])) for k, p in asked.groupby([asked["label"], asked["v"].map(len)])}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, part in b.groupby([b["label"], b["v"].map(len)]):
-                if key in groups:
-                    rep, q = groups[key]
-                    hit = unit(part["v"]) @ q.T >= g.cosine
-                    hit &= part["rep"].to_numpy()[:, None] != rep[None, :]
-                    yield pd.DataFrame({"rep": rep, "truth": part["copies"].to_numpy() @ hit})
-
-    true = classes.select("rep", "label", "copies", "v").mapInPandas(run, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
-    r = true.join(counts, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n_links", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+def audit(classes: DataFrame, counts: DataFrame, g: Graph) -> float | None:
+    """Mean share of a class's true links, found by brute force in blocks, that `counts` holds; None if too few were met.
+
+    More classes are drawn until those asked have `audit_links` true links, or all or
+    `most_audit` of them are asked.
+    """
+    total, asked_rows = classes.count(), g.audit_rows
+    while True:
+        asked = classes.orderBy(F.xxhash64("rep", F.lit(8)), "rep").limit(asked_rows).select("rep", "label", "v").toPandas()
+        if asked.empty:
+            return 1.0
+        groups = {k: (p["rep"].to_numpy(), unit(p["v"])) for k, p in asked.groupby([asked["label"], asked["v"].map(len)])}
+
+        def run(batches: Iterator[pd.DataFrame], groups: dict = groups) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for key, part in b.groupby([b["label"], b["v"].map(len)]):
+                    if key in groups:
+                        rep, q = groups[key]
+                        hit = unit(part["v"]) @ q.T >= g.cosine
+                        hit &= part["rep"].to_numpy()[:, None] != rep[None, :]
+                        yield pd.DataFrame({"rep": rep, "classes": hit.sum(axis=0), "truth": part["copies"].to_numpy() @ hit})
+
+        true = classes.select("rep", "label", "copies", "v").mapInPandas(run, "rep long, classes long, truth long")
+        true = true.groupBy("rep").agg(F.sum("classes").alias("classes"), F.sum("truth").alias("truth")).where("truth > 0")
+        share = F.least(F.lit(1.0), F.coalesce("n_links", F.lit(0)) / F.col("truth"))
+        links, recall = true.join(counts, "rep", "left").agg(F.sum("classes"), F.avg(share)).first()
+        if (links or 0) >= g.audit_links or asked_rows >= total:
+            return 1.0 if not links else recall
+        if asked_rows >= g.most_audit:
+            return None
+        asked_rows *= 4
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", g: Graph = Graph()) -> DataFrame:
@@ -376,11 +409,11 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     for _ in range(3):
         counts, links = find_links(classes, g)
         recall = audit(classes, counts, g)
-        if recall >= g.target_recall:
+        if recall is not None and recall >= g.target_recall:
             break
         g = replace(g, overlap=g.overlap + 1, beam=2 * g.beam, candidates=2 * g.candidates)
-    if recall < 0.9:
-        raise RuntimeError(f"the graph finds {recall:.3f} of the audited links")
+    if recall is not None and recall < 0.9:
+        counts, links = find_links(classes, replace(g, exact=True))
     found = connected_components(links)
     named = (
         classes.select("k1", "k2", "rep", "copies")

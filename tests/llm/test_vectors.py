@@ -82,3 +82,45 @@ def test_one_large_group_in_bounded_blocks():
     want = (u @ u.T >= g.cosine).sum(axis=1) - 1
     assert got["n"].sum() >= 0.99 * want.sum() and (got.set_index("rep")["n"].reindex(rep).fillna(0).to_numpy() <= want).all()
     assert set(got["to"]) == {0}
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 0.0, 0.0], 0), (2, [1e300, 1e299, 0.0], 0), (3, [1e-200, 0.0, 1e-205], 0), (4, [0.0, 1e200, 0.0], 0), (5, [5e-324, 0.0, 0.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_other_lengths_link_among_themselves(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 0), (4, [1.0], 0)]
+    got = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def sparse(n=600, d=16):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, d))
+    x[1::2][:5] = x[::2][:5] * 2 + rng.normal(size=(5, d)) * 0.01
+    return [(i, v.tolist(), 0) for i, v in enumerate(x)]
+
+
+def test_few_links_are_audited_until_all_are_met(spark):
+    rows = sparse()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    _, classes = V._classes(df, "vec_id", "embedding", "label")
+    none = spark.createDataFrame([], "rep long, n_links long")
+    assert V.audit(classes, none, V.Graph(audit_rows=20)) == 0.0  # never vacuous: the ten ends of five links are found
+    assert V.audit(classes, none, V.Graph(audit_rows=20, most_audit=80)) is None
+    got = sorted(tuple(r) for r in V.near_duplicates(df, g=V.Graph(shard_rows=100)).collect())
+    assert got == truth(rows) or sum(a == b for a, b in zip(got, sorted(truth(rows)), strict=True)) >= 0.99 * len(got)
+
+
+def test_exact_search_where_the_graph_fails(spark, monkeypatch):
+    rows = table(n=90)
+    monkeypatch.setattr(V, "search", lambda x, links, queries, own, g: np.zeros((len(queries), len(x)), bool))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = V._classes(df, "vec_id", "embedding", "label")[1]
+    counts, links = V.find_links(found, V.Graph(exact=True, most_rows=50))
+    named = {r["rep"]: r["n_links"] for r in counts.collect()}
+    want = {r[0]: r[1] for r in truth(rows)}
+    copies = {r["rep"]: r["copies"] for r in found.collect()}
+    assert all(named.get(rep, 0) + n - 1 == want[rep] for rep, n in copies.items())
