@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.common import materialize, whole_text, words
+from foliate.llm.common import discard, materialize, whole_text, words
 
 STEPS = 4096
 SALTS = 64
@@ -129,12 +129,18 @@ def plan(docs: DataFrame, mix: Mix, text: str = "text", id_col: str = "doc_id",
     placed = _by_source(rows, s, "source", "id", "of")
     placed = placed.withColumns(_places(mix, "id"))
     blocks = placed.groupBy("of", "block_key").agg(F.sum("tokens").alias("block_tokens"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("of").orderBy("block_key")
+    # first the range of keys (4096 a source) in which the part epoch ends, then the block in that range
+    blocks = blocks.withColumn("range", F.substring("block_key", 1, 3))
+    ranges = blocks.groupBy("of", "range").agg(F.sum("block_tokens").alias("range_tokens"), F.first("rest").alias("rest"))
+    running = F.sum("range_tokens").over(Window.partitionBy("of").orderBy("range")) - F.col("range_tokens")
+    hit = ranges.withColumn("before", running).where("before < rest and before + range_tokens >= rest").groupBy("of").agg(F.min(F.struct("range", (F.col("rest") - F.col("before")).alias("left"))).alias("h"))
+    hit = hit.select(F.col("of").alias("hit_of"), F.col("h.range").alias("hit_range"), F.col("h.left").alias("left"))
+    near = blocks.join(hit, F.col("of").eqNullSafe(F.col("hit_of")) & (F.col("range") == F.col("hit_range")))
     ends = (
-        blocks.withColumn("before", F.sum("block_tokens").over(order) - F.col("block_tokens"))
-        .where("before < rest and before + block_tokens >= rest")
+        near.withColumn("before", F.sum("block_tokens").over(Window.partitionBy("of").orderBy("block_key")) - F.col("block_tokens"))
+        .where("before < left and before + block_tokens >= left")
         .groupBy("of")
-        .agg(F.min(F.struct("block_key", (F.col("rest") - F.col("before")).alias("room"))).alias("e"))
+        .agg(F.min(F.struct("block_key", (F.col("left") - F.col("before")).alias("room"))).alias("e"))
         .select(F.col("of").alias("end_of"), F.col("e.block_key").alias("end_block"), F.col("e.room").alias("room"))
     )
     in_last = placed.join(ends, F.col("of").eqNullSafe(F.col("end_of")) & (F.col("block_key") == F.col("end_block")))
@@ -145,7 +151,9 @@ def plan(docs: DataFrame, mix: Mix, text: str = "text", id_col: str = "doc_id",
         .agg(F.max(F.when(F.col("filled") <= F.col("room"), F.col("doc_key"))).alias("last_doc"))
     )
     ended = sources.join(last, F.col("source").eqNullSafe(F.col("end_of")), "left").drop("end_of")
-    return materialize(ended, "ended")
+    ended = materialize(ended, "ended")
+    discard(rows, stats, sources)
+    return ended
 
 
 def _by_source(rows: DataFrame, per_source: DataFrame, source: str, id_col: str, of: str) -> DataFrame:
