@@ -9,7 +9,8 @@ range's end is cut into power-of-two sequences, so no sequence needs padding.
 Words are encoded when first met and remembered in a bounded cache.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed
-one by one; an empty table gives no rows; the id may be null.
+one by one; an empty table gives no rows; the id may be null; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

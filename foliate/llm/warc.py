@@ -14,7 +14,7 @@ record stays a response; the others become revisits, which hold the headers alon
 Defined results: a null page is an empty payload; a null url is "-"; pages without id
 come after those with one; of repeated rows the first is the response; a declared length
 beyond the end is cut there and marked truncated; a line that is no header is skipped;
-an empty table gives no archives and no rows.
+an empty table gives no archives and no rows; columns but page_id, url and html are not read.
 """
 
 from __future__ import annotations
