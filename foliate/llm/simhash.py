@@ -20,13 +20,18 @@ bits and share at least four bytes: of four positions two lie in the same third,
 of the 155 byte pairs within thirds hold every such pair.  Fingerprints of few shingles
 stray further, so sets of up to 80 shingles are listed by their smallest hashes as well, of
 which similar sets always share one, and differ in at most 72 bits.  Each candidate is
-verified by the exact Jaccard similarity of its shingle sets before it links.  A list that
-holds very many candidates gives a spanning forest of them first; then only pairs that the
-verified links leave in different components follow.
+verified by the exact Jaccard similarity of its shingle sets before it links.
+
+In a family of near copies most pairs are candidates, so they are not all told.  First
+every member tells its nearest candidate of each list, of which its three nearest are
+verified; then its nearest candidate in another component; at last all candidates that
+still lie in different components.  No link between components is lost, and the pairs
+that a family needs grow with its members.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 repeated rows share a component; an empty table gives no rows; a row with a null id is
-fingerprinted and takes the smallest other id of its component, if there is one.
+fingerprinted and takes the smallest other id of its component, if there is one.  Other
+columns, whatever their names, are not read; `keep_one` carries them through.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import materialize
+from foliate.llm.common import discard, materialize
 from foliate.llm.components import connected_components
 
 MOST_BITS, LEAST_SHARED = 3, 5
@@ -246,8 +251,10 @@ THIRDS = (range(11), range(11, 22), range(22, 32))
 PAIRS = [p for third in THIRDS for p in combinations(third, 2)]
 #: Sets up to this size are listed by their smallest hashes too, and may differ in more bits.
 SHORT, SHORT_BITS = 80, 72
-#: Candidates for each member of a list, from which on it gives a spanning forest first.
+#: Candidates for each member of a list, from which on only members that stand side by side are compared in the first rounds.
 DENSE = 8
+#: Places in the order of fingerprints that such members look ahead, and nearest candidates that are verified.
+AHEAD, NEAREST = 24, 3
 _STEPS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
@@ -290,47 +297,23 @@ def _head(h: np.ndarray) -> np.ndarray:
     return h[: n - (n * ALIKE + 99) // 100 + 1] if 0 < n <= SHORT else h[:0]
 
 
-def _forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint (n x 4 words) its group, the smallest member that close pairs reach, and a close member that led to it.
-
-    A group grows from one member.  Members are compared with what is in no group yet,
-    which shrinks as the group absorbs it, so a large dense group costs about one pass.
-    """
-    n = len(fps)
-    label, parent = np.arange(n), np.arange(n)
-    rest = np.arange(n)
-    while len(rest) > 1:
-        seed, rest = rest[0], rest[1:]
-        frontier = np.array([seed])
-        while len(frontier) and len(rest):
-            some, frontier = frontier[:32], frontier[32:]
-            far = np.stack([np.bitwise_count(fps[x] ^ fps[rest]).sum(axis=1, dtype=np.int32) for x in some])
-            at = far.argmin(axis=0)
-            near = far[at, np.arange(len(rest))] <= most
-            label[rest[near]] = seed
-            parent[rest[near]] = some[at[near]]
-            frontier = np.concatenate([frontier, rest[near]])
-            rest = rest[~near]
-    return label, parent
-
-
-def _grow(fps: np.ndarray) -> np.ndarray:
-    """Index of the group of each fingerprint (n x 4 words): the smallest member that close pairs reach."""
-    return _forest(fps, WIDE_BITS)[0]
-
-
-def _candidates(fps: np.ndarray, i: np.ndarray, j: np.ndarray, short: bool) -> np.ndarray:
-    """Which of the pairs (i, j) pass the limit of bits and, outside lists of short sets, the minimum of shared bytes."""
-    ok = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32) <= (SHORT_BITS if short else WIDE_BITS)
+def _distances(fps: np.ndarray, i: np.ndarray, j: np.ndarray, short: bool) -> np.ndarray:
+    """Differing bits of the pairs (i, j), -1 where the limit of bits or, outside lists of short sets, the minimum of shared bytes fails."""
+    bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
+    at = np.flatnonzero(bits <= (SHORT_BITS if short else WIDE_BITS))
     if not short:
         b = fps.view(np.uint8).reshape(-1, 32)
-        at = np.flatnonzero(ok)
-        ok[at] = (b[i[at]] == b[j[at]]).sum(axis=1) >= WIDE_SHARED
-    return ok
+        at = at[(b[i[at]] == b[j[at]]).sum(axis=1) >= WIDE_SHARED]
+    out = np.full(len(bits), -1, np.int32)
+    out[at] = bits[at]
+    return out
+
 
+def _list_pairs(fps: np.ndarray, some: np.ndarray, short: bool, group: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (i, j, bits) of the members `some` with all later members, or with all others outside `some`, in bounded pieces.
 
-def _list_pairs(fps: np.ndarray, some: np.ndarray, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of the members `some` with all later members, or with all others outside `some`, in bounded pieces."""
+    With `group`, only pairs of different groups.
+    """
     n = len(fps)
     place = np.full(n, -1)
     place[some] = some
@@ -340,86 +323,125 @@ def _list_pairs(fps: np.ndarray, some: np.ndarray, short: bool) -> Iterator[tupl
         rows = some[a : a + step]
         i, j = np.repeat(rows, n), np.tile(every, len(rows))
         keep = (place[j] < 0) | (j > i)
+        if group is not None:
+            keep &= group[i] != group[j]
         i, j = i[keep], j[keep]
-        ok = _candidates(fps, i, j, short)
-        yield i[ok], j[ok]
-
+        d = _distances(fps, i, j, short)
+        ok = d >= 0
+        yield i[ok], j[ok], d[ok]
 
-def _told(key: np.ndarray, nodes: np.ndarray, raw: list[bytes], groups: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Candidates (kind 0) of whole lists, rows sorted by key, and the keys of dense lists (kind 1).
 
-    With `groups`, the members' components so far, only pairs of different ones are told.
+def _ahead(key: np.ndarray, fps: np.ndarray, short: bool, group: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (i, j, bits) of members of one list that stand at most AHEAD places apart."""
+    for d in range(1, min(AHEAD + 1, len(key))):
+        at = np.flatnonzero(key[:-d] == key[d:])
+        if not len(at):
+            return
+        if group is not None:
+            at = at[group[at] != group[at + d]]
+        for a in range(0, len(at), 1 << 18):
+            part = at[a : a + (1 << 18)]
+            bits = _distances(fps, part, part + d, short)
+            ok = bits >= 0
+            yield part[ok], part[ok] + d, bits[ok]
+
+
+def _nearest(n: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, its nearest candidate, bits) of the members 0 .. n-1 that have one."""
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    src, dst, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+    order = np.lexsort((dst, d, src))
+    first = order[np.flatnonzero(np.diff(src[order], prepend=-1))]
+    return src[first], dst[first], d[first]
+
+
+def _told(key: np.ndarray, nodes: np.ndarray, raw: list[bytes], group: np.ndarray | None, every: bool) -> Iterator[pd.DataFrame]:
+    """Candidates (src, dst, bits) of whole lists, rows sorted by key and fingerprint.
+
+    Each member's nearest candidate of its list; with `group`, the members' components so
+    far, the nearest one of another component, and with `every` all of those.  In a dense
+    list the nearest are sought among neighbours; members without one tell themselves, so
+    that the rounds that follow know all members that may have candidates.
     """
 
-    def frame(src, dst, kind: int) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.full(len(src), kind, np.int32), "src": src, "dst": dst})
+    def frame(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"src": a, "dst": b, "bits": bits.astype(np.int32)})
 
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
     sizes = np.diff(starts)
     fps = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4)
-    few = np.repeat((sizes > 1) & (sizes <= (24 if groups is None else 0)), sizes)
+    few = np.repeat((sizes > 1) & (sizes <= AHEAD + 1), sizes)
     for short in (False, True):
         mine = few & ((key < 0) == short)
         k, f, c = key[mine], fps[mine], nodes[mine]
-        for d in range(1, 24):
-            at = np.flatnonzero(k[:-d] == k[d:])
-            if not len(at):
-                break
-            for a in range(0, len(at), 1 << 18):
-                part = at[a : a + (1 << 18)]
-                part = part[_candidates(f, part, part + d, short)]
-                if len(part):
-                    yield frame(c[part], c[part + d], 0)
-    for g in np.flatnonzero(sizes > (24 if groups is None else 1)):
+        found = list(_ahead(k, f, short, None if group is None else group[mine]))
+        if every:
+            for i, j, d in found:
+                yield frame(c[i], c[j], d)
+        else:
+            i, j, d = _nearest(len(k), found)
+            yield frame(c[i], c[j], d)
+    for g in np.flatnonzero(sizes > AHEAD + 1):
         a, z = starts[g], starts[g + 1]
         f, c, short = fps[a:z], nodes[a:z], bool(key[a] < 0)
-        if groups is not None:
-            own, first, size = np.unique(groups[a:z], return_index=True, return_counts=True)
-            if len(own) == 1:
+        own, some = None, np.arange(z - a)
+        if group is not None:
+            own = group[a:z]
+            names, size = np.unique(own, return_counts=True)
+            if len(names) == 1:
                 continue
-            group = groups[a:z]
-            for i, j in _list_pairs(f, np.flatnonzero(group != own[size.argmax()]), short):
-                apart = group[i] != group[j]
-                if apart.any():
-                    yield frame(c[i[apart]], c[j[apart]], 0)
-            continue
+            some = np.flatnonzero(own != names[size.argmax()])
         found, total = [], 0
-        for i, j in _list_pairs(f, np.arange(z - a), short):
-            found.append((i, j))
+        for i, j, d in _list_pairs(f, some, short, own):
+            if every:
+                yield frame(c[i], c[j], d)
+                continue
+            found.append((i, j, d))
             total += len(i)
             if total > DENSE * (z - a):
                 break
+        if every:
+            continue
         if total > DENSE * (z - a):
-            parent = _forest(f, SHORT_BITS if short else WIDE_BITS)[1]
-            moved = np.flatnonzero(parent != np.arange(z - a))
-            yield frame(c[moved], c[parent[moved]], 0)
-            yield frame(key[a : a + 1], key[a : a + 1], 1)
-        elif total:
-            yield frame(c[np.concatenate([i for i, _ in found])], c[np.concatenate([j for _, j in found])], 0)
+            found += list(_ahead(key[a:z], f, short, own))
+            i, j, d = _nearest(z - a, found)
+            lone = np.setdiff1d(np.arange(z - a), i)
+            yield frame(c[lone], c[lone], np.full(len(lone), 256))
+        else:
+            i, j, d = _nearest(z - a, found)
+        yield frame(c[i], c[j], d)
 
 
-def _scan_wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan_wide(every: bool):
     """Candidates within posting lists, rows sorted by key; a list may run over several batches."""
-    waiting: list[tuple] = []
-    for b in batches:
-        key, nodes, raw = b["key"].to_numpy(), b["node"].to_numpy(), b["fp"].tolist()
-        groups = b["component"].to_numpy() if "component" in b else None
-        if not len(key):
-            continue
-        if waiting and key[0] == key[-1] == waiting[0][0][0]:
-            waiting.append((key, nodes, raw, groups))
-            continue
-        waiting.append((key, nodes, raw, groups))
-        key, nodes = (np.concatenate([w[x] for w in waiting]) for x in (0, 1))
-        raw = [x for w in waiting for x in w[2]]
-        groups = None if groups is None else np.concatenate([w[3] for w in waiting])
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield from _told(key[:cut], nodes[:cut], raw[:cut], None if groups is None else groups[:cut])
-        waiting = [(key[cut:], nodes[cut:], raw[cut:], None if groups is None else groups[cut:])]
-    if waiting:
-        groups = None if waiting[0][3] is None else np.concatenate([w[3] for w in waiting])
-        yield from _told(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), [x for w in waiting for x in w[2]], groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple] = []
+
+        def told(cut: int | None) -> Iterator[pd.DataFrame]:
+            """The candidates of the rows up to `cut`; the others go on waiting."""
+            key, nodes = (np.concatenate([w[x] for w in waiting]) for x in (0, 1))
+            raw = [x for w in waiting for x in w[2]]
+            groups = None if waiting[0][3] is None else np.concatenate([w[3] for w in waiting])
+            cut = len(key) if cut is None else int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from _told(key[:cut], nodes[:cut], raw[:cut], None if groups is None else groups[:cut], every)
+            waiting[:] = [(key[cut:], nodes[cut:], raw[cut:], None if groups is None else groups[cut:])]
+
+        for b in batches:
+            if not len(b):
+                continue
+            key = b["key"].to_numpy()
+            runs_on = waiting and len(waiting[0][0]) and key[0] == key[-1] == waiting[0][0][0]
+            waiting.append((key, b["node"].to_numpy(), b["fp"].tolist(), b["component"].to_numpy() if "component" in b else None))
+            if not runs_on:
+                yield from told(0)
+        if waiting:
+            yield from told(None)
+
+    return run
 
 
 def _list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -437,22 +459,48 @@ def _list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The lowest 16 bits of a set's hashes, sorted: equal hashes stay equal, so no shared shingle is missed."""
+    return np.sort(h.astype(np.uint16))
+
+
+def _shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """Values that two sorted arrays share, repeats counted: an upper bound of the shingles that their sets share."""
+    both = np.concatenate([x, y])
+    values, at = np.unique(both, return_inverse=True)
+    return int(np.minimum(np.bincount(at[: len(x)], minlength=len(values)), np.bincount(at[len(x) :], minlength=len(values))).sum())
+
+
+def _alike(both: int, x: np.ndarray, y: np.ndarray) -> bool:
+    return 100 * both >= ALIKE * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose shingle sets (node, hashes) have a similarity of 0.8 or more."""
+    """The pairs (src, dst) whose shingle sets (node, hashes, short) have a similarity of 0.8 or more.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = np.zeros(len(b), bool)
-            for k, (x, y) in enumerate(zip(b["a"], b["b"], strict=True)):
-                x, y = (np.frombuffer(v, np.uint64) if v else np.empty(0, np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = 100 * both >= ALIKE * (len(x) + len(y) - both)
-            yield b.loc[ok, ["src", "dst"]]
+    Hashes cut to 16 bits, a quarter of the bytes, show for most other pairs that they
+    cannot reach it; only what is left meets with whole hashes.
+    """
+
+    def kept(column: str, kind: type, shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                ok = np.zeros(len(b), bool)
+                for k, (x, y) in enumerate(zip(b["a"], b["b"], strict=True)):
+                    x, y = (np.frombuffer(v, kind) if v else np.empty(0, kind) for v in (x, y))
+                    ok[k] = _alike(shared(x, y), x, y)
+                yield b.loc[ok, ["src", "dst"]]
 
-    # by src first, so that only one set travels with a pair
-    one = pairs.join(sets.select(F.col("node").alias("src"), F.col("hashes").alias("a")), "src")
-    two = one.join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst")
-    return two.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
+        def of(rows: DataFrame) -> DataFrame:
+            # by src first, so that only one set travels with a pair
+            one = rows.join(sets.select(F.col("node").alias("src"), F.col(column).alias("a")), "src")
+            two = one.join(sets.select(F.col("node").alias("dst"), F.col(column).alias("b")), "dst")
+            return two.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
+
+        return of
+
+    possible = materialize(kept("short", np.uint16, _shared_at_most)(pairs), "possible")
+    return kept("hashes", np.uint64, lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))(possible)
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -466,7 +514,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t) for t in b["text"]]
-            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "hashes": [h.tobytes() for h in sets]})
+            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "hashes": [h.tobytes() for h in sets], "short": [_short(h).tobytes() for h in sets]})
 
     kind = dict(docs.dtypes)[id_col]
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -474,25 +522,49 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     # rows of one node have equal sets of shingles
     classes = prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("head").alias("head"))
 
-    def verified(scanned: DataFrame) -> DataFrame:
-        pairs = scanned.where("kind = 0 and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    def scanned(members: DataFrame, every: bool = False) -> DataFrame:
+        columns = "key long, node long, fp binary" + (", component long" if "component" in members.columns else "")
+        lists = members.mapInPandas(_list_rows, columns)
+        return materialize(lists.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_scan_wide(every), "src long, dst long, bits int"), "scanned")
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        """Each member's three nearest candidates; a member tells one for each of its lists at most."""
+        few = F.slice(F.array_sort(F.collect_set(F.struct("bits", "dst"))), 1, NEAREST)
+        return rows.where("src <> dst").groupBy("src").agg(few.alias("few")).select("src", F.explode("few.dst").alias("dst"))
+
+    def verified(rows: DataFrame) -> DataFrame:
+        pairs = rows.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = materialize(pairs, "candidates")
         ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
         rows = classes.join(ends, "node", "left_semi").select("id").distinct()
-        sets = picked.join(rows, "id", "left_semi").mapInPandas(hashes, "node long, hashes binary").dropDuplicates(["node"])
-        return materialize(_verified(pairs, materialize(sets, "sets")), "verified")
-
-    scan = "kind int, src long, dst long"
-    lists = classes.select("node", "fp", "head").mapInPandas(_list_rows, "key long, node long, fp binary")
-    scanned = materialize(lists.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_scan_wide, scan), "scanned")
-    links = verified(scanned)
-    found = connected_components(links)
-    dense = scanned.where("kind = 1").select(F.col("src").alias("key")).distinct()
-    if not dense.isEmpty():
-        grouped = classes.join(found, "node", "left").select("node", "fp", "head", F.coalesce("component", "node").alias("component"))
-        lists = grouped.mapInPandas(_list_rows, "key long, node long, fp binary, component long").join(dense, "key", "left_semi")
-        again = materialize(lists.repartition("key").sortWithinPartitions("key", "node").mapInPandas(_scan_wide, scan), "scanned")
-        found = connected_components(links.union(verified(again)))
+        sets = materialize(picked.join(rows, "id", "left_semi").mapInPandas(hashes, "node long, hashes binary, short binary").dropDuplicates(["node"]), "sets")
+        links = materialize(_verified(pairs, sets), "verified")
+        discard(pairs, sets)
+        return links
+
+    def grouped(members: DataFrame, found: DataFrame) -> DataFrame:
+        """The classes of `members` (node) with their components so far."""
+        some = classes.join(members, "node", "left_semi").join(found, "node", "left")
+        return some.select("node", "fp", "head", F.coalesce("component", "node").alias("component"))
+
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after more links; each node's link to its component stands for those before."""
+        stars = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        return connected_components(stars.union(links))
+
+    def told(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("src").alias("node")).union(rows.select(F.col("dst").alias("node"))).distinct()
+
+    first = scanned(classes.select("node", "fp", "head"))
+    found = connected_components(verified(nearest(first)))
+    second = scanned(grouped(told(first), found))
+    if not second.isEmpty():
+        found = joined(found, verified(nearest(second)))
+        last = scanned(grouped(told(second), found), every=True)
+        if not last.isEmpty():
+            found = joined(found, verified(last))
+        discard(last)
+    discard(first, second)
     rooted = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = rooted.groupBy("component").agg(F.min("id").alias("component_id"))
     named = rooted.join(least, "component").select("node", "component_id")

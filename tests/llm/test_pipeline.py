@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -49,22 +50,43 @@ def test_keep_one(spark):
     assert H.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_large_list_grows_as_brute_force():
-    import numpy as np
+def test_short_hashes_never_miss_a_shared_shingle():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 50, 3000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 2, dtype=np.uint64)]))
+        assert len(np.intersect1d(x, y)) <= H._shared_at_most(H._short(x), H._short(y)) <= min(len(x), len(y))
 
-    rng = np.random.default_rng(3)
-    centre = rng.integers(0, 2**63, (5, 4), dtype=np.uint64)
-    fps = []
-    for c in centre:
-        for _ in range(40):
-            flip = np.packbits(rng.random(256) < rng.uniform(0.02, 0.14)).view(np.uint64)
-            fps.append(c ^ flip)
-    fps = np.array(fps)
-    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
-    want = np.arange(len(fps))
-    for _ in range(len(fps)):
-        want = np.minimum(want, np.where(far <= H.WIDE_BITS, want[None, :], 10**6).min(axis=1))
-    assert (H._grow(fps) == want).all()
+
+def test_family_of_near_copies_against_all_pairs(spark):
+    """Long dense lists: groups are those of all pairs from 0.8 on, though few pairs are verified."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(2)]
+    for _ in range(300):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    got = {r[0]: r[1] for r in H.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 5
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    assert len(set(got.values())) >= len(set(want.values()))  # nothing links below 0.8
 
 
 def blends(sizes, rng):
@@ -127,6 +149,21 @@ def small(tmp_path_factory, spark):
     return str(d), dict((r[0], r) for r in rows), dict((x[0], x[1]) for x in labels)
 
 
+def test_empty_tables_nulls_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, block string, email_spans string"
+    labels = "doc_id long, quality int, toxic int"
+    for name, rows in (("none", []), ("odd", [(None, None, None, None, None, "a", "b", "c"), (1, None, None, "x", 0, "d", "e", "f"), (1, None, None, "x", 0, "d", "e", "f"), (2, "", "en", None, 0, "g", "h", "i"), (3, "mail a.b@c.de now", "en", "x", 17, "j", "k", "l")])):
+        d = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], labels).write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in P.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, str(d)).collect(), docs.schema)
+        kept = {(r["doc_id"], r["score"], r["block"], r["email_spans"]) for r in docs.collect()}
+        assert kept == ({(None, "a", "b", "c"), (1, "d", "e", "f"), (3, "j", "k", "l")} if rows else set())  # 1 and 2 are equal texts
+        assert {r["doc_id"] for r in P.run(spark, str(d)).collect()} == {k[0] for k in kept}
+
+
 def test_pipeline(spark, small):
     d, rows, labels = small
     docs = spark.read.parquet(f"{d}/documents.parquet")
