@@ -18,10 +18,11 @@ COLLECTED = [
 SPECIAL = ["special", "giant", "fcbd", "free comic book day", "preview", "one-shot", "oneshot"]
 PLAIN_FOLDERS = ["comics", "downloads", "tmp", "temp"]
 
+#: The patterns that file names are read by.
 YEAR = r"[(\[]((?:19|20)[0-9]{2})[)\]]"
 VOLUME = r"(?i)\b(?:v|vol|volume)\.?\s*([0-9]+)\b"
 NUMBER = r"([0-9]+½|[0-9]+/[0-9]+|[0-9]+\.[0-9]+|[0-9]+[a-zA-Z]?|½)"
-#: (pattern, fixed number or None for the matched one) in order of precedence.
+#: Fixed values: (pattern, fixed number or None for the matched one) in order of precedence.
 CASCADE = [
     (r"(?i)\bannual\s*#?\s*([0-9]+)\b", None),
     (r"(?i)\bannual\b", "Annual"),

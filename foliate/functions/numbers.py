@@ -10,6 +10,7 @@ from foliate.functions.text import text
 #: Names that sort after all numbers, in this order.
 NAMED_ORDER = {"annual": 10000.0, "special": 10001.0, "tpb": 10002.0, "hc": 10003.0, "omnibus": 10004.0}
 NO_NUMBER, NOT_NUMERIC = 99999.0, 99998.0
+#: Words of special issues, and the pattern of a plain number.
 SPECIALS = "special|giant|one-shot|oneshot|preview|fcbd"
 _NUMBER = r"^([0-9]+(?:\.[0-9]+)?)([a-zA-Z]*)$"
 

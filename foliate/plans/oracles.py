@@ -413,7 +413,7 @@ al AS (SELECT *, 'url_override' AS source FROM ovr UNION ALL SELECT *, 'existing
 re AS (SELECT p.file_id, al.provider, al.series_name, al.issue_number, al.issue_id, al.score, CASE WHEN k THEN level ELSE 'UNRESOLVED' END AS level, CASE WHEN k THEN source ELSE '' END AS source, k AND coalesce(suffix(source, '_fallback'), FALSE) AS fallback_used
   FROM parsed p LEFT JOIN al USING (file_id) LEFT JOIN (SELECT DISTINCT file_id AS asked FROM (SELECT file_id FROM candidates WHERE provider <> 'Filename' UNION ALL SELECT file_id FROM existing)) q ON q.asked = p.file_id,
   LATERAL (SELECT (al.provider IS NOT NULL AND q.asked IS NOT NULL) OR coalesce(al.source = 'url_override', FALSE) AS k))"""
-_RECORDS = """rec AS (SELECT provider, issue_id, arg_min({'s': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name END, 't': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name || ' #' || issue_number END, 'n': issue_number, 'p': publisher, 'y': publication_year}, file_id) AS r FROM candidates0 WHERE issue_id <> '' AND file_id % 9 <> 0 GROUP BY 1, 2),
+_RECORDS = """rec AS (SELECT provider, issue_id, arg_min({'s': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name END, 't': CASE WHEN file_id % 14 = 0 THEN '' ELSE series_name || ' #' || issue_number END, 'n': issue_number, 'p': publisher, 'y': publication_year, 'f': file_id}, file_id) AS r FROM candidates0 WHERE issue_id <> '' AND file_id % 9 <> 0 GROUP BY 1, 2),
 fl AS (SELECT DISTINCT issue_id FROM candidates0 WHERE provider = 'Kapowarr' AND issue_id <> '' AND file_id % 31 = 0),
 ret AS (SELECT re.*, r, CASE WHEN {failed} THEN 'PROVIDER_ERROR' WHEN r IS NULL THEN 'NOT_FOUND' WHEN r.s <> '' OR r.t <> '' THEN 'FOUND' ELSE 'INVALID' END AS state FROM re LEFT JOIN rec ON rec.provider = re.provider AND rec.issue_id = re.issue_id)"""
 
@@ -425,7 +425,7 @@ ORACLES |= {
     "J14_retrieval": f"{RESOLVED}, {_RECORDS.replace('{failed}', _FAILED)} SELECT file_id, state, coalesce(r.t, '') AS title FROM ret",
     "Q5_plan": rf"""{RESOLVED}, {_RECORDS.replace('{failed}', 'FALSE')}, pl AS (SELECT ret.*, {_ACTION} AS act, state = 'FOUND' AS ok, file_id IN (SELECT file_id FROM existing) AS has FROM ret)
 SELECT file_id, CASE WHEN act = 'SKIP' THEN 'SKIP' WHEN act = 'REVIEW' THEN 'REVIEW' WHEN NOT ok THEN 'SKIP' WHEN has THEN 'UPDATE' ELSE 'EMBED' END AS action,
-  CASE WHEN act <> 'SKIP' AND ok THEN concat_ws(',', CASE WHEN r.t <> '' THEN 'Title' END, CASE WHEN r.s <> '' THEN 'Series' END, CASE WHEN r.n NOT IN ('', '0') THEN 'Number' END, CASE WHEN r.p <> '' THEN 'Publisher' END, CASE WHEN r.y <> 0 THEN 'Year' END) ELSE '' END AS fields,
+  CASE WHEN act <> 'SKIP' AND ok THEN concat_ws(',', CASE WHEN r.t <> '' THEN 'Title' END, CASE WHEN r.s <> '' THEN 'Series' END, CASE WHEN r.n NOT IN ('', '0') THEN 'Number' END, CASE WHEN r.p <> '' THEN 'Publisher' END, CASE WHEN r.y <> 0 THEN 'Year' END, CASE WHEN r.f % 2 = 0 THEN 'Writer' END, CASE WHEN r.f % 3 = 0 THEN 'Characters' END, CASE WHEN r.f % 4 = 1 THEN 'Summary' END) ELSE '' END AS fields,
   coalesce(provider, '') AS provider, coalesce(score, 0) AS confidence, state AS metadata_state, CASE WHEN act = 'SKIP' THEN 'below threshold' WHEN NOT ok THEN 'metadata ' || lower(state) WHEN act = 'REVIEW' THEN 'needs review' WHEN has THEN 'existing record' ELSE 'resolved' END AS reason,
   regexp_replace(path, '(?i)\.cbr$', '.cbz') AS target_path FROM pl JOIN lib_files USING (file_id)""",
 }

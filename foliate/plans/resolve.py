@@ -178,7 +178,7 @@ def local_candidates(parsed: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 #: Names of the record's fields that a plan lists, beside their columns.
-PLAN_FIELDS = {"Title": "record_title", "Series": "record_series", "Number": "record_number", "Publisher": "record_publisher", "Year": "record_year"}
+PLAN_FIELDS = {"Title": "record_title", "Series": "record_series", "Number": "record_number", "Publisher": "record_publisher", "Year": "record_year", "Writer": "record_writers", "Penciller": "record_pencillers", "Characters": "record_characters", "Summary": "record_summary"}
 
 
 def plan_files(retrieved: DataFrame, files: DataFrame, existing: DataFrame, allow_update: bool = True) -> DataFrame:
@@ -195,7 +195,7 @@ def plan_files(retrieved: DataFrame, files: DataFrame, existing: DataFrame, allo
         .otherwise("EMBED")
     )
     filled = F.filter(
-        F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0"), None).otherwise(F.lit(k)) for k, c in PLAN_FIELDS.items()]), lambda x: x.isNotNull()
+        F.array(*[F.when(F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0"), None).otherwise(F.lit(k)) for k, c in PLAN_FIELDS.items() if c in retrieved.columns]), lambda x: x.isNotNull()
     )
     reason = (
         F.when(skip, "below threshold").when(~found, F.concat(F.lit("metadata "), F.lower("state"))).when(F.col("action") == "REVIEW", "needs review").when(F.col("_has"), "existing record").otherwise("resolved")

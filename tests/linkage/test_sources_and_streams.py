@@ -46,12 +46,13 @@ def test_record(spark):
 
 
 def test_pages(spark):
-    html = """<title>x</title><h1>Batman <a href="/s/4000-9/">#1</a></h1><ul><li>Writer: <a href="/p/1">Tom King (as T)</a></li><li>Cover artist: <a href="/p/2">D. Finch</a></li>
+    html = """<title>x</title><h1>Batman <a href="/s/4000-9/">#1</a></h1><ul class="wiki-details-object"><li>Creators</li><li>Writer: <a href="/p/1">Ann Lee</a></li><li>Cover artist: <a href="/p/2">B. Ek</a></li>
       <li>2016 (12 issues) <a href="/batman/4050-1/">Batman</a></li><li><a href="/e">edit</a></li></ul>"""
-    parts = G.page_parts(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    parts = G.page_parts(pages)
     assert G.page_titles(parts).first()["title"] == "Batman #1"
     found = G.links(parts)
-    assert sorted((r["role"], r["name"]) for r in G.creators(found).collect()) == [("pencillers", "D. Finch"), ("writers", "Tom King")]
+    assert sorted((r["role"], r["name"]) for r in G.creators(G.issue_page_texts(pages)).collect()) == [("pencillers", "B. Ek"), ("writers", "Ann Lee")]
     r = G.search_results(found).where("kind = 'Volume'").first()
     assert (r["name"], r["year"], r["n_issues"]) == ("Batman", 2016, 12)
 
@@ -85,6 +86,23 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
     assert [r for r in got if r[0] == "/a.cbz"][0][6] is True
 
 
+def test_a_restart_repeats_nothing(spark, tmp_path):
+    e = events(spark).withColumn("event_id", F.monotonically_increasing_id())
+    schema = e.schema
+
+    def run():
+        stream = E.only_archives(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).select("event_id", "path")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema("event_id long, path string").parquet(str(tmp_path / "out"))
+
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert run().count() == 6
+    e.limit(1).withColumn("event_id", F.lit(99).cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    done = run()
+    assert done.count() == 7 and done.distinct().count() == 7
+    assert E.not_yet_done(e.union(e.limit(1).withColumn("event_id", F.lit(100).cast("long"))), done).count() == 2  # the text file's event and the new one
+
+
 def test_known_files_and_lifecycle(spark):
     known = spark.createDataFrame([("/a", 1, 2, "h")], "path string, size long, mtime long, sha256 string")
     seen = spark.createDataFrame([("/a", 1, 2, "h"), ("/a", 1, 3, "h")], known.schema)

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from foliate.operators import arcs as R
 from foliate.operators import curate as K
 from foliate.sources import archives as A
 from foliate.sources import catalogs as B
+from foliate.sources.tables import discard, written
 
 MEMBER = "collection_id long, pos int, series_name string, publisher string, issue_number string, title string, year int, month int, day int, web string, summary string, notes string, provider_id string, genre string, language string, " + ", ".join(f"{c} string" for c in K.LISTS)
 
@@ -82,6 +85,16 @@ def test_catalogs_and_searches(spark):
         B.federated_search({}, "cv_issue")
 
 
+def test_discarded_tables_are_gone_and_others_stay(spark, tmp_path):
+    df = spark.range(3)
+    kept, gone = written(df, "kept"), written(df, "gone")
+    own = tmp_path / "own"
+    df.write.parquet(str(own))
+    folder = Path(gone.inputFiles()[0].removeprefix("file:")).parent
+    discard(gone, spark.read.parquet(str(own)))
+    assert not folder.exists() and kept.count() == 3 and own.exists()
+
+
 def test_hashes_ignore_the_order_of_columns(spark):
     df = spark.createDataFrame([("x", 1), ("y", 1), ("x", None)], "a string, b int")
     one = [r[0] for r in df.select(T.content_hash({"a": F.col("a"), "b": F.col("b")})).collect()]
