@@ -208,4 +208,39 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS
 FROM d LEFT JOIN k USING (rid) LEFT JOIN n USING (rid)
 """
 
-ORACLES = {"op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+def _nearest(books: str) -> str:
+    """Rows (rid, part, v, entry, d): the entry of `books`(part, entry, c) that is nearest to each part."""
+    return f"""(SELECT rid, part, v, k % 64 AS entry, k // 64 AS d FROM (
+    SELECT rid, p.part, any_value(v) AS v, min(64 * list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, len(v) + 1)]) + entry) AS k
+    FROM p JOIN {books} AS b ON b.part = p.part GROUP BY rid, p.part))"""
+
+
+def _improved(name: str, books: str) -> str:
+    """Entries of `books` at the floored means of their parts."""
+    return f"""{name} AS (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {books} AS b LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY i) AS c FROM (
+      SELECT part, entry, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS mean
+      FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM {_nearest(books)}) GROUP BY part, entry, i)
+    GROUP BY part, entry) AS m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+OP13 = f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, y) AS rid, vec_id, label, y FROM (
+    SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS y FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS (SELECT rid, part, y[part * len(y) // 16 + 1:(part + 1) * len(y) // 16] AS v FROM (SELECT *, unnest(range(0, 16)) AS part FROM k)),
+c0 AS (SELECT part, rid - 1 AS entry, v AS c FROM p WHERE rid <= 64),
+{_improved("c1", "c0")},
+{_improved("c2", "c1")},
+a AS (SELECT * FROM {_nearest("c2")}),
+r AS (
+  SELECT rid, CAST(sum(d) AS BIGINT) AS error, string_agg(substr('0123456789abcdef', CAST(entry // 16 + 1 AS INT), 1) || substr('0123456789abcdef', CAST(entry % 16 + 1 AS INT), 1), '' ORDER BY part) AS code
+  FROM a GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM k JOIN r USING (rid)
+"""
+
+ORACLES = {"op13_codes": OP13, "op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

@@ -12,6 +12,7 @@ from foliate.llm import mixing as M
 from foliate.llm import packing as K
 from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
+from foliate.llm import quantizer as Z
 from foliate.llm import repeats as R
 from foliate.llm import secrets as S
 from foliate.llm import simhash as H
@@ -88,6 +89,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Z.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op13_codes": op13_codes,
 }
