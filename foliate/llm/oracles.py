@@ -243,4 +243,22 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM k JOIN r USING (rid)
 """
 
-ORACLES = {"op13_codes": OP13, "op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS y
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.uid AS a, a.vec_id AS anchor_id, b.vec_id AS id, b.label = a.label AS alike,
+         coalesce(list_sum([a.y[i] * b.y[i] FOR i IN range(1, len(a.y) + 1)]), 0) AS score
+  FROM v AS a JOIN v AS b ON a.uid <> b.uid AND len(a.y) = len(b.y) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(negative_score AS BIGINT) AS negative_score
+FROM n WHERE rank <= 5
+"""
+
+ORACLES = {"op11_negatives": OP11, "op13_codes": OP13, "op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import classifier as C
 from foliate.llm import mixing as M
+from foliate.llm import negatives as N
 from foliate.llm import packing as K
 from foliate.llm import pii as P
 from foliate.llm import quality_rules as Q
@@ -89,6 +90,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return N.mine(rows, F.col("id") % 100 == 0, label=moved)
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -104,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_negatives": op11_negatives,
     "op13_codes": op13_codes,
 }
