@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from foliate.llm.licenses import BASE, TEMPLATES
+
 OP1 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -261,4 +263,42 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, CAST(posi
 FROM n WHERE rank <= 5
 """
 
-ORACLES = {"op11_negatives": OP11, "op13_codes": OP13, "op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}
+_NOTICES = ", ".join(f"({k}, '{label}', '{words}', '{keys}')" for k, (label, words, keys) in enumerate(TEMPLATES))
+_PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in BASE)
+
+OP12 = f"""
+WITH t(t, label, notice, keys) AS (VALUES {_NOTICES}),
+bases(phrase, label) AS (VALUES {_PHRASES}),
+tw AS (SELECT t, label, len(string_split(notice, ' ')) AS n, unnest(string_split(notice, ' ')) AS w, unnest(range(0, len(string_split(notice, ' ')))) AS i FROM t),
+tk AS (SELECT t, unnest(string_split(keys, '|')) AS phrase FROM t),
+ph AS (SELECT DISTINCT phrase FROM tk UNION SELECT phrase FROM bases),
+pw AS (SELECT phrase, len(string_split(phrase, ' ')) AS n, unnest(string_split(phrase, ' ')) AS w, unnest(range(0, len(string_split(phrase, ' ')))) AS i FROM ph),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents),
+h AS (SELECT * FROM (SELECT rid, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM d) WHERE w IN (SELECT w FROM tw UNION SELECT w FROM pw)),
+df AS (SELECT w, count(DISTINCT rid) AS df FROM h GROUP BY w),
+o AS (SELECT rid, phrase, p - i AS s, any_value(n) AS n FROM h JOIN pw USING (w) GROUP BY rid, phrase, p - i HAVING count(*) = any_value(n)),
+rare AS (
+  SELECT rid, t, w FROM (SELECT DISTINCT rid, t, w FROM h JOIN tw USING (w)) JOIN df USING (w)
+  QUALIFY row_number() OVER (PARTITION BY rid, t ORDER BY df, w) <= 6),
+al AS (SELECT rid, t, h.p - tw.i AS s FROM rare JOIN h USING (rid, w) JOIN tw USING (t, w) GROUP BY ALL HAVING count(*) >= 2),
+sh AS (
+  SELECT al.rid, al.t, al.s, tw.label, any_value(tw.n) AS n, count(h.w) / any_value(tw.n) AS share
+  FROM al JOIN tw USING (t) LEFT JOIN h ON h.rid = al.rid AND h.p = al.s + tw.i AND h.w = tw.w GROUP BY al.rid, al.t, al.s, tw.label),
+ok AS (
+  SELECT rid, label, max(share) AS share FROM sh
+  WHERE share >= 0.6 AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.t = sh.t AND NOT EXISTS (
+    SELECT 1 FROM o WHERE o.rid = sh.rid AND o.phrase = tk.phrase AND o.s >= sh.s - 3 AND o.s + o.n <= sh.s + sh.n + 3))
+  GROUP BY rid, label),
+b AS (SELECT rid, label, s FROM o JOIN bases USING (phrase)),
+ba AS (SELECT rid, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY rid),
+la AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT rid, label, share FROM ok UNION ALL SELECT rid, label, 0.5 FROM b) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN ba USING (rid) LEFT JOIN la USING (rid)
+"""
+
+ORACLES = {"op12_licenses": OP12, "op11_negatives": OP11, "op13_codes": OP13, "op8_repeats": OP8, "op4_vectors": OP4, "op2_mixing": OP2, "op3_warc": OP3, "op1_quality_rules": OP1, "op5_pii": OP5, "op7_secrets": OP7}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import classifier as C
+from foliate.llm import licenses as L
 from foliate.llm import mixing as M
 from foliate.llm import negatives as N
 from foliate.llm import packing as K
@@ -96,6 +97,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.mine(rows, F.col("id") % 100 == 0, label=moved)
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -112,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
     "op11_negatives": op11_negatives,
+    "op12_licenses": op12_licenses,
     "op13_codes": op13_codes,
 }
