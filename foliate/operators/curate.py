@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliate.functions import numbers
 from foliate.functions.text import collection_form, content_hash, key_form, provider_name, publisher_form, text
 
-ACTIVE = ["PENDING", "RUNNING", "RETRYING"]
+ACTIVE = ["DISCOVERED", "QUEUED", "PENDING", "PROCESSING", "RUNNING", "RETRYING"]
 #: Folders of the system.
 SYSTEM_FOLDERS = ["/etc", "/root", "/proc", "/sys", "/dev", "/boot", "/var/run", "/bin", "/sbin", "/usr/bin", "/usr/sbin"]
 #: Seconds that a cache row lives, by kind.

@@ -3,6 +3,7 @@
 Watermarks bound the state of streams; on batch frames they do nothing, so a batch run
 over the same events is each stream's twin, but for sessions still open at its end and for
 `new_jobs`, where a stream forgets a path and hash once the watermark has passed it.
+Streams that act when time has passed, or compare with a job table, are in `stateful`.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.operators.curate import ACTIVE
 from foliate.operators.metrics import OUTCOMES, count_where
 
 
@@ -60,11 +60,6 @@ def new_jobs(events: DataFrame, late: str = "10 minutes", stamp: str = "ts") ->
     return kept.dropDuplicatesWithinWatermark(["path", "sha256"]) if events.isStreaming else kept.dropDuplicates(["path", "sha256"])
 
 
-def skip_active(batch: DataFrame, jobs: DataFrame) -> DataFrame:
-    """For foreachBatch: jobs that are not active already."""
-    return batch.join(jobs.where(F.col("status").isin(ACTIVE)).select("path", "sha256").distinct(), ["path", "sha256"], "left_anti")
-
-
 def lifecycle(events: DataFrame, most_attempts: int = 3, stamp: str = "ts") -> DataFrame:
     """Per job: last status, attempts, whether it ended or failed for good."""
     status: Column = F.max_by("status", F.struct(stamp, "event_id"))
