@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import materialize, shared_dir
+from foliate.llm.common import discard, materialize, shared_dir
 
 #: Bytes of records per archive.
 ARCHIVE_BYTES = 8 << 20
@@ -284,9 +284,15 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
-    """Convert ARC archives to WARC archives under `path`; the table of what was written."""
-    marked = mark_revisits(read_arc(archives), read_arc(archives, with_payload=False), least_bytes)
-    write_warc(marked, path)
+    """Convert ARC archives to WARC archives under `path`; the table of what was written.
+
+    The archives are written once before they are read twice: record ids come from a
+    record's place, and a plan that is run again, wholly or for a lost partition, may deal
+    its rows in another order.
+    """
+    held = materialize(archives.select("path", "content"), "arcs")
+    write_warc(mark_revisits(read_arc(held), read_arc(held, with_payload=False), least_bytes), path)
+    discard(held)
     return archives.sparkSession.read.schema("path string, content binary").parquet(path)
 
 

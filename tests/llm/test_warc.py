@@ -57,3 +57,14 @@ def test_pages(spark):
     for least in (0, 4):
         assert sorted((tuple(r) for r in A.round_trip(pages, least_bytes=least).collect()), key=str) == want(least)
     assert A.round_trip(pages.limit(0)).count() == 0
+
+
+def test_rows_in_another_order_every_time(spark):
+    def mixed(batches):
+        for b in batches:
+            yield b.sample(frac=1.0)
+
+    rows = [(i, f"http://h/{i}", f"text {i % 50}") for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).mapInPandas(mixed, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in A.round_trip(pages).collect()}
+    assert got == {i: ("response", None) if i < 50 else ("revisit", i % 50) for i in range(2000)}
