@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,27 +119,25 @@ def validate_collections(members: DataFrame, group: str = "collection_id") -> Da
 LISTS = ["writers", "pencillers", "inkers", "colorists", "letterers", "cover_artists", "characters", "teams", "story_arcs", "story_arc_numbers"]
 
 
-def _merged_lists(members: DataFrame, group: str, loose: bool) -> DataFrame:
-    """A row per group with the ordered unique union of each list column, again between semicolons."""
+def _united(rows: Column, name: str, loose: bool) -> Column:
+    """The ordered unique union of a list column over a group's rows in order, again between semicolons.
 
-    def items(c: str) -> Column:
-        parts = F.split(text(F.col(c)), ";")
-        return F.transform(parts, lambda x, i: F.struct(F.lit(c).alias("kind"), i.alias("at"), x.alias("item")))
-
-    key = F.trim(F.lower("item")) if loose else F.col("item")
-    item = members.select(group, "pos", F.inline(F.flatten(F.array(*[items(c) for c in LISTS])))).withColumn("_k", key).where("_k <> ''")
-    first = item.groupBy(group, "kind", "_k").agg(F.min(F.struct("pos", "at", "item")).alias("m"))
+    Each array is bound to a lambda's variable, so that it is made once and not for every item.
+    """
+    items = F.filter(F.flatten(F.transform(rows, lambda r: F.split(text(r[name]), ";"))), lambda x: F.trim(x) != "" if loose else x != "")
+    if not loose:
+        return F.array_join(F.array_distinct(items), ";")
 
-    def listed(c: str) -> Column:
-        own = F.sort_array(F.collect_list(F.when(F.col("kind") == c, F.col("m"))))
-        return F.array_join(F.transform(own, lambda m: m["item"]), ";").alias(f"l_{c}")
+    def first_spellings(both: Column) -> Column:
+        return F.transform(F.array_distinct(both["forms"]), lambda f: F.element_at(both["items"], F.array_position(both["forms"], f).cast("int")))
 
-    return first.groupBy(group).agg(*[listed(c) for c in LISTS])
+    told = F.transform(F.array(items), lambda xs: F.struct(xs.alias("items"), F.transform(xs, lambda x: F.trim(F.lower(x))).alias("forms")))
+    return F.array_join(F.transform(told, first_spellings)[0], ";")
 
 
-def _in_order(value: Column, keep: Column) -> Column:
-    """Values of a group in the order of pos, where keep holds."""
-    return F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("pos", value.alias("v"))))), lambda x: x["v"])
+def _told(value: Callable[[Column], Column], keep: Callable[[Column], Column]) -> Column:
+    """Values of a group's rows in their order, where keep holds."""
+    return F.transform(F.filter("_rows", keep), value)
 
 
 def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool = False, override: DataFrame | None = None, identity: DataFrame | None = None) -> DataFrame:
@@ -150,29 +149,38 @@ def merge_issues(members: DataFrame, group: str = "collection_id", policy: bool
     united in first-seen order: by exact spelling, or with policy by trimmed lower case.
     A group's issues are one publication's, so they fit a row.
     """
-    date = F.struct(
-        "year", F.when(F.col("month") == 0, 1).otherwise(F.col("month")).alias("_m"), F.when(F.col("day") == 0, 1).otherwise(F.col("day")).alias("_d"), "pos", "month", "day"
-    )
-    has_number = F.col("issue_number") != ""
-    label = F.when(has_number, F.concat(F.lit("Issue #"), F.col("issue_number"))).otherwise(F.when(F.col("title") != "", F.col("title")).otherwise("Issue" if policy else ""))
     o = numbers.issue_order(F.col("issue_number"))
-    g = members.withColumn("_o", o).groupBy(group).agg(
-        F.min_by("series_name", "pos").alias("series"),
-        F.min_by("publisher", "pos").alias("first_publisher"),
-        F.count("*").cast("int").alias("count"),
-        _in_order(F.col("issue_number"), has_number).alias("_numbers"),
-        F.transform(
-            F.sort_array(F.collect_list(F.when(has_number, F.struct(F.col("_o.numeric").alias("a"), F.col("_o.suffix").alias("b"), "pos", "issue_number")))), lambda x: x["issue_number"]
-        ).alias("_sorted"),
-        _in_order(F.col("title"), F.col("title") != "").alias("_titles"),
-        F.min(F.when(F.col("year") > 0, date)).alias("_date"),
-        F.array_join(_in_order(F.col("web"), F.col("web") != ""), ", ").alias("_web"),
-        F.array_join(_in_order(F.concat(F.lit("--- "), label, F.lit(" ---\n"), F.col("summary")), F.col("summary") != ""), "\n\n").alias("_summary"),
-        F.array_join(_in_order(F.col("notes"), F.col("notes") != ""), "\n").alias("_notes"),
-        F.min(F.when(F.col("provider_id") != "", F.struct("pos", "provider_id"))).alias("_id"),
-        F.min_by(F.struct("issue_number", "title", "year", "month", "day", "web", "summary", "genre", "language", *LISTS), "pos").alias("_one"),
+    fields = ["series_name", "publisher", "issue_number", "title", "year", "month", "day", "web", "summary", "notes", "provider_id", "genre", "language"]
+    row = F.struct("pos", *fields, *LISTS, F.col("_o.numeric").alias("_a"), F.col("_o.suffix").alias("_b"))
+    # the rows of a group are gathered once; all that follows is read from them
+    g = members.withColumn("_o", o).groupBy(group).agg(F.count("*").cast("int").alias("count"), F.sort_array(F.collect_list(row)).alias("_rows"))
+    numbered = lambda r: r["issue_number"] != ""
+    filled = lambda c: lambda r: r[c] != ""
+    one = lambda x: F.when(x == 0, 1).otherwise(x)
+    dates = _told(lambda r: F.struct(r["year"].alias("year"), one(r["month"]).alias("_m"), one(r["day"]).alias("_d"), r["pos"].alias("pos"), r["month"].alias("month"), r["day"].alias("day")), lambda r: r["year"] > 0)
+
+    def headed(r: Column) -> Column:
+        label = F.when(numbered(r), F.concat(F.lit("Issue #"), r["issue_number"])).otherwise(F.when(r["title"] != "", r["title"]).otherwise("Issue" if policy else ""))
+        return F.concat(F.lit("--- "), label, F.lit(" ---\n"), r["summary"])
+
+    by_order = _told(lambda r: F.struct(r["_a"].alias("a"), r["_b"].alias("b"), r["pos"].alias("pos"), r["issue_number"].alias("n")), numbered)
+    first = F.get("_rows", F.lit(0))
+    g = g.select(
+        group,
+        "count",
+        first["series_name"].alias("series"),
+        first["publisher"].alias("first_publisher"),
+        _told(lambda r: r["issue_number"], numbered).alias("_numbers"),
+        F.transform(F.sort_array(by_order), lambda x: x["n"]).alias("_sorted"),
+        _told(lambda r: r["title"], filled("title")).alias("_titles"),
+        F.array_min(dates).alias("_date"),
+        F.array_join(_told(lambda r: r["web"], filled("web")), ", ").alias("_web"),
+        F.array_join(_told(headed, filled("summary")), "\n\n").alias("_summary"),
+        F.array_join(_told(lambda r: r["notes"], filled("notes")), "\n").alias("_notes"),
+        F.get(F.filter("_rows", filled("provider_id")), F.lit(0)).alias("_id"),
+        first.alias("_one"),
+        *[_united(F.col("_rows"), c, loose=policy).alias(f"l_{c}") for c in LISTS],
     )
-    g = g.join(_merged_lists(members, group, loose=policy), group, "left")
     whole = F.forall("_numbers", lambda n: n.rlike("^[0-9]+$"))
     ints = F.transform("_numbers", lambda n: n.cast("bigint"))
     if not policy:

@@ -154,7 +154,7 @@ def test_pools_find_the_true_rows(spark):
     paths = [(i, f"/lib/Dark Sky {i % 9}/Dark Sky {i % 9} #{i:03d} ({1990 + i % 5}).cbz") for i in range(300)] + [(1000, "/lib/Moon (1999)/Moon.cbz"), (1001, "/lib/x/.cbz")]
     files = names.parse_filename(spark.createDataFrame(paths, "file_id int, path string"))
     rows = [(p, f"id{i}", "", f"The Dark Sky {i % 9}" + (" Beyond" if i % 10 == 0 else ""), str(i), 1990 + i % 5, "", "") for p in ("CV", "GCD") for i in range(300)]
-    rows += [("CV", f"m{i}", "", "Moon", str(i), 1990 + i % 20, "", "") for i in range(500)] + [("CV", "blank", "", "Dark Sky 1", "", 0, "", ""), ("CV", "none", "", "", "1", 0, "", "")]
+    rows += [("CV", f"m{i}", "", "Moon", str(i + 1), 1990 + i % 20, "", "") for i in range(500)] + [("CV", "blank", "", "Dark Sky 1", "", 0, "", ""), ("CV", "none", "", "", "1", 0, "", "")]
     catalog = spark.createDataFrame(rows, "provider string, issue_id string, series_id string, series_name string, issue_number string, publication_year int, publisher string, volume string")
     got = P.pools(files, catalog, best=3).collect()
     held = {(r["file_id"], r["provider"], r["issue_id"]) for r in got}
