@@ -160,6 +160,15 @@ SELECT p_partkey AS page_id, concat('<html><head><title>T</title>',
   '<div class="wiki-details-object"><h3>Creators</h3><ul><li><a href="/p/1/">Ann ', CAST(p_size AS STRING), '</a> <span>Writer, artist</span></li><li><span>artist, cover</span> <a href="/p/2/">Bob</a></li><li><a href="/p/1/">Ann ', CAST(p_size AS STRING), '</a> writer, penciler</li></ul></div>',
   '<div class="wiki-details-object"><h3>Characters</h3><a>None</a><a href="/c/1/">Moss ', CAST(p_size AS STRING), '</a><a href="/c/2/">Fern</a><a href="/c/1/">Moss ', CAST(p_size AS STRING), '</a><a>x</a></div>',
   CASE WHEN p_partkey % 7 = 0 THEN '<div class="wiki-details-object"><h3>Teams</h3><a href="/t/1/">The Six</a><a>Add</a></div><div class="wiki-details-object"><h3>Story Arcs</h3><a href="/a/1/">"Dark Age"</a></div>' ELSE '' END, '</body></html>') AS html
+FROM {part}""",
+    "pasted_pages": """
+SELECT p_partkey AS page_id, CASE WHEN p_partkey % 9 = 0 THEN concat('<html><head><title>', CASE WHEN p_partkey % 2 = 0 THEN concat('GCD :: Issue :: ', p_name, ' #', CAST(p_size AS STRING)) ELSE 'GCD' END, '</title></head><body><h1>', p_name, '</h1><p>Far Moon Press, 19', CAST(p_partkey % 90 + 10 AS STRING), ' Series</p><p>Script: No One</p></body></html>')
+  ELSE concat(CASE WHEN p_partkey % 5 = 0 THEN concat('https://catalog.example/issue/', CAST(p_partkey AS STRING), '/', chr(10), ' http://second.example/', chr(10)) ELSE '' END, '  ', p_name,
+    CASE p_partkey % 6 WHEN 0 THEN concat(' #', CAST(p_size AS STRING), 'b') WHEN 1 THEN concat(' ', CAST(p_size AS STRING)) WHEN 2 THEN ' [nn] 7' WHEN 3 THEN concat(' #', CAST(p_size AS STRING), '.5') ELSE '' END, ' ', chr(13), chr(10), chr(10),
+    CASE p_partkey % 4 WHEN 0 THEN concat('by ', p_brand, ', Moon Press, 1999 Series', chr(10)) WHEN 1 THEN concat('Dark House', chr(10), 'Red Star, ', CAST(1950 + p_size AS STRING), '  Series', chr(10)) ELSE '' END,
+    CASE p_partkey % 7 WHEN 0 THEN 'march 2001' WHEN 1 THEN 'Summer 1988' WHEN 2 THEN 'Marching 1977' ELSE 'On sale: May 2003' END, chr(10),
+    'Writer: Ann (plot); Bob?, none,', p_brand, ' (script', chr(10), 'Script: Ann; Cid ', CAST(p_size AS STRING), chr(10), 'Penciller: None', chr(10), 'Pencils: Dee, Dee; Eve (pages 1-2) Fox', chr(10), 'Inks:', chr(10), 'Inker: Dee', chr(10), 'Colorist: ?Gus?', chr(10), 'Letters: Hal;;Ida', chr(10),
+    'Genre: humor', chr(10), 'Genre: ', p_type, '; war', chr(10), 'Characters: A; Moss, Fern; none; Moss, Fern; Vale (cameo)', chr(10), 'Editing: Jo') END AS text
 FROM {part}""",
     "search_pages": """
 SELECT p_partkey AS page_id, concat('<ul><li><a href="/x/4050-', CAST(p_partkey AS STRING), '/">', p_name, '</a> (', CAST(1950 + p_size AS STRING), ') (', CAST(p_size AS STRING), ' issues) ', repeat(concat(p_type, ' '), 12), '</li><li>of 2001 <a href="/y/4000-', CAST(p_partkey AS STRING),

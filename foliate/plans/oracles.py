@@ -444,8 +444,6 @@ s AS (SELECT path, k, count(*) AS n, min(ts) AS a FROM (SELECT *, sum(n) OVER (P
     "T6_new_jobs": f"WITH {_EV} SELECT DISTINCT path, CAST(size % 5 AS VARCHAR) AS sha256 FROM ev",
     "T7_job_lifecycle": f"WITH {duck('jobs')}, g AS (SELECT job_id, arg_max(status, {{'t': ts, 'e': event_id}}) AS status, count(*) AS n_events, count(*) FILTER (status = 'FAILED') AS failures FROM jobs GROUP BY 1) SELECT *, failures >= 3 OR status IN ('SUCCESS', 'COMPLETED') AS terminal FROM g",
     "T8_windowed_metrics": f"WITH {duck('jobs')} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS total, {_OUT.format('status')}, round(avg(value), 1) AS avg_duration FROM jobs GROUP BY 1",
-    "S17_labelled_text": rf"""WITH l AS (SELECT doc_id, coalesce(text, '') AS t, [trim(x) FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(x) <> ''] AS ls FROM documents), h AS (SELECT *, list_filter(ls, lambda x: starts_with(x, 'Script:'))[1] AS s FROM l)
-SELECT doc_id, coalesce(ls[1], '') AS title, coalesce(TRY_CAST(regexp_extract(t, '\b((?:19|20)[0-9]{{2}})\b', 1) AS INT), 0) AS year, coalesce(substr(s, 8), '') AS writers FROM h""",
     "S18_record_json": f"WITH {duck('existing')} SELECT file_id, series, title, number, year, volume, publisher, web, '' AS language, CAST(1 AS INT) AS count, title || '|Ann|Bob' AS writers FROM existing",
     "S20_job_event_lines": f"""WITH {duck('jobs')} SELECT event_id, concat_ws(' ', 'job_id=' || job_id, 'status=' || status, CASE WHEN status = 'FAILED' THEN 'error=1' END) AS line,
   chr(123) || '"job_id":' || job_id || ',"status":"' || status || '"' || CASE WHEN status = 'FAILED' THEN ',"error":"1"' ELSE '' END || chr(125) AS json FROM jobs""",

@@ -588,11 +588,6 @@ def _(spark, sf):
     return G.search_results(G.links(G.page_parts(derive(spark, sf, "search_pages"))))
 
 
-@query("S17_labelled_text")
-def _(spark, sf):
-    return G.labelled_text(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", "title", "year", "writers")
-
-
 @query("S18_record_json")
 def _(spark, sf):
     """Records to JSON and back, with the defaults of missing fields; lists go as text between commas."""

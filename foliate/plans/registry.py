@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliate.plans import stateful, stored
+from foliate.plans import pasted, stateful, stored
 from foliate.plans.searches import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "stateful", "stored"]
+__all__ = ["ORACLES", "QUERIES", "pasted", "stateful", "stored"]

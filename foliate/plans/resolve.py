@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import names
-from foliate.functions.text import text
+from foliate.functions.text import provider_id, route, text, url_list
 from foliate.operators import decide as D
 from foliate.operators import score as S
 from foliate.sources.tables import written
@@ -139,6 +139,25 @@ def retrieve(resolved: DataFrame, records: DataFrame, failed: DataFrame | None =
     return joined.withColumn("state", state).drop("_failed", "_record_file")
 
 
+def routed_records(requests: DataFrame, catalogs: dict[str, DataFrame], key: str = "request_id", urls: str = "urls", base: str = "") -> DataFrame:
+    """A row per url of each request, in order: key, pos, url, route, issue_id, state, and the record of its own catalog.
+
+    catalogs: records by route ("ComicVine", "GCP" and "Kapowarr"; see `text.route`) with
+    issue_id as text; columns that a catalog lacks are null.  state is FOUND, NOT_FOUND where
+    its catalog has no such record, or NO_CATALOG.  Of equal ids in a catalog one must be given.
+    """
+    asked = requests.select(key, F.posexplode(url_list(F.col(urls))).alias("pos", "url"))
+    asked = asked.withColumns({"route": route(F.col("url"), base), "issue_id": provider_id(F.col("url"))})
+    records = None
+    for name, rows in catalogs.items():
+        named = rows.withColumns({"route": F.lit(name), "issue_id": F.col("issue_id").cast("string"), "_found": F.lit(True)})
+        records = named if records is None else records.unionByName(named, allowMissingColumns=True)
+    if records is None:
+        return asked.withColumn("state", F.lit("NO_CATALOG"))
+    state = F.when(F.col("_found"), "FOUND").when(F.col("route").isin(list(catalogs)), "NOT_FOUND").otherwise("NO_CATALOG")
+    return asked.join(records, ["route", "issue_id"], "left").withColumn("state", state).drop("_found")
+
+
 def provider_results(candidates: DataFrame) -> DataFrame:
     """file_id and results: map from each catalog to its struct(status, candidates), as the decision reports it."""
     counts = [F.count_if(F.col("provider") == name).alias(name) for name, _ in CATALOGS]

@@ -374,21 +374,6 @@ def catalog_issues(spark, sf):
     )
 
 
-@query("Q11_multi_source")
-def _(spark, sf):
-    """Requests that name several urls: each url's record from its own catalog, merged into one record."""
-    asked = derive(spark, sf, "url_requests").select("request_id", F.posexplode(T.url_list(c("urls"))).alias("pos", "url"))
-    routed = asked.where(T.route(c("url")) == "ComicVine").select("request_id", "pos", T.provider_id(c("url")).alias("issue_id"))
-    members = routed.join(catalog_issues(spark, sf), "issue_id").drop("issue_id").withColumnRenamed("request_id", "collection_id")
-    return K.merge_issues(members)
-
-
-_BLANK = ", ".join(f"'' AS {k}" for k in ("publisher", "volume_id", "summary", "notes", "provider_id", "genre", "language", *K.LISTS[1:]))
-ORACLES["Q11_multi_source"] = merged_simple(f"""{duck('candidates')}, ci AS (SELECT * FROM candidates WHERE provider = 'ComicVine' QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY file_id) = 1),
-members AS (SELECT o_orderkey AS collection_id, k AS pos, series_name, issue_number, series_name || ' #' || issue_number AS title, publication_year AS year, 1 AS month, 0 AS day, 'http://u/' || issue_id AS web, 'W' || file_id % 3 AS writers, {_BLANK}
-  FROM orders, (VALUES (0), (1)) AS u(k) JOIN ci ON issue_id = '4000-' || (o_custkey * 2 + 4 * k))""").replace("FROM orders, (VALUES (0), (1)) AS u(k) JOIN ci ON", "FROM (SELECT * FROM orders, (VALUES (0), (1)) AS u(k)) JOIN ci ON")
-
-
 # Streams' batch twins
 
 

@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.functions.text import creator_form, date_parts
+from foliate.functions.text import date_parts
 from foliate.operators.curate import first_by, slug_belongs
 
 #: Keywords of a creator's role, tested in this order.
 ROLES = [("writers", "writer"), ("pencillers", "penciler|penciller|artist"), ("inkers", "inker"), ("colorists", "colorist"), ("letterers", "letterer"), ("cover_artists", "cover")]
-LABELS = {"writers": "Script", "pencillers": "Pencils", "inkers": "Inks", "colorists": "Colors", "letterers": "Letters", "genre": "Genre", "characters": "Characters"}
 
 
 class _Links(HTMLParser):
@@ -243,20 +242,6 @@ def search_results(page_links: DataFrame) -> DataFrame:
     return page_links.select("page_id", "href", "name", kind.alias("kind"), year.alias("year"), count.alias("n_issues"), F.substring("around", 1, 160).alias("description")).where("kind is not null")
 
 
-def labelled_text(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """A record from pasted text: the first line is the title, labelled lines give creators and characters."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-
-    def labelled(label: str) -> Column:
-        hit = F.get(F.filter(F.col("_lines"), lambda x: x.startswith(f"{label}:")), F.lit(0))
-        items = F.filter(F.transform(F.split(F.coalesce(F.substring(hit, len(label) + 2, 1 << 30), F.lit("")), "[;,]"), lambda x: creator_form(x)), lambda x: x != "")
-        return F.array_join(F.array_distinct(items), "; ")
-
-    out = rows.withColumn("_lines", lines)
-    year = F.coalesce(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), r"\b((?:19|20)[0-9]{2})\b", 1).try_cast("int"), F.lit(0))
-    return out.select(key, F.coalesce(F.get("_lines", F.lit(0)), F.lit("")).alias("title"), year.alias("year"), *[labelled(v).alias(k) for k, v in LABELS.items()])
-
-
 #: Spellings of an issue number, and the text of a range of issues.
 NUMBER = r"[0-9]+½|[0-9]+/[0-9]+|[0-9]+\.[0-9]+|[0-9]+[a-zA-Z]?|½|0\.5"
 RANGE = r"\(#?[0-9]+\s*[-–]\s*[0-9]+\)|#[0-9]+\s*[-–]\s*[0-9]+"

@@ -57,12 +57,6 @@ def test_pages(spark):
     assert (r["name"], r["year"], r["n_issues"]) == ("Batman", 2016, 12)
 
 
-def test_labelled_text(spark):
-    t = "Batman #1\nScript: Tom King; Tom King; A (?)\nJune 2016"
-    r = G.labelled_text(spark.createDataFrame([(1, t), (2, None)], "id int, text string"), "id").orderBy("id").collect()
-    assert (r[0]["title"], r[0]["year"], r[0]["writers"], r[1]["title"]) == ("Batman #1", 2016, "Tom King; A", "")
-
-
 def events(spark):
     t0 = dt.datetime(2024, 1, 1)
     at = lambda m: t0 + dt.timedelta(minutes=m)
