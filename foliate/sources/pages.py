@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -81,8 +81,17 @@ def links(parts: DataFrame, drop: str = "^(?:none|edit|cover|view|add|this issue
     return first_by(kept, ["page_id", "href"], ["pos"]).select("page_id", "pos", "href", F.col("text").alias("name"), "around")
 
 
+class _Element:
+    """An open or closed element: the pieces of the page's text from `begin` to `end` stand in it."""
+
+    __slots__ = ("tag", "classes", "hidden", "begin", "end")
+
+    def __init__(self, tag: str, classes: set[str], hidden: bool, begin: int) -> None:
+        self.tag, self.classes, self.hidden, self.begin, self.end = tag, classes, hidden, begin, -1
+
+
 class _IssuePage(HTMLParser):
-    """The texts of an issue page that its record is read from, and the links of its detail blocks."""
+    """The text of an issue page in pieces, the elements that its record is read from, and the links of its detail blocks."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "source", "track", "wbr"}
 
@@ -90,9 +99,9 @@ class _IssuePage(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.meta: dict[str, str] = {}
         self.page: list[str] = []
-        self.found: dict[str, list[str]] = {}  # the first element of each kind that matters
-        self.links: list[tuple[list[str], list[str], list[list[str]]]] = []  # name, text of the parent, texts of the detail blocks around
-        self.open: list[tuple[str, set[str], list[str], bool]] = []
+        self.found: dict[str, _Element] = {}  # the first element of each kind that matters
+        self.links: list[tuple[_Element, _Element, _Element]] = []  # the link, its parent, the outermost detail block around
+        self.open: list[_Element] = []
 
     def handle_starttag(self, tag, attrs):
         known = dict(attrs)
@@ -101,58 +110,76 @@ class _IssuePage(HTMLParser):
             self.meta.setdefault(name, known.get("content") or "")
         elif tag not in self.VOID:
             classes = set((known.get("class") or "").split())
-            hidden = tag in ("script", "style") or "wiki-item-edit" in classes or bool(self.open and self.open[-1][3])
-            pieces: list[str] = []
+            hidden = tag in ("script", "style") or "wiki-item-edit" in classes or bool(self.open and self.open[-1].hidden)
+            own = _Element(tag, classes, hidden, len(self.page))
             if not hidden:
-                inside = {x[0] for x in self.open}
                 for kind in {tag} & {"h1", "title"} | classes & {"wiki-descriptor", "js-toc-content", "content-body"}:
-                    self.found.setdefault(kind, pieces)
-                if tag == "a" and "h1" in inside:
+                    self.found.setdefault(kind, own)
+                if tag == "a" and any(x.tag == "h1" for x in self.open):
                     for kind in classes & {"wiki-title", "wiki-issue-number"}:
-                        self.found.setdefault(kind, pieces)
-            self.open.append((tag, classes, pieces, hidden))
+                        self.found.setdefault(kind, own)
+            self.open.append(own)
 
     def handle_data(self, data):
         text = data.strip()
-        if text and not (self.open and self.open[-1][3]):
+        if text and not (self.open and self.open[-1].hidden):
             self.page.append(text)
-            for x in self.open:
-                x[2].append(text)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                _, _, pieces, hidden = self.open[k]
+            if self.open[k].tag == tag:
+                own = self.open[k]
+                for x in self.open[k:]:
+                    x.end = len(self.page)
                 del self.open[k:]
-                blocks = [x[2] for x in self.open if "wiki-details-object" in x[1]]
-                if tag == "a" and blocks and not hidden:
-                    self.links.append((pieces, self.open[-1][2], blocks))
+                block = next((x for x in self.open if "wiki-details-object" in x.classes), None)
+                if tag == "a" and block and not own.hidden:
+                    self.links.append((own, self.open[-1], block))
                 return
 
+    def pieces(self, x: _Element | None) -> list[str]:
+        return [] if x is None else self.page[x.begin : len(self.page) if x.end < 0 else x.end]
+
 
 _PAGE_TEXTS = {"h1": "h1", "series_link": "wiki-title", "number_link": "wiki-issue-number", "descriptor": "wiki-descriptor", "toc": "js-toc-content", "body": "content-body"}
 _METAS = {"og_title": ("og:title", "twitter:title"), "adtags": ("adtags",), "description": ("description", "og:description")}
-ISSUE_PAGE = "page_id long, page_text string, " + ", ".join(f"{c} string" for c in [*_PAGE_TEXTS, *_METAS]) + ", links array<struct<pos:int,name:string,around:string,blocks:string>>"
+#: A link tells its parent's text and its outermost detail block by their places in `spans`, each a part of page_text.
+ISSUE_PAGE = "page_id long, page_text string, " + ", ".join(f"{c} string" for c in [*_PAGE_TEXTS, *_METAS]) + ", spans array<struct<begin:int,length:int>>, links array<struct<pos:int,name:string,around:int,block:int>>"
 
 
 def issue_page_texts(pages: DataFrame) -> DataFrame:
-    """Columns of ISSUE_PAGE per page (page_id, html): its texts, metas, and the links of its detail blocks."""
+    """Columns of ISSUE_PAGE per page (page_id, html): its texts, metas, and the links of its detail blocks.
+
+    The text of a page stands once; links point into it, so that many links in one block
+    cost no more than themselves.
+    """
     names = [c.split()[0] for c in ISSUE_PAGE.split(", ") if " " in c]
 
-    def flat(pieces: list[str] | None, joint: str = " ") -> str:
-        return " ".join(joint.join(pieces or []).split())
+    def flat(pieces: list[str], joint: str = " ") -> str:
+        return " ".join(joint.join(pieces).split())
+
+    def row(page: int, html: str | None) -> tuple:
+        p = _IssuePage()
+        p.feed(html or "")
+        lengths = [len(" ".join(x.split())) for x in p.page]
+        at = [0]
+        for n in lengths:
+            at.append(at[-1] + n + 1)
+        spans: dict[tuple[int, int], int] = {}
+
+        def place(x: _Element) -> int:
+            end = len(p.page) if x.end < 0 else x.end
+            key = (at[x.begin], at[end] - at[x.begin] - 1) if end > x.begin else (0, 0)
+            return spans.setdefault(key, len(spans))
+
+        links = [{"pos": i, "name": flat(p.pieces(own), ""), "around": place(parent), "block": place(block)} for i, (own, parent, block) in enumerate(p.links)]
+        texts = [flat(p.pieces(p.found.get(v)), "" if v in ("wiki-title", "wiki-issue-number") else " ") for v in _PAGE_TEXTS.values()]
+        metas = [next((p.meta[k].strip() for k in v if k in p.meta), "") for v in _METAS.values()]
+        return (page, flat(p.page), *texts, *metas, [{"begin": b, "length": n} for b, n in spans], links)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for page, html in zip(b["page_id"], b["html"], strict=True):
-                p = _IssuePage()
-                p.feed(html or "")
-                links = [{"pos": i, "name": flat(n, ""), "around": flat(a).lower(), "blocks": " ".join(map(flat, k))} for i, (n, a, k) in enumerate(p.links)]
-                texts = [flat(p.found.get(v), "" if v in ("wiki-title", "wiki-issue-number") else " ") for v in _PAGE_TEXTS.values()]
-                metas = [next((p.meta[k].strip() for k in v if k in p.meta), "") for v in _METAS.values()]
-                rows.append((page, flat(p.page), *texts, *metas, links))
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([row(page, html) for page, html in zip(b["page_id"], b["html"], strict=True)], columns=names)
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInPandas(run, ISSUE_PAGE)
 
@@ -195,9 +222,15 @@ def issue_records(texts: DataFrame) -> DataFrame:
     return t.select("page_id", "series", "number", title.alias("title"), publisher.alias("publisher"), *[date[k].alias(k) for k in ("year", "month", "day")], summary.alias("summary"))
 
 
-def _of_block(texts: DataFrame, pattern: str) -> DataFrame:
-    """page_id, pos, name, around of the links in detail blocks whose text matches."""
-    return texts.select("page_id", F.inline("links")).where(F.col("blocks").rlike(pattern) & (F.length("name") > 1)).drop("blocks")
+def _of_block(texts: DataFrame, told: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """page_id, pos, name of the links in detail blocks, with what each function tells of a span's text: around_* and block_*.
+
+    Every span is read once, whatever the number of its links.
+    """
+    read = F.transform("spans", lambda s: F.struct(*[f(F.substring(F.col("page_text"), s["begin"] + 1, s["length"])).alias(k) for k, f in told.items()]))
+    rows = texts.select("page_id", read.alias("_told"), "links").select("page_id", "_told", F.inline("links")).where(F.length("name") > 1)
+    both = rows.withColumns({"_a": F.get("_told", F.col("around")), "_b": F.get("_told", F.col("block"))})
+    return both.select("page_id", "pos", "name", *[F.col(f"_a.{k}").alias(f"around_{k}") for k in told], *[F.col(f"_b.{k}").alias(f"block_{k}") for k in told])
 
 
 def creators(texts: DataFrame) -> DataFrame:
@@ -206,8 +239,8 @@ def creators(texts: DataFrame) -> DataFrame:
     The first keyword in the whole text of a link's parent decides the role, in the order
     of ROLES; a name that its role has already goes on to the next role that matches.
     """
-    roles = F.filter(F.array(*[F.when(F.col("around").rlike(words), F.lit(role)) for role, words in ROLES]), lambda r: r.isNotNull())
-    links_of = _of_block(texts, "Creators").withColumn("roles", roles)
+    roles = lambda t: F.filter(F.array(*[F.when(F.lower(t).rlike(words), F.lit(role)) for role, words in ROLES]), lambda r: r.isNotNull())
+    links_of = _of_block(texts, {"roles": roles, "ours": lambda t: t.rlike("Creators")}).where("block_ours").withColumnRenamed("around_roles", "roles")
     seen = links_of.groupBy("page_id", "name").agg(F.sort_array(F.collect_list(F.struct("pos", "roles"))).alias("seen"))  # one name's links on one page
 
     def take(got: Column, x: Column) -> Column:
@@ -225,10 +258,8 @@ NO_NAME = ["none", "add", "this issue"]
 
 def page_names(texts: DataFrame) -> DataFrame:
     """page_id, kind (characters, teams, story_arcs), pos, name: each name once per kind, at its first link."""
-    out = None
-    for kind, pattern in BLOCKS.items():
-        part = _of_block(texts, pattern).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.union(part)
+    kinds = lambda t: F.filter(F.array(*[F.when(t.rlike(pattern), F.lit(kind)) for kind, pattern in BLOCKS.items()]), lambda k: k.isNotNull())
+    out = _of_block(texts, {"kinds": kinds}).select("page_id", "pos", "name", F.explode("block_kinds").alias("kind"))
     bare = F.when(F.col("kind") == "story_arcs", F.regexp_replace("name", "^[\"']+|[\"']+$", "")).otherwise(F.col("name"))
     kept = out.withColumn("name", bare).where(~F.lower("name").isin(NO_NAME) & (F.length("name") > 1))
     return kept.groupBy("page_id", "kind", "name").agg(F.min("pos").alias("pos"))

@@ -85,3 +85,18 @@ def test_page_names(spark):
     html = "<div class='wiki-details-object'>Teams <a>Add</a><a>The Six</a><a>The Six</a></div><div class='wiki-details-object'>Story Arc <a>'Dusk'</a></div><div>Characters <a>Nobody</a></div>"
     got = G.page_names(texts(spark, html)).collect()
     assert sorted((r["kind"], r["name"]) for r in got) == [("story_arcs", "Dusk"), ("teams", "The Six")]
+
+
+def test_many_links_in_one_block(spark):
+    def page(n):
+        items = "".join(f"<li><a href='/c/{i}/'>Moss {i}</a> writer</li>" for i in range(n))
+        loose = "".join(f"<a href='/t/{i}/'>Team {i}</a> of the page" for i in range(n))
+        return f"<div class='wiki-details-object'>Creators é <ul>{items}</ul></div><div class='wiki-details-object'>Teams {loose}</div>"
+
+    html = page(4000)
+    row = texts(spark, html).selectExpr("length(to_json(struct(*))) AS size", "size(spans) AS spans").first()
+    assert row["size"] < 10 * len(html) and row["spans"] == 4002
+    assert G.creators(texts(spark, html)).where("role = 'writers'").count() == 4000
+    assert G.page_names(texts(spark, html)).where("kind = 'teams'").count() == 4000
+    small = G.creators(texts(spark, page(3))).orderBy("pos").collect()
+    assert [(r["role"], r["name"], r["pos"]) for r in small] == [("writers", f"Moss {i}", i) for i in range(3)]
