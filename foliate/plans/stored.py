@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from foliate.operators import curate as K
+from foliate.operators import editions as E
 from foliate.operators import pools as P
 from foliate.operators import versions as V
 from foliate.plans import resolve as R
@@ -202,3 +203,29 @@ _ASKED = """aq AS (SELECT DISTINCT trim(lower(q)) AS query FROM (SELECT unnest([
 ORACLES["P2_search_table"] = f"""WITH {_ASKED}, i AS (SELECT p_partkey AS issue_id, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN p_name || ' ' || (p_partkey + 7) ELSE p_name END AS title, CAST(p_size AS VARCHAR) AS number FROM part)
 SELECT query, count(*) AS found, min(issue_id) AS first, min(CASE WHEN title <> '' THEN title ELSE 'Issue #' || number END) AS shown FROM aq JOIN i ON contains(lower(title), query) OR contains('issue ' || number, query) OR contains('#' || number, query) GROUP BY query"""
 ORACLES["U2_search_table"] = f"WITH {_MADE}, {_ASKED} SELECT DISTINCT query, provider, series_name FROM aq JOIN made ON provider <> 'Filename' AND contains(lower(series_name), query)"
+
+
+# Editions by classes
+
+
+def keyed(spark, sf, blank: int):
+    """Files and candidates with canonical keys; every `blank`-th row has no series and the number 1."""
+    pool = derive(spark, sf, "candidates").withColumn("candidate_id", c("file_id") * 10 + c("pool_pos"))
+
+    def some(rows, year):
+        hot = c("file_id") % blank == 0
+        return K.canonical_key(rows.withColumns({"series_name": F.when(hot, "").otherwise(c("series_name")), "issue_number": F.when(hot, "1").otherwise(c("issue_number"))}), year=year)
+
+    return some(parsed(spark, sf), "year"), some(pool, "publication_year")
+
+
+@query("J2_matched_classes")
+def _(spark, sf):
+    """Candidates that each file matches, a third of all rows being without series and numbered 1."""
+    files, pool = keyed(spark, sf, 3)
+    return E.matches(E.match_classes(files, pool), E.members(files, "file_id")).select(c("row_id").alias("file_id"), "n_matches")
+
+
+_J2 = ORACLES["J2_canonical_match"]
+_HOT = "* REPLACE (CASE WHEN file_id % 3 = 0 THEN '' ELSE series_name END AS series_name, CASE WHEN file_id % 3 = 0 THEN '1' ELSE issue_number END AS issue_number)"
+ORACLES["J2_matched_classes"] = "SELECT left_id AS file_id, count(*) AS n_matches FROM (" + _J2.replace("FROM parsed", f"FROM (SELECT {_HOT} FROM parsed)").replace("FROM candidates", f"FROM (SELECT {_HOT} FROM candidates)") + ") GROUP BY 1"

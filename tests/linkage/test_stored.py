@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliate.functions import names
+from foliate.operators import curate as K
+from foliate.operators import editions as E
 from foliate.operators import pools as P
 from foliate.operators import versions as V
 from foliate.sources import connectors as C
@@ -169,3 +171,25 @@ def test_modules_are_registered():
 
     assert {"T3_settled_files", "J1_catalog_pools", "M1_stored_cache", "P2_search_table"} <= set(registry.QUERIES) & set(registry.ORACLES)
     assert Path(C.local_path("file:/a%20b")) == Path("/a b")
+
+
+def test_classes_of_editions_equal_pairs_of_rows(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["", "", "Dark Sky", "Moon"]), rng.choice(["1", "1", "2", "1A", "Annual", ""]), rng.choice(["", "2"]), rng.choice([0, -1, 1999, 2000, 2001, 2005])) for i in range(160)] + [(500, "Moon", None, "", None)]
+    df = K.canonical_key(spark.createDataFrame(rows, "id int, series_name string, issue_number string, volume string, publication_year int").withColumn("publisher", F.lit("")))
+    a, b = df.where("id % 2 = 0"), df.where("id % 3 <> 0")
+    pairs = E.match_classes(a, b)
+    want = {tuple(r) for r in K.match_keys(a, b, "id", "id").collect()}
+    got = [tuple(r) for r in E.expand(pairs, E.members(a, "id"), E.members(b, "id")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    counts = {r["row_id"]: r["n_matches"] for r in E.matches(pairs, E.members(a, "id")).collect()}
+    assert counts == {i: sum(x == i for x, _ in want) for i in {x for x, _ in want}}
+
+
+def test_rows_without_series_do_not_multiply(spark):
+    rows = spark.range(30_000).selectExpr("id", "IF(id % 3 = 0, '', concat('S', id % 500)) AS series_name", "IF(id % 3 = 0, '1', string(id % 7)) AS issue_number", "'' AS volume", "int(1990 + id % 10) AS publication_year", "'' AS publisher")
+    keyed = K.canonical_key(rows)
+    pairs = E.match_classes(keyed, keyed)
+    n = pairs.count()
+    told = E.matches(pairs, E.members(keyed, "id")).agg(F.count("*"), F.sum("n_matches")).first()
+    assert n < 200_000 and told[0] == 30_000 and told[1] > 20_000_000
