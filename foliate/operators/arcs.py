@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import numbers
 from foliate.functions.text import arc_display, arc_form, squeeze, text
+from foliate.sources.tables import written
 
 RANGE = r"(?i)(.+?)\s*(?: issues?|,)?\s*#?([0-9]+)\s*[-–—]\s*([0-9]+)"
 SINGLE = r"(?i)(.+?)\s*(?: issue|,)?\s*#?([0-9]+[a-zA-Z]?|[0-9]+\.[0-9]+|½|1/2|0\.5)"
@@ -130,32 +131,46 @@ def name_keys(name: Column) -> Column:
 
 
 def _pieces(words: Column, size: int) -> Column:
-    """All pieces of `size` letters of the words, and the words that are shorter."""
-    return F.array_distinct(
-        F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size))))))
-    )
+    """All pieces of `size` letters of the words that have as many."""
+    long = F.filter(words, lambda w: F.length(w) >= size)
+    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size))))))
+
+
+def _longest_pieces(words: Column) -> Column:
+    """The pieces of the greatest size, of four letters at most, that any word has."""
+    return F.coalesce(*[F.when(F.size(_pieces(words, k)) > 0, _pieces(words, k)) for k in (4, 3, 2, 1)])
+
+
+def piece_index(files: DataFrame, sizes: list[int], known: DataFrame) -> DataFrame:
+    """path, _pf (its form), _piece: which of the known pieces (column _piece) of these sizes each path holds."""
+    f = files.select("path", path_form(F.col("path")).alias("_pf")).distinct()
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_pf") - k + 1, F.lit(1))), lambda i: F.substring(F.col("_pf"), i, F.lit(k)))
+    cut = F.array_distinct(F.flatten(F.array(*[at(k) for k in sizes])))
+    return f.select("path", "_pf", F.explode(cut).alias("_piece")).join(known, "_piece", "left_semi")
 
 
 def reading_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """For distinct (series, number) the first file by path that holds it: series, number, path.
 
-    A path that passes contains every word of the series, so it contains each four-letter
-    piece of them.  Series meet paths by their piece that the fewest paths contain, then
-    entries meet the names by the keys of their numbers: two equi-joins, no hit lost.
+    A path that passes contains every word of the series, so it contains each piece of them.
+    Paths are posted once by the pieces that some series has, and the index is written, as it
+    is counted and then joined.  Entries meet paths by the piece of their series that the
+    fewest paths hold together with the key of a number, so that a piece that very many paths
+    hold is parted by numbers; no hit is lost.
     """
     e = entries.select("series", "number").distinct().withColumn("_ef", path_form(F.col("series")))
     base = _content_words(F.regexp_replace(F.col("_ef"), "[0-9]+$", ""))
     wanted = F.when(F.size(base) > 0, base).otherwise(_content_words(F.col("_ef")))
-    names = e.select("_ef").distinct().withColumn("_piece", F.explode(_pieces(wanted, 4)))
-    form = path_form(F.col("path"))
-    f = files.select("path", form.alias("_pf"), F.element_at(F.split("path", "/"), -1).alias("_name")).distinct()
-    at = F.sequence(F.lit(1), F.greatest(F.length("_pf"), F.lit(1)))
-    cut = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("_pf"), i, F.lit(k)) for k in (1, 2, 3, 4)]))))
+    names = e.select("_ef").distinct().withColumn("_piece", F.explode(_longest_pieces(wanted)))
     known = names.select("_piece").distinct()
-    held = f.select("path", "_pf", F.explode(cut).alias("_piece")).join(known, "_piece", "left_semi")
+    sizes = [r["k"] for r in known.select(F.length("_piece").alias("k")).distinct().collect()]  # four at most
+    if not sizes:
+        return e.select("series", "number", F.lit(None).cast("string").alias("path")).where("false")
+    held = written(piece_index(files, sizes, known), "pieces")
     often = held.groupBy("_piece").agg(F.count("*").alias("_n"))
-    rarest = names.join(often, "_piece", "left").groupBy("_ef").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("m")).select("_ef", F.col("m._piece").alias("_piece"))
-    pairs = rarest.join(held, "_piece").where(series_in_path(F.col("_ef"), F.col("_pf"))).select("_ef", "path")
-    keyed = pairs.withColumn("_key", F.explode(name_keys(F.element_at(F.split("path", "/"), -1))))
-    hits = e.withColumn("_key", F.explode(number_keys(F.col("number")))).join(keyed, ["_ef", "_key"])
+    rarest = names.join(often, "_piece").groupBy("_ef").agg(F.min(F.struct("_n", "_piece")).alias("m")).select("_ef", F.col("m._piece").alias("_piece"))
+    asked = e.join(rarest, "_ef").withColumn("_key", F.explode(number_keys(F.col("number"))))
+    used = held.join(rarest.select("_piece").distinct(), "_piece", "left_semi")
+    keyed = used.withColumn("_key", F.explode(name_keys(F.element_at(F.split("path", "/"), -1))))
+    hits = asked.join(keyed, ["_piece", "_key"]).where(series_in_path(F.col("_ef"), F.col("_pf")))
     return hits.groupBy("series", "number").agg(F.min("path").alias("path"))
