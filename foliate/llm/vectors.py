@@ -13,9 +13,10 @@ verified by cosine in double precision; a pair that meets in several shards coun
 An audit compares a bounded set of classes, by brute force in blocks, with all classes.
 It draws more of them until `audit_links` true links are met or `most_audit` classes are
 asked; each class counts alike, however many copies it or its neighbours have.  Below
-`target_recall`, or where so few links are met that nothing is proven, the search is
-repeated with more overlap and a wider beam.  What then stays below 0.9 is searched
-exactly: every part of a label's vectors meets every other in a block product.
+`target_recall` the search is repeated with more overlap and a wider beam.  Where so few
+links are met that nothing is proven, the audit asks classes that signs of random projections
+see linked.  What then stays below 0.9, or cannot be measured at all, is searched exactly:
+every part of a label's vectors meets every other in a block product.
 
 Shards above `most_rows` are cut into parts: each part builds its own graph, and each
 part's classes search every part's graph in a task of their own.  So no task holds more
@@ -61,6 +62,7 @@ class Graph:
     audit_links: int = 100
     target_recall: float = 0.97
     fit_bytes: int = 64 << 20
+    hash_tables: int = 6
     exact: bool = False
 
 
@@ -369,8 +371,28 @@ def find_links(classes: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame]:
     return met.groupBy("rep").agg(F.sum("n").alias("n_links")), met.select(F.col("rep").alias("src"), F.col("to").alias("dst"))
 
 
+def _shares(classes: DataFrame, counts: DataFrame, asked: pd.DataFrame, g: Graph) -> tuple[int, float | None]:
+    """True links of the asked classes, by brute force in blocks, and the mean share of them that `counts` holds."""
+    groups = {k: (p["rep"].to_numpy(), unit(p["v"])) for k, p in asked.groupby([asked["label"], asked["v"].map(len)])}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, part in b.groupby([b["label"], b["v"].map(len)]):
+                if key in groups:
+                    rep, q = groups[key]
+                    hit = unit(part["v"]) @ q.T >= g.cosine
+                    hit &= part["rep"].to_numpy()[:, None] != rep[None, :]
+                    yield pd.DataFrame({"rep": rep, "classes": hit.sum(axis=0), "truth": part["copies"].to_numpy() @ hit})
+
+    true = classes.select("rep", "label", "copies", "v").mapInPandas(run, "rep long, classes long, truth long")
+    true = true.groupBy("rep").agg(F.sum("classes").alias("classes"), F.sum("truth").alias("truth")).where("truth > 0")
+    share = F.least(F.lit(1.0), F.coalesce("n_links", F.lit(0)) / F.col("truth"))
+    links, recall = true.join(counts, "rep", "left").agg(F.sum("classes"), F.avg(share)).first()
+    return links or 0, recall
+
+
 def audit(classes: DataFrame, counts: DataFrame, g: Graph) -> float | None:
-    """Mean share of a class's true links, found by brute force in blocks, that `counts` holds; None if too few were met.
+    """Mean share of a class's true links that `counts` holds; None if too few were met.
 
     More classes are drawn until those asked have `audit_links` true links, or all or
     `most_audit` of them are asked.
@@ -380,40 +402,75 @@ def audit(classes: DataFrame, counts: DataFrame, g: Graph) -> float | None:
         asked = classes.orderBy(F.xxhash64("rep", F.lit(8)), "rep").limit(asked_rows).select("rep", "label", "v").toPandas()
         if asked.empty:
             return 1.0
-        groups = {k: (p["rep"].to_numpy(), unit(p["v"])) for k, p in asked.groupby([asked["label"], asked["v"].map(len)])}
-
-        def run(batches: Iterator[pd.DataFrame], groups: dict = groups) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for key, part in b.groupby([b["label"], b["v"].map(len)]):
-                    if key in groups:
-                        rep, q = groups[key]
-                        hit = unit(part["v"]) @ q.T >= g.cosine
-                        hit &= part["rep"].to_numpy()[:, None] != rep[None, :]
-                        yield pd.DataFrame({"rep": rep, "classes": hit.sum(axis=0), "truth": part["copies"].to_numpy() @ hit})
-
-        true = classes.select("rep", "label", "copies", "v").mapInPandas(run, "rep long, classes long, truth long")
-        true = true.groupBy("rep").agg(F.sum("classes").alias("classes"), F.sum("truth").alias("truth")).where("truth > 0")
-        share = F.least(F.lit(1.0), F.coalesce("n_links", F.lit(0)) / F.col("truth"))
-        links, recall = true.join(counts, "rep", "left").agg(F.sum("classes"), F.avg(share)).first()
-        if (links or 0) >= g.audit_links or asked_rows >= total:
-            return 1.0 if not links else recall
+        links, recall = _shares(classes, counts, asked, g)
+        if links >= g.audit_links or asked_rows >= total:
+            return recall if links else 1.0
         if asked_rows >= g.most_audit:
             return None
         asked_rows *= 4
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", g: Graph = Graph()) -> DataFrame:
-    """Columns id_col, n_links, component_id, kept: one row per input row."""
-    kind = dict(rows.dtypes)[id_col]
-    all_rows, classes = _classes(rows, id_col, vector, label)
+def linked_by_hash(classes: DataFrame, g: Graph) -> DataFrame:
+    """rep of classes that have a link, as far as signs of random projections see it: independent of clusters and graphs.
+
+    A class's signs are its key in `hash_tables` tables; in each bucket the smallest and the
+    largest class are compared, so no bucket is gathered.  Keys have a few bits more than it
+    takes to number the classes, so most buckets hold one class or hold links.
+    """
+    bits = min(40, max(8, int(np.ceil(np.log2(max(2, classes.count())))) + 6))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for size, part in b.groupby(b["v"].map(len)):
+                x = unit(part["v"])
+                planes = np.random.default_rng(9).normal(size=(x.shape[1], g.hash_tables * bits))
+                keys = ((x @ planes > 0).reshape(len(x), g.hash_tables, bits) * (1 << np.arange(bits))).sum(axis=2)
+                for t in range(g.hash_tables):
+                    yield pd.DataFrame({"label": part["label"].to_numpy(), "size": size, "t": t, "key": keys[:, t], "rep": part["rep"].to_numpy()})
+
+    keyed = classes.select("rep", "label", "v").mapInPandas(run, "label string, size long, t int, key long, rep long")
+    ends = keyed.groupBy("label", "size", "t", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b").distinct()
+    both = ends.join(classes.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(classes.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for _, part in p.groupby(p["va"].map(len)):
+                hit = (unit(part["va"]) * unit(part["vb"])).sum(axis=1) >= g.cosine
+                yield pd.DataFrame({"rep": np.concatenate([part["a"].to_numpy()[hit], part["b"].to_numpy()[hit]])})
+
+    return both.mapInPandas(linked, "rep long").distinct()
+
+
+def audit_linked(classes: DataFrame, counts: DataFrame, g: Graph) -> float | None:
+    """As `audit`, asking classes that random projections see linked; None if they see none."""
+    drawn = classes.join(linked_by_hash(classes, g), "rep", "left_semi")
+    asked = drawn.orderBy(F.xxhash64("rep", F.lit(8)), "rep").limit(g.most_audit).select("rep", "label", "v").toPandas()
+    return None if asked.empty else _shares(classes, counts, asked, g)[1]
+
+
+def proven_links(classes: DataFrame, g: Graph) -> tuple[DataFrame, DataFrame, float]:
+    """What `find_links` gives once its recall is measured to be 0.9 or more, and that recall; else exact links.
+
+    Where a uniform draw meets too few links, classes that are known to have some are asked.
+    """
     for _ in range(3):
         counts, links = find_links(classes, g)
         recall = audit(classes, counts, g)
-        if recall is not None and recall >= g.target_recall:
+        if recall is None:
+            recall = audit_linked(classes, counts, g)
+        if recall is None or recall >= g.target_recall:
             break
         g = replace(g, overlap=g.overlap + 1, beam=2 * g.beam, candidates=2 * g.candidates)
-    if recall is not None and recall < 0.9:
-        counts, links = find_links(classes, replace(g, exact=True))
+    if recall is None or recall < 0.9:
+        return *find_links(classes, replace(g, exact=True)), 1.0
+    return counts, links, recall
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", g: Graph = Graph()) -> DataFrame:
+    """Columns id_col, n_links, component_id, kept: one row per input row."""
+    kind = dict(rows.dtypes)[id_col]
+    all_rows, classes = _classes(rows, id_col, vector, label)
+    counts, links, _ = proven_links(classes, g)
     found = connected_components(links)
     named = (
         classes.select("k1", "k2", "rep", "copies")

@@ -124,3 +124,24 @@ def test_exact_search_where_the_graph_fails(spark, monkeypatch):
     want = {r[0]: r[1] for r in truth(rows)}
     copies = {r["rep"]: r["copies"] for r in found.collect()}
     assert all(named.get(rep, 0) + n - 1 == want[rep] for rep, n in copies.items())
+
+
+def test_sparse_links_are_measured_or_searched_exactly(spark):
+    rng = np.random.default_rng(11)
+    x = [v / np.linalg.norm(v) for v in rng.normal(size=(3000, 32))]
+    for i in range(0, 20, 2):
+        x[2990 - i] = x[i] + rng.normal(size=32) * 0.01
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    g = V.Graph(audit_rows=50, most_audit=200, shard_rows=300)
+    _, classes = V._classes(df, "vec_id", "embedding", "label")
+    counts, _, recall = V.proven_links(classes, g)
+    assert V.audit(classes, counts, g) is None  # a uniform draw proves nothing
+    assert {r["rep"] for r in V.linked_by_hash(classes, g).collect()} >= {0, 2990}
+    assert recall >= 0.9
+    got = sorted((tuple(r) for r in V.near_duplicates(df, g=g).collect()), key=str)
+    assert sum(a == b for a, b in zip(got, truth(rows), strict=True)) >= 2998
+    none = spark.createDataFrame([r for r in rows if 20 < r[0] < 2900], df.schema)
+    _, apart = V._classes(none, "vec_id", "embedding", "label")
+    counts, _, recall = V.proven_links(apart, g)  # nothing to measure by: exact
+    assert recall == 1.0 and counts.where("n_links > 0").count() == 0
