@@ -161,6 +161,13 @@ SELECT p_partkey AS page_id, concat('<html><head><title>T</title>',
   '<div class="wiki-details-object"><h3>Characters</h3><a>None</a><a href="/c/1/">Moss ', CAST(p_size AS STRING), '</a><a href="/c/2/">Fern</a><a href="/c/1/">Moss ', CAST(p_size AS STRING), '</a><a>x</a></div>',
   CASE WHEN p_partkey % 7 = 0 THEN '<div class="wiki-details-object"><h3>Teams</h3><a href="/t/1/">The Six</a><a>Add</a></div><div class="wiki-details-object"><h3>Story Arcs</h3><a href="/a/1/">"Dark Age"</a></div>' ELSE '' END, '</body></html>') AS html
 FROM {part}""",
+    "series_pages": """
+SELECT p_partkey AS page_id, concat(CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('<h1>', p_name, ' <i>', CAST(1950 + p_size AS STRING), '</i></h1>') END, '<table><tr><th>none</th></tr><tr><td><a href="/series/', CAST(p_partkey AS STRING), '/">', p_name, ' <b>', p_type, '</b></a></td><td>', CAST(1950 + p_size AS STRING), '</td><td> ', CAST(p_size AS STRING), ' Issues ', repeat(concat(p_brand, ' '), 20),
+  '</td><td><a href="/series/9/">late</a></td></tr><tr><td><a href="https://www.comics.org/series/', CAST(p_partkey AS STRING), '/">again</a></td></tr><tr><td>in 2001 <a href="/issue/', CAST(p_partkey AS STRING), '/">#00', CAST(p_size AS STRING), '<b>b</b></a></td></tr><tr><td><a href="/issue/', CAST(p_partkey + 10000000 AS STRING), '/">#', CAST(p_size AS STRING), 'b</a> <a href="/issue/8/">No. 000</a></td></tr></table>',
+  '<a href="/x/4045-', CAST(p_partkey AS STRING), '/">Dark', CASE WHEN p_partkey % 3 = 0 THEN '</a>' ELSE ' Age</a>' END, '<a href="https://v.example/y/4045-', CAST(p_size AS STRING), '/">ab</a><a href="https://v.example/y/4045-', CAST(p_size AS STRING), '/">late name</a>') AS html
+FROM {part}""",
+    "series_json": """
+SELECT p_partkey AS row_id, concat(chr(123), '"id":', CAST(p_partkey AS STRING), ',"name":"', p_name, '","active_issues":["https://c.example/api/issue/', CAST(p_partkey AS STRING), '/?f","bad","https://c.example/api/issue/', CAST(p_partkey + 7 AS STRING), '/","https://c.example/api/issue/', CAST(p_partkey + 90000000 AS STRING), '/"]', chr(125)) AS data FROM {part}""",
     "pasted_pages": """
 SELECT p_partkey AS page_id, CASE WHEN p_partkey % 9 = 0 THEN concat('<html><head><title>', CASE WHEN p_partkey % 2 = 0 THEN concat('GCD :: Issue :: ', p_name, ' #', CAST(p_size AS STRING)) ELSE 'GCD' END, '</title></head><body><h1>', p_name, '</h1><p>Far Moon Press, 19', CAST(p_partkey % 90 + 10 AS STRING), ' Series</p><p>Script: No One</p></body></html>')
   ELSE concat(CASE WHEN p_partkey % 5 = 0 THEN concat('https://catalog.example/issue/', CAST(p_partkey AS STRING), '/', chr(10), ' http://second.example/', chr(10)) ELSE '' END, '  ', p_name,

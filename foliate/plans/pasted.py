@@ -1,4 +1,4 @@
-"""Queries over pasted pages and requests of several urls, each with its DuckDB SQL."""
+"""Queries over pasted pages, the second catalog's pages and requests of several urls, each with its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from foliate.plans.datasets import derive, duck
 from foliate.plans.oracles import merged_simple
 from foliate.plans.queries import QUERIES, query
 from foliate.plans.searches import ORACLES, catalog_issues
+from foliate.sources import series_pages as S
 from foliate.sources.pasted import LABELLED, SEASONS, pasted_records
 
 c = F.col
@@ -103,3 +104,40 @@ uq AS (SELECT o_orderkey AS request_id, k AS pos, CASE k WHEN 0 THEN 'https://co
 ORACLES["Q11_multi_source"] = merged_simple(f"""{_REQUESTED}, members AS (SELECT request_id AS collection_id, pos, ci.* EXCLUDE (issue_id) FROM uq JOIN ci ON NOT gcd AND ci.issue_id = uq.issue_id
   UNION ALL BY NAME SELECT request_id AS collection_id, pos, gi.* EXCLUDE (issue_id) FROM uq JOIN gi ON gcd AND gi.issue_id = uq.issue_id)""")
 ORACLES["Q11_url_states"] = f"""WITH {_REQUESTED} SELECT request_id, pos, url, CASE WHEN gcd THEN 'GCP' ELSE 'ComicVine' END AS route, issue_id, CASE WHEN issue_id IN (SELECT issue_id FROM ci) AND NOT gcd OR issue_id IN (SELECT issue_id FROM gi) AND gcd THEN 'FOUND' ELSE 'NOT_FOUND' END AS state FROM uq"""
+
+
+# The second catalog's pages
+
+
+@query("S14_series_search")
+def _(spark, sf):
+    rows = S.page_rows(derive(spark, sf, "series_pages"))
+    return S.series_search(rows, "series").unionByName(S.series_search(rows, "issue")).drop("pos")
+
+
+@query("S15_series_pages")
+def _(spark, sf):
+    return S.series_issues(S.page_links(derive(spark, sf, "series_pages")))
+
+
+@query("S15_series_index")
+def _(spark, sf):
+    return S.series_index(derive(spark, sf, "series_json"), derive(spark, sf, "related_issues"))
+
+
+@query("S16_arc_search")
+def _(spark, sf):
+    return S.arc_search(S.page_links(derive(spark, sf, "series_pages")))
+
+
+ORACLES["S14_series_search"] = """WITH a AS (SELECT *, p_name || ' ' || p_type || ' ' || (1950 + p_size) || ' ' || p_size || ' Issues ' || repeat(p_brand || ' ', 20) || 'late' AS d FROM part)
+SELECT p_partkey AS page_id, p_name || ' ' || p_type AS title, 'https://www.comics.org/series/' || p_partkey || '/' AS url, 'gcp_volume' AS type, 'GCP Series' AS type_label, CAST(1950 + p_size AS VARCHAR) AS year, p_size || ' issues' AS count, left(d, 160) AS description FROM a
+UNION ALL SELECT p_partkey, '#00' || p_size || ' b', 'https://www.comics.org/issue/' || p_partkey || '/', 'gcp_issue', 'GCP Issue', '2001', '1 issue', 'in 2001 #00' || p_size || ' b' FROM part
+UNION ALL SELECT p_partkey, '#' || p_size || 'b', 'https://www.comics.org/issue/' || (p_partkey + 10000000) || '/', 'gcp_issue', 'GCP Issue', '', '1 issue', '#' || p_size || 'b No. 000' FROM part"""
+ORACLES["S15_series_pages"] = """SELECT p_partkey AS series_id, CASE WHEN p_partkey % 4 = 0 THEN 'GCP Series #' || p_partkey ELSE p_name || ' ' || (1950 + p_size) END AS series, n.number, 'Issue #' || n.number AS label, 'https://www.comics.org/issue/' || n.issue || '/' AS url
+FROM (SELECT *, unnest([{'number': p_size || 'b', 'issue': p_partkey}, {'number': '0', 'issue': 8}]) AS n FROM part)"""
+ORACLES["S15_series_index"] = """WITH l AS (SELECT p_partkey AS series_id, p_name AS series, unnest([0, 2, 3]) AS pos, unnest([p_partkey, p_partkey + 7, p_partkey + 90000000]) AS issue FROM part),
+n AS (SELECT l.*, coalesce(nullif(ltrim(CAST(p.p_size AS VARCHAR), '0'), ''), '0') AS number FROM l LEFT JOIN part p ON p.p_partkey = issue)
+SELECT series_id, series, number, 'Issue #' || number AS label, 'https://www.comics.org/issue/' || issue || '/' AS url, CAST(issue AS VARCHAR) AS issue_id, CAST(number AS BIGINT) AS sort_number
+FROM n QUALIFY row_number() OVER (PARTITION BY series_id, number ORDER BY pos) = 1"""
+ORACLES["S16_arc_search"] = """SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS arc_id, CASE WHEN p_partkey % 3 = 0 THEN 'Dark' ELSE 'Dark Age' END AS name, 'ComicVine Story Arc #' || p_partkey AS deck, 'https://comicvine.gamespot.com/x/4045-' || p_partkey || '/' AS url FROM part"""
