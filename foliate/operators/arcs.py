@@ -142,11 +142,11 @@ def _longest_pieces(words: Column) -> Column:
 
 
 def piece_index(files: DataFrame, sizes: list[int], known: DataFrame) -> DataFrame:
-    """path, _pf (its form), _piece: which of the known pieces (column _piece) of these sizes each path holds."""
-    f = files.select("path", path_form(F.col("path")).alias("_pf")).distinct()
+    """path, _pf (its form), _keys (of its name's numbers), _piece: which of the known pieces (column _piece) of these sizes each path holds."""
+    f = files.select("path").distinct().select("path", path_form(F.col("path")).alias("_pf"), name_keys(F.element_at(F.split("path", "/"), -1)).alias("_keys"))
     at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_pf") - k + 1, F.lit(1))), lambda i: F.substring(F.col("_pf"), i, F.lit(k)))
     cut = F.array_distinct(F.flatten(F.array(*[at(k) for k in sizes])))
-    return f.select("path", "_pf", F.explode(cut).alias("_piece")).join(known, "_piece", "left_semi")
+    return f.select("path", "_pf", "_keys", F.explode(cut).alias("_piece")).join(known, "_piece", "left_semi")
 
 
 def reading_files(entries: DataFrame, files: DataFrame) -> DataFrame:
@@ -171,6 +171,6 @@ def reading_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     rarest = names.join(often, "_piece").groupBy("_ef").agg(F.min(F.struct("_n", "_piece")).alias("m")).select("_ef", F.col("m._piece").alias("_piece"))
     asked = e.join(rarest, "_ef").withColumn("_key", F.explode(number_keys(F.col("number"))))
     used = held.join(rarest.select("_piece").distinct(), "_piece", "left_semi")
-    keyed = used.withColumn("_key", F.explode(name_keys(F.element_at(F.split("path", "/"), -1))))
+    keyed = used.withColumn("_key", F.explode("_keys")).drop("_keys")
     hits = asked.join(keyed, ["_piece", "_key"]).where(series_in_path(F.col("_ef"), F.col("_pf")))
     return hits.groupBy("series", "number").agg(F.min("path").alias("path"))
