@@ -1,10 +1,11 @@
 """Tables that are upserted by key: buckets of keys in immutable versions, and a pointer that readers follow.
 
-A version holds the buckets that its upsert touched, each as a folder of Parquet files; a
-manifest names for every bucket the version that holds it.  An upsert reads and rewrites the
+An upsert writes the buckets that it touched to a data folder of its own, each as a folder of
+Parquet files; a version's manifest names for every bucket the data folder that holds it.  An upsert reads and rewrites the
 touched buckets alone, and is seen at once when its manifest has been written; readers of an
 earlier manifest keep their files until `vacuum`.  Two writers that start from the same
-version cannot both write the next manifest: the later one fails and may run again.
+version cannot both write the next manifest: the later one fails, harms nothing, and may run
+again.  `vacuum` must not run while another upsert does.
 
 Only Spark reads and writes the folder, so it may lie in any store.  What the driver holds is
 one row per bucket.
@@ -12,6 +13,7 @@ one row per bucket.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +24,8 @@ from pyspark.sql import types as T
 
 from foliate.operators.curate import first_by
 
-MANIFEST = "bucket int, held_by long"
+#: A row per bucket and one, of bucket -1, that stands in every manifest.
+MANIFEST = "bucket int, held_by string, writer string"
 
 
 @dataclass(frozen=True)
@@ -39,22 +42,23 @@ class Versions:
     def version(self, spark: SparkSession) -> int:
         """The newest version, or -1."""
         try:
-            found = spark.read.schema("bucket int, held_by long, version long").parquet(f"{self.folder}/manifest").agg(F.max("version")).first()[0]
+            found = spark.read.schema(f"{MANIFEST}, version long").parquet(f"{self.folder}/manifest").agg(F.max("version")).first()[0]
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return -1
         return -1 if found is None else found
 
-    def manifest(self, spark: SparkSession, version: int) -> dict[int, int]:
+    def manifest(self, spark: SparkSession, version: int) -> dict[int, str]:
         rows = spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest/version={version}").collect()
-        return {r["bucket"]: r["held_by"] for r in rows}
+        writer = min(r["writer"] for r in rows)  # of two that wrote at the same moment one counts, for all readers the same
+        return {r["bucket"]: r["held_by"] for r in rows if r["writer"] == writer}
 
     def files(self, spark: SparkSession, version: int | None = None, buckets: set[int] | None = None) -> list[str]:
         """Folders of the buckets that a version consists of."""
         at = self.version(spark) if version is None else version
         held = self.manifest(spark, at) if at >= 0 else {}
-        return [f"{self.folder}/data/version={v}/_bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+        return [f"{self.folder}/data/{v}/_bucket={b}" for b, v in sorted(held.items()) if b >= 0 and (buckets is None or b in buckets)]
 
     def read(self, spark: SparkSession, schema: T.StructType | str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
         """The rows of the newest or of a given version."""
@@ -75,11 +79,15 @@ class Versions:
         old = self.read(spark, schema or new.schema, at, touched)
         merged = merge(old, new).withColumn("_bucket", self.bucket())
         after = at + 1
+        own = f"{after:08d}-{uuid.uuid4().hex}"
         # one task, and so one file, a bucket
-        merged.repartition(min(len(touched), self.buckets), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/data/version={after}")
-        left = {r["_bucket"] for r in spark.read.schema("_bucket int").parquet(f"{self.folder}/data/version={after}").distinct().collect()}
-        held = {b: v for b, v in (self.manifest(spark, at) if at >= 0 else {}).items() if b not in touched} | dict.fromkeys(left, after)
-        spark.createDataFrame(sorted(held.items()), MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/manifest/version={after}")
+        merged.repartition(min(len(touched), self.buckets), "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/data/{own}")
+        left = {r["_bucket"] for r in spark.read.schema("_bucket int").parquet(f"{self.folder}/data/{own}").distinct().collect()}
+        held = {b: v for b, v in (self.manifest(spark, at) if at >= 0 else {}).items() if b not in touched} | dict.fromkeys(left, own)
+        told = [(b, v, own) for b, v in sorted((held | {-1: own}).items())]
+        spark.createDataFrame(told, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/manifest/version={after}")
+        if self.manifest(spark, after)[-1] != own:
+            raise RuntimeError(f"version {after} already exists: another writer was first")
         return after
 
     def vacuum(self, spark: SparkSession, keep: int = 1) -> list[str]:
@@ -88,7 +96,7 @@ class Versions:
         named = {v for k in range(max(0, at - keep + 1), at + 1) for v in self.manifest(spark, k).values()}
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data")
         store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        gone = [s.getPath() for s in (store.listStatus(path) if store.exists(path) else []) if int(s.getPath().getName().partition("=")[2]) not in named]
+        gone = [s.getPath() for s in (store.listStatus(path) if store.exists(path) else []) if s.getPath().getName() not in named]
         for p in gone:
             store.delete(p, True)
         return sorted(p.getName() for p in gone)
