@@ -22,6 +22,11 @@ stray further, so sets of up to 80 shingles are listed by their smallest hashes
 which similar sets always share one, and differ in at most 72 bits.  Each candidate is
 verified by the exact Jaccard similarity of its shingle sets before it links.
 
+A list of two bytes lies within the list of the first of them.  Up to `ONE_BYTE`
+fingerprints, rows therefore travel to the 29 lists of one byte that others follow in its
+third, and tasks part these by each second byte; beyond, to the 155 lists themselves, which
+are shorter.  Both ways give the same candidates.
+
 In a family of near copies most pairs are candidates, so they are not all told.  First
 every member tells its nearest candidate of each list, of which its three nearest are
 verified; then its nearest candidate in another component; at last all candidates that
@@ -249,6 +254,10 @@ WIDE_WORDS, WIDE_BITS, WIDE_SHARED = 5, 56, 4
 ALIKE = 80
 THIRDS = (range(11), range(11, 22), range(22, 32))
 PAIRS = [p for third in THIRDS for p in combinations(third, 2)]
+#: Each byte with those that follow it in its third.
+FOLLOWING = {p: [q for a, q in PAIRS if a == p] for p in sorted({a for a, _ in PAIRS})}
+#: Number of fingerprints up to which rows travel to lists of one byte; such a list holds a 256th of them or, if it is hot, all.
+ONE_BYTE = 1 << 24
 #: Sets up to this size are listed by their smallest hashes too, and may differ in more bits.
 SHORT, SHORT_BITS = 80, 72
 #: Candidates for each member of a list, from which on only members that stand side by side are compared in the first rounds.
@@ -357,7 +366,7 @@ def _nearest(n: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
     return src[first], dst[first], d[first]
 
 
-def _told(key: np.ndarray, nodes: np.ndarray, raw: list[bytes], group: np.ndarray | None, every: bool) -> Iterator[pd.DataFrame]:
+def _told(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, group: np.ndarray | None, every: bool) -> Iterator[pd.DataFrame]:
     """Candidates (src, dst, bits) of whole lists, rows sorted by key and fingerprint.
 
     Each member's nearest candidate of its list; with `group`, the members' components so
@@ -371,7 +380,6 @@ def _told(key: np.ndarray, nodes: np.ndarray, raw: list[bytes], group: np.ndarra
 
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
     sizes = np.diff(starts)
-    fps = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, 4)
     few = np.repeat((sizes > 1) & (sizes <= AHEAD + 1), sizes)
     for short in (False, True):
         mine = few & ((key < 0) == short)
@@ -414,28 +422,60 @@ def _told(key: np.ndarray, nodes: np.ndarray, raw: list[bytes], group: np.ndarra
         yield frame(c[i], c[j], d)
 
 
-def _scan_wide(every: bool):
-    """Candidates within posting lists, rows sorted by key; a list may run over several batches."""
+def _few_nearest(told: pd.DataFrame) -> pd.DataFrame:
+    """Each member's nearest candidates among `told`; a member that tells itself does so only where it has no other."""
+    told = told.drop_duplicates()
+    lone = told["src"] == told["dst"]
+    told = told[~(lone & told["src"].isin(told["src"][~lone]))].sort_values(["src", "bits", "dst"])
+    return told[told.groupby("src").cumcount() < NEAREST]
+
+
+def _parted(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, group: np.ndarray | None, every: bool) -> Iterator[pd.DataFrame]:
+    """Candidates of whole lists of one byte, by the lists of two bytes in them; none is told twice where memory allows."""
+    raw = fps.view(np.uint8).reshape(-1, 32)
+    for p in np.unique(key >> 8).tolist():
+        a, z = np.searchsorted(key, [p << 8, (p + 1) << 8])
+        frames, size = [], 0
+        for q in FOLLOWING[p]:
+            two = (key[a:z] & 255) << 8 | raw[a:z, q]
+            order = a + np.argsort(two, kind="stable")  # by fingerprint within a list, as the rows came
+            for f in _told(two[order - a], nodes[order], fps[order], None if group is None else group[order], every):
+                frames.append(f)
+                size += len(f)
+                if size > 1 << 20:
+                    told = pd.concat(frames).drop_duplicates()
+                    frames, size = ([told], len(told)) if len(told) < size // 2 else ([], 0)
+                    if not frames:
+                        yield told
+        if frames:
+            told = pd.concat(frames)
+            yield told.drop_duplicates() if every else _few_nearest(told)
+
+
+def _scan_wide(every: bool, one_byte: bool):
+    """Candidates within posting lists, rows sorted by key and fingerprint; a list may run over several batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[tuple] = []
 
         def told(cut: int | None) -> Iterator[pd.DataFrame]:
             """The candidates of the rows up to `cut`; the others go on waiting."""
-            key, nodes = (np.concatenate([w[x] for w in waiting]) for x in (0, 1))
-            raw = [x for w in waiting for x in w[2]]
+            key, nodes, fps = (np.concatenate([w[x] for w in waiting]) for x in (0, 1, 2))
             groups = None if waiting[0][3] is None else np.concatenate([w[3] for w in waiting])
             cut = len(key) if cut is None else int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield from _told(key[:cut], nodes[:cut], raw[:cut], None if groups is None else groups[:cut], every)
-            waiting[:] = [(key[cut:], nodes[cut:], raw[cut:], None if groups is None else groups[cut:])]
+            heads = min(cut, int(np.searchsorted(key, 0))) if one_byte else cut
+            for scan, a, z in ((_told, 0, heads), (_parted, heads, cut)):
+                if a < z:
+                    yield from scan(key[a:z], nodes[a:z], fps[a:z], None if groups is None else groups[a:z], every)
+            waiting[:] = [(key[cut:], nodes[cut:], fps[cut:], None if groups is None else groups[cut:])]
 
         for b in batches:
             if not len(b):
                 continue
             key = b["key"].to_numpy()
             runs_on = waiting and len(waiting[0][0]) and key[0] == key[-1] == waiting[0][0][0]
-            waiting.append((key, b["node"].to_numpy(), b["fp"].tolist(), b["component"].to_numpy() if "component" in b else None))
+            fps = np.frombuffer(b"".join(b["fp"]), np.uint64).reshape(-1, 4)
+            waiting.append((key, b["node"].to_numpy(), fps, b["component"].to_numpy() if "component" in b else None))
             if not runs_on:
                 yield from told(0)
         if waiting:
@@ -444,63 +484,87 @@ def _scan_wide(every: bool):
     return run
 
 
-def _list_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each list of a class: its byte pairs (keys from 0 up) and its smallest hashes (negative keys)."""
+def _list_rows(one_byte: bool):
+    """A row for each list of a class: its bytes or byte pairs (keys from 0 up) and its smallest hashes (negative keys)."""
     left, right = np.array(PAIRS).T
-    for b in batches:
-        for at in range(0, len(b), 1000):
-            part = b[at : at + 1000].reset_index(drop=True)
-            x = np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(-1, 32).astype(np.int64)
-            keys = (np.arange(len(PAIRS)) << 16) | (x[:, left] << 8) | x[:, right]
-            heads = np.fromiter((x for h in part["head"] for x in memoryview(h).cast("q")), np.int64) | np.int64(-(2**63))
-            of = np.concatenate([np.repeat(np.arange(len(part)), len(PAIRS)), np.repeat(np.arange(len(part)), [len(h) // 8 for h in part["head"]])])
-            out = part.drop(columns="head").take(of).reset_index(drop=True)
-            out["key"] = np.concatenate([keys.ravel(), heads])
-            yield out
+    first = np.array(list(FOLLOWING))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b[at : at + 1000].reset_index(drop=True)
+                x = np.frombuffer(b"".join(part["fp"]), np.uint8).reshape(-1, 32).astype(np.int64)
+                keys = first << 8 | x[:, first] if one_byte else np.arange(len(PAIRS)) << 16 | x[:, left] << 8 | x[:, right]
+                heads = np.fromiter((x for h in part["head"] for x in memoryview(h).cast("q")), np.int64) | np.int64(-(2**63))
+                of = np.concatenate([np.repeat(np.arange(len(part)), keys.shape[1]), np.repeat(np.arange(len(part)), [len(h) // 8 for h in part["head"]])])
+                out = part.drop(columns="head").take(of).reset_index(drop=True)
+                out["key"] = np.concatenate([keys.ravel(), heads])
+                yield out
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The lowest 16 bits of a set's hashes, sorted: equal hashes stay equal, so no shared shingle is missed."""
-    return np.sort(h.astype(np.uint16))
+    return run
 
 
-def _shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
-    """Values that two sorted arrays share, repeats counted: an upper bound of the shingles that their sets share."""
-    both = np.concatenate([x, y])
-    values, at = np.unique(both, return_inverse=True)
-    return int(np.minimum(np.bincount(at[: len(x)], minlength=len(values)), np.bincount(at[len(x) :], minlength=len(values))).sum())
+def _odd(h: np.ndarray) -> bytes:
+    """For each of at least 2n places (a power of two) whether an odd number of a set's n hashes falls there."""
+    places = max(256, 1 << max(2 * len(h) - 1, 0).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
 
 
-def _alike(both: int, x: np.ndarray, y: np.ndarray) -> bool:
-    return 100 * both >= ALIKE * (len(x) + len(y) - both)
+def _differ_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the hashes that only one of two sets holds: each changes one place's parity.
 
+    The longer one is folded, which keeps parities, until both are of one length.
+    """
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose shingle sets (node, hashes, short) have a similarity of 0.8 or more.
 
-    Hashes cut to 16 bits, a quarter of the bytes, show for most other pairs that they
-    cannot reach it; only what is left meets with whole hashes.
-    """
+def _alike(both: int, n: int, m: int) -> bool:
+    """Whether sets of n and m members that share `both` have a similarity of 0.8 or more."""
+    return 100 * both >= ALIKE * (n + m - both)
 
-    def kept(column: str, kind: type, shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ok = np.zeros(len(b), bool)
-                for k, (x, y) in enumerate(zip(b["a"], b["b"], strict=True)):
-                    x, y = (np.frombuffer(v, kind) if v else np.empty(0, kind) for v in (x, y))
-                    ok[k] = _alike(shared(x, y), x, y)
-                yield b.loc[ok, ["src", "dst"]]
 
-        def of(rows: DataFrame) -> DataFrame:
-            # by src first, so that only one set travels with a pair
-            one = rows.join(sets.select(F.col("node").alias("src"), F.col(column).alias("a")), "src")
-            two = one.join(sets.select(F.col("node").alias("dst"), F.col(column).alias("b")), "dst")
-            return two.select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs that parities and sizes of their sets do not rule out."""
+    for b in batches:
+        ok = np.zeros(len(b), bool)
+        for k, (x, y) in enumerate(zip(b["a"], b["b"], strict=True)):
+            n, m = x["size"], y["size"]
+            ok[k] = _alike((n + m - max(_differ_at_least(x["odd"], y["odd"]), abs(n - m))) // 2, n, m)
+        yield b.loc[ok, ["src", "dst"]]
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs whose texts' shingle sets are alike; rows of one second text stand together, so its set is made once."""
+    last: tuple = (None, None)
+    for b in batches:
+        ok = np.zeros(len(b), bool)
+        for k, (dst, x, y) in enumerate(zip(b["dst"], b["a"], b["b"], strict=True)):
+            if last[0] != dst:
+                last = (dst, shingle_set(y))
+            h = shingle_set(x)
+            ok[k] = _alike(len(np.intersect1d(h, last[1], assume_unique=True)), len(h), len(last[1]))
+        yield b.loc[ok, ["src", "dst"]]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have a similarity of 0.8 or more, by sets (node, odd, size, text).
+
+    Parities of places, some three bits a shingle, show for most other pairs that they
+    cannot reach it; only what is left meets with whole texts, which compress where hashes
+    do not.
+    """
 
-        return of
+    def met(rows: DataFrame, value, check) -> DataFrame:
+        # by src first, so that only one value travels with a pair
+        one = rows.join(sets.select(F.col("node").alias("src"), value.alias("a")), "src")
+        two = one.join(sets.select(F.col("node").alias("dst"), value.alias("b")), "dst")
+        return two.select("src", "dst", "a", "b").mapInPandas(check, "src long, dst long")
 
-    possible = materialize(kept("short", np.uint16, _shared_at_most)(pairs), "possible")
-    return kept("hashes", np.uint64, lambda x, y: len(np.intersect1d(x, y, assume_unique=True)))(possible)
+    possible = materialize(met(pairs, F.struct("odd", "size"), _possible), "possible")
+    return met(possible, F.col("text"), _linked)
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -511,21 +575,22 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             sets = [shingle_set(t) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "node": [_set_key(h) for h in sets], "fp": [wide_fingerprint(h) for h in sets], "head": [_head(h).tobytes() for h in sets]})
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t) for t in b["text"]]
-            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "hashes": [h.tobytes() for h in sets], "short": [_short(h).tobytes() for h in sets]})
+            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "odd": [_odd(h) for h in sets], "size": [len(h) for h in sets], "text": b["text"]})
 
     kind = dict(docs.dtypes)[id_col]
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     prints = materialize(picked.mapInPandas(run, "id long, node long, fp binary, head binary"), "fingerprints")
+    one_byte = prints.count() <= ONE_BYTE
     # rows of one node have equal sets of shingles
     classes = prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("head").alias("head"))
 
     def scanned(members: DataFrame, every: bool = False) -> DataFrame:
         columns = "key long, node long, fp binary" + (", component long" if "component" in members.columns else "")
-        lists = members.mapInPandas(_list_rows, columns)
-        return materialize(lists.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_scan_wide(every), "src long, dst long, bits int"), "scanned")
+        lists = members.mapInPandas(_list_rows(one_byte), columns)
+        return materialize(lists.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_scan_wide(every, one_byte), "src long, dst long, bits int"), "scanned")
 
     def nearest(rows: DataFrame) -> DataFrame:
         """Each member's three nearest candidates; a member tells one for each of its lists at most."""
@@ -537,7 +602,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         pairs = materialize(pairs, "candidates")
         ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
         rows = classes.join(ends, "node", "left_semi").select("id").distinct()
-        sets = materialize(picked.join(rows, "id", "left_semi").mapInPandas(hashes, "node long, hashes binary, short binary").dropDuplicates(["node"]), "sets")
+        sets = materialize(picked.join(rows, "id", "left_semi").mapInPandas(described, "node long, odd binary, size long, text string").dropDuplicates(["node"]), "sets")
         links = materialize(_verified(pairs, sets), "verified")
         discard(pairs, sets)
         return links

@@ -50,12 +50,30 @@ def test_keep_one(spark):
     assert H.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_short_hashes_never_miss_a_shared_shingle():
+def test_parities_never_rule_out_a_shared_shingle():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 50, 3000):
+    for n, other in ((0, 0), (0, 40), (1, 1), (50, 50), (3000, 3000), (3000, 200), (700, 90)):
         x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        y = np.unique(np.concatenate([x[: n // 2], rng.integers(0, 2**63, n // 2, dtype=np.uint64)]))
-        assert len(np.intersect1d(x, y)) <= H._shared_at_most(H._short(x), H._short(y)) <= min(len(x), len(y))
+        y = np.unique(np.concatenate([x[: min(n, other) // 2], rng.integers(0, 2**63, other, dtype=np.uint64)]))
+        apart = len(np.setxor1d(x, y))
+        assert H._differ_at_least(H._odd(x), H._odd(y)) <= apart
+        assert H._differ_at_least(H._odd(x), H._odd(x)) == 0
+        if n == other and n >= 50:  # the bound is close to what it bounds
+            assert H._differ_at_least(H._odd(x), H._odd(y)) >= 0.5 * apart
+
+
+def test_lists_of_one_byte_and_of_two_give_the_same_groups(spark, monkeypatch):
+    rng = random.Random(17)
+    _, texts = near_copies(17, 60)
+    for _ in range(80):  # a family with long lists
+        w = texts[0].split()
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = str(rng.random())
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = {tuple(r) for r in H.near_groups(df).collect()}
+    monkeypatch.setattr(H, "ONE_BYTE", 0)
+    assert one == {tuple(r) for r in H.near_groups(df).collect()}
 
 
 def test_family_of_near_copies_against_all_pairs(spark):
