@@ -12,10 +12,21 @@ def count_where(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
 
 
+def average(c: str) -> Column:
+    """The average to one digit, halves away from zero.
+
+    Summed as decimals of six digits, so that neither the order of the rows nor doubles decide
+    at halves; values that no such decimal holds (beyond 10^22, not finite) are summed as doubles.
+    """
+    exact = F.col(c).try_cast("decimal(28,6)")
+    lost = F.count_if(F.col(c).isNotNull() & exact.isNull()) > 0
+    return F.when(lost, F.round(F.avg(c), 1)).otherwise(F.round(F.avg(exact), 1).cast("double"))
+
+
 def job_outcomes(jobs: DataFrame, by: list[str] = [], status: str = "status", duration: str = "value") -> DataFrame:  # noqa: B006
     """total, a count per outcome and the average duration (0 when none), rounded to one digit."""
     counts = [count_where(F.col(status).isin(v)).alias(k) for k, v in OUTCOMES.items()]
-    return jobs.groupBy(*by).agg(F.count("*").alias("total"), *counts, F.round(F.coalesce(F.avg(duration), F.lit(0.0)), 1).alias("avg_duration"))
+    return jobs.groupBy(*by).agg(F.count("*").alias("total"), *counts, F.coalesce(average(duration), F.lit(0.0)).alias("avg_duration"))
 
 
 def provider_health(calls: DataFrame, by: str = "provider") -> DataFrame:
@@ -24,7 +35,7 @@ def provider_health(calls: DataFrame, by: str = "provider") -> DataFrame:
     return calls.groupBy(by).agg(
         F.count("*").alias("calls"),
         count_where(F.col("http_status") >= 400).alias("failures"),
-        F.round(F.coalesce(F.avg("ms"), F.lit(0.0)), 1).alias("avg_ms"),
+        F.coalesce(average("ms"), F.lit(0.0)).alias("avg_ms"),
         F.round(F.when(lookups > 0, 100.0 * hits / lookups).otherwise(0.0), 1).alias("hit_rate"),
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.operators.metrics import OUTCOMES, count_where
+from foliate.operators.metrics import OUTCOMES, average, count_where
 
 
 def only_archives(events: DataFrame, path: str = "path") -> DataFrame:
@@ -71,14 +71,14 @@ def lifecycle(events: DataFrame, most_attempts: int = 3, stamp: str = "ts") -> D
 def windowed_outcomes(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", stamp: str = "ts") -> DataFrame:
     """Outcomes and average duration per window of time."""
     counts = [count_where(F.col("status").isin(v)).alias(k) for k, v in OUTCOMES.items()]
-    g = events.withWatermark(stamp, late).groupBy(F.window(stamp, width).alias("w")).agg(F.count("*").alias("total"), *counts, F.round(F.avg("value"), 1).alias("avg_duration"))
+    g = events.withWatermark(stamp, late).groupBy(F.window(stamp, width).alias("w")).agg(F.count("*").alias("total"), *counts, average("value").alias("avg_duration"))
     return g.select(F.col("w.start").alias("started"), "total", *OUTCOMES, "avg_duration")
 
 
 def windowed_health(calls: DataFrame, width: str = "1 hour", late: str = "10 minutes", stamp: str = "ts") -> DataFrame:
     """Calls, failures and average milliseconds per provider and window of time."""
     g = calls.withWatermark(stamp, late).groupBy("provider", F.window(stamp, width).alias("w"))
-    told = g.agg(F.count("*").alias("calls"), count_where(F.col("http_status") >= 400).alias("failures"), F.round(F.avg("ms"), 1).alias("avg_ms"))
+    told = g.agg(F.count("*").alias("calls"), count_where(F.col("http_status") >= 400).alias("failures"), average("ms").alias("avg_ms"))
     return told.select("provider", F.col("w.start").alias("started"), "calls", "failures", "avg_ms")
 
 
