@@ -80,6 +80,13 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
     assert [r for r in got if r[0] == "/a.cbz"][0][6] is True
 
 
+def test_an_event_after_the_whole_delay_begins_a_new_burst(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("/a.cbz", "created", t0 + dt.timedelta(minutes=m), s) for m, s in ((0, 1), (5, 2), (9, 2))]
+    got = E.debounce(spark.createDataFrame(rows, "path string, event_type string, ts timestamp, size long"), "5 minutes").orderBy("started").collect()
+    assert [(r["n_events"], r["stable"]) for r in got] == [(1, False), (2, True)]
+
+
 def test_a_restart_repeats_nothing(spark, tmp_path):
     e = events(spark).withColumn("event_id", F.monotonically_increasing_id())
     schema = e.schema
