@@ -33,12 +33,13 @@ def debounce(events: DataFrame, delay: str = "5 minutes", late: str = "10 minute
 
     stable tells whether the last two observations have equal sizes; bursts that never
     settle are emitted all the same; gave_up marks those that went on for max_wait or longer.
-    An event that comes exactly `delay` after the one before begins a new burst.
+    An event that comes exactly `delay` after the one before begins a new burst; of events at
+    the last time the greatest type is told.
     """
     seen = F.struct(F.col(stamp).alias("t"), "size")
     gap = f"{delay} -1 microseconds"  # Spark joins sessions that touch
     burst = events.withWatermark(stamp, late).groupBy("path", F.session_window(stamp, gap).alias("w")).agg(
-        F.count("*").alias("n_events"), F.max_by("event_type", stamp).alias("last_type"), F.max(stamp).alias("last_ts"), F.slice(F.sort_array(F.collect_list(seen), asc=False), 1, 2).alias("_last")
+        F.count("*").alias("n_events"), F.max_by("event_type", F.struct(stamp, "event_type")).alias("last_type"), F.max(stamp).alias("last_ts"), F.slice(F.sort_array(F.collect_list(seen), asc=False), 1, 2).alias("_last")
     )
     last, before = F.get("_last", F.lit(0))["size"], F.get("_last", F.lit(1))["size"]
     return burst.select(

@@ -87,6 +87,14 @@ def test_an_event_after_the_whole_delay_begins_a_new_burst(spark):
     assert [(r["n_events"], r["stable"]) for r in got] == [(1, False), (2, True)]
 
 
+def test_the_greatest_type_ends_a_burst_whose_last_events_are_at_once(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    for types in (["created", "deleted"], ["deleted", "created"]):
+        rows = [("/a.cbz", t, t0, 1) for t in types]
+        e = spark.createDataFrame(rows, "path string, event_type string, ts timestamp, size long").coalesce(1)
+        assert E.debounce(e).first()["last_type"] == "deleted"
+
+
 def test_a_restart_repeats_nothing(spark, tmp_path):
     e = events(spark).withColumn("event_id", F.monotonically_increasing_id())
     schema = e.schema
