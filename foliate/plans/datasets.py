@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliate.sources.tables import spread
+
 TEXTS = {
     "lib_files": """
 SELECT p_partkey AS file_id, concat('/lib/', CASE WHEN p_partkey % 8 = 7 THEN 'misc' ELSE concat(p_name, ' (', CAST(1940 + p_partkey % 80 AS STRING), ')') END, '/',
@@ -207,9 +209,23 @@ FROM {orders}""",
 }
 
 
+#: Tables of few bytes a row, from which pages, names and records are made, with their keys.
+SMALL = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; small ones are spread over all cores by their key.
+
+    Files of a few MB are read as one split, so that one task would do all that is made of
+    their rows: a million rows of part are 4 MB, their pages over 1 GB.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, SMALL[name]) if name in SMALL else rows
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TEXTS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "events", "orders", "customer", "supplier") if "{" + t + "}" in text}
+    tables = {t: table(spark, sf_dir, t) for t in ("part", "lineitem", "events", "orders", "customer", "supplier") if "{" + t + "}" in text}
     return spark.sql(text, **tables)
 
 

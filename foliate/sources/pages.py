@@ -47,24 +47,30 @@ class _Links(HTMLParser):
 def page_parts(pages: DataFrame) -> DataFrame:
     """page_id, pos, tag (a, h1 or title), href, text, around (the whole text of the block)."""
 
-    def frames(page: int, parts: list) -> Iterator[pd.DataFrame]:
-        """The parts in pieces of about a million characters: many links may stand in one long block."""
-        rows, size, block, around = [], 0, None, ""
-        for i, (tag, href, text, pieces) in enumerate(parts):
-            if pieces is not block:
-                block, around = pieces, " ".join("".join(pieces).split())
-            rows.append((page, i, tag, href, text, around))
-            size += len(around)
-            if size > 1 << 20 or i + 1 == len(parts):
-                yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "href", "text", "around"])
-                rows, size = [], 0
+    names = ["page_id", "pos", "tag", "href", "text", "around"]
+
+    def parts(b: pd.DataFrame) -> Iterator[tuple]:
+        for page, html in zip(b["page_id"], b["html"], strict=True):
+            p = _Links()
+            p.feed(html or "")
+            block, around = None, ""
+            for i, (tag, href, text, pieces) in enumerate(p.parts):
+                if pieces is not block:
+                    block, around = pieces, " ".join("".join(pieces).split())
+                yield page, i, tag, href, text, around
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Frames of many pages, cut at about a million characters: many links may stand in one long block."""
         for b in batches:
-            for page, html in zip(b["page_id"], b["html"], strict=True):
-                p = _Links()
-                p.feed(html or "")
-                yield from frames(page, p.parts)
+            rows, size = [], 0
+            for r in parts(b):
+                rows.append(r)
+                size += len(r[-1])
+                if size > 1 << 20:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, href string, text string, around string")
 

@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over all cores by their keys, three tasks a core.
+
+    For rows that are cheap to read and dear to work on; the number is given, as by their
+    bytes adaptive plans would gather them into few tasks again.
+    """
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, wherever Spark stores them.
 

@@ -7,6 +7,7 @@ from foliate.functions import text as T
 from foliate.operators import arcs as R
 from foliate.operators import curate as K
 from foliate.operators import metrics as X
+from foliate.plans.datasets import derive
 from foliate.sources import archives as A
 from foliate.sources import catalogs as B
 from foliate.sources.tables import discard, written
@@ -107,3 +108,9 @@ def test_average_durations_round_halves_as_written(spark):
     rows = spark.createDataFrame([(1, "SUCCESS", v) for v in (16.66, 58.05, 30.27, 80.82)] + [(2, "FAILED", float("nan")), (3, "FAILED", None), (4, "FAILED", 1e300)], "job_id long, status string, value double").coalesce(1)
     got = {r["job_id"]: r["avg_duration"] for r in X.job_outcomes(rows, ["job_id"]).collect()}
     assert (got[1], got[3], got[4]) == (46.5, 0.0, 1e300) and got[2] != got[2]  # as doubles the first is 46.449999999999996
+
+
+def test_what_is_made_of_small_tables_is_spread(spark):
+    pages = derive(spark, "/root/testdata/sf0.001", "order_pages")
+    assert pages.groupBy(F.spark_partition_id()).count().count() > 4
+    assert pages.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
