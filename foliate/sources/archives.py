@@ -39,6 +39,7 @@ def read_entries(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            told, size = [], 0  # of many archives, cut at about a million characters of records or 10,000 entries
             for path, content in zip(b["path"], b["content"], strict=True):
                 rows = []
                 try:
@@ -50,7 +51,13 @@ def read_entries(files: DataFrame) -> DataFrame:
                                 rows.append((path, i.filename.lower(), i.CRC, i.file_size, hashlib.sha256(data).hexdigest(), data.decode("utf-8", "replace") if own else None, None))
                 except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError) as e:
                     rows = [(path, None, None, None, None, None, str(e) or type(e).__name__)]
-                yield pd.DataFrame(rows, columns=names)
+                told += rows
+                size += sum(len(r[5] or "") for r in rows)
+                if size > 1 << 20 or len(told) >= 10_000:
+                    yield pd.DataFrame(told, columns=names)
+                    told, size = [], 0
+            if told:
+                yield pd.DataFrame(told, columns=names)
 
     return files.select("path", "content").mapInPandas(run, "path string, entry string, crc long, size long, sha256 string, record string, error string")
 
@@ -131,11 +138,25 @@ def pack_archives(entries: DataFrame) -> DataFrame:
     An archive's entries fit one task, as the archive itself does.
     """
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+    def packed(entries: list) -> bytes:
         to = io.BytesIO()
         with zipfile.ZipFile(to, "w") as z:
-            for r in rows.sort_values("entry").itertuples():
-                z.writestr(zipfile.ZipInfo(r.entry, (2000, 1, 1, 0, 0, 0)), r.data)
-        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [to.getvalue()]})
+            for e in sorted(entries, key=lambda e: e["entry"]):
+                z.writestr(zipfile.ZipInfo(e["entry"], (2000, 1, 1, 0, 0, 0)), e["data"])
+        return to.getvalue()
 
-    return entries.select("path", "entry", "data").groupBy("path").applyInPandas(pack, "path string, content binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            paths, contents, size = [], [], 0
+            for path, entries in zip(b["path"], b["entries"], strict=True):
+                paths.append(path)
+                contents.append(packed(entries))
+                size += len(contents[-1])
+                if size > 1 << 26:
+                    yield pd.DataFrame({"path": paths, "content": contents})
+                    paths, contents, size = [], [], 0
+            if paths:
+                yield pd.DataFrame({"path": paths, "content": contents})
+
+    gathered = entries.groupBy("path").agg(F.collect_list(F.struct("entry", "data")).alias("entries"))
+    return gathered.mapInPandas(run, "path string, content binary")
