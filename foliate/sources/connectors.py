@@ -316,7 +316,12 @@ def record_from_json(data: Column) -> Column:
     blank ones dropped.  Text that is no JSON object gives the defaults.
     """
     schema = ", ".join([*[f"{c} string" for c in (*TEXTS, *LISTS, *NUMBERS)], "provider_name string", "provider string"])
-    r = F.from_json(data, schema)
+    # read within an array: of a bare from_json Spark makes a parser for each field that is taken out of it
+    return F.get(F.transform(F.array(F.from_json(data, schema)), _record), F.lit(0))
+
+
+def _record(r: Column) -> Column:
+    """The fields of RECORD, and provider_name, out of a record as its JSON tells it."""
     default = {"language": "en", "format": "Comic"}
 
     def listed(c: str) -> Column:

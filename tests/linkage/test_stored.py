@@ -201,3 +201,12 @@ def test_rows_without_series_do_not_multiply(spark):
     n = pairs.count()
     told = E.matches(pairs, E.members(keyed, "id")).agg(F.count("*"), F.sum("n_matches")).first()
     assert n < 200_000 and told[0] == 30_000 and told[1] > 20_000_000
+
+
+def test_a_record_is_parsed_once_whatever_is_taken_out_of_it(spark):
+    rows = spark.createDataFrame([('{"title": "A", "number": "1", "writers": "Ann, ,Bob"}',), ("no json",)], "data string")
+    out = rows.select(C.record_from_json(F.col("data")).alias("r")).select("r.*")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField") == 1
+    got = out.select("title", "number", "count", "language", "writers").collect()
+    assert [tuple(r) for r in got] == [("A", "1", 1, "en", ["Ann", "Bob"]), ("", "", 1, "en", [])]
