@@ -112,7 +112,7 @@ ORACLES["Q11_url_states"] = f"""WITH {_REQUESTED} SELECT request_id, pos, url, C
 @query("S14_series_search")
 def _(spark, sf):
     rows = S.page_rows(derive(spark, sf, "series_pages"))
-    return S.series_search(rows, "series").unionByName(S.series_search(rows, "issue")).drop("pos")
+    return S.series_search(rows, "series", "issue").drop("pos")
 
 
 @query("S15_series_pages")

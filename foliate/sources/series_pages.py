@@ -102,21 +102,25 @@ def whole_url(href: Column, host: str = HOST) -> Column:
     return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(host), href))
 
 
-def series_search(rows: DataFrame, kind: str) -> DataFrame:
-    """What a search page lists (rows as page_rows gives them); kind: "series" or "issue".
+def series_search(rows: DataFrame, *kinds: str) -> DataFrame:
+    """What a search page lists (rows as page_rows gives them); kinds: "series", "issue" or both, in one pass over the pages.
 
     page_id, pos, title, url, type, type_label, year and count as text ("" if not told),
-    description of 160 characters.  The first link of the kind in a row counts.
+    description of 160 characters.  The first link of each kind in a row counts.
     """
-    name, label = KINDS[kind]
-    link = F.get(F.filter("links", lambda x: x["href"].rlike(f"/{kind}/[0-9]+/")), F.lit(0))
     n = F.regexp_extract("words", r"(?i)([0-9]+)\s+issues", 1)
-    count = F.lit("1 issue") if kind == "issue" else F.when(n != "", F.concat(n, F.lit(" issues"))).otherwise("")
-    found = rows.withColumn("_l", link).where(F.col("_l.name") != "").select(
-        "page_id", "pos", F.col("_l.name").alias("title"), whole_url(F.col("_l.href")).alias("url"), F.lit(name).alias("type"), F.lit(label).alias("type_label"),
-        F.regexp_extract("words", r"\b((?:19|20)[0-9]{2})\b", 1).alias("year"), count.alias("count"), F.substring("words", 1, 160).alias("description"),
+
+    def of(kind: str) -> Column:
+        name, label = KINDS[kind]
+        link = F.get(F.filter("links", lambda x: x["href"].rlike(f"/{kind}/[0-9]+/")), F.lit(0))
+        count = F.lit("1 issue") if kind == "issue" else F.when(n != "", F.concat(n, F.lit(" issues"))).otherwise("")
+        return F.struct(link.alias("_l"), F.lit(name).alias("type"), F.lit(label).alias("type_label"), count.alias("count"))
+
+    found = rows.select("page_id", "pos", "words", F.inline(F.array(*[of(k) for k in kinds]))).where(F.col("_l.name") != "").select(
+        "page_id", "pos", F.col("_l.name").alias("title"), whole_url(F.col("_l.href")).alias("url"), "type", "type_label",
+        F.regexp_extract("words", r"\b((?:19|20)[0-9]{2})\b", 1).alias("year"), "count", F.substring("words", 1, 160).alias("description"),
     )
-    return first_by(found, ["page_id", "url"], ["pos"])
+    return first_by(found, ["page_id", "type", "url"], ["pos"])
 
 
 def _number(c: Column) -> Column:

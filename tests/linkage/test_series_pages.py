@@ -35,3 +35,10 @@ def test_series_index(spark):
     issues = df({"id": 5, "number": "#010"}, {"id": 6, "number": " 10"}, {"id": 7, "number": "2A"}, "broken")
     got = sorted((r["number"], r["issue_id"], r["sort_number"]) for r in S.series_index(series, issues).collect())
     assert got == [("0", "8", 0), ("10", "5", 10), ("2A", "7", 2)]
+
+
+def test_both_kinds_are_found_in_one_pass(spark):
+    pages = spark.createDataFrame([(1, '<tr><td><a href="/series/2/">A</a> 12 issues <a href="/issue/3/">#1</a></td></tr><tr><td><a href="/series/2/">again</a></td></tr>')], "page_id long, html string")
+    found = S.series_search(S.page_rows(pages), "series", "issue")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {(r["title"], r["type"], r["count"]) for r in found.collect()} == {("A", "gcp_volume", "12 issues"), ("#1", "gcp_issue", "1 issue")}
