@@ -16,7 +16,7 @@ from foliate.plans.oracles import _ACTION, PARSED, RESOLVED, title
 from foliate.plans.queries import NOW, QUERIES, parsed, query
 from foliate.plans.searches import _CR, ORACLES
 from foliate.sources import connectors as C
-from foliate.sources.tables import shared_dir
+from foliate.sources.tables import shared_dir, spread, written
 
 c = F.col
 
@@ -42,9 +42,9 @@ def _(spark, sf):
     """Reports written as one file each, and read back."""
     C.register(spark)
     folder = shared_dir(spark)
-    C.write_reports(C.unique_names(QUERIES["S19_review_reports"](spark, sf)), folder)
-    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
-    return found.select(F.url_decode(F.replace(F.element_at(F.split(c("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B"))).alias("name"), c("value").alias("report"))
+    reports = written(QUERIES["S19_review_reports"](spark, sf), "reports")  # read twice for the names
+    C.write_reports(spread(C.unique_names(reports), "name"), folder)  # a file is dear, its row is small
+    return C.read_reports(spark, folder)
 
 
 ORACLES["S19_review_files"] = f"""SELECT CASE WHEN k > 1 THEN replace(name, '.md', '_' || k || '.md') ELSE name END AS name, report

@@ -11,6 +11,7 @@ import json
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
@@ -158,6 +159,8 @@ class TextFiles(DataSource):
     Options: path; layout "files" (default) or "log".  Tasks write to a hidden folder of the
     job; the commit moves their files into place, and a job or task that fails leaves none.
     Names must be unique within a job (`unique_names`); files of earlier jobs are replaced.
+    It reads a folder's files back in `parts` tasks (option, default 8), each the files whose
+    names' remainders are its own: nothing lists them all, and no file costs a task's share.
     """
 
     @classmethod
@@ -170,6 +173,39 @@ class TextFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> TextWriter:
         return TextWriter(dict(self.options), [f.name for f in schema.fields])
 
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return TextReader(dict(self.options))
+
+
+class TextReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.folder, self.parts = local_path(options["path"]), int(options.get("parts", 8))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(k) for k in range(self.parts)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        contents: list[str] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.string())], ["name", "content"])
+
+        with os.scandir(self.folder) as found:
+            for e in found:
+                if e.name.startswith(".") or zlib.crc32(os.fsencode(e.name)) % self.parts != partition.value or not e.is_file():
+                    continue
+                with open(e.path, encoding="utf-8", newline="") as f:
+                    names.append(e.name)
+                    contents.append(f.read())
+                size += len(contents[-1])
+                if size > 1 << 24 or len(names) >= 10_000:
+                    yield batch()
+                    names, contents, size = [], [], 0
+        if names:
+            yield batch()
+
 
 class TextWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], columns: list[str]):
@@ -258,6 +294,12 @@ def write_reports(reports: DataFrame, folder: str) -> None:
     reports.select("name", F.col("report").alias("content")).write.format("text_files").mode("append").save(folder)
 
 
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """name and report of each file below `folder`, three tasks a core."""
+    parts = 3 * spark.sparkContext.defaultParallelism
+    return spark.read.format("text_files").option("path", folder).option("parts", parts).load().select("name", F.col("content").alias("report"))
+
+
 def write_log(lines: DataFrame, folder: str, line: str = "line") -> None:
     """A log per task below `folder`."""
     lines.select(F.col(line).alias("content")).write.format("text_files").option("layout", "log").mode("append").save(folder)

@@ -57,6 +57,16 @@ def test_reports_as_files(spark, tmp_path):
     assert [p for p in (tmp_path / "out").iterdir() if p.is_dir()] == []
 
 
+def test_reports_are_read_in_few_tasks(spark, tmp_path):
+    C.register(spark)
+    made = spark.range(3000).select(F.concat(F.lit("é "), "id", F.lit(".md")).alias("name"), F.concat(F.lit("a\r\nb "), "id").alias("report"))
+    C.write_reports(made, str(tmp_path))
+    (tmp_path / ".staged").mkdir()
+    back = C.read_reports(spark, str(tmp_path))
+    assert sorted(back.collect()) == sorted(made.collect())
+    assert back.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism  # not one for every few files
+
+
 def test_a_failing_task_leaves_no_file(spark, tmp_path):
     C.register(spark)
 
