@@ -32,9 +32,7 @@ def squeeze(c: Column) -> Column:
 
 def title_form(c: Column) -> Column:
     """Lower case, leading "the", "a", "an" dropped one after the other, punctuation to spaces."""
-    t = F.trim(F.lower(text(c)))
-    for article in ("^the ", "^a ", "^an "):
-        t = F.regexp_replace(t, article, "")
+    t = F.regexp_replace(F.trim(F.lower(text(c))), "^(?:the )?(?:a )?(?:an )?", "")
     return squeeze(F.regexp_replace(t, r"(?U)[^\w\s]", " "))
 
 

@@ -220,3 +220,26 @@ def test_a_record_is_parsed_once_whatever_is_taken_out_of_it(spark):
     assert plan.count("from_json(StructField") == 1
     got = out.select("title", "number", "count", "language", "writers").collect()
     assert [tuple(r) for r in got] == [("A", "1", 1, "en", ["Ann", "Bob"]), ("", "", 1, "en", [])]
+
+
+def test_a_file_meets_few_rows_of_a_title_with_many_years(spark):
+    rng = random.Random(5)
+    rows = [("CV", f"i{k:03}", "", "Dark Sky", rng.choice(["1", "", "2"]), rng.choice([0, *range(1940, 1990)]), "", "") for k in range(400)]
+    rows += [("GCD", f"g{k:03}", "", rng.choice(["Dark Sky", "Dark Sky Omnibus"]), "1", rng.choice([0, 1950, 1951, 1980, 9999]), "", "") for k in range(12)]
+    columns = ["provider", "issue_id", "series_id", "series_name", "issue_number", "publication_year", "publisher", "volume"]
+    catalog = spark.createDataFrame(rows, ", ".join(f"{x} {'int' if x == 'publication_year' else 'string'}" for x in columns))
+    asked = [(k, "Dark Sky", rng.choice(["1", "2", "3", ""]), year) for k, year in enumerate([0, 1930, 2030, *range(1940, 1990, 3)])]
+    files = spark.createDataFrame(asked, "file_id long, series_name string, issue_number string, year int")
+    want = set()
+    for file_id, f, fn, fy in asked:
+        place = 0
+        for provider in ("CV", "GCD"):
+            met = [r for r in rows if r[0] == provider and (fn == "" or r[4] in ("", fn))]
+            met.sort(key=lambda r: (r[3] != f, r[4] != fn, abs(fy - r[5]) if fy > 0 and r[5] > 0 else 1000, r[1]))
+            for r in met[:5]:
+                place += 1
+                want.add((file_id, place, r[1]))
+    assert {tuple(r) for r in P.pools(files, catalog).select("file_id", "pool_pos", "issue_id").collect()} == want
+    forms = catalog.where("provider = 'CV' AND issue_number = '1'").select("*", F.lower("series_name").alias("t"), F.col("issue_number").alias("tn"), F.lit("dark sky").alias("f"), F.lit("1").alias("fn"))
+    inner = P._near(forms, ["issue_id"], 5).where("_above is not null AND _below is not null")
+    assert inner.count() > 50 and inner.agg(F.max(F.col("_above") - F.col("_below"))).first()[0] < 20  # of 50 years
