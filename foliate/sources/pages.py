@@ -16,7 +16,14 @@ from foliate.operators.curate import first_by, slug_belongs
 ROLES = [("writers", "writer"), ("pencillers", "penciler|penciller|artist"), ("inkers", "inker"), ("colorists", "colorist"), ("letterers", "letterer"), ("cover_artists", "cover")]
 
 
-class _Links(HTMLParser):
+class PageParser(HTMLParser):
+    """A parser of pages that does not count lines: nothing asks where in the source it is."""
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j
+
+
+class _Links(PageParser):
     """Text of the page's parts and its links with the text of the block around them."""
 
     BLOCKS = {"div", "p", "li", "td", "tr", "h1", "h2", "h3", "section", "article", "span"}
@@ -96,7 +103,7 @@ class _Element:
         self.tag, self.classes, self.hidden, self.begin, self.end = tag, classes, hidden, begin, -1
 
 
-class _IssuePage(HTMLParser):
+class _IssuePage(PageParser):
     """The text of an issue page in pieces, the elements that its record is read from, and the links of its detail blocks."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "source", "track", "wbr"}
@@ -118,7 +125,7 @@ class _IssuePage(HTMLParser):
             classes = set((known.get("class") or "").split())
             hidden = tag in ("script", "style") or "wiki-item-edit" in classes or bool(self.open and self.open[-1].hidden)
             own = _Element(tag, classes, hidden, len(self.page))
-            if not hidden:
+            if not hidden and (classes or tag in ("h1", "title")):  # most elements tell nothing
                 for kind in {tag} & {"h1", "title"} | classes & {"wiki-descriptor", "js-toc-content", "content-body"}:
                     self.found.setdefault(kind, own)
                 if tag == "a" and any(x.tag == "h1" for x in self.open):

@@ -7,7 +7,6 @@ counts.  Urls without a host belong to the catalog's own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions.text import text
 from foliate.operators.curate import first_by
+from foliate.sources.pages import PageParser
 
 #: The catalog's address, and labels of what a search finds.
 HOST = "https://www.comics.org"
@@ -22,7 +22,7 @@ KINDS = {"series": ("gcp_volume", "GCP Series"), "issue": ("gcp_issue", "GCP Iss
 NUMBER = r"#?([0-9]+[a-zA-Z]?|[0-9]+\.[0-9]+|[0-9]+)"
 
 
-class _Rows(HTMLParser):
+class _Rows(PageParser):
     """Table rows with the texts and links in them, the links of the page, and its first heading."""
 
     def __init__(self) -> None:

@@ -42,3 +42,12 @@ def test_both_kinds_are_found_in_one_pass(spark):
     found = S.series_search(S.page_rows(pages), "series", "issue")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert {(r["title"], r["type"], r["count"]) for r in found.collect()} == {("A", "gcp_volume", "12 issues"), ("#1", "gcp_issue", "1 issue")}
+
+
+def test_page_parsers_count_no_lines():
+    from foliate.sources import pages as G
+
+    for kind in (G._Links, G._IssuePage, S._Rows):
+        p = kind()
+        p.feed("<h1>a\n<b>b</b></h1>\n<a href='/x/'>c</a>\n")
+        assert p.getpos() == (1, 0)  # the work of counting lines is not done
