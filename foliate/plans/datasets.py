@@ -7,6 +7,7 @@ branch of parsing, scoring and conflict detection occurs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliate.sources.tables import spread
 
@@ -220,7 +221,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     their rows: a million rows of part are 4 MB, their pages over 1 GB.
     """
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, SMALL[name]) if name in SMALL else rows
+    if name not in SMALL:
+        return rows
+    # inline keeps filters on what is made of the rows above the exchange; pushed below it, the
+    # one task that reads the file would make and test all pages, and uses would not share it
+    return spread(rows, SMALL[name]).select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
