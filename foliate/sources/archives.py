@@ -103,14 +103,18 @@ def parse_record(rows: DataFrame, xml: str = "record") -> DataFrame:
         "count": F.when(F.col("_x.Count").isNull(), None).otherwise(F.coalesce(F.col("_x.Count").try_cast("int"), F.lit(1))),
     }
     arcs = lambda c: F.filter(F.flatten(F.transform(F.coalesce(F.col(f"_x.{c}"), F.array().cast("array<string>")), lambda t: F.transform(F.split(t, ","), lambda p: F.trim(p)))), lambda p: p != "")
-    simple = F.regexp_extract_all(F.col(xml), F.lit(EXTRA), F.lit(0))
-    pair = lambda e: F.struct(F.regexp_extract(e, EXTRA, 1).alias("k"), _unescaped(F.regexp_extract(e, EXTRA, 2)).alias("v"))
-    unknown = F.filter(F.transform(simple, pair), lambda e: ~e["k"].isin(KNOWN_TAGS) & (e["v"] != ""))
-    last = F.filter(unknown, lambda e, i: ~F.exists(F.slice(unknown, i + 2, F.size(unknown)), lambda o: o["k"] == e["k"]))
+    # columns of their own, so that no element reads the whole text again
+    out = out.withColumn("_simple", F.regexp_extract_all(F.col(xml), F.lit(EXTRA), F.lit(0)))
+    tag = lambda e: F.regexp_extract(e, "^<([A-Za-z_][A-Za-z0-9_.-]*)", 1)
+    own = lambda e: _unescaped(F.substring_index(F.substring_index(e, "</", 1), ">", -1))
+    out = out.withColumn("_tags", F.transform(F.filter("_simple", lambda e: ~tag(e).isin(KNOWN_TAGS)), lambda e: F.struct(tag(e).alias("k"), own(e).alias("v"))))
+    out = out.withColumn("_tags", F.filter("_tags", lambda e: e["v"] != ""))
+    out = out.withColumn("_last_first", F.reverse(F.transform("_tags", lambda e: e["k"])))
+    last = F.filter("_tags", lambda e, i: F.array_position("_last_first", e["k"]) == F.size("_tags") - i)
     readable = F.col("_x._corrupt_record").isNull() & F.col(xml).isNotNull()
     made = {"extras": F.map_from_entries(F.when(readable, last).otherwise(F.array().cast("array<struct<k:string,v:string>>")))}
     made |= {"story_arcs": arcs("StoryArc"), "story_arc_numbers": arcs("StoryArcNumber"), "malformed": F.col(xml).isNotNull() & F.col("_x._corrupt_record").isNotNull()}
-    return out.withColumns(texts | lists | dates | made).drop("_x")
+    return out.withColumns(texts | lists | dates | made).drop("_x", "_simple", "_tags", "_last_first")
 
 
 def write_record(rows: DataFrame, to: str = "record") -> DataFrame:

@@ -23,3 +23,11 @@ def test_filters_on_derived_texts_stay_above_the_exchange(spark, tmp_path):
     above, below = optimized(read).split("RepartitionByExpression")
     assert "Filter" in above and "Filter" not in below
     assert read.count() == sum(i % 6 == 5 for i in range(40))
+
+
+def test_extra_tags_are_found_once_a_record(spark):
+    x = "<ComicInfo><A>1</A><B n='2'>x &lt; y</B><Title>T</Title><A>3</A><C></C><A-1>4</A-1></ComicInfo>"
+    df = A.parse_record(spark.createDataFrame([(1, x), (2, "<ComicInfo><A>1</A><Bad"), (3, None)], "id int, record string"))
+    assert optimized(df.select("id", "extras")).count("regexp_extract_all") == 1
+    got = {r["id"]: r["extras"] for r in df.collect()}
+    assert got == {1: {"B": "x < y", "A": "3", "A-1": "4"}, 2: {}, 3: {}}
