@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import numbers
 from foliate.functions.text import collection_form, content_hash, key_form, provider_name, publisher_form, text
+from foliate.sources.tables import written
 
 ACTIVE = ["DISCOVERED", "QUEUED", "PENDING", "PROCESSING", "RUNNING", "RETRYING"]
 #: Folders of the system.
@@ -39,18 +40,32 @@ def match_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, y
 
     Rows with a series meet by equi-join on series and number; those without meet by
     number alone in a branch of their own, so wildcards do not widen the main join.
+    Years are keys as well: a row on the left meets each year near its own, and year 0, which
+    stands for none; left rows without a year, which match any, are a branch of their own.
+    Both sides are written, as several branches read them.
     """
     keys = ["series_norm", "issue_numeric", "issue_suffix", "is_named", "volume_norm", "key_year"]
-    a = left.select(F.col(left_id).alias("left_id"), *[F.col(k).alias(f"l_{k}") for k in keys])
-    b = right.select(F.col(right_id).alias("right_id"), *[F.col(k).alias(f"r_{k}") for k in keys])
+    a = written(left.select(F.col(left_id).alias("left_id"), *[F.col(k).alias(f"l_{k}") for k in keys]), "left")
+    b = written(right.select(F.col(right_id).alias("right_id"), *[F.col(k).alias(f"r_{k}") for k in keys]), "right")
     number = (F.col("l_issue_numeric") == F.col("r_issue_numeric")) & (F.col("l_issue_suffix") == F.col("r_issue_suffix")) & (F.col("l_is_named") == F.col("r_is_named"))
     volume = (F.col("l_volume_norm") == "") | (F.col("r_volume_norm") == "") | (F.col("l_volume_norm") == F.col("r_volume_norm"))
-    years = (F.col("l_key_year") <= 0) | (F.col("r_key_year") <= 0) | (F.abs(F.col("l_key_year") - F.col("r_key_year")) <= year_tolerance)
     series = F.col("l_series_norm") == F.col("r_series_norm")
-    full = a.where("l_series_norm <> ''").join(b.where("r_series_norm <> ''"), series & number)
-    right_blank = a.join(b.where("r_series_norm = ''"), number)
-    left_blank = a.where("l_series_norm = ''").join(b.where("r_series_norm <> ''"), number)
-    return full.union(right_blank).union(left_blank).where(volume & years).select("left_id", "right_id")
+    year = F.col("l_key_year")
+    near = F.filter(F.sequence(year - year_tolerance, year + year_tolerance), lambda y: y > 0)
+    dated = a.where(F.coalesce(year > 0, F.lit(True))).withColumn("_year", F.explode(F.concat(F.coalesce(near, F.array().cast("array<int>")), F.array(F.lit(0)))))
+    undated, b = a.where(year <= 0), b.withColumn("_r_year", F.when(F.col("r_key_year").isNotNull(), F.greatest("r_key_year", F.lit(0))))
+    blank, told = b.where("r_series_norm = ''"), b.where("r_series_norm <> ''")
+    out = None
+    for rows, meets in ((dated, number & (F.col("_year") == F.col("_r_year"))), (undated, number)):
+        pairs = [
+            rows.where("l_series_norm <> ''").join(told, series & meets),
+            rows.join(blank, meets),
+            rows.where("l_series_norm = ''").join(told, meets),
+        ]
+        for p in pairs:
+            p = p.where(volume).select("left_id", "right_id")
+            out = p if out is None else out.union(p)
+    return out
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
