@@ -153,12 +153,13 @@ def reading_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """For distinct (series, number) the first file by path that holds it: series, number, path.
 
     A path that passes contains every word of the series, so it contains each piece of them.
+    Distinct entries are written, as each step reads them.
     Paths are posted once by the pieces that some series has, and the index is written, as it
     is counted and then joined.  Entries meet paths by the piece of their series that the
     fewest paths hold together with the key of a number, so that a piece that very many paths
     hold is parted by numbers; no hit is lost.
     """
-    e = entries.select("series", "number").distinct().withColumn("_ef", path_form(F.col("series")))
+    e = written(entries.select("series", "number").distinct().withColumn("_ef", path_form(F.col("series"))), "entries")
     base = _content_words(F.regexp_replace(F.col("_ef"), "[0-9]+$", ""))
     wanted = F.when(F.size(base) > 0, base).otherwise(_content_words(F.col("_ef")))
     names = e.select("_ef").distinct().withColumn("_piece", F.explode(_longest_pieces(wanted)))

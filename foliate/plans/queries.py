@@ -19,6 +19,7 @@ from foliate.plans import resolve as V
 from foliate.plans.datasets import derive
 from foliate.sources import catalogs as B
 from foliate.sources import pages as G
+from foliate.sources.tables import written
 from foliate.streaming import events as E
 
 #: The time that cache and lease queries take for now, so that their rows do not depend on the clock.
@@ -291,7 +292,7 @@ def _(spark, sf):
 
 @query("A10_reading_coverage")
 def _(spark, sf):
-    entries = R.expand_ranges(derive(spark, sf, "reading"))
+    entries = written(R.expand_ranges(derive(spark, sf, "reading")), "lines")
     hits = R.reading_files(entries, derive(spark, sf, "lib_files"))
     tags = derive(spark, sf, "lib_files").groupBy("path").agg(F.max(F.when(c("file_id") % 4 == 0, "Long Dark").otherwise("")).alias("tag"))  # the files' arc tags
     found = entries.join(hits, ["series", "number"], "left").join(tags, "path", "left")
@@ -334,7 +335,7 @@ def _(spark, sf):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("series").orderBy("line_id", "at"))
-    entries = R.expand_ranges(derive(spark, sf, "reading"))
+    entries = written(R.expand_ranges(derive(spark, sf, "reading")), "lines")
     found = R.reading_files(entries, derive(spark, sf, "lib_files")).select("series", "number")
     return entries.select("series", "line_id", "at", "number", place.alias("arc_number")).join(found, ["series", "number"], "left_semi")
 

@@ -49,3 +49,11 @@ def test_years_are_keys_of_canonical_matches(spark):
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 500
     joins = [line for line in optimized(got).split("\n") if "Join Inner" in line]
     assert sum("_r_year" in line for line in joins) == 3 and len(joins) == 6
+
+
+def test_entries_are_read_once(spark):
+    entries = spark.createDataFrame([("Dark Sky", "1"), ("Moon", "2"), ("Moon", "2")], "series string, number string")
+    files = spark.createDataFrame([("/lib/Dark Sky #001.cbz",), ("/lib/Moon #3.cbz",)], "path string")
+    got = R.reading_files(entries, files)
+    assert "versus" not in optimized(got)  # normal forms come from the written tables
+    assert [tuple(r) for r in got.collect()] == [("Dark Sky", "1", "/lib/Dark Sky #001.cbz")]
