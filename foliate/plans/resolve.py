@@ -77,7 +77,8 @@ def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cache
     left = parsed = written(parsed, "parsed")
     own = F.col("provider") == "Filename"
     known = candidates.select("provider", *[c for c in candidates.columns if c != "provider"])
-    candidates = written(known.where(own).unionByName(inherit(known.where(~own), parsed)), "candidates")
+    # beside their files and in normal form once; each catalog's stage then shuffles its pools once
+    pairs = written(D.pool_pairs(parsed, known.where(own).unionByName(inherit(known.where(~own), parsed)), existing), "candidates")
     if override is not None:
         won = left.select("file_id").join(override, "file_id").select(
             "file_id", F.lit("Override").alias("provider"), "issue_id", "series_name", "issue_number", F.col("year").alias("publication_year"),
@@ -95,8 +96,8 @@ def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cache
         settled.append(best.withColumn("source", F.lit("persistent_cache")).select(*RESULT))
         left = left.join(best.select("file_id"), "file_id", "left_anti")
     for n, (_, source) in enumerate(CATALOGS):
-        pool = candidates.where(F.col("provider").isin("Filename", *[name for name, _ in CATALOGS[: n + 1]]))
-        best = written(D.decide(D.evaluate(D.pool_pairs(left, pool, existing))), source).withColumn("source", F.lit(source))
+        pool = pairs.where(F.col("provider").isin("Filename", *[name for name, _ in CATALOGS[: n + 1]])).repartition("file_id")
+        best = written(D.decide(D.evaluate(pool.join(left.select("file_id"), "file_id", "left_semi"))), source).withColumn("source", F.lit(source))
         last = n == len(CATALOGS) - 1
         won = best if last else best.where((F.col("score") >= gate) & ~F.col("critical"))
         settled.append(won.select(*RESULT))
@@ -108,7 +109,7 @@ def resolve(parsed: DataFrame, candidates: DataFrame, existing: DataFrame, cache
     files = parsed.select("file_id").join(out, "file_id", "left")
     has = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
     provider = F.col("provider")
-    asked = candidates.groupBy("file_id").agg(has(provider != "Filename", "_asked"), *[has(provider == name, f"_{name}") for name, _ in CATALOGS])
+    asked = pairs.groupBy("file_id").agg(has(provider != "Filename", "_asked"), *[has(provider == name, f"_{name}") for name, _ in CATALOGS])
     files = files.join(asked, "file_id", "left").join(existing.select("file_id", F.lit(True).alias("_own")).distinct(), "file_id", "left")
     asked = F.coalesce(F.col("_asked"), F.lit(False)) | F.coalesce(F.col("_own"), F.lit(False))
     known = F.coalesce((asked & F.col("provider").isNotNull()) | (F.col("source") == "url_override"), F.lit(False))

@@ -57,3 +57,23 @@ def test_entries_are_read_once(spark):
     got = R.reading_files(entries, files)
     assert "versus" not in optimized(got)  # normal forms come from the written tables
     assert [tuple(r) for r in got.collect()] == [("Dark Sky", "1", "/lib/Dark Sky #001.cbz")]
+
+
+def test_pools_are_shuffled_once_a_stage(spark, monkeypatch):
+    plans, write = {}, V.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(V, "written", seen)
+    files = names.parse_filename(spark.createDataFrame([(0, "/tmp/Batman #001 (2016).cbz"), (1, "/tmp/Saga #002 (2012).cbz")], "file_id int, path string"))
+    pool = spark.createDataFrame(
+        [(0, 1, "Kapowarr", "4000-1", "", "Batman", "", 2016, "", ""), (1, 2, "ComicVine", "4000-2", "", "Saga", "2", 2012, "", ""), (7, 1, "GCD", "", "", "Other", "1", 2000, "", "")],
+        "file_id int, pool_pos int, provider string, issue_id string, series_id string, series_name string, issue_number string, publication_year int, publisher string, volume string",
+    )
+    existing = spark.createDataFrame([], "file_id int, series string, title string, number string, year int, publisher string, volume string, provider_id string, web string")
+    got = {r["file_id"]: (r["source"], r["level"]) for r in V.resolve(files, pool, existing).collect()}
+    assert got == {0: ("kapowarr", "AUTO_ACCEPT"), 1: ("comicvine_fallback", "AUTO_ACCEPT")}
+    for name in ("kapowarr", "comicvine_fallback", "gcd_fallback"):
+        assert plans[name].count("Exchange hashpartitioning") == 1 and "(?U)" not in plans[name]
