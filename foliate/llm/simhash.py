@@ -31,7 +31,11 @@ In a family of near copies most pairs are candidates, so they are not all told.
 every member tells its nearest candidate of each list, of which its three nearest are
 verified; then its nearest candidate in another component; at last all candidates that
 still lie in different components.  No link between components is lost, and the pairs
-that a family needs grow with its members.
+that a family needs grow with its members.  In the last two rounds the members' sizes and
+parities of places go to the lists with them, and tasks tell no pair that these rule out.
+
+Texts are long beside all else, so they travel only where they may be needed: a bitmap of
+fixed size tells rows whose id cannot be among those wanted, and only the others are joined.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other;
 repeated rows share a component; an empty table gives no rows; a row with a null id is
@@ -43,11 +47,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.common import discard, materialize
@@ -264,6 +269,10 @@ SHORT, SHORT_BITS = 80, 72
 DENSE = 8
 #: Places in the order of fingerprints that such members look ahead, and nearest candidates that are verified.
 AHEAD, NEAREST = 24, 3
+#: Places whose parities go to the lists with a member.
+PLACES = 1024
+#: Bits of the map of wanted ids: 2 MB, whatever the input.
+MAP_BITS = 1 << 24
 _STEPS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], np.uint64)
 
 
@@ -306,42 +315,61 @@ def _head(h: np.ndarray) -> np.ndarray:
     return h[: n - (n * ALIKE + 99) // 100 + 1] if 0 < n <= SHORT else h[:0]
 
 
-def _distances(fps: np.ndarray, i: np.ndarray, j: np.ndarray, short: bool) -> np.ndarray:
-    """Differing bits of the pairs (i, j), -1 where the limit of bits or, outside lists of short sets, the minimum of shared bytes fails."""
-    bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
-    at = np.flatnonzero(bits <= (SHORT_BITS if short else WIDE_BITS))
-    if not short:
-        b = fps.view(np.uint8).reshape(-1, 32)
-        at = at[(b[i[at]] == b[j[at]]).sum(axis=1) >= WIDE_SHARED]
-    out = np.full(len(bits), -1, np.int32)
-    out[at] = bits[at]
-    return out
-
-
-def _list_pairs(fps: np.ndarray, some: np.ndarray, short: bool, group: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+class _Rows(NamedTuple):
+    """Rows of posting lists, sorted by key and fingerprint; `group`, their components so far, `marks` and `sizes` may be missing."""
+
+    key: np.ndarray
+    nodes: np.ndarray
+    fps: np.ndarray
+    group: np.ndarray | None = None
+    marks: np.ndarray | None = None
+    sizes: np.ndarray | None = None
+
+    def take(self, at) -> _Rows:
+        return _Rows(*[None if x is None else x[at] for x in self])
+
+    def distances(self, i: np.ndarray, j: np.ndarray, short: bool) -> np.ndarray:
+        """Differing bits of the pairs (i, j), -1 where the limit of bits or, outside lists of short sets, the minimum of shared bytes fails, or where parities and sizes rule out a link."""
+        bits = np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(axis=1, dtype=np.int32)
+        at = np.flatnonzero(bits <= (SHORT_BITS if short else WIDE_BITS))
+        if not short:
+            b = self.fps.view(np.uint8).reshape(-1, 32)
+            at = at[(b[i[at]] == b[j[at]]).sum(axis=1) >= WIDE_SHARED]
+        if self.marks is not None:
+            x, y = i[at], j[at]
+            n, m = self.sizes[x], self.sizes[y]
+            differ = np.maximum(np.bitwise_count(self.marks[x] ^ self.marks[y]).sum(axis=1, dtype=np.int64), abs(n - m))
+            at = at[_alike((n + m - differ) // 2, n, m)]
+        out = np.full(len(bits), -1, np.int32)
+        out[at] = bits[at]
+        return out
+
+
+def _list_pairs(rows: _Rows, some: np.ndarray, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidates (i, j, bits) of the members `some` with all later members, or with all others outside `some`, in bounded pieces.
 
-    With `group`, only pairs of different groups.
+    With groups, only pairs of different ones.
     """
-    n = len(fps)
+    n = len(rows.key)
     place = np.full(n, -1)
     place[some] = some
     every = np.arange(n)
     step = max(1, (1 << 18) // n)
     for a in range(0, len(some), step):
-        rows = some[a : a + step]
-        i, j = np.repeat(rows, n), np.tile(every, len(rows))
+        of = some[a : a + step]
+        i, j = np.repeat(of, n), np.tile(every, len(of))
         keep = (place[j] < 0) | (j > i)
-        if group is not None:
-            keep &= group[i] != group[j]
+        if rows.group is not None:
+            keep &= rows.group[i] != rows.group[j]
         i, j = i[keep], j[keep]
-        d = _distances(fps, i, j, short)
+        d = rows.distances(i, j, short)
         ok = d >= 0
         yield i[ok], j[ok], d[ok]
 
 
-def _ahead(key: np.ndarray, fps: np.ndarray, short: bool, group: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _ahead(rows: _Rows, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidates (i, j, bits) of members of one list that stand at most AHEAD places apart."""
+    key, group = rows.key, rows.group
     for d in range(1, min(AHEAD + 1, len(key))):
         at = np.flatnonzero(key[:-d] == key[d:])
         if not len(at):
@@ -350,7 +378,7 @@ def _ahead(key: np.ndarray, fps: np.ndarray, short: bool, group: np.ndarray | No
             at = at[group[at] != group[at + d]]
         for a in range(0, len(at), 1 << 18):
             part = at[a : a + (1 << 18)]
-            bits = _distances(fps, part, part + d, short)
+            bits = rows.distances(part, part + d, short)
             ok = bits >= 0
             yield part[ok], part[ok] + d, bits[ok]
 
@@ -366,10 +394,10 @@ def _nearest(n: int, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
     return src[first], dst[first], d[first]
 
 
-def _told(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, group: np.ndarray | None, every: bool) -> Iterator[pd.DataFrame]:
+def _told(rows: _Rows, every: bool) -> Iterator[pd.DataFrame]:
     """Candidates (src, dst, bits) of whole lists, rows sorted by key and fingerprint.
 
-    Each member's nearest candidate of its list; with `group`, the members' components so
+    Each member's nearest candidate of its list; with groups, the members' components so
     far, the nearest one of another component, and with `every` all of those.  In a dense
     list the nearest are sought among neighbours; members without one tell themselves, so
     that the rounds that follow know all members that may have candidates.
@@ -378,31 +406,32 @@ def _told(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, group: np.ndarray
     def frame(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"src": a, "dst": b, "bits": bits.astype(np.int32)})
 
+    key = rows.key
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
     sizes = np.diff(starts)
     few = np.repeat((sizes > 1) & (sizes <= AHEAD + 1), sizes)
     for short in (False, True):
         mine = few & ((key < 0) == short)
-        k, f, c = key[mine], fps[mine], nodes[mine]
-        found = list(_ahead(k, f, short, None if group is None else group[mine]))
+        part = rows.take(mine)
+        c = part.nodes
+        found = list(_ahead(part, short))
         if every:
             for i, j, d in found:
                 yield frame(c[i], c[j], d)
         else:
-            i, j, d = _nearest(len(k), found)
+            i, j, d = _nearest(len(c), found)
             yield frame(c[i], c[j], d)
     for g in np.flatnonzero(sizes > AHEAD + 1):
         a, z = starts[g], starts[g + 1]
-        f, c, short = fps[a:z], nodes[a:z], bool(key[a] < 0)
-        own, some = None, np.arange(z - a)
-        if group is not None:
-            own = group[a:z]
-            names, size = np.unique(own, return_counts=True)
+        part, short = rows.take(slice(a, z)), bool(key[a] < 0)
+        c, some = part.nodes, np.arange(z - a)
+        if part.group is not None:
+            names, size = np.unique(part.group, return_counts=True)
             if len(names) == 1:
                 continue
-            some = np.flatnonzero(own != names[size.argmax()])
+            some = np.flatnonzero(part.group != names[size.argmax()])
         found, total = [], 0
-        for i, j, d in _list_pairs(f, some, short, own):
+        for i, j, d in _list_pairs(part, some, short):
             if every:
                 yield frame(c[i], c[j], d)
                 continue
@@ -413,7 +442,7 @@ def _told(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, group: np.ndarray
         if every:
             continue
         if total > DENSE * (z - a):
-            found += list(_ahead(key[a:z], f, short, own))
+            found += list(_ahead(part, short))
             i, j, d = _nearest(z - a, found)
             lone = np.setdiff1d(np.arange(z - a), i)
             yield frame(c[lone], c[lone], np.full(len(lone), 256))
@@ -430,16 +459,17 @@ def _few_nearest(told: pd.DataFrame) -> pd.DataFrame:
     return told[told.groupby("src").cumcount() < NEAREST]
 
 
-def _parted(key: np.ndarray, nodes: np.ndarray, fps: np.ndarray, group: np.ndarray | None, every: bool) -> Iterator[pd.DataFrame]:
+def _parted(rows: _Rows, every: bool) -> Iterator[pd.DataFrame]:
     """Candidates of whole lists of one byte, by the lists of two bytes in them; none is told twice where memory allows."""
-    raw = fps.view(np.uint8).reshape(-1, 32)
+    key = rows.key
+    raw = rows.fps.view(np.uint8).reshape(-1, 32)
     for p in np.unique(key >> 8).tolist():
         a, z = np.searchsorted(key, [p << 8, (p + 1) << 8])
         frames, size = [], 0
         for q in FOLLOWING[p]:
             two = (key[a:z] & 255) << 8 | raw[a:z, q]
             order = a + np.argsort(two, kind="stable")  # by fingerprint within a list, as the rows came
-            for f in _told(two[order - a], nodes[order], fps[order], None if group is None else group[order], every):
+            for f in _told(rows.take(order)._replace(key=two[order - a]), every):
                 frames.append(f)
                 size += len(f)
                 if size > 1 << 20:
@@ -456,26 +486,27 @@ def _scan_wide(every: bool, one_byte: bool):
     """Candidates within posting lists, rows sorted by key and fingerprint; a list may run over several batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[tuple] = []
+        waiting: list[_Rows] = []
 
         def told(cut: int | None) -> Iterator[pd.DataFrame]:
             """The candidates of the rows up to `cut`; the others go on waiting."""
-            key, nodes, fps = (np.concatenate([w[x] for w in waiting]) for x in (0, 1, 2))
-            groups = None if waiting[0][3] is None else np.concatenate([w[3] for w in waiting])
+            rows = _Rows(*[None if x[0] is None else np.concatenate(x) for x in zip(*waiting, strict=True)])
+            key = rows.key
             cut = len(key) if cut is None else int(np.searchsorted(key, key[-1]))
             heads = min(cut, int(np.searchsorted(key, 0))) if one_byte else cut
             for scan, a, z in ((_told, 0, heads), (_parted, heads, cut)):
                 if a < z:
-                    yield from scan(key[a:z], nodes[a:z], fps[a:z], None if groups is None else groups[a:z], every)
-            waiting[:] = [(key[cut:], nodes[cut:], fps[cut:], None if groups is None else groups[cut:])]
+                    yield from scan(rows.take(slice(a, z)), every)
+            waiting[:] = [rows.take(slice(cut, None))]
 
         for b in batches:
             if not len(b):
                 continue
             key = b["key"].to_numpy()
-            runs_on = waiting and len(waiting[0][0]) and key[0] == key[-1] == waiting[0][0][0]
-            fps = np.frombuffer(b"".join(b["fp"]), np.uint64).reshape(-1, 4)
-            waiting.append((key, b["node"].to_numpy(), fps, b["component"].to_numpy() if "component" in b else None))
+            runs_on = waiting and len(waiting[0].key) and key[0] == key[-1] == waiting[0].key[0]
+            words = lambda c: np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1)  # noqa: B023, E731
+            more = (b["component"].to_numpy(), words("mark"), b["size"].to_numpy()) if "component" in b else ()
+            waiting.append(_Rows(key, b["node"].to_numpy(), words("fp"), *more))
             if not runs_on:
                 yield from told(0)
         if waiting:
@@ -504,9 +535,9 @@ def _list_rows(one_byte: bool):
     return run
 
 
-def _odd(h: np.ndarray) -> bytes:
-    """For each of at least 2n places (a power of two) whether an odd number of a set's n hashes falls there."""
-    places = max(256, 1 << max(2 * len(h) - 1, 0).bit_length())
+def _odd(h: np.ndarray, places: int | None = None) -> bytes:
+    """For each of some places, at least 2n (a power of two) if not given, whether an odd number of a set's n hashes falls there."""
+    places = places or max(256, 1 << max(2 * len(h) - 1, 0).bit_length())
     return np.packbits(np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
 
 
@@ -558,13 +589,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
 
     def met(rows: DataFrame, value, check) -> DataFrame:
+        def end(name: str, to: str) -> DataFrame:
+            mine = sets.join(rows.select(F.col(name).alias("node")).distinct(), "node", "left_semi")
+            return mine.select(F.col("node").alias(name), value.alias(to))
+
         # by src first, so that only one value travels with a pair
-        one = rows.join(sets.select(F.col("node").alias("src"), value.alias("a")), "src")
-        two = one.join(sets.select(F.col("node").alias("dst"), value.alias("b")), "dst")
+        two = rows.join(end("src", "a"), "src").join(end("dst", "b"), "dst")
         return two.select("src", "dst", "a", "b").mapInPandas(check, "src long, dst long")
 
     possible = materialize(met(pairs, F.struct("odd", "size"), _possible), "possible")
-    return met(possible, F.col("text"), _linked)
+    links = materialize(met(possible, F.col("text"), _linked), "verified")
+    discard(possible)
+    return links
+
+
+def _maybe(rows: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """The rows with a column more, and the condition on it that holds for all whose id is among `ids` (of the same type), and for few others.
+
+    `ids` become a map of MAP_BITS bits, which alone is broadcast, so that rows which cannot be wanted
+    need not be shuffled.  The more ids, the more others pass; a join must follow.
+    """
+    name = "maybe"
+    while any(c.lower().startswith(name) for c in rows.columns):
+        name += "_"
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(MAP_BITS))
+    bucket, bits = f"{name}_bucket", f"{name}_bits"
+    maps = ids.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias(bits))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    tested = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col(bucket), "left").withColumn(name, hit)
+    return tested.select(*rows.columns, name), F.col(name)
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -578,7 +633,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t) for t in b["text"]]
-            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "odd": [_odd(h) for h in sets], "size": [len(h) for h in sets], "text": b["text"]})
+            yield pd.DataFrame({"node": [_set_key(h) for h in sets], "odd": [_odd(h) for h in sets], "size": [len(h) for h in sets], "mark": [_odd(h, PLACES) for h in sets], "text": b["text"]})
 
     kind = dict(docs.dtypes)[id_col]
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -588,7 +643,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     classes = prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("head").alias("head"))
 
     def scanned(members: DataFrame, every: bool = False) -> DataFrame:
-        columns = "key long, node long, fp binary" + (", component long" if "component" in members.columns else "")
+        columns = "key long, node long, fp binary" + (", component long, mark binary, size long" if "component" in members.columns else "")
         lists = members.mapInPandas(_list_rows(one_byte), columns)
         return materialize(lists.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_scan_wide(every, one_byte), "src long, dst long, bits int"), "scanned")
 
@@ -600,17 +655,14 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     def verified(rows: DataFrame) -> DataFrame:
         pairs = rows.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
         pairs = materialize(pairs, "candidates")
-        ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
-        rows = classes.join(ends, "node", "left_semi").select("id").distinct()
-        sets = materialize(picked.join(rows, "id", "left_semi").mapInPandas(described, "node long, odd binary, size long, text string").dropDuplicates(["node"]), "sets")
-        links = materialize(_verified(pairs, sets), "verified")
-        discard(pairs, sets)
+        links = _verified(pairs, sets)
+        discard(pairs)
         return links
 
     def grouped(members: DataFrame, found: DataFrame) -> DataFrame:
         """The classes of `members` (node) with their components so far."""
-        some = classes.join(members, "node", "left_semi").join(found, "node", "left")
-        return some.select("node", "fp", "head", F.coalesce("component", "node").alias("component"))
+        some = classes.join(members, "node", "left_semi").join(sets.select("node", "mark", "size"), "node").join(found, "node", "left")
+        return some.select("node", "fp", "head", F.coalesce("component", "node").alias("component"), "mark", "size")
 
     def joined(found: DataFrame, links: DataFrame) -> DataFrame:
         """Components after more links; each node's link to its component stands for those before."""
@@ -621,15 +673,20 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         return rows.select(F.col("src").alias("node")).union(rows.select(F.col("dst").alias("node"))).distinct()
 
     first = scanned(classes.select("node", "fp", "head"))
+    members = materialize(told(first), "members")
+    rows, maybe = _maybe(picked, classes.join(members, "node", "left_semi").select("id"), "id")
+    # later rounds have no other members, so texts travel once, and only those of members
+    sets = rows.where(maybe).select("id", "text").mapInPandas(described, "node long, odd binary, size long, mark binary, text string")
+    sets = materialize(sets.join(members, "node", "left_semi").dropDuplicates(["node"]), "sets")
     found = connected_components(verified(nearest(first)))
-    second = scanned(grouped(told(first), found))
+    second = scanned(grouped(members, found))
     if not second.isEmpty():
         found = joined(found, verified(nearest(second)))
         last = scanned(grouped(told(second), found), every=True)
         if not last.isEmpty():
             found = joined(found, verified(last))
         discard(last)
-    discard(first, second)
+    discard(first, second, members, sets)
     rooted = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = rooted.groupBy("component").agg(F.min("id").alias("component_id"))
     named = rooted.join(least, "component").select("node", "component_id")
@@ -642,8 +699,9 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     Repeated rows of one id count as copies; rows without an id stay.
     """
     groups = near_groups(docs, text, id_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = materialize(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    rows, maybe = _maybe(docs, gone, id_col)
+    kept = rows.where(~maybe).select(*docs.columns).union(rows.where(maybe).join(gone, id_col, "left_anti").select(*docs.columns))
     again = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again")
     if again.isEmpty():
         return kept
