@@ -42,7 +42,9 @@ def match_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, y
     number alone in a branch of their own, so wildcards do not widen the main join.
     Years are keys as well: a row on the left meets each year near its own, and year 0, which
     stands for none; left rows without a year, which match any, are a branch of their own.
-    Both sides are written, as several branches read them.
+    Both sides are written, as several branches read them, and all joins are merge joins: the
+    written files are so well compressed that by their size Spark would broadcast, and the
+    driver hold, millions of rows.
     """
     keys = ["series_norm", "issue_numeric", "issue_suffix", "is_named", "volume_norm", "key_year"]
     a = written(left.select(F.col(left_id).alias("left_id"), *[F.col(k).alias(f"l_{k}") for k in keys]), "left")
@@ -54,7 +56,7 @@ def match_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, y
     near = F.filter(F.sequence(year - year_tolerance, year + year_tolerance), lambda y: y > 0)
     dated = a.where(F.coalesce(year > 0, F.lit(True))).withColumn("_year", F.explode(F.concat(F.coalesce(near, F.array().cast("array<int>")), F.array(F.lit(0)))))
     undated, b = a.where(year <= 0), b.withColumn("_r_year", F.when(F.col("r_key_year").isNotNull(), F.greatest("r_key_year", F.lit(0))))
-    blank, told = b.where("r_series_norm = ''"), b.where("r_series_norm <> ''")
+    blank, told = b.where("r_series_norm = ''").hint("merge"), b.where("r_series_norm <> ''").hint("merge")
     out = None
     for rows, meets in ((dated, number & (F.col("_year") == F.col("_r_year"))), (undated, number)):
         pairs = [

@@ -77,3 +77,12 @@ def test_pools_are_shuffled_once_a_stage(spark, monkeypatch):
     assert got == {0: ("kapowarr", "AUTO_ACCEPT"), 1: ("comicvine_fallback", "AUTO_ACCEPT")}
     for name in ("kapowarr", "comicvine_fallback", "gcd_fallback"):
         assert plans[name].count("Exchange hashpartitioning") == 1 and "(?U)" not in plans[name]
+
+
+def test_canonical_matches_are_not_broadcast(spark):
+    rows = [(1, "Dark Sky", "1", "", 1999), (2, "", "1", "", 2000), (3, "Moon", "1", "", 0)]
+    df = K.canonical_key(spark.createDataFrame(rows, "id int, series_name string, issue_number string, volume string, publication_year int").withColumn("publisher", F.lit("")))
+    got = K.match_keys(df, df, "id", "id")
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3)}
+    plan = got._jdf.queryExecution().executedPlan().toString()  # as it ran: written tables are small by their files alone
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
