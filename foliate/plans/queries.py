@@ -302,7 +302,7 @@ def _(spark, sf):
 
 @query("A11_job_metrics")
 def _(spark, sf):
-    return X.job_outcomes(derive(spark, sf, "jobs"), ["job_id"])
+    return X.job_outcomes(derive(spark, sf, "jobs"), ["job_id"], order="event_id")
 
 
 @query("A12_provider_metrics")

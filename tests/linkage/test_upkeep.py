@@ -1,3 +1,6 @@
+import math
+from functools import reduce
+from itertools import permutations
 from pathlib import Path
 
 import pytest
@@ -110,6 +113,26 @@ def test_average_durations_round_halves_as_written(spark):
     assert (got[1], got[3], got[4]) == (46.5, 0.0, 1e300) and got[2] != got[2]  # as doubles the first is 46.449999999999996
 
 
+def test_average_durations_in_an_order_are_those_of_doubles(spark):
+    """At halves doubles decide, and so does the order in which they are added."""
+    values = [16.66, 58.05, 30.27, 80.82]
+    orders = {i: list(o) for i, o in enumerate(permutations(values))}
+    orders |= {None: [0.05, 0.05], 100: [1.0, None, 0.5], 101: [float("nan"), 1.0], 102: [None], 103: [1e300, 1e300], 104: [0.14999995, 0.15000004], 105: [-41.75, -41.75]}
+    rows = [(100 * (g or 0) + i, g, "SUCCESS", v) for g, o in orders.items() for i, v in enumerate(o)]
+
+    def rounded(o):
+        told = [v for v in o if v is not None]
+        x = (added := reduce(lambda a, v: a + v, told, 0.0)) / max(len(told), 1)
+        return added if x != x else math.copysign(math.floor(abs(x) * 10 + 0.5) / 10, x)  # all are small or whole
+
+    want = {g: rounded(o) for g, o in orders.items()}
+    assert {want[i] for i in range(24)} == {46.4, 46.5}  # the exact average is 46.45
+    for n in (1, 3):
+        df = spark.createDataFrame(rows[::-1], "event_id long, job_id long, status string, value double").repartition(n, "value")
+        got = {r["job_id"]: (r["avg_duration"], r["total"]) for r in X.job_outcomes(df, ["job_id"], order="event_id").collect()}
+        assert got.pop(101)[0] != want[101] and {g: (x, len(orders[g])) for g, x in want.items() if g != 101} == got
+
+
 def test_what_is_made_of_small_tables_is_spread(spark):
     pages = derive(spark, "/root/testdata/sf0.001", "order_pages")
     assert pages.groupBy(F.spark_partition_id()).count().count() > 4
