@@ -105,22 +105,46 @@ def union_lists(rows: DataFrame, group: str, order: str, lists: str, loose: bool
     return first.groupBy(group).agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["item"]).alias("items"))
 
 
+def _spellings(ordered: str) -> Column:
+    """Of numbers in issue order: repeated, those that several issues bear in one spelling, and variants, those in several.
+
+    Equal numbers are neighbours, so one pass counts them.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def state(a: Column, first: Column, n: Column, varied: Column, repeated: Column, variants: Column) -> Column:
+        return F.struct(a.alias("a"), first.alias("first"), n.alias("n"), varied.alias("varied"), repeated.alias("repeated"), variants.alias("variants"))
+
+    def ended(s: Column) -> tuple[Column, Column]:
+        return (
+            s["repeated"] + F.when((s["n"] > 1) & ~s["varied"] & s["first"].isNotNull(), 1).otherwise(0),
+            s["variants"] + F.when(s["varied"], 1).otherwise(0),
+        )
+
+    def add(s: Column, x: Column) -> Column:
+        varied = s["varied"] | F.coalesce(x["issue_number"] != s["first"], F.lit(False))
+        more = state(s["a"], F.coalesce(s["first"], x["issue_number"]), s["n"] + 1, varied, s["repeated"], s["variants"])
+        return F.when((s["n"] > 0) & s["a"].eqNullSafe(x["a"]), more).otherwise(state(x["a"], x["issue_number"], zero + 1, F.lit(False), *ended(s)))
+
+    def finish(s: Column) -> Column:
+        repeated, variants = ended(s)
+        return F.struct(repeated.alias("repeated"), variants.alias("variants"))
+
+    none = state(F.lit(None).cast("double"), F.lit(None).cast("string"), zero, F.lit(False), zero, zero)
+    return F.aggregate(ordered, none, add, finish)
+
+
 def validate_collections(members: DataFrame, group: str = "collection_id") -> DataFrame:
     """result (ACCEPT, WARN, REJECT), n_problems, n_warnings and the sorted numbers of each collection."""
     o = numbers.issue_order(F.col("issue_number"))
     m = members.withColumns({"_o": o, "_s": collection_form(F.col("series_name")), "_p": publisher_form(F.col("publisher"))})
-    by_base = m.groupBy(group, F.col("_o.numeric").alias("_base")).agg(F.count("*").alias("n"), F.countDistinct("issue_number").alias("spellings"))
-    bases = by_base.groupBy(group).agg(
-        F.sum(F.when((F.col("n") > 1) & (F.col("spellings") == 1), 1).otherwise(0)).alias("repeated"),
-        F.sum(F.when(F.col("spellings") > 1, 1).otherwise(0)).alias("variants"),
-    )
     whole = m.groupBy(group).agg(
         F.size(F.collect_set("_s")).alias("series"),
         F.size(F.collect_set(F.when(F.col("publisher") != "", F.col("_p")))).alias("publishers"),
         F.size(F.collect_set(F.when(F.col("volume_id") != "", F.col("volume_id")))).alias("volumes"),
         F.sort_array(F.collect_list(F.struct(F.col("_o.numeric").alias("a"), F.col("_o.suffix").alias("b"), "pos", "issue_number"))).alias("sorted"),
     )
-    out = whole.join(bases, group)
+    out = whole.select("*", _spellings("sorted").alias("_n")).select("*", "_n.repeated", "_n.variants")
     problems = (F.col("series") > 1).cast("int") + (F.col("volumes") > 1).cast("int") + F.col("repeated").cast("int")
     warnings = (F.col("publishers") > 1).cast("int") + F.col("variants").cast("int")
     return out.select(

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from foliate.sources.tables import spread
 
+#: A line's place in its order, as the text of members has it.
+PLACE = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT)"
+
 TEXTS = {
     "lib_files": """
 SELECT p_partkey AS file_id, concat('/lib/', CASE WHEN p_partkey % 8 = 7 THEN 'misc' ELSE concat(p_name, ' (', CAST(1940 + p_partkey % 80 AS STRING), ')') END, '/',
@@ -228,12 +231,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows, SMALL[name]).select(F.inline(F.array(F.struct(*rows.columns))))
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, name: str, shared: bool = False) -> DataFrame:
+    """A derived table; shared members have all their uses in a query read one exchange."""
     text = TEXTS[name]
     tables = {t: table(spark, sf_dir, t) for t in ("part", "lineitem", "events", "orders", "customer", "supplier") if "{" + t + "}" in text}
+    if name == "members":
+        tables["lineitem"], text = placed(tables["lineitem"], shared), text.replace(PLACE, "_pos")
     return spark.sql(text, **tables)
 
 
+def placed(lines: DataFrame, shared: bool = False) -> DataFrame:
+    """Lines dealt by their order, with their place there as _pos.
+
+    They are dealt and sorted as they are: texts made of a line are several times as wide, and
+    are made after that.  What groups or joins by the order needs no other exchange.
+    """
+    dealt = lines.repartition("l_orderkey")
+    if shared:  # inline keeps all columns in the exchange, which else each use would have with its own
+        dealt = dealt.select("l_orderkey", F.inline(F.array(F.struct(*[x for x in lines.columns if x != "l_orderkey"]))))
+    return dealt.withColumn("_pos", F.expr(PLACE))
+
+
 def duck(name: str) -> str:
     """The same text for DuckDB, as a common table expression."""
     text = TEXTS[name]

@@ -9,6 +9,7 @@ from foliate.operators import arcs as R
 from foliate.operators import curate as K
 from foliate.plans import resolve as V
 from foliate.plans.datasets import derive
+from foliate.plans.queries import QUERIES
 from foliate.sources import archives as A
 
 
@@ -86,3 +87,26 @@ def test_canonical_matches_are_not_broadcast(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (3, 3)}
     plan = got._jdf.queryExecution().executedPlan().toString()  # as it ran: written tables are small by their files alone
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_collections_are_dealt_once_and_as_lines(spark):
+    built = QUERIES["Q10_collection_build"](spark, "/root/testdata/sf0.001")
+    rows = built.collect()
+    plan = built._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]  # as it ran
+    assert plan.count("Scan parquet [l_orderkey") == 1 and "ReusedExchange" in plan
+    lines = built._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert len(lines) == 3 and "Series!" in lines[0] + lines[1] and "Writer" not in lines[2]  # texts are made above
+    members = derive(spark, "/root/testdata/sf0.001", "members")
+    bad = {r[0] for r in K.validate_collections(members).where("result = 'REJECT'").collect()}
+    assert {r["collection_id"] for r in rows} == {r[0] for r in members.select("collection_id").distinct().collect()} - bad and bad
+
+
+def test_collections_are_validated_in_one_grouping(spark):
+    groups = {1: ["1", "2"], 2: ["1", "1", "2", "2"], 3: ["1", "1A", "1"], 4: ["1", "01", "2A", "2B"], 5: [None, None], 6: ["", None], 7: ["7"], 8: ["1", "1", "2", "02", "3"], 9: ["FCBD", "x"]}
+    rows = [(g, i, "Dark Sky", "", n, "") for g, ns in groups.items() for i, n in enumerate(ns)]
+    df = spark.createDataFrame(rows, "collection_id int, pos int, series_name string, publisher string, issue_number string, volume_id string")
+    told = K.validate_collections(df)
+    got = {r["collection_id"]: (r["result"], r["n_problems"], r["n_warnings"]) for r in told.collect()}
+    accept = ("ACCEPT", 0, 0)
+    assert got == {1: accept, 2: ("REJECT", 2, 0), 3: ("WARN", 0, 1), 4: ("WARN", 0, 2), 5: accept, 6: ("REJECT", 1, 0), 7: accept, 8: ("REJECT", 1, 1), 9: ("WARN", 0, 1)}
+    assert "Join" not in optimized(told)
